@@ -1,6 +1,68 @@
-STAGES = []
+"""Corpus pipeline: language ID, exact dedup, near-duplicate dedup, source mixing, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and
+reread as the next stage's ``docs``.  All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isoflow.llm import exact_dedup, jaccard_join, langid, mixing, packing
+from isoflow.llm.common import materialize, table, without_ids
+
+MIN_LANGUAGE_SHARE = 0.5
+"""Documents whose best language holds less than this share of their words are rejected."""
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter and those in which no language has half of the words."""
+    judged = langid.identify(docs, langid.fit(docs))
+    keep = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE_SHARE)
+    return judged.where(keep).select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of equal texts, and one of rows repeated with the same id."""
+    decided = materialize(exact_dedup.exact_duplicates(docs).where("group_size > 1").select("doc_id", "kept"), "decided")
+    left = without_ids(docs, decided.where("not kept"))
+    twice = decided.where("kept").groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        return left
+    single = docs.join(twice.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return without_ids(left, twice).unionByName(single)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that with the smallest id, of each group linked by shingle similarity."""
+    groups = jaccard_join.jaccard_components(docs)
+    return without_ids(docs, groups.where("component_id <> doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emit each document as often as the mix of sources takes it."""
+    return mixing.emit(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in packed sequences."""
+    return packing.pack_documents(docs, packing.tokenizer_file())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

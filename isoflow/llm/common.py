@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -56,3 +57,13 @@ def discard(df: DataFrame) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", broadcast_rows: int = 250_000) -> DataFrame:
+    """``docs`` without the rows whose id is in column ``doc_id`` of ``dropped``; rows with a null id stay.
+
+    A short list is broadcast; a longer one is joined by a shuffle.
+    """
+    gone = materialize(dropped.select(dropped["doc_id"].alias("_gone")).distinct(), "dropped")
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")

@@ -64,30 +64,61 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """``doc_id, source, size, source_size, target, rate, copies, taken`` for every input row.
+SMALL = 10_000
+"""Sources up to which the table of sources is broadcast."""
 
-    A null text has size 0; a document of size 0 is given rate and copies of its source but takes
-    no words.  A source without words has rate 0.  A null source is a source of its own, the last.
-    Repeated rows are documents of their own that share one coin; null ids share one coin too.
-    An empty table gives an empty result.  Only the three named columns are read.
-    """
+
+def _digest(doc_id):
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":mix")))
+
+
+def _hint(sources: DataFrame) -> DataFrame:
+    return F.broadcast(sources) if sources.limit(SMALL + 1).count() <= SMALL else sources
+
+
+def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes ``doc_id, source, size`` and, per source, ``source, source_size, target, rate, coin_no``."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     narrow = materialize(narrow, "sizes")
     targets = materialize(source_targets(narrow, weights, share, max_rate), "targets")
     rates = targets.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix")))
-    rows = narrow.withColumnRenamed("source", "own").join(F.broadcast(rates) if targets.limit(10_001).count() <= 10_000 else rates, F.col("own").eqNullSafe(F.col("source"))).drop("own").withColumn("digest", digest)
+    rows = narrow.withColumnRenamed("source", "own").join(_hint(rates), F.col("own").eqNullSafe(F.col("source"))).withColumn("digest", _digest(F.col("doc_id")))
     fraction = F.col("rate") - F.floor("rate")
     drawn = [F.sum(F.when(coin(F.col("digest"), k) < fraction, F.col("size")).otherwise(F.lit(0))).alias(f"drawn{k}") for k in range(COINS)]
-    sums = rows.groupBy("source").agg(F.first("target").alias("target"), F.first("rate").alias("rate"), F.first("source_size").alias("source_size"), *drawn)
+    sums = rows.groupBy("source").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "rate")], *drawn)
     errors = F.array(*[F.abs(F.floor("rate") * F.col("source_size") + F.col(f"drawn{k}") - F.col("target")) for k in range(COINS)])
-    choice = sums.select(F.col("source").alias("s"), (F.array_position(errors, F.array_min(errors)) - 1).cast("int").alias("coin_no"))
-    choice = materialize(choice, "choice")
-    chosen = rows.join(F.broadcast(choice) if choice.limit(10_001).count() <= 10_000 else choice, F.col("source").eqNullSafe(F.col("s")))
-    u = F.conv(F.substr("digest", 2 * F.col("coin_no") + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
-    copies = (F.floor("rate") + F.when(u < fraction, 1).otherwise(0)).cast("int")
-    return chosen.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    plan = sums.select("source", "source_size", "target", "rate", (F.array_position(errors, F.array_min(errors)) - 1).cast("int").alias("coin_no"))
+    return narrow, materialize(plan, "plan")
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """``rows`` with the columns of ``plan`` except ``source`` and ``copies``, how often the document is emitted."""
+    plan = plan.withColumnRenamed("source", "_source")
+    joined = rows.join(_hint(plan), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    u = F.conv(F.substr(_digest(F.col(doc_id)), 2 * F.col("coin_no") + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
+    return joined.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """``doc_id, source, size, source_size, target, rate, copies, taken`` for every input row.
+
+    A null text has size 0; a document of size 0 is given rate and copies of its source but takes
+    no words.  A source without words has rate 0.  A null source is a source of its own, the last.
+    Repeated rows are documents of their own that share one coin; null ids share one coin too.
+    An empty table gives an empty result.  Only the three named columns are read.
+    """
+    narrow, plan = mixing_plan(docs, weights, share, max_rate, text, doc_id, source)
+    return with_copies(narrow, plan).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """The documents of the mix themselves, each as often as it is taken, with their own columns."""
+    _, plan = mixing_plan(docs, weights, share, max_rate, text, doc_id, source)
+    plan = plan.select("source", "rate", "coin_no")
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    rows = docs.select(own, docs[doc_id].alias("_id"), docs[source].alias("_from"))
+    taken = with_copies(rows, plan, "_id", "_from").where("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoflow.llm import exact_dedup, mixing, packing, url_filter
+from isoflow.llm import exact_dedup, jaccard_join, langid, mixing, packing, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_quality": quality.op2_quality,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_language_id": langid.op4_language_id,
         "op5_url_filter": url_filter.op5_url_filter,
         "op7_mixing": mixing.op7_mixing,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 
