@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoflow.llm import exact_dedup, jaccard_join, langid, mixing, packing, quality, url_filter
+from isoflow.llm import ann, exact_dedup, jaccard_join, langid, mixing, packing, quality, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_language_id": langid.op4_language_id,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_ann_search": ann.op6_ann_search,
         "op7_mixing": mixing.op7_mixing,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
