@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoflow.llm import ann, exact_dedup, jaccard_join, langid, mixing, packing, quality, suffix_dedup, url_filter
+from isoflow.llm import ann, exact_dedup, jaccard_join, langid, license_scan, mixing, packing, quality, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ann_search": ann.op6_ann_search,
         "op7_mixing": mixing.op7_mixing,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+        "op9_license_scan": license_scan.op9_license_scan,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_url_filter": url_filter.OP5_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_url_filter": url_filter.OP5_SQL, "op7_mixing": mixing.OP7_SQL, "op9_license_scan": license_scan.OP9_SQL}
