@@ -14,9 +14,12 @@ which two sketches differ is a lower bound of the symmetric difference.
 * Bit sketch: candidates whose Hamming distance exceeds the allowed difference are dropped.
 * The exact sets of the rest are compared.
 
-Equal sets are one class from the start.  Within a join key no list of all pairs is made: first
-every class is verified against the smallest class of its best key, the verified pairs are joined
-to components, and only classes of different components are then compared, in blocks.
+Equal sets are one class from the start.  Within a join key no list of all pairs is made.  The
+smallest class of a key is its centre; classes that share several keys with a centre form
+families.  First every class is verified against its best centres and the verified pairs are
+joined to components.  Then only classes of different components are compared: within their
+families, and within the keys whose members belong to different families, so that no pair that
+shares a key goes unseen.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isoflow.llm.common import discard, materialize, table
@@ -36,8 +39,10 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
 KEYS = 48
 BAND = 1.5
+STARS = 3
+"""Centres that each class is verified against before any others are compared."""
 BLOCK = 2000
-"""Classes of a key that are compared within one task; larger groups are cut into pairs of blocks."""
+"""Classes of a unit that are compared within one task; larger ones are cut into pairs of blocks."""
 BROADCAST_ROWS = 250_000
 """Rows up to which the join against repeated keys or wanted documents is broadcast."""
 _EDGES = BAND ** np.arange(0, 60)
@@ -116,7 +121,7 @@ def join_keys(tokens: np.ndarray, numerator: int = NUMERATOR, denominator: int =
     out = []
     for level, words in levels(len(tokens), numerator, denominator):
         for seed in range(-(-keys // words)):
-            spread = mix(tokens + np.uint64(seed * 2 + 1) * _FACTOR)
+            spread = mix(tokens + np.uint64((seed * 2 + 1) * int(_FACTOR) & 0xFFFFFFFFFFFFFFFF))
             place = ((spread >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)
             used = min(words, keys)
             if used < words:
@@ -203,26 +208,38 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
 
 
 def _cross_pairs(members: DataFrame, numerator: int, denominator: int, block: int) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of different components within ``members (key, class, comp, n, sketch)``."""
+    """Candidate pairs ``(a, b)`` of different components within the units of ``members (unit, class, comp, n, sketch)``.
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.drop_duplicates("class")
-        comps, blocks = pdf["comp"].to_numpy(np.int64), pdf["own"].to_numpy()
+    Small units share a task; units above ``block`` are cut into blocks, each pair of which is a task's share.
+    """
+
+    def pairs(part: pd.DataFrame, i: int, j: int) -> set[tuple[int, int]]:
+        comps, blocks = part["comp"].to_numpy(np.int64), part["own"].to_numpy()
         values, counts = np.unique(comps, return_counts=True)
         if len(values) < 2:
-            return pd.DataFrame({"a": [], "b": []})
+            return set()
         other = comps != values[counts.argmax()]  # a pair has at least one member outside the largest component
-        at = np.arange(len(pdf))
-        parts = [(at[(blocks == i) & other], at[blocks == j]), (at[(blocks == j) & other], at[(blocks == i) & ~other])] if i != j else [(at[other], at)]
-        args = pdf["class"].to_numpy(np.int64), comps, pdf["n"].to_numpy(np.int64), pdf["sketch"].tolist()
-        found = [(min(p), max(p)) for left, right in parts for p in near_pairs(*args, left, right, numerator, denominator)]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
-
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", F.ceil(F.col("g") / block).cast("int").alias("blocks"))
-    rows = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        at = np.arange(len(part))
+        sides = [(at[(blocks == i) & other], at[blocks == j]), (at[(blocks == j) & other], at[(blocks == i) & ~other])] if i != j else [(at[other], at)]
+        args = part["class"].to_numpy(np.int64), comps, part["n"].to_numpy(np.int64), part["sketch"].tolist()
+        return {(min(p), max(p)) for left, right in sides for p in near_pairs(*args, left, right, numerator, denominator)}
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: set[tuple[int, int]] = set()
+        pdf = pdf.sort_values(["unit", "i", "j"], kind="stable").reset_index(drop=True)
+        units, i, j = (pdf[c].to_numpy() for c in ("unit", "i", "j"))
+        first = np.flatnonzero((np.diff(units, prepend=units[0] - 1) != 0) | (np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0))
+        for x, y in zip(first, [*first[1:], len(pdf)]):
+            found |= pairs(pdf.iloc[x:y].drop_duplicates("class"), int(i[x]), int(j[x]))
+        return pd.DataFrame(sorted(found), columns=["a", "b"])
+
+    sizes = members.groupBy("unit").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("unit", F.ceil(F.col("g") / block).cast("int").alias("blocks"))
+    rows = members.join(sizes, "unit").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    rows = materialize(rows, "compared")
+    tasks = max(1, -(-rows.count() // (4 * block)))
+    bucket = F.pmod(F.xxhash64("unit", "i", "j"), F.lit(tasks))
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(compare, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -246,14 +263,20 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int =
     texts = narrow.join(hint(wanted.select("doc_id"), wanted.count()), "doc_id", "left_semi")
     sets = materialize(token_sets(texts, shingle), "sets")
 
-    votes = members.where("class <> center").groupBy("class", "center").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("class").agg(F.max_by("center", F.struct("votes", "center")).alias("b")).select(F.col("class").alias("a"), "b")
+    votes = members.where("class <> center").groupBy("class", "center").agg(F.count(F.lit(1)).alias("votes")).where("votes > 1")
+    votes = materialize(votes, "votes")
+    ranked = votes.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(F.col("votes").desc(), "center")))
+    best = ranked.where(F.col("r") <= STARS).select(F.col("class").alias("a"), F.col("center").alias("b"))
     stars = materialize(verified(best, sets, numerator, denominator), "stars")
-    comps = connected_components(stars)
-    known = members.join(comps.select(F.col("node").alias("class"), "component"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("comp"))
-    split = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    open_rows = known.join(split, "key").join(wanted.select("class", "n", "sketch"), "class")
-    cross = materialize(_cross_pairs(materialize(open_rows, "open"), numerator, denominator, block), "cross")
+    comps = connected_components(stars).select(F.col("node").alias("class"), F.col("component").alias("comp"))
+    families = connected_components(votes.select(F.col("class").alias("a"), F.col("center").alias("b"))).select(F.col("node").alias("class"), F.col("component").alias("family"))
+    known = wanted.select("class", "n", "sketch").join(comps, "class", "left").join(families, "class", "left")
+    known = materialize(known.withColumns({"comp": F.coalesce("comp", "class"), "family": F.coalesce("family", "class")}), "known")
+    within = known.where("comp is not null").select(F.xxhash64("family", F.lit("family")).alias("unit"), "class", "comp", "n", "sketch")
+    mixed = members.select("key", "class").join(known.select("class", "family"), "class")
+    across = mixed.groupBy("key").agg(F.min("family").alias("f0"), F.max("family").alias("f1")).where("f0 <> f1").select("key")
+    between = mixed.join(across, "key").join(known.select("class", "n", "sketch"), "class").select(F.xxhash64("key", F.lit("key")).alias("unit"), "class", F.col("family").alias("comp"), "n", "sketch")
+    cross = materialize(_cross_pairs(within.unionByName(between), numerator, denominator, block), "cross")
     links = stars.unionByName(verified(cross, sets, numerator, denominator))
     comps = connected_components(links)
 
@@ -261,7 +284,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int =
     named = labels.join(comps.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     class_component = materialize(named.join(least, "component").select("class", "component_id"), "class_component")
-    for done in (shared, members, sets, stars, cross):
+    for done in (shared, members, sets, votes, stars, known, cross):
         discard(done)
     result = signed.select("doc_id", "n", "class").join(class_component, "class", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
