@@ -1,9 +1,13 @@
-"""Registered queries of the assay operators."""
+"""All registered queries of the assay operators and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from isoflow.plans import base, count_queries  # noqa: F401  (importing registers)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(base.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(base.SQL)
