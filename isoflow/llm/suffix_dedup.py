@@ -8,11 +8,12 @@ The work is cut into independent suffix sorts as follows.
   only strings around equal grams need comparing.  About one position in seventy is an anchor,
   and only hashes of grams and of their contexts (all strings that can hold the gram) travel.
 * Anchors whose gram occurs once are dropped.  Anchors with equal contexts repeat as a whole.
-* The others are sorted: for each distinct context, the suffixes that start up to
-  ``length - gram`` bytes before the gram are put in order by a mergesort that runs on all groups of
-  a task at once.  Two suffixes are compared by a binary search for their common extension on
-  prefix polynomial hashes, so a comparison takes a logarithmic number of steps.  Neighbours with
-  a common extension of ``length`` are compared byte by byte before they count as equal.
+* The others are sorted: suffixes that start before or at the gram are put in order by a mergesort
+  that runs on all groups of a task at once.  Two suffixes are compared by a binary search for
+  their common extension on prefix polynomial hashes, so a comparison takes a logarithmic number
+  of steps.  Neighbours that are equal as far as a repeat needs are compared byte by byte before
+  they count.  The sorts first tell which ranges of starts can hold a repeat at all and halve
+  those, so most of the suffixes need not be sorted.
 * Grams with very many different contexts would be one large sort; their strings are counted by a
   grouping on a 128-bit hash instead, which spreads them over all tasks.
 """
@@ -34,7 +35,7 @@ LENGTH, GRAM = 200, 64
 SEGMENT = 4 << 20
 """Bytes of a text that are scanned at a time; longer texts are scanned in overlapping segments."""
 CHUNK = 1 << 20
-TASK_CONTEXTS = 6000
+TASK_CONTEXTS = 15000
 """Contexts that one sorting group is meant to hold; it bounds memory and time of a sort."""
 HOT_CONTEXTS = 3000
 """Different contexts of one gram beyond which its strings are grouped by hash instead of sorted."""
@@ -103,44 +104,57 @@ def _anchor_rows(length: int, gram: int):
 
 
 class SuffixOrder:
-    """Comparison of suffixes of one buffer, cut to ``length`` bytes, by common extension."""
-
-    def __init__(self, data: np.ndarray, length: int):
-        self.data, self.length, self.hash = data, length, PrefixHash(data)
-
-    def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension, ``length`` at most: a binary search on prefix hashes."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length, np.int64)
-        for _ in range(int(self.length).bit_length()):
-            middle = (low + high + 1) >> 1
-            same = self.hash.of(a, a + middle) == self.hash.of(b, b + middle)
-            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    """Comparison of suffixes of one buffer, each cut to a length, by common extension."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.hash = data, PrefixHash(data)
+
+    def extension(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Length of the common extension, ``limit`` at most: a binary search on prefix hashes."""
+        low, high = np.zeros(len(a), np.int64), limit.astype(np.int64)
+        whole = self.hash.of(a, a + limit) == self.hash.of(b, b + limit)
+        low = np.where(whole, limit, low)
+        open_ = np.flatnonzero(~whole)
+        x, y, lo, hi = a[open_], b[open_], low[open_], high[open_] - 1
+        while len(lo) and (lo < hi).any():
+            middle = (lo + hi + 1) >> 1
+            same = self.hash.of(x, x + middle) == self.hash.of(y, y + middle)
+            lo, hi = np.where(same, middle, lo), np.where(same, hi, middle - 1)
+        low[open_] = lo
         return low
 
-    def less(self, a: np.ndarray, b: np.ndarray, or_equal: bool) -> np.ndarray:
-        e = self.extension(a, b)
-        equal = e >= self.length
-        step = np.minimum(e, self.length - 1)
-        return np.where(equal, or_equal, self.data[a + step] < self.data[b + step])
+    def less(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        e = self.extension(a, b, limit)
+        step = np.minimum(e, limit - 1)
+        return np.where(e >= limit, or_equal, self.data[a + step] < self.data[b + step])
 
-    def same_bytes(self, a: np.ndarray, b: np.ndarray, part: int = 20_000) -> np.ndarray:
+    def same_bytes(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray, part: int = 20_000) -> np.ndarray:
         """Verification: whether the strings are equal byte by byte."""
-        view = np.lib.stride_tricks.sliding_window_view(self.data, self.length)
-        return np.concatenate([(view[a[k : k + part]] == view[b[k : k + part]]).all(axis=1) for k in range(0, len(a), part)] or [np.zeros(0, bool)])
-
-    def mergesort(self, suffixes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), dtype=bool)
+        for n in np.unique(limit):
+            view = np.lib.stride_tricks.sliding_window_view(self.data, n)
+            at = np.flatnonzero(limit == n)
+            for k in range(0, len(at), part):
+                one = at[k : k + part]
+                out[one] = (view[a[one]] == view[b[one]]).all(axis=1)
+        return out
+
+    def mergesort(self, suffixes: np.ndarray, limit: np.ndarray, groups: np.ndarray) -> np.ndarray:
         """The order that sorts ``suffixes`` within each of the adjacent ``groups``, bottom up.
 
-        In every round each element finds its rank in the neighbouring run by binary search.
+        All suffixes of a group have one limit.  In every round each element finds its rank in the
+        neighbouring run by binary search.
         """
         n = len(suffixes)
         order = np.arange(n)
-        first = np.flatnonzero(np.diff(groups, prepend=groups[0] - 1 if n else 0) != 0)
+        if not n:
+            return order
+        first = np.flatnonzero(np.diff(groups, prepend=groups[0] - 1) != 0)
         size = np.diff(np.append(first, n))
         start, end = np.repeat(first, size), np.repeat(first + size, size)
         place = np.arange(n)
         run = 1
-        while run < (size.max() if n else 0):
+        while run < size.max():
             number = (place - start) // run
             left = number % 2 == 0
             mine = start + number * run
@@ -148,15 +162,13 @@ class SuffixOrder:
             other_to = np.minimum(np.where(left, mine + 2 * run, mine), end)
             at = np.flatnonzero(other_from < other_to)
             low, high = other_from[at].copy(), other_to[at].copy()
-            mark = suffixes[order[at]]
-            on_left = left[at]
+            mark, most, on_left = suffixes[order[at]], limit[order[at]], left[at]
             while True:
                 active = np.flatnonzero(low < high)
                 if not len(active):
                     break
                 middle = (low[active] + high[active]) >> 1
-                theirs = suffixes[order[middle]]
-                ahead = np.where(on_left[active], self.less(theirs, mark[active], False), self.less(theirs, mark[active], True))
+                ahead = self.less(suffixes[order[middle]], mark[active], most[active], ~on_left[active])
                 low[active] = np.where(ahead, middle + 1, low[active])
                 high[active] = np.where(ahead, high[active], middle)
             target = place.copy()
@@ -167,35 +179,74 @@ class SuffixOrder:
             run *= 2
         return order
 
-
-def repeated_extents(grams: np.ndarray, lefts: np.ndarray, contexts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each context, the smallest and largest number of bytes before its gram at which a string
-    starts that another context of the gram holds at the same place (-1 and -1 if none does)."""
+    def classes(self, suffixes: np.ndarray, limit: np.ndarray, groups: np.ndarray, verify: bool) -> np.ndarray:
+        """A number for each suffix, the same for equal suffixes of a group: neighbours in sorted order are compared."""
+        arranged = np.argsort(groups, kind="stable")
+        order = arranged[self.mergesort(suffixes[arranged], limit[arranged], groups[arranged])]
+        a, b = order[:-1], order[1:]
+        near = np.flatnonzero(groups[a] == groups[b])
+        a, b = a[near], b[near]
+        equal = self.extension(suffixes[a], suffixes[b], limit[a]) >= limit[a]
+        if verify:
+            equal[equal] = self.same_bytes(suffixes[a[equal]], suffixes[b[equal]], limit[a[equal]])
+        new = np.ones(len(suffixes), dtype=np.int64)
+        new[near[equal] + 1] = 0
+        out = np.empty(len(suffixes), dtype=np.int64)
+        out[order] = np.cumsum(new) - 1
+        return out
+
+
+def repeated_extents(grams: np.ndarray, lefts: np.ndarray, contexts: list[bytes], wanted: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted context, the smallest and largest number of bytes before its gram at which a
+    string starts that another context of the gram holds at the same place (-1 and -1 if none does).
+
+    Strings that start ``lo`` to ``hi`` bytes before the gram share a core, from ``lo`` bytes before
+    it on; contexts whose core is like no other's have no such string.  Contexts that also agree in
+    all that these strings span share them all.  What is left undecided is halved.
+    """
     n = len(contexts)
     sizes = np.array([len(c) for c in contexts])
     begins = np.cumsum(sizes) - sizes
-    order = SuffixOrder(np.frombuffer(b"".join(contexts), dtype=np.uint8), length)
-    at = begins + lefts
-    before = np.arange(length - gram + 1)
-    ok = (before[None, :] <= lefts[:, None]) & ((at[:, None] - before[None, :] + length) <= (begins + sizes)[:, None])
-    owner, back = np.nonzero(ok)
-    _, code = np.unique(grams, return_inverse=True)
-    group = code[owner] * (length + 1) + back
-    arranged = np.argsort(group, kind="stable")
-    owner, back, group = owner[arranged], back[arranged], group[arranged]
-    suffixes = at[owner] - back
+    order = SuffixOrder(np.frombuffer(b"".join(contexts), dtype=np.uint8))
+    at, rights = begins + lefts, sizes - lefts
     lowest, highest = np.full(n, length + 1), np.full(n, -1)
-    if len(suffixes):
-        ranked = order.mergesort(suffixes, group)
-        a, b = ranked[:-1], ranked[1:]
-        near = np.flatnonzero(group[a] == group[b])
-        a, b = a[near], b[near]
-        equal = order.extension(suffixes[a], suffixes[b]) >= length
-        a, b = a[equal], b[equal]
-        sure = order.same_bytes(suffixes[a], suffixes[b])
-        both = np.concatenate([a[sure], b[sure]])
-        np.minimum.at(lowest, owner[both], back[both])
-        np.maximum.at(highest, owner[both], back[both])
+    one = np.arange(n)
+    group = np.unique(grams, return_inverse=True)[1].astype(np.int64)
+    lo, hi = np.zeros(n, np.int64), np.full(n, length - gram, np.int64)
+    asks = wanted.copy()
+
+    def crowd(group, asks):
+        """Members of groups of at least two of which one still asks."""
+        counts, asking = np.bincount(group), np.bincount(group, weights=asks) > 0
+        return np.flatnonzero((counts[group] > 1) & asking[group])
+
+    first = True
+    while len(one):
+        fits = np.flatnonzero((lefts[one] >= lo) & (rights[one] >= length - hi))
+        one, group, lo, hi, asks = (x[fits] for x in (one, group, lo, hi, asks))
+        if not len(one):
+            break
+        if not first:
+            group = order.classes(at[one] - lo, length - (hi - lo), group, False)
+        else:
+            group = np.unique(group, return_inverse=True)[1]
+        first = False
+        keep = crowd(group, asks)
+        one, group, lo, hi, asks = (x[keep] for x in (one, group, lo, hi, asks))
+        spans = np.flatnonzero((lefts[one] >= hi) & (rights[one] >= length - lo))
+        if len(spans):
+            same = order.classes(at[one[spans]] - hi[spans], length + hi[spans] - lo[spans], group[spans], True)
+            shared = spans[np.bincount(same)[same] > 1]
+            np.minimum.at(lowest, one[shared], lo[shared])
+            np.maximum.at(highest, one[shared], hi[shared])
+        asks = asks & ~((lowest[one] <= lo) & (highest[one] >= hi)) & (lo < hi)
+        keep = crowd(group, asks) if len(one) else one
+        one, group, lo, hi, asks = (x[keep] for x in (one, group, lo, hi, asks))
+        middle = (lo + hi) // 2
+        one, asks = np.concatenate([one, one]), np.concatenate([asks, asks])
+        group = np.concatenate([2 * group, 2 * group + 1])
+        lo, hi = np.concatenate([lo, middle + 1]), np.concatenate([middle, hi])
+        asks = asks & ~((lowest[one] <= lo) & (highest[one] >= hi))
     return np.where(highest < 0, -1, lowest), highest
 
 
@@ -221,8 +272,9 @@ def _cut_contexts(length: int, gram: int):
 def _sort_group(length: int, gram: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["row", "pos"])
-        low, high = repeated_extents(pdf["gram"].to_numpy(np.int64), pdf["left"].to_numpy(np.int64), pdf["bytes"].tolist(), length, gram)
-        keep = (high >= 0) & (pdf["n"].to_numpy() == 1)
+        single = pdf["n"].to_numpy() == 1
+        low, high = repeated_extents(pdf["gram"].to_numpy(np.int64), pdf["left"].to_numpy(np.int64), pdf["bytes"].tolist(), single, length, gram)
+        keep = (high >= 0) & single
         pos = pdf["pos"].to_numpy(np.int64)
         return pd.DataFrame({"row": pdf["row"].to_numpy(np.int64)[keep], "start": (pos - high)[keep], "end": (pos - low + length)[keep]})
 
