@@ -133,7 +133,10 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 def build_index(rows: DataFrame, sample: int = SAMPLE) -> tuple[Node, int]:
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = pd.concat(list(batches), ignore_index=True).sort_values("vec_id")
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        x = pd.concat(parts, ignore_index=True).sort_values("vec_id")
         yield pd.DataFrame({"tree": [pickle.dumps(fit_tree(np.stack(x["v"].tolist())))]})
 
     picked = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(sample)

@@ -111,7 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text:
             yield pd.DataFrame({"doc_id": [batch["doc_id"].iloc[i] for i, *_ in found], "label": [int(batch["label"].iloc[i]) for i, *_ in found], "ids": [b.tobytes() for _, b, _ in found], "counts": [c.tobytes() for *_, c in found]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        rows = pd.concat(parts, ignore_index=True)
         rows = rows.assign(size=rows["ids"].map(len)).sort_values(["doc_id", "label", "size"], kind="stable")
         data = [(np.frombuffer(i, np.int32), np.frombuffer(c, np.int32)) for i, c in zip(rows["ids"], rows["counts"])]
         v, w, b = train(data, rows["label"].to_numpy(), share)
