@@ -37,8 +37,9 @@ SEGMENT = 4 << 20
 CHUNK = 1 << 20
 TASK_CONTEXTS = 15000
 """Contexts that one sorting group is meant to hold; it bounds memory and time of a sort."""
-HOT_CONTEXTS = 3000
-"""Different contexts of one gram beyond which its strings are grouped by hash instead of sorted."""
+HOT_CONTEXTS = 20_000
+"""Different contexts of one gram beyond which its strings are grouped by hash instead of sorted: what a
+task can hold with its prefix hashes."""
 
 
 def segments(raw: bytes, length: int, size: int = SEGMENT) -> Iterator[tuple[int, int, int, int]]:
@@ -180,20 +181,29 @@ class SuffixOrder:
         return order
 
     def classes(self, suffixes: np.ndarray, limit: np.ndarray, groups: np.ndarray, verify: bool) -> np.ndarray:
-        """A number for each suffix, the same for equal suffixes of a group: neighbours in sorted order are compared."""
-        arranged = np.argsort(groups, kind="stable")
-        order = arranged[self.mergesort(suffixes[arranged], limit[arranged], groups[arranged])]
+        """A number for each suffix, the same for equal suffixes of a group: neighbours in sorted order are compared.
+
+        Suffixes whose hash no other of the group has are numbered first and not sorted.
+        """
+        n = len(suffixes)
+        out = np.arange(n)
+        key = mix(self.hash.of(suffixes, suffixes + limit) ^ mix(groups.astype(np.uint64)))
+        _, which, counts = np.unique(key, return_inverse=True, return_counts=True)
+        left = np.flatnonzero(counts[which] > 1)
+        if not len(left):
+            return out
+        left = left[np.argsort(groups[left], kind="stable")]
+        order = left[self.mergesort(suffixes[left], limit[left], groups[left])]
         a, b = order[:-1], order[1:]
         near = np.flatnonzero(groups[a] == groups[b])
         a, b = a[near], b[near]
         equal = self.extension(suffixes[a], suffixes[b], limit[a]) >= limit[a]
         if verify:
             equal[equal] = self.same_bytes(suffixes[a[equal]], suffixes[b[equal]], limit[a[equal]])
-        new = np.ones(len(suffixes), dtype=np.int64)
+        new = np.ones(len(order), dtype=np.int64)
         new[near[equal] + 1] = 0
-        out = np.empty(len(suffixes), dtype=np.int64)
-        out[order] = np.cumsum(new) - 1
-        return out
+        out[order] = n + np.cumsum(new)
+        return np.unique(out, return_inverse=True)[1]
 
 
 def repeated_extents(grams: np.ndarray, lefts: np.ndarray, contexts: list[bytes], wanted: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
