@@ -44,7 +44,9 @@ STARS = 3
 BLOCK = 2000
 """Classes of a unit that are compared within one task; larger ones are cut into pairs of blocks."""
 BROADCAST_ROWS = 250_000
-"""Rows up to which the join against repeated keys or wanted documents is broadcast."""
+"""Documents up to which the join against those to be compared is broadcast."""
+BROADCAST_KEYS = 50_000
+"""Shared keys up to which the join against them is broadcast."""
 _EDGES = BAND ** np.arange(0, 60)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -258,7 +260,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int =
 
     offered = linked.select("class", F.explode("keys").alias("key"))
     shared = materialize(offered.groupBy("key").agg(F.min("class").alias("center"), F.max("class").alias("last")).where("center <> last").select("key", "center"), "shared_keys")
-    members = materialize(offered.join(hint(shared, shared.count()), "key").distinct(), "members")
+    members = materialize(offered.join(F.broadcast(shared) if shared.count() <= min(BROADCAST_KEYS, broadcast_rows) else shared, "key").distinct(), "members")
     wanted = materialize(linked.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "wanted")
     texts = narrow.join(hint(wanted.select("doc_id"), wanted.count()), "doc_id", "left_semi")
     sets = materialize(token_sets(texts, shingle), "sets")
