@@ -21,7 +21,7 @@ def bh_adjust(table: DataFrame, p: str = "p", by=(), name: str = "fdr") -> DataF
     upward = groups.orderBy(F.col(p))
     ranked = table.withColumn("_raw", F.col(p) * F.count(p).over(groups) / F.row_number().over(upward))
     downward = groups.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(downward))).drop("_raw")
+    return ranked.withColumn(name, F.when(own, F.least(F.lit(1.0), F.min("_raw").over(downward)))).drop("_raw")
 
 
 def average_rank(column: str, by=()):

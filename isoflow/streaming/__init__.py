@@ -1 +1 @@
-"""streaming."""
+"""Streams: the assay has none; new files are read by rerunning a stage (see ``isoflow.sources``)."""
