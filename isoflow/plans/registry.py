@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isoflow.plans import base, contrast_queries, count_queries, sequence_queries, stat_queries  # noqa: F401  (importing registers)
+from isoflow.plans import base, contrast_queries, count_queries, design_queries, sequence_queries, stat_queries  # noqa: F401  (importing registers)
 
 
 def queries() -> dict:
