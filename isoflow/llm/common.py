@@ -27,16 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of a finished query instead of waiting for garbage
-    collection on the driver: the operators run several queries one after another."""
+ARROW_ROWS = 1000
+"""Rows of a batch that Spark hands to Python: whole texts are long, and a batch is held several times over."""
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings the operators count on: small batches for Python, and shuffle files deleted
+    when a query ends instead of at some garbage collection on the driver, since an operator runs
+    several queries one after another."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a DataFrame that reads it."""
     spark = df.sparkSession
-    release_shuffles(spark)
+    prepare(spark)
     path = f"{shared_dir(spark)}/isoflow-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,6 +62,7 @@ def discard(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data by Spark's own reader."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -77,7 +77,7 @@ class FlatWords:
         return left
 
 
-def chunks(texts: Sequence[str | None], limit: int = 1 << 20, split: bool = True) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def chunks(texts: Sequence[str | None], limit: int = 1 << 19, split: bool = True) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Texts in groups of about ``limit`` bytes: their indices and UTF-8 bytes; null counts as empty.
 
     With ``split``, a longer text comes as several pieces of the same index, cut at blanks.

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoflow.llm.common import table
+from isoflow.llm.common import prepare, table
 from isoflow.llm.hashing import FlatWords, chunks, mix
 
 BITS = 16
@@ -206,6 +206,7 @@ def train(texts: list[str], labels: np.ndarray, languages: list[str], epochs: in
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> Model:
     """Learn from rows with text and language.  The sample is bounded for each language; the number
     of languages is taken to be small (their distinct values are read)."""
+    prepare(docs.sparkSession)
     known = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and trim(text) <> ''")
     languages = [r.lang for r in known.select("lang").distinct().orderBy("lang").collect()]
     if not languages:

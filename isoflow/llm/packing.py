@@ -31,7 +31,7 @@ BLOCK_ITEMS = 4096
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 4, 2, 8
 FULL = 0.99
 """Sequences filled to less than this share are dissolved once and packed again."""
-CACHE_WORDS, CACHE_UNITS = 300_000, 600_000
+CACHE_WORDS, CACHE_UNITS = 200_000, 400_000
 
 
 def _letters_and_digits() -> tuple[str, str]:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoflow.llm.common import table
+from isoflow.llm.common import prepare, table
 from isoflow.llm.hashing import FlatWords, chunks, mix
 
 BITS, DIM = 16, 8
@@ -98,6 +98,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Learn from ``labels`` (0 or 1; several labels of an id count as their maximum, nulls not at all)."""
+    prepare(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("draw", F.xxhash64("doc_id", F.lit(7)))
     share = known.agg(F.avg("label")).first()[0]
