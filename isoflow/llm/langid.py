@@ -262,7 +262,14 @@ def word_labels(model: Model, text: str) -> list[tuple[str, str, float]]:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred, lang_score``; null texts and those without a letter are ``und`` with score 0."""
+    """All columns of ``docs`` and ``lang_pred, lang_score``, the expected share of lettered words in that language.
+
+    Null texts and those without a letter are ``und`` with score 0.  Ties go to the language first
+    in order.  Every row is judged by its text alone, repeated rows alike; nulls in other columns do
+    not matter.  Texts of any length are read whole, in chains of words.  An empty table gives an
+    empty result, and a model without languages calls everything ``und``.  Columns of ``docs`` named
+    ``lang_pred`` or ``lang_score`` are replaced.
+    """
     if not model.languages:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)

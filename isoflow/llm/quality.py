@@ -130,7 +130,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``quality_score``, the probability of class 1 of the whole text."""
+    """All columns of ``docs`` and ``quality_score``, the probability of class 1 of the whole text.
+
+    Null and empty texts get the probability that the biases give.  Every row is judged by its text
+    alone, repeated rows alike; nulls in other columns do not matter.  An empty table gives an
+    empty result, and an untrained model 0.5.  A column of ``docs`` named ``quality_score`` is
+    replaced.
+    """
     vectors, weights, bias = model
     pull = docs.sparkSession.sparkContext.broadcast((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float64))
     start = float(bias[1] - bias[0])
