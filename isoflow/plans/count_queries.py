@@ -154,6 +154,16 @@ def unlog_psi(spark, d):
     return rounded(table.select("sample", "event", P.unlog_psi(F.col("log_psi")).alias("bounded")))
 
 
+def flagship(spark, d):
+    """Counts, corrected for chimeras, to PSI, condition means and specificity scores of each element."""
+    from isoflow.operators.specificity import specificity_scores
+
+    corrected = C.chimera_correct_v3(counts(spark, d), derive.load(spark, d, RATES)).withColumn("cnt", F.col("cnt_scaled")).drop("cnt_scaled")
+    part = lambda m: F.coalesce(F.sum(F.when(F.col("mode") == m, F.col("cnt"))), F.lit(0))
+    table = corrected.groupBy("sample", "condition", F.col("idx").alias("event")).agg(part("INCLUDED").alias("included"), part("SKIPPED").alias("skipped"))
+    return specificity_scores(P.psi_by_condition(table, 30, 1), 3)
+
+
 @query(ctes("counts") + " SELECT sample, idx, count(DISTINCT (mode, up_off, down_off)) AS n_events FROM counts GROUP BY ALL")
 def events_per_element(spark, d):
     return C.events_per_element(counts(spark, d))

@@ -181,5 +181,7 @@ def psi_pca(spark, d):
     """First two principal components of the conditions (sign and scale are free)."""
     m = means(spark, d)
     events = [r.event for r in m.select("event").distinct().orderBy("event").collect()]  # one per event
+    if len(events) < 2:
+        return m.where("false").select("condition", F.array("psi").alias("pc"))
     scores, _, _ = M.psi_pca(m, events)
     return scores

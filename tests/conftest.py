@@ -30,13 +30,13 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck():
-    """DuckDB with views of the smallest tables."""
+    """DuckDB with views of the sf0.01 tables, at which every derived table has rows."""
     import duckdb
 
     con = duckdb.connect()
-    for name in os.listdir(f"{TESTDATA}/sf0.001"):
+    for name in os.listdir(f"{TESTDATA}/sf0.01"):
         table = name.removesuffix(".parquet")
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{TESTDATA}/sf0.001/{name}'")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{TESTDATA}/sf0.01/{name}'")
     return con
 
 
