@@ -6,7 +6,7 @@ from tests.conftest import TESTDATA, rows_of
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, duck, name):
-    got = queries.queries()[name](spark, f"{TESTDATA}/sf0.001").toPandas()
+    got = queries.queries()[name](spark, f"{TESTDATA}/sf0.01").toPandas()
     want = duck.execute(queries.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)
 
