@@ -20,18 +20,39 @@ def safe_substr(seq, start, stop):
     return F.when((F.length(seq) >= stop) & (start >= 1), F.substr(seq, start, stop - start + 1))
 
 
+BLOCK = 256
+"""Places of a block, in which single places are looked up."""
+
+
+def blocks(seq, width: int):
+    """The sequence in blocks that hold all substrings of length ``width`` which start at their ``BLOCK`` places."""
+    last = F.floor(F.greatest(F.length(seq) - 1, F.lit(0)) / BLOCK).cast("int")
+    return F.when(seq.isNotNull(), F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(seq, i * BLOCK + 1, F.lit(BLOCK + width - 1))))
+
+
+def windows(seq, size: int):
+    """Consecutive pieces ``(window, seq)`` of ``size`` bases that cover the sequence, numbered from 0; the last may be shorter."""
+
+    def parts(s):
+        n = F.ceil(F.length(s) / size).cast("int")
+        piece = lambda i: F.struct(i.alias("window"), F.substr(s, i * size + 1, F.lit(size)).alias("seq"))
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), piece))
+
+    return F.element_at(F.transform(F.array(seq), parts), 1)
+
+
 def kmers(seq, k: int):
     """All substrings of length ``k`` in order; none for shorter sequences.
 
     The sequence is bound once as a lambda variable, so that an expression for it is not evaluated
-    for each place.
+    for each place.  It is cut into overlapping blocks, since substr counts from the start.
     """
 
     def parts(s):
         n = F.length(s) - k + 1
         return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(F.array(seq), parts))
+    return F.flatten(F.transform(F.flatten(F.transform(F.array(seq), lambda s: blocks(s, k))), parts))
 
 
 def motif_regex(motif: str) -> str:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoflow.functions.sequences import kmers, motif_count, motif_regex
+from isoflow.functions.sequences import BLOCK, blocks, kmers, motif_count, motif_regex
 from isoflow.operators.psi import psi_of
 
 
@@ -74,8 +74,10 @@ def motif_hits(table: DataFrame, motifs, seq: str = "seq") -> DataFrame:
 
 def motif_profile(table: DataFrame, motif: str, width: int, by: str = "lang", seq: str = "seq") -> DataFrame:
     """Share of a group's sequences in which the motif starts at each position."""
-    n = F.length(seq) - width + 1
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(F.col(seq), i, F.lit(width)).rlike(f"^{motif_regex(motif)}$"))
+    places = lambda s: F.sequence(F.lit(1), F.greatest(F.length(s) - width + 1, F.lit(1)))
+    found = lambda s, b: F.transform(F.filter(places(s), lambda i: F.substr(s, i, F.lit(width)).rlike(f"^{motif_regex(motif)}$")), lambda i: i + b * BLOCK)
+    cut = F.flatten(F.transform(F.array(F.col(seq)), lambda s: blocks(s, width)))  # the sequence is bound once, as in kmers
+    starts = F.flatten(F.transform(cut, found))
     sizes = table.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
     hits = table.select(by, F.explode(starts).alias("position")).groupBy(by, "position").agg(F.count(F.lit(1)).alias("n"))
     return hits.join(F.broadcast(sizes), by).select(by, "position", (F.col("n") / F.col("total")).alias("share"))

@@ -59,7 +59,10 @@ _SEQUENCES = """
 SELECT doc_id, lang, source,
   substr(translate(upper(<letters>),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','ACGTACGTACGTACGTACGTACGTAC'),1,200) AS seq
 FROM {documents}"""
-SEQUENCES_SPARK = _SEQUENCES.replace("<letters>", _LETTERS_SPARK)
+SEQUENCES_SPARK = """
+SELECT doc_id, lang, source,
+  translate(upper(<letters>),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','ACGTACGTACGTACGTACGTACGTAC') AS seq
+FROM {documents}""".replace("<letters>", _LETTERS_SPARK)  # whole texts; the DuckDB form still holds the first 200 letters
 SEQUENCES_DUCKDB = _SEQUENCES.replace("<letters>", _LETTERS_DUCKDB)
 
 NATION = "SELECT n_nationkey AS condition, n_name AS name, n_regionkey AS lineage FROM {nation}"

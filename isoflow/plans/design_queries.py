@@ -14,24 +14,27 @@ from isoflow.operators import sequences as S
 from isoflow.plans import derive
 from isoflow.plans.base import MEANS_CTE, PSI_CTE, ctes, query, rounded
 from isoflow.plans.count_queries import counts, means, psi_table
-from isoflow.plans.sequence_queries import seqs
+from isoflow.plans.sequence_queries import pieces
 
 REGIONS = "SELECT doc_id, CAST(doc_id % 7 - 3 AS INT) AS up_off, CAST(doc_id % 5 - 2 AS INT) AS down_off, substr(seq, 1, 60) AS up_intron, substr(seq, 61, 50) AS exon, substr(seq, 111, 60) AS down_intron FROM s WHERE length(seq) = 200"
 _REGIONS = ctes("sequences") + ", r AS (" + REGIONS.replace("FROM s ", "FROM sequences ") + "), w AS (SELECT *, concat(up_intron, exon, down_intron) AS z, 60 + up_off AS a, 110 + down_off AS b FROM r)"
 
 
 def regions(spark, d):
-    return spark.sql(REGIONS.replace("FROM s ", "FROM {s} "), s=seqs(spark, d))
+    """Consecutive windows of 170 bases as intron, exon and intron; a last, shorter one has its later regions cut."""
+    offsets = [(F.col("doc_id") % 7 - 3).cast("int").alias("up_off"), (F.col("doc_id") % 5 - 2).cast("int").alias("down_off")]
+    part = lambda at, n, name: F.substring("seq", at, n).alias(name)
+    return pieces(spark, d, 170).select("doc_id", "window", *offsets, part(1, 60, "up_intron"), part(61, 50, "exon"), part(111, 60, "down_intron"))
 
 
 @query(_REGIONS + " SELECT doc_id, substr(z, 1, a) AS adj_up, substr(z, a + 1, b - a) AS adj_exon, substr(z, b + 1, 170 - b) AS adj_down FROM w")
 def adjusted_regions(spark, d):
-    return D.adjusted_regions(regions(spark, d)).select("doc_id", "adj_up", "adj_exon", "adj_down")
+    return D.adjusted_regions(regions(spark, d)).select("doc_id", "window", "adj_up", "adj_exon", "adj_down")
 
 
 @query(_REGIONS + " SELECT doc_id, substr(z, a - 19, 23) AS motif_3ss, substr(z, b - 2, 9) AS motif_5ss FROM w")
 def splice_motifs(spark, d):
-    return D.splice_motifs(D.adjusted_regions(regions(spark, d))).select("doc_id", "motif_3ss", "motif_5ss")
+    return D.splice_motifs(D.adjusted_regions(regions(spark, d))).select("doc_id", "window", "motif_3ss", "motif_5ss")
 
 
 COORDINATES = """SELECT l_orderkey AS event, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, l_partkey * 10 AS upstreamEE, l_partkey * 10 + l_suppkey AS exonStart_0base,
@@ -133,20 +136,24 @@ R2 = f"SELECT CAST(doc_id AS STRING) AS read_id, CASE WHEN doc_id % 3 = 0 THEN c
 @query(ctes("sequences") + ", r AS (" + R2.replace("FROM s ", "FROM sequences ") + f"""), wl AS (SELECT DISTINCT substr(seq, 11, 14) AS cb FROM sequences WHERE length(seq) >= 100 AND doc_id % 2 = 0)
  SELECT read_id, substr(seq, 33, 14) AS cb, substr(seq, 1, 10) AS umi FROM r WHERE hamming(substr(seq, 11, 22), '{A1}') <= 2 AND hamming(substr(seq, 47, 7), '{A2}') <= 1 AND substr(seq, 33, 14) IN (SELECT cb FROM wl)""")
 def extract_umi(spark, d):
-    s = seqs(spark, d)
-    listed = s.where("length(seq) >= 100 and doc_id % 2 = 0").select(F.substring("seq", 11, 14).alias("cb"))
-    ok, _ = R.extract_umi(spark.sql(R2.replace("FROM s ", "FROM {s} "), s=s), listed, A1, A2)
+    """Every window of 54 bases is a read; each third document's are given anchors."""
+    s = pieces(spark, d, 54)
+    listed = s.where("doc_id % 2 = 0 and length(seq) >= 24").select(F.substring("seq", 11, 14).alias("cb"))
+    anchored = F.concat(F.substring("seq", 1, 10), F.lit(A1), F.substring("seq", 11, 14), F.lit(A2), F.substring("seq", 25, 30))
+    reads = s.select(F.concat_ws("_", "doc_id", "window").alias("read_id"), F.when(F.col("doc_id") % 3 == 0, anchored).otherwise(F.col("seq")).alias("seq"))
+    ok, _ = R.extract_umi(reads, listed, A1, A2)
     return ok.select("read_id", "cb", "umi")
 
 
 def _called(spark, d):
     """Reads put together from the sequences: every element is read as included, shifted, skipped, unspliced or foreign."""
-    s = seqs(spark, d).where("length(seq) = 200")
-    lib = s.groupBy(F.substring("seq", 1, 14).alias("cb")).agg(F.min_by("seq", "doc_id").alias("q"), F.min("doc_id").cast("string").alias("idx"))
+    s = pieces(spark, d, 174).withColumn("id", F.concat_ws("_", "doc_id", "window"))
+    first = F.struct("doc_id", "window")
+    lib = s.groupBy(F.substring("seq", 1, 14).alias("cb")).agg(F.min_by("seq", first).alias("q"), F.min_by("id", first).alias("idx"))
     library = lib.select("cb", "idx", F.substring("q", 20, 30).alias("up_intron"), F.substring("q", 50, 45).alias("exon"), F.substring("q", 95, 30).alias("down_intron"))
     c = R.Construct("GGCATTCGATCCTAGGTTCA", "GTAAGTCCGATTACGCAGGTCATTGACCTGATCGGATTCA", "CCTTGGAACTGATCGTTACG", "TTTCTCTCTTTCAGGACTGA")
     kind = F.pmod(F.xxhash64("read_id"), F.lit(5))
-    reads = s.select(F.col("doc_id").cast("string").alias("read_id"), F.substring("seq", 1, 14).alias("cb"), F.substring("seq", 15, 5).alias("umi"), F.substring("seq", 50, 45).alias("exon"), F.substring("seq", 130, 45).alias("other"))
+    reads = s.select(F.col("id").alias("read_id"), F.substring("seq", 1, 14).alias("cb"), F.substring("seq", 15, 5).alias("umi"), F.substring("seq", 50, 45).alias("exon"), F.substring("seq", 130, 45).alias("other"))
     middle = F.when(kind == 0, F.col("exon")).when(kind == 1, F.expr("substr(exon, 3)")).when(kind == 2, F.lit("")).when(kind == 3, F.col("other"))
     seq = F.when(kind == 4, F.concat(F.lit(c.upstream_anchor), F.lit(c.intron[3:]))).otherwise(F.concat(F.lit(c.upstream_anchor), middle, F.lit(c.downstream_anchor)))
     return R.call_events(reads.select("read_id", "cb", "umi", seq.alias("seq")), library, c)

@@ -17,6 +17,12 @@ def seqs(spark, d):
     return derive.load(spark, d, derive.SEQUENCES_SPARK)
 
 
+def pieces(spark, d, size):
+    """Consecutive windows of every whole sequence, keyed by ``doc_id, window``."""
+    s = seqs(spark, d)
+    return s.select("doc_id", "lang", F.explode(Q.windows(F.col("seq"), size)).alias("w")).select("doc_id", "lang", "w.*")
+
+
 def satmut(spark, d):
     return derive.load(spark, d, derive.SATMUT)
 
@@ -95,9 +101,12 @@ _SUBS = """, par AS (SELECT lang AS parent, arg_min(seq, doc_id) AS pseq FROM se
 
 
 def subs(spark, d):
-    long = seqs(spark, d).where(F.length("seq") == 200)
-    parents = long.groupBy(F.col("lang").alias("parent")).agg(F.min_by("seq", "doc_id").alias("seq"))
-    return S.substitutions(long.select("doc_id", F.col("lang").alias("parent"), "seq"), parents)
+    """Every window against the first of its language's longest windows, as far as the window goes."""
+    each = pieces(spark, d, 200).select("doc_id", "window", F.col("lang").alias("parent"), "seq", F.struct("lang", F.length("seq").alias("n")).alias("key"))
+    first = each.groupBy("key.lang").agg(F.min_by("seq", F.struct(-F.length("seq"), "doc_id", "window")).alias("seq"))
+    cut = first.select("lang", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("n"), "seq")
+    parents = cut.select(F.struct("lang", "n").alias("key"), F.substr("seq", F.lit(1), F.col("n")).alias("seq"))
+    return S.substitutions(each, parents, "key").drop("key")
 
 
 @query(ctes("sequences") + _SUBS + " SELECT doc_id, parent, CAST(position AS INT) AS position, from_base, to_base FROM sub")
