@@ -57,7 +57,7 @@ class ByteBpe:
     tokenizer's own pattern, and each new word is merged once.  Texts with two white-space
     characters in a row, where units would not be independent, are split into words as a whole;
     texts with characters from U+0250 on, where the pattern would depend on a version of Unicode,
-    are encoded whole by ``tokenizers``.
+    are encoded whole by ``tokenizers``, as are texts that hold an added token.
     """
 
     def __init__(self, path: str):
@@ -67,10 +67,10 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_byte, special = _byte_letters(), {t["content"] for t in spec.get("added_tokens", [])}
+        self.added = sorted(special)
         ranks = {bytes(to_byte[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         letters, digits = _letters_and_digits()
@@ -93,7 +93,7 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         raw = text.encode()
-        if raw.translate(None, self.below) or b"\xc9" in raw and re.search("[\u0250-\u027f]", text):
+        if any(t in text for t in self.added) or raw.translate(None, self.below) or b"\xc9" in raw and re.search("[\u0250-\u027f]", text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if b"  " in raw.translate(self.blank) or "\x85" in text or "\xa0" in text:
             return self._words(text)

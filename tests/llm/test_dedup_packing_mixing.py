@@ -144,3 +144,15 @@ def test_targets_are_filled_by_weight_below_the_cap(spark):
         left -= sum(cap[s] for s in full)
         open_ -= full
     assert got == pytest.approx({s: level * weight[s] if s in open_ else cap[s] for s in cap})
+
+
+def test_added_tokens_are_encoded_as_in_the_file(spark):
+    from tokenizers import Tokenizer
+
+    fresh, bpe = Tokenizer.from_file(packing.tokenizer_file()), packing.ByteBpe(packing.tokenizer_file())
+    texts = ["end <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a  b\n\n<|endoftext|>c", "漢字 <|endoftext|>", "<|endoftext| >", "<|endoftext"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [437, 220, 50256, 2124]
+    assert [np.frombuffer(bpe.encode(t), "<u4").tolist() for t in texts] == want
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.tokenizer_file()).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {i: (len(w) + 1, zlib.crc32(np.asarray(w + [0], "<u4").tobytes())) for i, w in enumerate(want)}
