@@ -150,16 +150,34 @@ def min_max(table: DataFrame, group: str, value: str) -> DataFrame:
     return table.withColumn("scaled", F.coalesce(F.try_divide(F.col(value) - low, high - low), F.when(F.col(value).isNotNull(), F.lit(0.0))))
 
 
-def quantile_normalise(table: DataFrame, sample: str = "sample", value: str = "psi", grid: int = 1000) -> DataFrame:
-    """Give every sample the mean distribution: a value's mid-rank, on a common grid, picks the grid's mean.
+def quantile_normalise(table: DataFrame, sample: str = "sample", value: str = "psi") -> DataFrame:
+    """Give every sample the mean distribution over the ranks of the largest sample.
 
-    Nulls are ignored and equal values get their average rank, as an integer place of the grid.
+    Nulls are ignored and equal values get their average rank.  Samples of another size are
+    interpolated linearly between neighbouring ranks, both for the means and for their values.
     """
     rows = table.where(F.col(value).isNotNull())
+    sizes = rows.groupBy(sample).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.crossJoin(F.broadcast(sizes.agg(F.max("_n").alias("_top"))))  # one row
     by_value = Window.partitionBy(sample).orderBy(value)
     same, whole = Window.partitionBy(sample, value), Window.partitionBy(sample)
-    rank = F.rank().over(by_value) + (F.count(F.lit(1)).over(same) - 1) / 2
-    place = F.floor(F.try_divide((rank - 1) * grid, F.count(F.lit(1)).over(whole)))
-    placed = rows.withColumn("place", place.cast("int"))
-    means = placed.groupBy("place").agg(F.avg(value).alias("normalised"))
-    return placed.join(F.broadcast(means), "place").drop("place")  # as many rows as the grid has places
+    x = rows.withColumns({
+        "_k": F.row_number().over(by_value).cast("long") - 1, "_next": F.lead(value).over(by_value), "_n": F.count(F.lit(1)).over(whole),
+        "_r2": 2 * (F.rank().over(by_value).cast("long") - 1) + F.count(F.lit(1)).over(same) - 1,
+    })
+    # Ranks from 0.  Target j of the largest sample lies at j * gaps / wide of a sample with n = gaps + 1 values.
+    first = F.expr("CASE WHEN _n = 1 THEN 0L ELSE (_k * (_top - 1) + _n - 2) div (_n - 1) END")
+    last = F.expr("CASE WHEN _k = _n - 1 THEN _top - 1 ELSE ((_k + 1) * (_top - 1) + _n - 2) div (_n - 1) - 1 END")
+    each = x.select(value, "_k", "_next", "_n", "_top", F.explode(F.sequence(first, last)).alias("_j"))
+    part = F.coalesce(F.try_divide(F.col("_j") * (F.col("_n") - 1), F.col("_top") - 1) - F.col("_k"), F.lit(0.0))
+    means = each.groupBy("_j").agg(F.avg(F.col(value) + F.coalesce(part * (F.col("_next") - F.col(value)), F.lit(0.0))).alias("_mean"))
+    # The place of a value is _r2 / 2 of its own sample: whole part and remainder keep it exact.
+    x = x.withColumn("_up", F.col("_r2") * (F.col("_top") - 1)).withColumn("_den", F.greatest(2 * (F.col("_n") - 1), F.lit(1)))
+    middle = F.col("_n") == 1
+    x = x.withColumns({
+        "_j": F.when(middle, F.expr("(_top - 1) div 2")).otherwise(F.expr("_up div _den")),
+        "_part": F.when(middle, F.expr("(_top - 1) % 2 / 2.0D")).otherwise(F.expr("(_up % _den) / CAST(_den AS DOUBLE)")),
+    })
+    low, high = means.select("_j", F.col("_mean").alias("_low")), means.select((F.col("_j") - 1).alias("_j"), F.col("_mean").alias("_high"))
+    normalised = F.col("_low") + F.coalesce(F.col("_part") * (F.col("_high") - F.col("_low")), F.lit(0.0))
+    return x.join(low, "_j").join(high, "_j", "left").select(*table.columns, normalised.alias("normalised"))

@@ -212,3 +212,18 @@ def test_files(spark, tmp_path):
     (tmp_path / "res" / "X_all").mkdir(parents=True)
     (tmp_path / "res" / "X_all" / "fdr.txt").write_text("ExonID\tFDR\na\t0.001\nb\t0.5\n")
     assert [tuple(r) for r in tables.combine_results(spark, str(tmp_path / "res" / "*"), "ExonID string, FDR double").collect()] == [("a", 0.001, "X_all")]
+
+
+def test_quantile_normalise_uses_every_rank(spark):
+    rng = np.random.default_rng(5)
+    samples = {"a": rng.random(2400), "b": rng.random(1700) ** 2, "c": np.round(rng.random(300), 2), "d": np.array([0.4])}
+    rows = [(s, i, float(x)) for s, v in samples.items() for i, x in enumerate(v)] + [("a", -1, None)]
+    got = {(r.sample, r.event): r.normalised for r in psi.quantile_normalise(spark.createDataFrame(rows, "sample string, event int, psi double")).collect()}
+    at = np.linspace(0, 1, 2400)
+    mean = np.mean([np.interp(at, np.linspace(0, 1, len(v)), np.sort(v)) if len(v) > 1 else np.full(2400, v[0]) for v in samples.values()], axis=0)
+    want = {}
+    for s, v in samples.items():
+        place = [(np.sum(v < x) + (np.sum(v == x) - 1) / 2) / (len(v) - 1) if len(v) > 1 else 0.5 for x in v]
+        want |= {(s, i): float(y) for i, y in enumerate(np.interp(place, at, mean))}
+    assert got == pytest.approx(want, abs=1e-9)
+    assert len({got[("a", i)] for i in range(2400)}) == 2400
