@@ -116,7 +116,7 @@ def substitutions(spark, d):
 
 @query(ctes("sequences") + _SUBS + " SELECT CAST(position AS INT) AS position, to_base, round(count(*) / 1000.0::DOUBLE, 6) AS share FROM sub GROUP BY ALL")
 def substitution_profile(spark, d):
-    return rounded(S.substitution_profile(subs(spark, d), 1000))
+    return rounded(S.substitution_profile(subs(spark, d), pieces(spark, d, 200).count()))
 
 
 @query(ctes("sequences") + """, b AS (SELECT i AS position, substr(seq, i, 1) AS base, count(*) AS n FROM sequences, range(1, 24) t(i) WHERE len(seq) >= 23 GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY position) AS share FROM b)
@@ -139,8 +139,10 @@ def min_edit_distance(spark, d):
 
 @query(ctes("sequences") + " SELECT doc_id, CAST(len(seq) AS INT) AS n, [list_transform(string_split(substr(seq, 1, 5), ''), lambda b: CASE WHEN b = 'A' THEN 1 ELSE 0 END)][1] AS a FROM sequences WHERE len(seq) >= 5")
 def one_hot(spark, d):
-    s = seqs(spark, d).where(F.length("seq") >= 5)
-    return s.select("doc_id", F.length("seq").alias("n"), F.transform(Q.one_hot(F.substring("seq", 1, 5)), lambda r: r[0]).alias("a"))
+    """All four lanes of every base; no rows of the encoding for an empty text."""
+    s = seqs(spark, d)
+    lanes = F.when(F.length("seq") > 0, Q.one_hot(F.col("seq"))).when(F.length("seq") == 0, F.array().cast("array<array<int>>"))
+    return s.select("doc_id", F.length("seq").alias("n"), lanes.alias("encoding"))
 
 
 @query(ctes("sequences") + """, p AS (SELECT doc_id, seq, substr(seq, 31, 20) AS probe FROM sequences WHERE len(seq) >= 60) SELECT doc_id, 0 AS distance, CAST(instr(seq, probe) - 1 AS INT) AS start, CAST(instr(seq, probe) + 19 AS INT) AS stop FROM p""")
@@ -255,8 +257,9 @@ def mode_counts(spark, d):
 
 @query(ctes("psi_counts") + MEANS_CTE + " SELECT event, round(max(psi) FILTER (condition = 0), 6) AS c0, round(max(psi) FILTER (condition = 1), 6) AS c1, round(max(psi) FILTER (condition = 2), 6) AS c2 FROM means GROUP BY event")
 def to_matrix(spark, d):
-    wide = means(spark, d).groupBy("event").pivot("condition", [0, 1, 2]).agg(F.first("psi"))
-    return rounded(wide.select("event", *[F.col(str(c)).alias(f"c{c}") for c in range(3)]))
+    conditions = sorted(r.condition for r in derive.load(spark, d, derive.NATION).select("condition").distinct().collect())  # the nations
+    wide = means(spark, d).groupBy("event").pivot("condition", conditions).agg(F.first("psi"))
+    return rounded(wide.select("event", *[F.col(str(c)).alias(f"c{c}") for c in conditions]))
 
 
 @query(ctes("psi_counts") + " SELECT sample, event, 'included' AS kind, included AS n FROM psi_counts UNION ALL SELECT sample, event, 'skipped', skipped FROM psi_counts")

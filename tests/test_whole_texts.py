@@ -91,3 +91,22 @@ def test_kmer_statistics_see_whole_texts(spark, texts):
     group = {i for i in seqs if i % 3 % 2 == 0}
     grams = {i: {s[k : k + 4] for k in range(len(s) - 3)} for i, (_, s) in seqs.items()}
     assert {r.kmer: r.a for r in run(spark, texts, "kmer_enrichment")} == {k: sum(k in grams[i] for i in group) for k in set().union(*grams.values())}
+
+
+def test_substitution_shares_are_of_all_designs(spark, texts):
+    subs = Counter((r.position, r.to_base) for r in run(spark, texts, "substitutions"))
+    n = sum(len(cut(s, 200)) for _, s in texts[1].values())
+    assert {(r.position, r.to_base): r.share for r in run(spark, texts, "substitution_profile")} == pytest.approx({k: c / n for k, c in subs.items()}, abs=1e-6)
+
+
+def test_one_hot_holds_every_base_and_lane(spark, texts):
+    assert {r.doc_id: r.encoding for r in run(spark, texts, "one_hot")} == {i: [[int(b == c) for c in "ACGT"] for b in s] for i, (_, s) in texts[1].items()}
+
+
+def test_matrix_has_every_condition(spark):
+    folder = "/root/testdata/sf0.01"
+    got = registry.queries()["to_matrix"](spark, folder)
+    assert sorted(got.columns) == sorted(["event"] + [f"c{c}" for c in range(25)])
+    from isoflow.plans.count_queries import means
+
+    assert {(r.event, f"c{r.condition}"): r.psi for r in means(spark, folder).collect() if r.psi is not None} == pytest.approx({(r.event, c): r[c] for r in got.collect() for c in got.columns if c != "event" and r[c] is not None}, abs=1e-5)
