@@ -27,13 +27,13 @@ def brute_components(rows):
         return x
 
     for (a, (i, s)), (b, (j, t)) in itertools.combinations(enumerate(sets), 2):
-        if i is not None and j is not None and s and t and 100 * len(s & t) >= 80 * len(s | t):
+        if s and t and 100 * len(s & t) >= 80 * len(s | t):
             parent[find(a)] = find(b)
     smallest = {}
     for a, (i, _) in enumerate(sets):
         if i is not None:
             smallest[find(a)] = min(i, smallest.get(find(a), i))
-    return Counter((i, len(s), None if i is None else smallest[find(a)]) for a, (i, s) in enumerate(sets))
+    return Counter((i, len(s), smallest.get(find(a))) for a, (i, s) in enumerate(sets))
 
 
 def test_jaccard_components_of_odd_documents(odd_docs, no_docs):
@@ -69,6 +69,75 @@ def test_sketches_bound_the_difference():
                 assert set(jaccard_join.join_keys(a)) & set(jaccard_join.join_keys(b))
 
 
+def test_every_linked_pair_shares_a_key():
+    """Differences as large as a link allows, and sets so small that whole sketches may stay empty."""
+    rng = np.random.default_rng(15)
+    for n in [*range(4, 60), 100, 333, 1000]:
+        for extra in {0, n // 8, n // 4}:
+            most = jaccard_join.allowed(n, n + extra)
+            drop = (most - extra) // 2
+            for _ in range(60 if n < 60 else 6):
+                a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+                b = np.concatenate([a[drop:], rng.integers(0, 1 << 63, drop + extra, dtype=np.uint64)])
+                if drop >= 0 and 100 * (n - drop) >= 80 * (n + drop + extra):
+                    assert set(jaccard_join.join_keys(a)) & set(jaccard_join.join_keys(b)), (n, extra)
+
+
+def test_sets_at_risk_offer_their_empty_words():
+    """Tokens that all fall on one word under each seed leave every other word empty."""
+    def places(t):
+        (level, words, _), *_ = jaccard_join.levels(4, 80, 100)
+        spread = [jaccard_join.mix(t + np.uint64((s * 2 + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for s in range(-(-jaccard_join.SEED_WORDS // words))]
+        return np.stack([((x >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32) for x in spread])
+
+    tokens = np.random.default_rng(16).integers(0, 1 << 63, 300_000, dtype=np.uint64)
+    where = places(tokens)
+    same = tokens[(where == where[:, :1]).all(axis=0)]
+    assert len(same) >= 9
+    a, b = same[:4], np.concatenate([same[:4], same[5:6]])
+    assert set(jaccard_join.join_keys(a)) & set(jaccard_join.join_keys(b))
+    (_, words, most), *_ = jaccard_join.levels(4, 80, 100)
+    assert len(jaccard_join.join_keys(a)) >= words
+
+
+def near_family(n, seed=17):
+    rng = np.random.default_rng(seed)
+    base = [f"w{rng.integers(0, 900)}" for _ in range(150)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(int(rng.integers(0, 9))):
+            words[int(rng.integers(0, 150))] = f"x{rng.integers(0, 100_000)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_candidates_of_a_family_grow_with_its_size(spark, monkeypatch):
+    seen = []
+    whole = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *rest: (seen.append(pairs.count()), whole(pairs, *rest))[1])
+    counts = []
+    for n in (150, 600):
+        seen.clear()
+        rows = near_family(n)
+        got = Counter(map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+        counts.append(sum(seen))
+        if n == 150:
+            assert got == brute_components(rows)
+    assert counts[1] <= 4.4 * counts[0]
+
+
+def test_one_row_of_each_near_group_stays(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join(words)
+    rows = [(5, near, "a"), (9, near + " end", "b"), (5, "another text with more than five words in it", "c"), (5, near, "d"), (None, near + " tail", "e"), (None, "x y", "f"), (3, "x y", "g"), (7, None, "h"), (7, None, "h"), (8, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _md5 string")
+    for limit in (250_000, 0):
+        kept = sorted(map(tuple, jaccard_join.without_near_copies(docs, broadcast_rows=limit).drop("_md5").collect()), key=repr)
+        assert kept == sorted([(5, near), (5, rows[2][1]), (3, "x y"), (7, None), (7, None), (8, "")], key=repr)
+    assert jaccard_join.without_near_copies(docs.where("false")).columns == docs.columns
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (200, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
