@@ -45,6 +45,8 @@ SEED_WORDS = 16
 """Small sketches are made under as many seeds as bring them to this number of words."""
 BLOCK = 2000
 """Members of a key that are compared within one task; larger keys are cut into pairs of blocks."""
+TASK_BLOCKS = 8
+"""Blocks of members that one task of comparisons is meant to hold."""
 PAIRS = 50_000
 """Pairs of sketches that a task compares at a time."""
 BROADCAST_ROWS = 250_000
@@ -151,8 +153,8 @@ def join_keys(tokens: np.ndarray, numerator: int = NUMERATOR, denominator: int =
 
 
 def bit_sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens by place: a power of two of bits, at least eight times the set's size."""
-    bits = max(256, 1 << int(8 * len(tokens) - 1).bit_length())
+    """Parity of the tokens by place: a power of two of bits, at least four times the set's size."""
+    bits = max(256, 1 << int(4 * len(tokens) - 1).bit_length())
     parity = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
@@ -259,55 +261,65 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a.astype(np.uint64)) * _FACTOR + mix(b.astype(np.uint64) ^ _FACTOR)
 
 
-def cross_pairs(members: DataFrame, numerator: int, denominator: int, block: int, closest: bool) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of different components within the keys of ``members (key, node, comp, n, sketch, tried)``.
+def cross_pairs(members: DataFrame, hubs: DataFrame, placed: DataFrame, numerator: int, denominator: int, block: int, closest: bool) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of different components that share a key in ``members (key, node)``.
 
-    Small keys share a task; keys above ``block`` are cut into blocks, each pair of which is a task's
-    share.  Nothing but pairs that pass the bounds and were not ``tried`` (an array of partners with
-    larger numbers) leaves a task, with ``closest`` only one for each two components.
+    ``hubs (key, hub)`` names each key's hub and ``placed (node, comp, n, sketch, tried)`` describes
+    the nodes.  Keys of one hub go to one task as far as it can hold them, so that a sketch travels
+    few times; keys above ``block`` are cut into blocks, each pair of which is a task's share.  Nothing
+    but pairs that pass the bounds and were not ``tried`` (an array of partners with larger numbers)
+    leaves a task, with ``closest`` only one for each two components.
     """
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(units: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         """Of rows sorted by unit: every pair in it, or, in a unit of two blocks, every pair across them."""
-        unit, own, i, j = (rows[c].to_numpy(np.int64) for c in ("unit", "own", "i", "j"))
-        comp, sizes, nodes = (rows[c].to_numpy(np.int64) for c in ("comp", "n", "node"))
-        first, count = runs_of(unit)
-        width = np.fromiter(map(len, rows["sketch"]), dtype=np.int64, count=len(rows))
-        least = np.repeat(np.minimum.reduceat(width, first), count)
-        known = rows.loc[rows["tried"].notna(), ["node", "tried"]].drop_duplicates("node")
+        if not len(units):
+            return pd.DataFrame(columns=list(_PAIR))
+        units = units.sort_values(["key", "i", "j"], kind="stable").reset_index(drop=True)
+        unit = (units[["key", "i", "j"]] != units[["key", "i", "j"]].shift()).any(axis=1).cumsum().to_numpy()
+        own, i, j = (units[c].to_numpy(np.int64) for c in ("own", "i", "j"))
+        ids = nodes["node"].to_numpy(np.int64)
+        order = np.argsort(ids)
+        which = order[np.searchsorted(ids, units["node"].to_numpy(np.int64), sorter=order)]
+        comp, sizes = (nodes[c].to_numpy(np.int64) for c in ("comp", "n"))
+        sketches = nodes["sketch"].tolist()
+        known = nodes.loc[nodes["tried"].notna(), ["node", "tried"]]
         tried = np.concatenate([pair_keys(np.full(len(t), n), np.asarray(t)) for n, t in zip(known["node"], known["tried"])]) if len(known) else np.zeros(0, np.uint64)
+        first, count = runs_of(unit)
+        width = np.fromiter(map(len, sketches), dtype=np.int64, count=len(ids))
+        least = np.repeat(np.minimum.reduceat(width[which], first), count)
         found = []
         for size in np.unique(least):
             at = np.flatnonzero(least == size)
-            bits = np.stack([fold_sketch(s, size) for s in rows["sketch"].to_numpy()[at]]).view(np.uint64)
+            used, place = np.unique(which[at], return_inverse=True)
+            bits = np.stack([fold_sketch(sketches[k], size) for k in used]).view(np.uint64)
             for a, b in unit_pairs(*runs_of(unit[at])):
                 x, y = at[a], at[b]
-                open_ = (comp[x] != comp[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
-                a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-                distance = distances(bits, sizes[at], a, b, numerator, denominator)
-                swap = nodes[x] > nodes[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                open_ = (comp[which[x]] != comp[which[y]]) & ((i[x] == j[x]) | (own[x] != own[y]))
+                a, b = place[a[open_]], place[b[open_]]
+                distance = distances(bits, sizes[used], a, b, numerator, denominator)
                 ok = np.flatnonzero(distance >= 0)
-                ok = ok[~np.isin(pair_keys(nodes[x[ok]], nodes[y[ok]]), tried)]
-                x, y = x[ok], y[ok]
-                found.append(pd.DataFrame({"a": nodes[x], "b": nodes[y], "ca": np.minimum(comp[x], comp[y]), "cb": np.maximum(comp[x], comp[y]), "distance": distance[ok]}))
-        out = pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=list(_PAIR))
+                x, y, distance = used[a[ok]], used[b[ok]], distance[ok]
+                swap = ids[x] > ids[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                new = ~np.isin(pair_keys(ids[x], ids[y]), tried)
+                x, y, distance = x[new], y[new], distance[new]
+                part = pd.DataFrame({"a": ids[x], "b": ids[y], "ca": np.minimum(comp[x], comp[y]), "cb": np.maximum(comp[x], comp[y]), "distance": distance})
+                found.append(part.sort_values(["distance", "a", "b"]).drop_duplicates(["ca", "cb"] if closest else ["a", "b"]))
+        out = pd.concat(found, ignore_index=True)
         return out.sort_values(["distance", "a", "b"]).drop_duplicates(["ca", "cb"] if closest else ["a", "b"])
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame(columns=list(_PAIR))
-        rows = pdf.sort_values(["key", "i", "j"], kind="stable").reset_index(drop=True)
-        new = (rows[["key", "i", "j"]] != rows[["key", "i", "j"]].shift()).any(axis=1)
-        return pairs(rows.assign(unit=new.cumsum()))
-
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    sizes = materialize(sizes.select("key", "g", F.ceil(F.col("g") / block).cast("int").alias("blocks")), "open_keys")
-    total = sizes.agg(F.sum(F.col("g") * F.col("blocks"))).first()[0] or 0
-    rows = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = members.join(placed.select("node", "comp"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    sizes = materialize(sizes.select("key", "g", F.ceil(F.col("g") / block).cast("int").alias("blocks")).join(hubs, "key"), "open_keys")
+    shares = sizes.groupBy("hub").agg(F.sum(F.col("g") * F.col("blocks")).alias("rows"))
+    total = shares.agg(F.sum("rows")).first()[0] or 0
+    shares = shares.select("hub", F.ceil(F.col("rows") / (TASK_BLOCKS * block)).cast("int").alias("shares"))
+    rows = members.join(sizes.join(shares, "hub"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-int(total) // (4 * block)))))
-    found = rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(compare, ", ".join(f"{c} long" for c in _PAIR))
+    bucket = F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("key", "i", "j"), F.col("shares"))), F.lit(max(1, -(-int(total) // (TASK_BLOCKS * block)))))
+    rows = materialize(rows.select(bucket.alias("bucket"), "key", "i", "j", "own", "node"), "units")
+    nodes = rows.select(F.col("bucket").alias("of"), F.col("node").alias("seen")).distinct().join(placed, F.col("seen") == placed["node"]).drop("seen")
+    found = rows.groupBy("bucket").cogroup(nodes.groupBy("of")).applyInPandas(compare, ", ".join(f"{c} long" for c in _PAIR))
     if closest:
         return found.groupBy("ca", "cb").agg(F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b")
     return found.select("a", "b").distinct()
@@ -329,7 +341,7 @@ def linked_rows(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERA
     known = materialize(signed.join(hint(weights, weights.count()), signed["row"] == weights["node"]).select("node", "n", "weight", "sketch", "text_md5"), "known")
 
     ranked = members.join(known.select("node", "weight"), "node")
-    hubs = ranked.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    hubs = materialize(ranked.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub")), "hubs")
     stars = members.join(hubs, "key").where("node <> hub").select("node", "hub").distinct()
     stars = materialize(closest_hubs(stars, known, numerator, denominator), "stars")
     links = materialize(verified(stars, _sets(stars, narrow, known, classes, signed, shingle, hint), numerator, denominator), "links")
@@ -338,8 +350,9 @@ def linked_rows(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERA
         partners = tried.groupBy("a").agg(F.collect_set("b").alias("tried")).withColumnRenamed("a", "node")  # a key or two components add one each
         placed = known.select("node", "n", "sketch").join(comps, "node", "left").join(partners, "node", "left")
         placed = materialize(placed.withColumn("comp", F.coalesce("component", "node")).drop("component"), "placed")
-        cross = cross_pairs(members.select("key", "node").join(placed, "node"), numerator, denominator, block, n_round < CLOSEST_ROUNDS)
-        cross = materialize(cross, "cross")
+        cross = materialize(cross_pairs(members.select("key", "node"), hubs, placed, numerator, denominator, block, n_round < CLOSEST_ROUNDS), "cross")
+        if cross.isEmpty():
+            break
         more = materialize(verified(cross, _sets(cross, narrow, known, classes, signed, shingle, hint), numerator, denominator), "links")
         links, tried = links.unionByName(more), tried.unionByName(cross)
         comps = connected_components(links)
@@ -347,7 +360,7 @@ def linked_rows(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERA
 
     named = classes.join(comps, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")
-    for done in (shared, members, known, classes, *old):
+    for done in (shared, members, hubs, known, classes, *old):
         discard(done)
     return signed.select("doc_id", "text_md5", "n", "c1", "c2").join(named, ["c1", "c2"], "left").select("doc_id", "text_md5", "n", "component")
 
