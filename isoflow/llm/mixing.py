@@ -2,9 +2,8 @@
 
 Words are summed per source, targets are filled up by weight under a cap of repetitions, and
 each document is emitted floor(rate) times plus one Bernoulli copy whose probability is the
-fraction of the rate.  The coin of a document is a slice of the MD5 of its id.  A source picks,
-out of a few independent slices, the one whose drawn words come nearest to its target, which
-costs one more aggregate and no randomness: every rerun draws the same coins.
+fraction of the rate.  The coin of a document comes from the MD5 of its id, so every rerun
+draws the same coins.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_RATE = 2.0
-COINS = 13
-"""Candidate coins of a document: windows of eight hex digits, two digits apart, of one MD5."""
 
 
 def word_count(text):
@@ -27,9 +24,10 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def coin(seed_hex, k):
-    """The ``k``-th coin of a hex digest: a number from 0 to below 1."""
-    return F.conv(F.substring(seed_hex, 2 * k + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def coin(doc_id):
+    """A number from 0 to below 1, evenly spread and fixed by the id: the first 52 bits of its MD5."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":mix")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
@@ -68,35 +66,23 @@ SMALL = 10_000
 """Sources up to which the table of sources is broadcast."""
 
 
-def _digest(doc_id):
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":mix")))
-
-
 def _hint(sources: DataFrame) -> DataFrame:
     return F.broadcast(sources) if sources.limit(SMALL + 1).count() <= SMALL else sources
 
 
-def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The documents' sizes ``doc_id, source, size`` and, per source, ``source, source_size, target, rate, coin_no``."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    narrow = materialize(narrow, "sizes")
-    targets = materialize(source_targets(narrow, weights, share, max_rate), "targets")
-    rates = targets.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    rows = narrow.withColumnRenamed("source", "own").join(_hint(rates), F.col("own").eqNullSafe(F.col("source"))).withColumn("digest", _digest(F.col("doc_id")))
-    fraction = F.col("rate") - F.floor("rate")
-    drawn = [F.sum(F.when(coin(F.col("digest"), k) < fraction, F.col("size")).otherwise(F.lit(0))).alias(f"drawn{k}") for k in range(COINS)]
-    sums = rows.groupBy("source").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "rate")], *drawn)
-    errors = F.array(*[F.abs(F.floor("rate") * F.col("source_size") + F.col(f"drawn{k}") - F.col("target")) for k in range(COINS)])
-    plan = sums.select("source", "source_size", "target", "rate", (F.array_position(errors, F.array_min(errors)) - 1).cast("int").alias("coin_no"))
-    return narrow, materialize(plan, "plan")
+def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text", source: str = "source") -> DataFrame:
+    """``source, source_size, target, rate`` of every source."""
+    sizes = docs.select(docs[source].alias("source"), word_count(docs[text]).alias("size"))
+    targets = materialize(source_targets(sizes, weights, share, max_rate), "targets")
+    return targets.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
 
 
 def with_copies(rows: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """``rows`` with the columns of ``plan`` except ``source`` and ``copies``, how often the document is emitted."""
     plan = plan.withColumnRenamed("source", "_source")
     joined = rows.join(_hint(plan), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    u = F.conv(F.substr(_digest(F.col(doc_id)), 2 * F.col("coin_no") + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
-    return joined.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    extra = F.when(coin(F.col(doc_id)) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return joined.withColumn("copies", (F.floor("rate") + extra).cast("int"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
@@ -107,14 +93,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     Repeated rows are documents of their own that share one coin; null ids share one coin too.
     An empty table gives an empty result.  Only the three named columns are read.
     """
-    narrow, plan = mixing_plan(docs, weights, share, max_rate, text, doc_id, source)
+    narrow = docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), word_count(docs[text]).alias("size"))
+    plan = mixing_plan(docs, weights, share, max_rate, text, source)
     return with_copies(narrow, plan).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The documents of the mix themselves, each as often as it is taken, with their own columns."""
-    _, plan = mixing_plan(docs, weights, share, max_rate, text, doc_id, source)
-    plan = plan.select("source", "rate", "coin_no")
+    """The documents of the mix themselves, each as often as it is taken, with their own columns.
+
+    The cases of :func:`mix` hold: null texts, sources and ids, repeated rows and empty tables; columns
+    of any name are kept as they are.
+    """
+    plan = mixing_plan(docs, weights, share, max_rate, text, source).select("source", "rate")
     own = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
     rows = docs.select(own, docs[doc_id].alias("_id"), docs[source].alias("_from"))
     taken = with_copies(rows, plan, "_id", "_from").where("copies > 0")
@@ -126,9 +116,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':mix')) AS digest FROM documents
+         ('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':mix')), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS weight FROM d GROUP BY source
@@ -141,13 +131,7 @@ WITH RECURSIVE d AS (
   FROM l WINDOW w AS (ORDER BY level, source NULLS LAST)
 ), t AS (
   SELECT source, source_size, least(cap, coalesce((SELECT min_by(common, place) FROM f WHERE level >= common), 'inf'::DOUBLE) * weight) AS target FROM f
-), r AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate FROM t
-), x AS (
-  SELECT d.doc_id, d.size, d.digest, r.*, k, ('0x' || substr(digest, CAST(2 * k + 1 AS INT), 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range(13) AS c(k)
-), e AS (
-  SELECT source, k, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN u < rate - floor(rate) THEN size ELSE 0 END) - any_value(target)) AS err FROM x GROUP BY source, k
-), b AS (SELECT source, min(struct_pack(err := err, k := k)).k AS k FROM e GROUP BY source)
+), r AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate FROM t)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source AND x.k = b.k
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
