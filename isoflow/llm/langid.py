@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from isoflow.llm.common import prepare, table
 from isoflow.llm.hashing import FlatWords, chunks, mix
+from isoflow.llm.sampling import smallest_draws
 
 BITS = 16
 NONE = 1 << BITS
@@ -28,10 +29,11 @@ NGRAMS = (2, 3)
 LEXICON = 300
 """Most frequent training words of a language that make its lexicon."""
 CHAIN = 64
-"""Words of a chain at most; a document is one chain after another."""
+"""Words of a training chain at most, and of the pieces in which a chain is worked on at scoring."""
 TRAIN_ROWS = 250
-"""Documents of each language that the model is fitted on: those with the smallest hash of their id."""
+"""Documents of each language that the model is fitted on: those with the smallest hash of id and text."""
 TRAIN_CHAINS = 4000
+"""Chains of these documents that the model is fitted on: the second bound of the labelled sample."""
 EPOCHS, RATE, BATCH = 3, 0.3, 128
 UNKNOWN = "und"
 
@@ -132,6 +134,50 @@ def forward_backward(score: np.ndarray, starts: np.ndarray, transition: np.ndarr
     return marginal, joint.sum(axis=0), marginal[starts].sum(axis=0)
 
 
+def whole_chains(score: np.ndarray, doc: np.ndarray, transition: np.ndarray, start: np.ndarray, piece: int = CHAIN) -> np.ndarray:
+    """Marginals (words, K) where all words of a text are one chain; the words of a text are neighbours in ``doc``.
+
+    Chains are worked on in pieces.  The transfer matrix of each piece is found for all pieces at
+    once; along a chain only these matrices are multiplied, which carries alpha and beta from piece
+    to piece; then the words of all pieces are done at once from what was carried to them.
+    """
+    n, k = score.shape
+    if not n:
+        return np.zeros((0, k))
+    weight = np.exp(score - score.max(axis=1, keepdims=True)) + 1e-300
+    moves, first = np.exp(transition - transition.max()), np.exp(start - start.max())
+    begins = chain_borders(doc, piece)
+    lengths = np.diff(np.append(begins, n))
+    new = np.flatnonzero(np.diff(doc[begins], prepend=doc[0] - 1) != 0)
+    pieces = np.diff(np.append(new, len(begins)))
+    order = np.argsort(-lengths, kind="stable")
+    alive = [order[: np.searchsorted(-lengths[order], -t, side="left")] for t in range(int(lengths.max()))]
+    unit = lambda x, axes: x / x.sum(axis=axes, keepdims=True)
+
+    through = unit(np.eye(k)[None] * weight[begins][:, :, None], (1, 2))
+    for t in range(1, len(alive)):
+        through[alive[t]] = unit((through[alive[t]] @ moves) * weight[begins[alive[t]] + t][:, None, :], (1, 2))
+    before, after = np.tile(first / first.sum(), (len(begins), 1)), np.ones((len(begins), k))
+    by_size = np.argsort(-pieces, kind="stable")
+    steps = [new[by_size[: np.searchsorted(-pieces[by_size], -t, side="left")]] for t in range(int(pieces.max()))]
+    for t in range(1, len(steps)):
+        at = steps[t] + t
+        before[at] = unit((before[at - 1][:, None, :] @ through[at - 1])[:, 0] @ moves, 1)
+    for t in range(len(steps) - 2, -1, -1):
+        at = steps[t + 1] + t
+        after[at] = unit((through[at + 1] @ after[at + 1][:, :, None])[:, :, 0] @ moves.T, 1)
+
+    alpha, beta = np.empty((n, k)), np.empty((n, k))
+    for t, at in enumerate(alive):
+        word = begins[at] + t
+        alpha[word] = unit(weight[word] * (before[at] if t == 0 else alpha[word - 1] @ moves), 1)
+    beta[begins + lengths - 1] = after
+    for t in range(len(alive) - 2, -1, -1):
+        word = begins[alive[t + 1]] + t
+        beta[word] = unit((weight[word + 1] * beta[word + 1]) @ moves.T, 1)
+    return unit(alpha * beta, 1)
+
+
 def train(texts: list[str], labels: np.ndarray, languages: list[str], epochs: int = EPOCHS, seed: int = 3) -> Model:
     """Fit by AdaGrad on the conditional log-likelihood of word labels (each word has its document's)."""
     k = len(languages)
@@ -205,17 +251,16 @@ def train(texts: list[str], labels: np.ndarray, languages: list[str], epochs: in
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> Model:
     """Learn from rows with text and language.  The sample is bounded for each language; the number
-    of languages is taken to be small (their distinct values are read)."""
+    of languages is taken to be small (their distinct values are read).  Null and repeated ids do not
+    matter; an empty table gives a model without languages."""
     prepare(docs.sparkSession)
     known = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and trim(text) <> ''")
-    languages = [r.lang for r in known.select("lang").distinct().orderBy("lang").collect()]
+    counts = known.groupBy("lang").count().orderBy("lang")
+    languages = [r.lang for r in counts.collect()]
     if not languages:
         return Model([], np.zeros((NONE + 1, 0)), np.zeros(0, np.uint64), np.zeros((1, 0)), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
-    ids = known.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(11)).alias("draw"))
-    picked = None
-    for one in languages:
-        part = ids.where(F.col("lang") == one).orderBy("draw", "doc_id").limit(train_rows).select("lang", "doc_id").distinct()
-        picked = part if picked is None else picked.unionByName(part)
+    draws = known.withColumn("draw", F.xxhash64(F.coalesce("doc_id", F.lit("")), "text", F.lit(11)))
+    picked = smallest_draws(draws, counts, "lang", train_rows)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
@@ -225,22 +270,46 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, text: str = "text", doc_i
         model.emission = model.emission.astype(np.float32)
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    sample = known.join(F.broadcast(picked), ["lang", "doc_id"]).repartition(1)
     import pickle
 
+    sample = picked.select("lang", "doc_id", "text").repartition(1)
     return pickle.loads(sample.mapInPandas(learn, "model binary").first().model)
 
 
-def document_shares(model: Model, texts) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the language index and its expected share of the lettered words (0 and 0 without any)."""
-    sums = np.zeros((len(texts), len(model.languages)))
+def whole_texts(model: Model, texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """``(text of each word, scores, lettered, words)`` with all words of a text in one group.
+
+    Texts are read in pieces; the scores of a text that goes on in the next piece are held back.
+    """
+    held: list[tuple] = []
+
+    def joined(rows: list[tuple]) -> tuple:
+        return *(np.concatenate([r[k] for r in rows]) for k in range(3)), [w for r in rows for w in r[3]]
+
     for owner, parts in chunks(texts):
         flat = FlatWords(parts, lower=True)
         if not len(flat.starts):
             continue
-        marginal = forward_backward(emissions(model, flat), chain_borders(flat.doc), model.transition, model.start)
+        raw, who = flat.data.tobytes(), owner[flat.doc]
         lettered = np.add.reduceat(LETTER[flat.data], flat.starts) > 0
-        who = owner[flat.doc]
+        row = who, emissions(model, flat).astype(np.float32), lettered, [raw[s:e] for s, e in zip(flat.starts.tolist(), flat.ends.tolist())]
+        if held and held[-1][0][-1] != who[0]:
+            yield joined(held)
+            held = []
+        cut = int(np.searchsorted(who, who[-1]))
+        if cut:
+            yield joined([*held, tuple(x[:cut] for x in row)])
+            held = []
+        held.append(tuple(x[cut:] for x in row))
+    if held:
+        yield joined(held)
+
+
+def document_shares(model: Model, texts) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the language index and its expected share of the lettered words (0 and 0 without any)."""
+    sums = np.zeros((len(texts), len(model.languages)))
+    for who, score, lettered, _ in whole_texts(model, texts):
+        marginal = whole_chains(score.astype(float), who, model.transition, model.start)
         for c in range(sums.shape[1]):
             sums[:, c] += np.bincount(who, weights=marginal[:, c] * lettered, minlength=len(texts))
     total = sums.sum(axis=1)
@@ -251,37 +320,45 @@ def document_shares(model: Model, texts) -> tuple[np.ndarray, np.ndarray]:
 def word_labels(model: Model, text: str) -> list[tuple[str, str, float]]:
     """``(word, language, probability)`` of each lower-cased word of a text."""
     out = []
-    for _, parts in chunks([text]):
-        flat = FlatWords(parts, lower=True)
-        if not len(flat.starts):
-            continue
-        p = forward_backward(emissions(model, flat), chain_borders(flat.doc), model.transition, model.start)
-        raw = flat.data.tobytes()
-        out += [(raw[s:e].decode("utf-8", "replace"), model.languages[int(row.argmax())], float(row.max())) for s, e, row in zip(flat.starts, flat.ends, p)]
+    for who, score, _, words in whole_texts(model, [text]):
+        p = whole_chains(score.astype(float), who, model.transition, model.start)
+        out += [(w.decode("utf-8", "replace"), model.languages[int(row.argmax())], float(row.max())) for w, row in zip(words, p)]
     return out
 
 
+def judged_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``_row`` (a struct of all columns of ``docs``), ``lang_pred`` and ``lang_score`` of every row."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text].alias("_text"))
+    if not model.languages:
+        return rows.select("_row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            best, share = document_shares(shared.value, texts.tolist())
+            yield pd.DataFrame({"lang": [shared.value.languages[b] for b in best], "score": share})
+
+    judged = rows.withColumn("_judged", F.pandas_udf(label, "lang string, score double")(F.col("_text")))
+    known = F.coalesce(F.col("_text").rlike(r"\p{L}"), F.lit(False))
+    return judged.select("_row", F.when(known, F.col("_judged.lang")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), F.when(known, F.col("_judged.score")).otherwise(F.lit(0.0)).alias("lang_score"))
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``lang_pred, lang_score``, the expected share of lettered words in that language.
 
     Null texts and those without a letter are ``und`` with score 0.  Ties go to the language first
     in order.  Every row is judged by its text alone, repeated rows alike; nulls in other columns do
-    not matter.  Texts of any length are read whole, in chains of words.  An empty table gives an
-    empty result, and a model without languages calls everything ``und``.  Columns of ``docs`` named
+    not matter.  The words of a text are one chain, however long.  An empty table gives an empty
+    result, and a model without languages calls everything ``und``.  Columns of ``docs`` named
     ``lang_pred`` or ``lang_score`` are replaced.
     """
-    if not model.languages:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = [f"_row.`{c}`" for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    return judged_rows(docs, model, text).select(*own, "lang_pred", "lang_score")
 
-    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            best, share = document_shares(shared.value, texts.tolist())
-            yield pd.DataFrame({"lang": [shared.value.languages[b] for b in best], "score": share})
 
-    judged = docs.withColumn("_judged", F.pandas_udf(label, "lang string, score double")(F.col(text)))
-    known = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return judged.withColumns({"lang_pred": F.when(known, F.col("_judged.lang")).otherwise(F.lit(UNKNOWN)), "lang_score": F.when(known, F.col("_judged.score")).otherwise(F.lit(0.0))}).drop("_judged")
+def confident(docs: DataFrame, model: Model, least_share: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns and no others, in which one language holds at least ``least_share`` of the lettered words."""
+    return judged_rows(docs, model, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least_share)).select("_row.*")
 
 
 def fold(doc_id="doc_id"):

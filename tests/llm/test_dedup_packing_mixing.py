@@ -156,3 +156,27 @@ def test_added_tokens_are_encoded_as_in_the_file(spark):
     assert [np.frombuffer(bpe.encode(t), "<u4").tolist() for t in texts] == want
     rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.tokenizer_file()).collect()
     assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {i: (len(w) + 1, zlib.crc32(np.asarray(w + [0], "<u4").tobytes())) for i, w in enumerate(want)}
+
+
+def test_extra_copies_come_with_the_fraction(spark):
+    """Sources of one document each: how often the extra copy is drawn is the fraction of their rate."""
+    rows = [(i, "a b c", f"s{i:04d}") for i in range(1200)] + [(-1, "w " * 900, "t")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id >= 0").collect()
+    by_rate = defaultdict(list)
+    for r in got:
+        by_rate[round(r.rate % 1, 6)].append(r.copies - int(r.rate))
+    checked = 0
+    for fraction, drawn in by_rate.items():
+        if 0 < fraction < 1 and len(drawn) > 100:
+            checked += 1
+            assert abs(np.mean(drawn) - fraction) < 4 * (fraction * (1 - fraction) / len(drawn)) ** 0.5
+    assert checked
+
+
+def test_sources_come_near_their_targets(spark):
+    rng = np.random.default_rng(20)
+    rows = [(i, "w " * int(rng.integers(1, 60)), f"s{min(3, int(rng.integers(0, 9)))}") for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, part in got.groupby("source"):
+        fraction = part.rate.iloc[0] % 1
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 4 * (fraction * (1 - fraction) * (part["size"] ** 2).sum()) ** 0.5 + 1e-6
