@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from isoflow.llm.common import prepare, table
 from isoflow.llm.hashing import FlatWords, chunks, mix
+from isoflow.llm.sampling import smallest_draws
 
 BITS, DIM = 16, 8
 NGRAMS = (3, 4)
@@ -97,14 +98,21 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Learn from ``labels`` (0 or 1; several labels of an id count as their maximum, nulls not at all)."""
+    """Learn from ``labels`` (0 or 1; several labels of an id count as their maximum, nulls not at all).
+
+    Ids may be of any type that both tables share; null ids have no label.  Rows of ``docs`` repeated
+    with one id are all learned from.  Without any label the model is untrained.
+    """
     prepare(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("draw", F.xxhash64("doc_id", F.lit(7)))
-    share = known.agg(F.avg("label")).first()[0]
-    if share is None:
+    counts = known.groupBy("label").count()
+    of = {r["label"]: r["count"] for r in counts.collect()}
+    if not of:
         return np.zeros((1 << BITS, DIM)), np.zeros((DIM, 2)), np.zeros(2)
-    picked = known.where("label = 0").orderBy("draw").limit(train_rows).unionByName(known.where("label = 1").orderBy("draw").limit(train_rows))
+    share = of.get(1, 0) / sum(of.values())
+    picked = smallest_draws(known, counts, "label", train_rows).select("doc_id", "label")
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text:
         yield pd.DataFrame({"vectors": [v.astype(np.float32).tobytes()], "weights": [w.tobytes()], "bias": [b.tobytes()]})
 
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
-    bag_rows = sample.mapInPandas(bags, "doc_id long, label int, ids binary, counts binary")
+    bag_rows = sample.mapInPandas(bags, f"doc_id {kind}, label int, ids binary, counts binary")
     model = bag_rows.repartition(1).mapInPandas(learn, "vectors binary, weights binary, bias binary").first()
     if model is None:
         return np.zeros((1 << BITS, DIM)), np.zeros((DIM, 2)), np.zeros(2)
