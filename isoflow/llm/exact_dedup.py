@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoflow.llm.common import materialize, table
+from isoflow.llm.common import discard, materialize, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEGMENT_ENTRIES = 500_000
@@ -121,21 +121,13 @@ def normalise(text):
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
-
-    Texts are equal when identical after lower-casing A-Z.  Of equal texts the row with the
-    largest ``doc_id`` stays; null ids rank below all others.  Rows repeated with the same id
-    are counted one by one in ``group_size`` and all carry ``kept = true`` if that id stays.
-    A null text equals an empty one.  An empty table gives an empty result.
-    Only the two named columns are read; any others, whatever their names, play no part.
-    """
+def copy_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``text_sha256, keep_id, group_size`` of the groups of equal texts, and whether they may be broadcast."""
     base = docs.select(F.col(doc_id).alias("doc_id"), normalise(F.col(text)).alias("norm"))
     base = base.withColumn("fp", F.xxhash64("norm"))
     n_rows = docs.count()
     repeated = materialize(repeated_fingerprints(base, n_rows), "repeated")
-    n_repeated = repeated.count()
-    small = n_repeated <= broadcast_rows
+    small = repeated.count() <= broadcast_rows
     route = F.broadcast(repeated.select("fp")) if small else repeated.select("fp")
     groups = (
         base.join(route, "fp", "left_semi")
@@ -145,7 +137,21 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         .select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
     )
     groups = materialize(groups, "groups")
-    rows = base.select("doc_id", F.sha2("norm", 256).alias("text_sha256"))
+    discard(repeated)
+    return groups, small
+
+
+def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
+
+    Texts are equal when identical after lower-casing A-Z.  Of equal texts the row with the
+    largest ``doc_id`` stays; null ids rank below all others.  Rows repeated with the same id
+    are counted one by one in ``group_size`` and all carry ``kept = true`` if that id stays.
+    A null text equals an empty one.  An empty table gives an empty result.
+    Only the two named columns are read; any others, whatever their names, play no part.
+    """
+    groups, small = copy_groups(docs, text, doc_id, broadcast_rows)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(normalise(F.col(text)), 256).alias("text_sha256"))
     return rows.join(F.broadcast(groups) if small else groups, "text_sha256", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -155,6 +161,24 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     )
 
 
+def without_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, that of the largest id, whatever its columns are called.
+
+    Rows are dropped one by one, not by id: another text of the same id stays.  Null ids rank below
+    all others, and of several rows with the largest id (or all null) one stays.
+    """
+    groups, small = copy_groups(docs, text, doc_id, broadcast_rows)
+    marks = groups.select(F.col("text_sha256").alias("_group"), F.col("keep_id").alias("_keep"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[doc_id].alias("_id"), F.sha2(normalise(docs[text]), 256).alias("_sha"))
+    stay = own.join(F.broadcast(marks) if small else marks, F.col("_sha") == F.col("_group"), "left").where(F.col("_group").isNull() | F.col("_id").eqNullSafe(F.col("_keep")))
+    twice = materialize(stay.where(F.col("_group").isNotNull()).groupBy("_sha").count().where("count > 1").select(F.col("_sha").alias("_twice")), "twice")
+    if twice.isEmpty():
+        return stay.select("_row.*")
+    twice = F.broadcast(twice) if small else twice
+    marked = stay.join(twice, F.col("_sha") == F.col("_twice"), "left")
+    return marked.where("_twice is null").select("_row.*").unionByName(marked.where("_twice is not null").dropDuplicates(["_sha"]).select("_row.*"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 

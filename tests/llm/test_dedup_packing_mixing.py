@@ -180,3 +180,12 @@ def test_sources_come_near_their_targets(spark):
     for _, part in got.groupby("source"):
         fraction = part.rate.iloc[0] % 1
         assert abs(part.taken.sum() - part.target.iloc[0]) <= 4 * (fraction * (1 - fraction) * (part["size"] ** 2).sum()) ** 0.5 + 1e-6
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    rows = [(5, "A", "p"), (9, "a", "q"), (5, "B", "r"), (None, "c", "s"), (None, "C", "t"), (3, "c", "u"), (None, "d", "v"), (None, "D", "w"), (7, None, "x"), (7, "", "y"), (1, "alone", "z"), (2, "e", "1"), (2, "e", "1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sha string")
+    for limit in (250_000, 0):
+        got = Counter((r.doc_id, (r.text or "").lower()) for r in exact_dedup.without_copies(docs, broadcast_rows=limit).collect())
+        assert got == Counter([(9, "a"), (5, "b"), (3, "c"), (None, "d"), (7, ""), (1, "alone"), (2, "e")])
+    assert exact_dedup.without_copies(docs).columns == docs.columns and exact_dedup.without_copies(docs.where("false")).count() == 0
