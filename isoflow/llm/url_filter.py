@@ -1,10 +1,10 @@
 """URL rules behind a blocked Bloom filter, in DataFrame operations only.
 
 The listed canonical URLs (host and path prefix) are hashed into a blocked Bloom filter: a key
-sets its bits inside one 256-bit block, kept as four longs.  A page offers one candidate key for
-each pair of lengths that the list holds (a host suffix on a label border and a path prefix).
-Candidates whose bits are all set are possible hits; an exact join on the key removes the false
-positives, and the longest listed key that remains decides.
+sets its bits inside one 256-bit block, kept as four longs.  Each distinct host and path offers one
+candidate key for each of its host suffixes on a label border and each length of path that the list
+holds beneath that suffix.  Candidates whose bits are all set are possible hits; an exact join on the
+key removes the false positives, and the longest listed key that remains decides.
 """
 
 from __future__ import annotations
@@ -67,26 +67,26 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     """
     listed = rules.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), "verdict").where("r_host <> ''")
     listed = listed.groupBy("r_host", "r_path").agg(F.min("verdict").alias("r_verdict")).withColumn("key", F.concat("r_host", F.lit(" "), "r_path"))
-    lengths = listed.select(F.length("r_host").alias("h"), F.length("r_path").alias("p")).distinct().collect()  # pairs of lengths, not keys
-    n_keys = listed.count()
+    n_keys, deepest = listed.agg(F.count(F.lit(1)), F.max(F.size(F.split("r_host", "\\.")))).first()
     n_blocks = max(1, n_keys * BITS_PER_KEY // 256)
     bloom = blocked_bloom(listed, n_blocks)
     hint = F.broadcast if n_keys <= BROADCAST_KEYS else (lambda df: df)
+    lengths = listed.groupBy(F.col("r_host").alias("suffix")).agg(F.collect_set(F.length("r_path")).alias("p_lengths"))  # at most one number for each length of path
 
     host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
-
-    def candidate(h: int, p: int):
-        whole = (F.length("host") == h) | ((F.length("host") > h) & (F.expr(f"substring(host, -{h + 1}, 1)") == "."))
-        return F.when(whole & (F.length("path") >= p), F.concat(F.expr(f"right(host, {h})"), F.lit(" "), F.expr(f"left(path, {p})")))
-
-    candidates = F.array_compact(F.array(*[candidate(r.h, r.p) for r in lengths])) if lengths else F.array().cast("array<string>")
-    offered = rows.select("row", F.explode(candidates).alias("offer")).withColumn("block", _block(F.col("offer"), n_blocks))
-    possible = offered.join(hint(bloom), "block").where(_all_set(F.col("offer"))).select("row", "offer")
+    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
+    judged = rows.select("host", "path").where("host <> ''").distinct()
+    labels = F.split("host", "\\.")
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (deepest or 1) + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    under = judged.select("host", "path", F.explode(suffixes).alias("suffix")).join(hint(lengths), "suffix")
+    offered = under.select("host", "path", "suffix", F.explode("p_lengths").alias("p")).where(F.length("path") >= F.col("p"))
+    offered = offered.select("host", "path", F.concat("suffix", F.lit(" "), F.substring("path", F.lit(1), F.col("p"))).alias("offer")).withColumn("block", _block(F.col("offer"), n_blocks))
+    possible = offered.join(hint(bloom), "block").where(_all_set(F.col("offer"))).select("host", "path", "offer")
     hits = possible.join(hint(listed), F.col("offer") == F.col("key"))
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("a"), F.length("r_host").alias("b"))
-    best = hits.groupBy("row").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), rank).alias("best"))
-    return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), rank).alias("best"))
+    found = rows.join(best, ["host", "path"], "left")
+    return found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
 
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
