@@ -14,8 +14,12 @@ The work is cut into independent suffix sorts as follows.
   of steps.  Neighbours that are equal as far as a repeat needs are compared byte by byte before
   they count.  The sorts first tell which ranges of starts can hold a repeat at all and halve
   those, so most of the suffixes need not be sorted.
-* Grams with very many different contexts would be one large sort; their strings are counted by a
-  grouping on a 128-bit hash instead, which spreads them over all tasks.
+* A gram with more contexts than a task should sort is taken apart in the same way by joins: its range
+  of starts is halved, contexts part by the bytes that all strings of a half share, those alike in
+  all that these strings span are settled together, and only groups that are still too large are
+  halved again.  At a single start all that is left is equal strings.
+
+Grams and contexts are named by 64-bit hashes; contexts are taken as equal only where both agree.
 """
 
 from __future__ import annotations
@@ -37,9 +41,8 @@ SEGMENT = 4 << 20
 CHUNK = 1 << 20
 TASK_CONTEXTS = 15000
 """Contexts that one sorting group is meant to hold; it bounds memory and time of a sort."""
-HOT_CONTEXTS = 20_000
-"""Different contexts of one gram beyond which its strings are grouped by hash instead of sorted: what a
-task can hold with its prefix hashes."""
+SPLIT_CONTEXTS = 5_000
+"""Contexts of one gram, or of one half of its starts, that are sorted together; larger groups are halved first."""
 
 
 def segments(raw: bytes, length: int, size: int = SEGMENT) -> Iterator[tuple[int, int, int, int]]:
@@ -85,11 +88,12 @@ def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(keys, parts):
             part, position, grams, contexts = anchors(parts, length, gram)
-            return pd.DataFrame({"gram": grams, "context": contexts, "row": np.array(keys, dtype=np.int64)[part], "pos": position.astype(np.int64)})
+            row, row2 = (np.array([key[k] for key in keys], dtype=kind)[part] for k, kind in ((0, np.int64), (1, np.int32)))
+            return pd.DataFrame({"gram": grams, "context": contexts, "row": row, "row2": row2, "pos": position.astype(np.int32)})
 
         for batch in batches:
             keys, parts, size = [], [], 0
-            for row, text in zip(batch["row"].tolist(), batch["text"].tolist()):
+            for *row, text in zip(batch["row"].tolist(), batch["row2"].tolist(), batch["text"].tolist()):
                 raw = text.encode("utf-8", "surrogatepass")
                 for a, b, own_from, own_to in segments(raw, length):
                     keys.append(row)
@@ -206,9 +210,10 @@ class SuffixOrder:
         return np.unique(out, return_inverse=True)[1]
 
 
-def repeated_extents(grams: np.ndarray, lefts: np.ndarray, contexts: list[bytes], wanted: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def repeated_extents(groups: np.ndarray, lefts: np.ndarray, contexts: list[bytes], wanted: np.ndarray, starts: tuple[np.ndarray, np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For each wanted context, the smallest and largest number of bytes before its gram at which a
-    string starts that another context of the gram holds at the same place (-1 and -1 if none does).
+    string starts that another context of its group holds at the same place (-1 and -1 if none does).
+    ``starts`` are the smallest and largest numbers to look at.
 
     Strings that start ``lo`` to ``hi`` bytes before the gram share a core, from ``lo`` bytes before
     it on; contexts whose core is like no other's have no such string.  Contexts that also agree in
@@ -221,8 +226,8 @@ def repeated_extents(grams: np.ndarray, lefts: np.ndarray, contexts: list[bytes]
     at, rights = begins + lefts, sizes - lefts
     lowest, highest = np.full(n, length + 1), np.full(n, -1)
     one = np.arange(n)
-    group = np.unique(grams, return_inverse=True)[1].astype(np.int64)
-    lo, hi = np.zeros(n, np.int64), np.full(n, length - gram, np.int64)
+    group = np.unique(groups, return_inverse=True)[1].astype(np.int64)
+    lo, hi = starts
     asks = wanted.copy()
 
     def crowd(group, asks):
@@ -260,57 +265,80 @@ def repeated_extents(grams: np.ndarray, lefts: np.ndarray, contexts: list[bytes]
     return np.where(highest < 0, -1, lowest), highest
 
 
+_CONTEXT = "gram long, n long, row long, row2 int, pos int, left int, bytes binary"
+
+
 def _cut_contexts(length: int, gram: int):
+    columns = [c.split()[0] for c in _CONTEXT.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for row, text, wanted in zip(batch["row"].tolist(), batch["text"].tolist(), batch["wanted"]):
+            for row, row2, text, wanted in zip(batch["row"].tolist(), batch["row2"].tolist(), batch["text"].tolist(), batch["wanted"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     p = w["pos"]
                     lo = max(0, p - (length - gram))
-                    out.append((w["gram"], w["n"], row, p, p - lo, raw[lo : p + length]))
+                    out.append((w["gram"], w["n"], row, row2, p, p - lo, raw[lo : p + length]))
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["gram", "n", "row", "pos", "left", "bytes"])
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["gram", "n", "row", "pos", "left", "bytes"])
+                yield pd.DataFrame(out, columns=columns)
 
     return run
 
 
-def _sort_group(length: int, gram: int):
+def _sort_group(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["row", "pos"])
-        single = pdf["n"].to_numpy() == 1
-        low, high = repeated_extents(pdf["gram"].to_numpy(np.int64), pdf["left"].to_numpy(np.int64), pdf["bytes"].tolist(), single, length, gram)
+        group = pdf.groupby(["gram", "lo", "hi", "core"], sort=False).ngroup().to_numpy()
+        single, pos = pdf["n"].to_numpy() == 1, pdf["pos"].to_numpy(np.int64)
+        starts = pdf["lo"].to_numpy(np.int64), pdf["hi"].to_numpy(np.int64)
+        low, high = repeated_extents(group, pdf["left"].to_numpy(np.int64), pdf["bytes"].tolist(), single, starts, length)
         keep = (high >= 0) & single
-        pos = pdf["pos"].to_numpy(np.int64)
-        return pd.DataFrame({"row": pdf["row"].to_numpy(np.int64)[keep], "start": (pos - high)[keep], "end": (pos - low + length)[keep]})
+        return pd.DataFrame({"row": pdf["row"].to_numpy(np.int64)[keep], "row2": pdf["row2"].to_numpy(np.int32)[keep], "start": (pos - high)[keep], "end": (pos - low + length)[keep]})
 
     return run
 
 
-def _strings(length: int, gram: int):
-    """All strings around a gram, as two hashes each."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a in range(0, len(batch), 2000):
-                part = batch.iloc[a : a + 2000]
-                contexts = part["bytes"].tolist()
-                sizes, lefts = np.array([len(c) for c in contexts]), part["left"].to_numpy(np.int64)
-                begins = np.cumsum(sizes) - sizes
-                data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-                before = np.arange(length - gram + 1)
-                ok = (before[None, :] <= lefts[:, None]) & ((begins + lefts)[:, None] - before[None, :] + length <= (begins + sizes)[:, None])
-                owner, back = np.nonzero(ok)
-                s = (begins + lefts)[owner] - back
-                one, two = PrefixHash(data), PrefixHash(data ^ np.uint8(0xA5))
-                name = mix(part["gram"].to_numpy(np.int64).view(np.uint64)[owner] + back.astype(np.uint64))
-                yield pd.DataFrame({"h1": (one.of(s, s + length) ^ name).view(np.int64), "h2": mix(two.of(s, s + length)).view(np.int64), "n": part["n"].to_numpy(np.int64)[owner], "row": part["row"].to_numpy(np.int64)[owner], "pos": part["pos"].to_numpy(np.int64)[owner], "back": back.astype(np.int32)})
-
-    return run
+def _halved(large: DataFrame, length: int) -> DataFrame:
+    """The rows of ``large`` at each half of their range ``lo`` to ``hi``, with the bytes ``core`` that the strings starting
+    there share and, where a context holds them all, the bytes ``whole`` that these strings span."""
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    parts = F.when(F.col("lo") == F.col("hi"), F.array(F.struct("lo", "hi"))).otherwise(F.array(F.struct("lo", middle.alias("hi")), F.struct((middle + 1).alias("lo"), "hi")))
+    rows = large.withColumn("part", F.explode(parts)).withColumns({"lo": F.col("part.lo"), "hi": F.col("part.hi")}).drop("part", "core")
+    right = F.length("bytes") - F.col("left")
+    rows = rows.where((F.col("left") >= F.col("lo")) & (right >= length - F.col("hi")))
+    spans = (F.col("left") >= F.col("hi")) & (right >= length - F.col("lo"))
+    return rows.withColumns({
+        "core": F.substring("bytes", F.col("left") - F.col("lo") + 1, length - F.col("hi") + F.col("lo")),
+        "whole": F.when(spans, F.substring("bytes", F.col("left") - F.col("hi") + 1, length + F.col("hi") - F.col("lo"))),
+    })
+
+
+def _apart(large: DataFrame, length: int, split: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Spans found while groups of contexts are halved until they are small, these small groups, and the tables behind both."""
+    key = ["gram", "lo", "hi", "core"]
+    spans, small, tables = [], [], []
+    place = F.struct("row", "row2", "pos")
+    while not large.isEmpty():
+        rows = materialize(_halved(large, length), "halves")
+        alike = rows.where("whole is not null").groupBy("gram", "lo", "hi", "whole").agg(F.count(F.lit(1)).alias("same"), F.min(place).alias("first")).where("same > 1")
+        alike = materialize(alike, "alike")
+        marked = rows.join(alike, ["gram", "lo", "hi", "whole"], "left")
+        settled = marked.where("same is not null")
+        spans.append(materialize(settled.where("n = 1").select("row", "row2", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end")), "spans"))
+        columns = [*key, "n", "row", "row2", "pos", "left", "bytes"]
+        rest = marked.where("same is null").select(*columns).unionByName(settled.where(place == F.col("first")).withColumn("n", F.lit(2).cast("long")).select(*columns))
+        rest = materialize(rest, "rest")
+        sizes = rest.groupBy(*key).agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("n1")).where("g > 1 and n1 = 1")
+        sized = materialize(rest.join(sizes.drop("n1"), key), "sized")
+        for old in (rows, alike, rest):
+            discard(old)
+        small.append(sized.where(F.col("g") <= split).drop("g"))
+        large = sized.where(F.col("g") > split).drop("g")
+        tables.append(sized)
+    return spans, small, tables
 
 
 def _cut_out(kind: str):
@@ -338,46 +366,48 @@ def _cut_out(kind: str):
     return run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """``row, start, end``: byte spans of ``rows (row long, text)`` made of repeated strings; they may overlap.
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT_CONTEXTS) -> DataFrame:
+    """``row, row2, start, end``: byte spans of ``rows (row long, row2 int, text)`` made of repeated strings; they may overlap.
 
     Rows with the same key must be equal rows.
     """
-    found = materialize(rows.where(F.octet_length("text") >= length).select("row", "text").mapInPandas(_anchor_rows(length, gram), "gram long, context long, row long, pos long"), "anchors")
+    mine = ["row", "row2"]
+    found = rows.where(F.octet_length("text") >= length).select(*mine, "text").mapInPandas(_anchor_rows(length, gram), "gram long, context long, row long, row2 int, pos int")
+    found = materialize(found, "anchors")
     shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
     shared = materialize(shared.select("gram", (F.col("c0") == F.col("c1")).alias("single")), "grams")
     repeats = materialize(found.join(shared, "gram"), "repeats")
     discard(found)
     several = repeats.where("not single")
-    classes = several.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "pos")).alias("first"))
+    classes = several.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*mine, "pos")).alias("first"))
     classes = materialize(classes.select("gram", "context", "n", "first.*"), "classes")
-    whole = repeats.where("single").select("row", "pos").unionByName(several.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"]).select("row", "pos"))
-    spans = whole.select("row", F.greatest(F.col("pos") - (length - gram), F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))
-
-    wanted = classes.groupBy("row").agg(F.collect_list(F.struct("gram", "n", "pos")).alias("wanted"))
-    contexts = rows.select("row", "text").join(wanted, "row").mapInPandas(_cut_contexts(length, gram), "gram long, n long, row long, pos long, left long, bytes binary")
-    contexts = materialize(contexts, "contexts")
-    per_gram = classes.groupBy("gram").count()
-    hot_grams = materialize(per_gram.where(F.col("count") > hot).select("gram"), "hot_grams")
-    any_hot = not hot_grams.isEmpty()
-    hint = F.broadcast if hot_grams.count() <= 100_000 else (lambda df: df)
-    usual = contexts.join(hint(hot_grams), "gram", "left_anti") if any_hot else contexts
+    whole = repeats.where("single").select(*mine, "pos").unionByName(several.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"]).select(*mine, "pos"))
+    spans = whole.select(*mine, F.greatest(F.col("pos") - (length - gram), F.lit(0)).alias("start"), (F.col("pos") + length).alias("end")).distinct()
+
+    wanted = classes.groupBy(*mine).agg(F.collect_list(F.struct("gram", "n", "pos")).alias("wanted"))  # the anchors of one text
+    once = rows.groupBy(*mine).agg(F.first("text").alias("text"))  # equal rows combine before they are shuffled
+    contexts = once.join(wanted, mine).mapInPandas(_cut_contexts(length, gram), _CONTEXT)
+    contexts = materialize(contexts.withColumns({"lo": F.lit(0), "hi": F.lit(length - gram), "core": F.lit(b"")}), "contexts")
+    large = materialize(classes.groupBy("gram").count().where(F.col("count") > split).select("gram"), "large_grams")
+    usual, tables = contexts, []
+    if not large.isEmpty():
+        hint = F.broadcast if large.count() <= 100_000 else (lambda df: df)
+        settled, small, tables = _apart(contexts.join(hint(large), "gram", "left_semi"), length, split)
+        usual = contexts.join(hint(large), "gram", "left_anti")
+        for part in settled:
+            spans = spans.unionByName(part)
+        for part in small:
+            usual = usual.unionByName(part)
     n_groups = max(1, -(-classes.count() // TASK_CONTEXTS))
-    sorted_spans = usual.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(n_groups))).groupBy("bucket").applyInPandas(_sort_group(length, gram), "row long, start long, end long")
-    spans = spans.unionByName(sorted_spans)
-    if any_hot:
-        strings = contexts.join(hint(hot_grams), "gram", "left_semi").dropDuplicates(["row", "pos"]).mapInPandas(_strings(length, gram), "h1 long, h2 long, n long, row long, pos long, back int")
-        strings = materialize(strings, "strings")
-        twice = strings.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-        extents = strings.where("n = 1").join(twice, ["h1", "h2"]).groupBy("row", "pos").agg(F.max("back").alias("high"), F.min("back").alias("low"))
-        spans = spans.unionByName(extents.select("row", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")))
-    done = materialize(spans, "spans")
-    for old in (shared, repeats, classes, contexts):
+    bucket = F.pmod(F.xxhash64("gram", "lo", "hi", "core"), F.lit(n_groups))
+    sorted_spans = usual.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_sort_group(length), "row long, row2 int, start long, end long")
+    done = materialize(spans.unionByName(sorted_spans), "spans")
+    for old in (shared, repeats, classes, contexts, large, *tables):
         discard(old)
     return done
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", hot: int = HOT_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", split: int = SPLIT_CONTEXTS) -> DataFrame:
     """``doc_id, kept (binary), n_bytes, n_removed, n_spans, kept_sha256`` for every input row.
 
     A null text is empty.  Rows repeated with the same id repeat each other like any others.
@@ -385,10 +415,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     Only the two named columns are read.
     """
     own = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), own.alias("text"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), own).alias("row"))
-    spans = repeated_spans(rows, length, gram, hot).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    id_text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), own.alias("text"), F.xxhash64(id_text, own).alias("row"), F.hash(own, id_text).alias("row2"))  # 96 bits
+    spans = repeated_spans(rows, length, gram, split).distinct().groupBy("row", "row2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     run, schema = _cut_out(docs.schema[doc_id].dataType.simpleString())
-    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInPandas(run, schema)
+    return rows.join(spans, ["row", "row2"], "left").select("doc_id", "text", "spans").mapInPandas(run, schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

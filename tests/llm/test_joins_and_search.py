@@ -170,11 +170,22 @@ def test_suffix_dedup_of_spliced_texts(spark):
     rows = [(i, "".join(pool[int(k)][int(rng.integers(0, 30)) : int(rng.integers(50, 90))] for k in rng.integers(0, 12, int(rng.integers(0, 12))))) for i in range(120)]
     want = {i: w for (i, _), w in zip(rows, brute_repeats([t for _, t in rows], 40))}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot in (3000, 2):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, 40, 12, hot=hot).collect()}
+    for split in (3000, 2):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, 40, 12, split=split).collect()}
         assert got == want
 
 
+def test_suffix_dedup_of_copies_lists_each_span_once(spark, monkeypatch):
+    text = "".join(np.random.default_rng(3).choice(list("abcdefgh "), 4000))
+    docs = spark.createDataFrame([(1, text)] * 40 + [(2, text[:2000])], "doc_id long, text string")
+    seen = []
+    whole = suffix_dedup.repeated_spans
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda *a: (seen.append(whole(*a)), seen[-1])[1])
+    got = {(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {(1, 4000, 4000), (2, 2000, 2000)}
+    assert seen[0].count() < 200
+
+
 def test_long_texts_are_scanned_in_segments():
     rng = np.random.default_rng(7)
     raw = rng.integers(97, 101, 5000, dtype=np.uint8).tobytes()
