@@ -214,9 +214,20 @@ def brute_search(ids, x, query_ids, k):
     return out
 
 
+def test_search_beyond_the_range_of_doubles(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 1.0]), (2, [-1e300, 1.0]), (3, [1.0, 1.0]), (4, [1e-300, 0.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [1, 3, 4, 2]
+
+
+def test_leaves_share_blocks_and_large_ones_have_several():
+    first, parts = ann.deal_blocks({0: 3, 1: 4, 2: 25, 3: 1, 5: 9}, 6, 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 4] and parts.tolist() == [1, 1, 3, 1, 1, 1]
+
+
 def test_search_recall_and_order(spark):
-    got = ann.op6_ann_search(spark, f"{TESTDATA}/sf0.001").toPandas()
-    table = spark.read.parquet(f"{TESTDATA}/sf0.001/embeddings.parquet").toPandas()
+    got = ann.op6_ann_search(spark, f"{TESTDATA}/sf0.01").toPandas()
+    table = spark.read.parquet(f"{TESTDATA}/sf0.01/embeddings.parquet").toPandas()
     want = brute_search(table.vec_id.to_numpy(), np.stack(table.embedding).astype(float), [i for i in table.vec_id if i % 20 == 0], 20)
     found = got.sort_values(["query_id", "rank"]).groupby("query_id")["vec_id"].apply(list).to_dict()
     assert np.mean([len(set(found[q]) & set(w)) / len(w) for q, w in want.items()]) >= 0.9
@@ -227,7 +238,7 @@ def test_search_edge_cases(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 2), (2, [0.5, 0.5], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [None, 1.0], 1), (7, [float("inf"), 1.0], 1), (8, [1.0], 1), (None, [1.0, 1.0], 1), (20, [0.0, 1.0], 1), (40, None, 1)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf int")
     got = ann.search(vectors, F.col("vec_id") % 20 == 0).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 1.0), (0, 2, 2, 0.5), (0, 3, 20, 0.0), (20, 1, 2, 0.5), (20, 2, 0, 0.0), (20, 3, 1, 0.0)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 0.5), (0, 4, 20, 0.0), (20, 1, 2, 0.5), (20, 2, 0, 0.0), (20, 3, 1, 0.0), (20, 4, 1, 0.0)]
     assert ann.search(vectors.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
