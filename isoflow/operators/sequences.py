@@ -97,9 +97,10 @@ def motif_ttest(table: DataFrame, motifs, value: str, seq: str = "seq") -> DataF
 def substitutions(designs: DataFrame, parents: DataFrame, key: str = "parent") -> DataFrame:
     """Positions (from 1) at which a design differs from its parent of the same length."""
     both = designs.join(parents.select(key, F.col("seq").alias("parent_seq")), key).where(F.length("seq") == F.length("parent_seq"))
-    place = F.explode(F.filter(F.sequence(F.lit(1), F.greatest(F.length("seq"), F.lit(1))), lambda i: F.substr("seq", i, F.lit(1)) != F.substr("parent_seq", i, F.lit(1))))
-    rows = both.select(*designs.columns, "parent_seq", place.alias("position"))
-    return rows.select(*[c for c in designs.columns if c != "seq"], "position", F.substr("parent_seq", F.col("position"), F.lit(1)).alias("from_base"), F.substr("seq", F.col("position"), F.lit(1)).alias("to_base"))
+    bases = F.arrays_zip(F.split("parent_seq", "").alias("from_base"), F.split("seq", "").alias("to_base"))
+    kept = [c for c in designs.columns if c != "seq"]
+    rows = both.select(*kept, F.posexplode(bases).alias("place", "b")).where("b.from_base <> b.to_base")
+    return rows.select(*kept, (F.col("place") + 1).alias("position"), "b.from_base", "b.to_base")
 
 
 def substitution_profile(subs: DataFrame, n_designs: int) -> DataFrame:

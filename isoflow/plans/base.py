@@ -38,5 +38,10 @@ def ctes(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({derive.sql(texts[n])})" for n in names)
 
 
+def pieces_cte(size: int) -> str:
+    """The table ``pieces (doc_id, lang, piece, seq)`` after ``sequences``."""
+    return f", pieces AS ({derive.PIECES_DUCKDB.format(size=size)})"
+
+
 PSI_CTE = ", psi AS (SELECT *, included / (included + skipped)::DOUBLE AS psi FROM psi_counts WHERE included + skipped >= 30)"
 MEANS_CTE = PSI_CTE + ", means AS (SELECT event, condition, avg(psi) AS psi FROM psi GROUP BY ALL HAVING count(psi) >= 2)"

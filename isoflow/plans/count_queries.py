@@ -290,8 +290,12 @@ def min_max(spark, d):
     return rounded(P.min_max(means(spark, d), "event", "psi"))
 
 
-@query(ctes("psi_counts") + PSI_CTE + """, r AS (SELECT *, rank() OVER (PARTITION BY sample ORDER BY psi) + (count(*) OVER (PARTITION BY sample, psi) - 1) / 2 AS k, count(*) OVER (PARTITION BY sample) AS n FROM psi),
- p AS (SELECT *, floor((k - 1) * 1000 / n) AS place FROM r), m AS (SELECT place, avg(psi) AS normalised FROM p GROUP BY place)
- SELECT sample, event, round(psi + 1e-10, 6) AS psi, round(normalised + 1e-10, 6) AS normalised FROM p JOIN m USING (place)""")
+@query(ctes("psi_counts") + PSI_CTE + """, s AS (SELECT sample, list(psi ORDER BY psi) AS v, count(*) AS n FROM psi GROUP BY sample), top AS (SELECT max(n) AS t FROM s),
+ g AS (SELECT sample, v, n, t, j, CASE WHEN t > 1 THEN j * (n - 1) // (t - 1) ELSE 0 END AS k FROM s, top, range(0, (SELECT t FROM top)) r(j)),
+ m AS (SELECT j, avg(v[k + 1] + CASE WHEN t > 1 AND k + 2 <= n THEN (j * (n - 1) / (t - 1)::DOUBLE - k) * (v[k + 2] - v[k + 1]) ELSE 0 END) AS mean FROM g GROUP BY j),
+ r AS (SELECT sample, event, psi, n, t, (rank() OVER (PARTITION BY sample ORDER BY psi) - 1) * 2 + count(*) OVER (PARTITION BY sample, psi) - 1 AS r2 FROM psi JOIN s USING (sample), top),
+ p AS (SELECT *, CASE WHEN n > 1 THEN r2 * (t - 1) ELSE t - 1 END AS up, CASE WHEN n > 1 THEN 2 * (n - 1) ELSE 2 END AS den FROM r)
+ SELECT sample, event, round(psi + 1e-10, 6) AS psi, round(a.mean + coalesce((up % den) / den::DOUBLE * (b.mean - a.mean), 0) + 1e-10, 6) AS normalised
+ FROM p JOIN m a ON a.j = up // den LEFT JOIN m b ON b.j = up // den + 1""")
 def quantile_normalise(spark, d):
     return rounded(P.quantile_normalise(P.psi(psi_table(spark, d))).select("sample", "event", "psi", "normalised"), nudge=1e-10)

@@ -56,14 +56,13 @@ SELECT user_id AS well, event_type AS channel, value AS area,
 _LETTERS_SPARK = "regexp_replace(lower(text),'[^a-z]','')"
 _LETTERS_DUCKDB = "regexp_replace(lower(text),'[^a-z]','','g')"
 _SEQUENCES = """
-SELECT doc_id, lang, source,
-  substr(translate(upper(<letters>),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','ACGTACGTACGTACGTACGTACGTAC'),1,200) AS seq
-FROM {documents}"""
-SEQUENCES_SPARK = """
-SELECT doc_id, lang, source,
-  translate(upper(<letters>),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','ACGTACGTACGTACGTACGTACGTAC') AS seq
-FROM {documents}""".replace("<letters>", _LETTERS_SPARK)  # whole texts; the DuckDB form still holds the first 200 letters
+SELECT doc_id, lang, source, translate(upper(<letters>),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','ACGTACGTACGTACGTACGTACGTAC') AS seq
+FROM {documents}"""  # whole texts
+SEQUENCES_SPARK = _SEQUENCES.replace("<letters>", _LETTERS_SPARK)
 SEQUENCES_DUCKDB = _SEQUENCES.replace("<letters>", _LETTERS_DUCKDB)
+PIECES_DUCKDB = """
+SELECT doc_id, lang, CAST(w AS INT) AS piece, substr(seq, w * {size} + 1, {size}) AS seq
+FROM (SELECT doc_id, lang, seq, unnest(range(0, CAST(ceil(len(seq) / {size}.0) AS BIGINT))) AS w FROM sequences)"""  # consecutive windows of every sequence
 
 NATION = "SELECT n_nationkey AS condition, n_name AS name, n_regionkey AS lineage FROM {nation}"
 

@@ -12,12 +12,13 @@ from isoflow.operators import psi as P
 from isoflow.operators import reads as R
 from isoflow.operators import sequences as S
 from isoflow.plans import derive
-from isoflow.plans.base import MEANS_CTE, PSI_CTE, ctes, query, rounded
+from isoflow.plans.base import MEANS_CTE, PSI_CTE, ctes, pieces_cte, query, rounded
 from isoflow.plans.count_queries import counts, means, psi_table
 from isoflow.plans.sequence_queries import pieces
 
-REGIONS = "SELECT doc_id, CAST(doc_id % 7 - 3 AS INT) AS up_off, CAST(doc_id % 5 - 2 AS INT) AS down_off, substr(seq, 1, 60) AS up_intron, substr(seq, 61, 50) AS exon, substr(seq, 111, 60) AS down_intron FROM s WHERE length(seq) = 200"
-_REGIONS = ctes("sequences") + ", r AS (" + REGIONS.replace("FROM s ", "FROM sequences ") + "), w AS (SELECT *, concat(up_intron, exon, down_intron) AS z, 60 + up_off AS a, 110 + down_off AS b FROM r)"
+_REGIONS = ctes("sequences") + pieces_cte(170) + """, r AS (SELECT doc_id, piece, seq AS z, CAST(doc_id % 7 - 3 AS INT) AS up_off, CAST(doc_id % 5 - 2 AS INT) AS down_off, least(len(seq), 60) AS a0, least(len(seq), 110) AS b0 FROM pieces),
+ w AS (SELECT *, a0 + up_off AS a, b0 + down_off AS b, len(z) AS n, a0 + up_off >= 0 AND b0 + down_off >= a0 + up_off AND b0 + down_off <= len(z) AS fits FROM r),
+ v AS (SELECT doc_id, piece, CASE WHEN fits THEN substr(z, 1, a) END AS adj_up, CASE WHEN fits THEN substr(z, a + 1, b - a) END AS adj_exon, CASE WHEN fits THEN substr(z, b + 1, n - b) END AS adj_down FROM w)"""
 
 
 def regions(spark, d):
@@ -27,12 +28,13 @@ def regions(spark, d):
     return pieces(spark, d, 170).select("doc_id", "window", *offsets, part(1, 60, "up_intron"), part(61, 50, "exon"), part(111, 60, "down_intron"))
 
 
-@query(_REGIONS + " SELECT doc_id, substr(z, 1, a) AS adj_up, substr(z, a + 1, b - a) AS adj_exon, substr(z, b + 1, 170 - b) AS adj_down FROM w")
+@query(_REGIONS + ' SELECT doc_id, piece AS "window", adj_up, adj_exon, adj_down FROM v')
 def adjusted_regions(spark, d):
     return D.adjusted_regions(regions(spark, d)).select("doc_id", "window", "adj_up", "adj_exon", "adj_down")
 
 
-@query(_REGIONS + " SELECT doc_id, substr(z, a - 19, 23) AS motif_3ss, substr(z, b - 2, 9) AS motif_5ss FROM w")
+@query(_REGIONS + """, m AS (SELECT doc_id, piece, concat(right(adj_up, 20), left(adj_exon, 3)) AS t, concat(right(adj_exon, 3), left(adj_down, 6)) AS f FROM v)
+ SELECT doc_id, piece AS "window", CASE WHEN len(t) = 23 THEN t END AS motif_3ss, CASE WHEN len(f) = 9 THEN f END AS motif_5ss FROM m""")
 def splice_motifs(spark, d):
     return D.splice_motifs(D.adjusted_regions(regions(spark, d))).select("doc_id", "window", "motif_3ss", "motif_5ss")
 
@@ -129,12 +131,15 @@ def parse_names(spark, d):
     return derive.load(spark, d, DESIGN_NAMES).select("k", "line", category.alias("category"), number.alias("number"), position.alias("position"), nucleotide.alias("nucleotide"))
 
 
+# The constant sequences beside the barcode.
 A1, A2 = "TTGCTAGGACCGGCCTTAAAGC", "CTACTTA"
-R2 = f"SELECT CAST(doc_id AS STRING) AS read_id, CASE WHEN doc_id % 3 = 0 THEN concat(substr(seq, 1, 10), '{A1}', substr(seq, 11, 14), '{A2}', substr(seq, 25, 30)) ELSE seq END AS seq FROM s WHERE length(seq) >= 100"
 
 
-@query(ctes("sequences") + ", r AS (" + R2.replace("FROM s ", "FROM sequences ") + f"""), wl AS (SELECT DISTINCT substr(seq, 11, 14) AS cb FROM sequences WHERE length(seq) >= 100 AND doc_id % 2 = 0)
- SELECT read_id, substr(seq, 33, 14) AS cb, substr(seq, 1, 10) AS umi FROM r WHERE hamming(substr(seq, 11, 22), '{A1}') <= 2 AND hamming(substr(seq, 47, 7), '{A2}') <= 1 AND substr(seq, 33, 14) IN (SELECT cb FROM wl)""")
+@query(ctes("sequences") + pieces_cte(54) + f""", r AS (SELECT concat_ws('_', doc_id, piece) AS read_id,
+  CASE WHEN doc_id % 3 = 0 THEN concat(substr(seq, 1, 10), '{A1}', substr(seq, 11, 14), '{A2}', substr(seq, 25, 30)) ELSE seq END AS seq FROM pieces),
+ f AS (SELECT *, substr(seq, 11, 22) AS one, substr(seq, 47, 7) AS two FROM r), l AS (SELECT DISTINCT substr(seq, 11, 14) AS cb FROM pieces WHERE doc_id % 2 = 0 AND len(seq) >= 24)
+ SELECT read_id, substr(seq, 33, 14) AS cb, substr(seq, 1, 10) AS umi FROM f WHERE len(one) = 22 AND len(two) = 7
+ AND CASE WHEN len(one) = 22 THEN hamming(one, '{A1}') <= 2 END AND CASE WHEN len(two) = 7 THEN hamming(two, '{A2}') <= 1 END AND substr(seq, 33, 14) IN (SELECT cb FROM l)""")
 def extract_umi(spark, d):
     """Every window of 54 bases is a read; each third document's are given anchors."""
     s = pieces(spark, d, 54)
@@ -145,32 +150,84 @@ def extract_umi(spark, d):
     return ok.select("read_id", "cb", "umi")
 
 
+# The constant parts of the made-up construct.
+CONSTRUCT = R.Construct("GGCATTCGATCCTAGGTTCA", "GTAAGTCCGATTACGCAGGTCATTGACCTGATCGGATTCA", "CCTTGGAACTGATCGTTACGTTCAGGATCCAAGTTC", "TTTCTCTCTTTCAGGACTGA")
+KINDS = 8
+"""Reads of a window in turn: included, shifted, skipped, two bases before the site, foreign, unspliced, at another site, without a site."""
+
+
 def _called(spark, d):
-    """Reads put together from the sequences: every element is read as included, shifted, skipped, unspliced or foreign."""
+    """Reads put together from windows of 174 bases; the barcodes of windows that no element has are unknown."""
+    c = CONSTRUCT
     s = pieces(spark, d, 174).withColumn("id", F.concat_ws("_", "doc_id", "window"))
     first = F.struct("doc_id", "window")
-    lib = s.groupBy(F.substring("seq", 1, 14).alias("cb")).agg(F.min_by("seq", first).alias("q"), F.min_by("id", first).alias("idx"))
+    lib = s.where("doc_id % 11 <> 0").groupBy(F.substring("seq", 1, 14).alias("cb")).agg(F.min_by("seq", first).alias("q"), F.min_by("id", first).alias("idx"))
     library = lib.select("cb", "idx", F.substring("q", 20, 30).alias("up_intron"), F.substring("q", 50, 45).alias("exon"), F.substring("q", 95, 30).alias("down_intron"))
-    c = R.Construct("GGCATTCGATCCTAGGTTCA", "GTAAGTCCGATTACGCAGGTCATTGACCTGATCGGATTCA", "CCTTGGAACTGATCGTTACG", "TTTCTCTCTTTCAGGACTGA")
-    kind = F.pmod(F.xxhash64("read_id"), F.lit(5))
-    reads = s.select(F.col("id").alias("read_id"), F.substring("seq", 1, 14).alias("cb"), F.substring("seq", 15, 5).alias("umi"), F.substring("seq", 50, 45).alias("exon"), F.substring("seq", 130, 45).alias("other"))
-    middle = F.when(kind == 0, F.col("exon")).when(kind == 1, F.expr("substr(exon, 3)")).when(kind == 2, F.lit("")).when(kind == 3, F.col("other"))
-    seq = F.when(kind == 4, F.concat(F.lit(c.upstream_anchor), F.lit(c.intron[3:]))).otherwise(F.concat(F.lit(c.upstream_anchor), middle, F.lit(c.downstream_anchor)))
-    return R.call_events(reads.select("read_id", "cb", "umi", seq.alias("seq")), library, c)
-
-
-@query()
+    kind = (F.col("doc_id") + F.col("window")) % KINDS
+    exon, end = F.substring("seq", 50, 45), F.lit(c.downstream_exon)
+    other = F.concat(F.lit(c.const_intron), F.lit(c.downstream_exon[5:]))
+    rest = (
+        F.when(kind == 0, F.concat(exon, end)).when(kind == 1, F.concat(F.substring("seq", 52, 41), end)).when(kind == 2, end).when(kind == 3, F.concat(F.lit("AC"), end))
+        .when(kind == 4, F.concat(F.substring("seq", 130, 45), end)).when(kind == 5, F.lit(c.intron[3:])).when(kind == 6, F.concat(exon, other)).otherwise(exon)
+    )
+    seq = F.concat(F.substring("seq", 20, 6), F.lit(c.upstream_anchor), rest)
+    reads = s.select(F.col("id").alias("read_id"), F.substring("seq", 1, 14).alias("cb"), F.substring("seq", 15, 5).alias("umi"), seq.alias("seq"))
+    return R.call_events(reads, library, c)
+
+
+def _called_sql() -> str:
+    """The same in SQL: anchors stand where they were put; an insert that is not found exactly is sought with one edit at every place."""
+    c = CONSTRUCT
+    sites = " ".join(f"WHEN contains(rest, '{seq}') THEN {offset}" for offset, seq in c.alternative_sites())
+    at = " ".join(f"WHEN contains(rest, '{seq}') THEN instr(rest, '{seq}') - 1" for _, seq in c.alternative_sites())
+    n = len(c.upstream_anchor)
+    return ctes("sequences") + pieces_cte(174) + f""", s AS (SELECT *, concat_ws('_', doc_id, piece) AS id, substr(seq, 1, 14) AS cb, (doc_id + piece) % {KINDS} AS kind FROM pieces),
+ lib AS (SELECT cb, arg_min(id, (doc_id, piece)) AS idx, arg_min(seq, (doc_id, piece)) AS q FROM s WHERE doc_id % 11 <> 0 GROUP BY cb),
+ made AS (SELECT id, cb, substr(seq, 15, 5) AS umi, concat(substr(seq, 20, 6), '{c.upstream_anchor}', CASE kind WHEN 0 THEN concat(substr(seq, 50, 45), '{c.downstream_exon}')
+   WHEN 1 THEN concat(substr(seq, 52, 41), '{c.downstream_exon}') WHEN 2 THEN '{c.downstream_exon}' WHEN 3 THEN 'AC{c.downstream_exon}' WHEN 4 THEN concat(substr(seq, 130, 45), '{c.downstream_exon}')
+   WHEN 5 THEN '{c.intron[3:]}' WHEN 6 THEN concat(substr(seq, 50, 45), '{c.const_intron}{c.downstream_exon[5:]}') ELSE substr(seq, 50, 45) END) AS read FROM s),
+ cut AS (SELECT made.*, idx, substr(read, instr(read, '{c.upstream_anchor}') + {n}) AS rest, concat(substr(q, 20, 30), substr(q, 50, 45), substr(q, 95, 30), '{c.const_intron}') AS ref,
+   len(substr(q, 20, 30)) AS n1, len(substr(q, 50, 45)) AS n2 FROM made LEFT JOIN lib USING (cb)),
+ site AS (SELECT *, CASE WHEN len(rest) > 0 THEN instr('{c.intron}', substr(rest, 1, {c.probe})) - 1 ELSE -1 END AS intron,
+   CASE WHEN contains(rest, '{c.downstream_exon[: c.probe]}') THEN 0 {sites} END AS const, CASE WHEN contains(rest, '{c.downstream_exon[: c.probe]}') THEN instr(rest, '{c.downstream_exon[: c.probe]}') - 1 {at} END AS start FROM cut),
+ mid AS (SELECT *, substr(rest, 1, start) AS middle, instr(ref, substr(rest, 1, start)) - 1 AS exact FROM site),
+ near AS (SELECT id, min({{'d': levenshtein(substr(ref, i + 1, len(middle) + e), middle), 'b': i, 'e': i + len(middle) + e}}) AS h FROM mid, range(0, 200) t(i), (SELECT unnest([-1, 0, 1]) AS e)
+   WHERE idx IS NOT NULL AND intron < 0 AND start > 2 AND exact < 0 AND len(middle) > {c.probe} AND i + len(middle) + e <= len(ref) AND levenshtein(substr(ref, i + 1, len(middle) + e), middle) <= 1 GROUP BY id),
+ got AS (SELECT mid.*, CASE WHEN exact >= 0 THEN exact ELSE coalesce(h.b, -1) END AS hit, CASE WHEN exact >= 0 THEN exact + len(middle) ELSE h.e END AS till FROM mid LEFT JOIN near USING (id)),
+ oc AS (SELECT *, CASE WHEN idx IS NULL THEN 'bc_not_found' WHEN intron >= 0 THEN 'UNSPLICED' WHEN start IS NULL THEN 'no_downstream' WHEN start <= 2 THEN 'SKIPPED' WHEN hit < 0 THEN 'chimera' ELSE 'INCLUDED' END AS outcome FROM got),
+ called AS (SELECT id AS read_id, cb, umi, idx, outcome, CAST(CASE outcome WHEN 'UNSPLICED' THEN intron WHEN 'INCLUDED' THEN hit - n1 END AS INT) AS up_off,
+   CAST(CASE outcome WHEN 'INCLUDED' THEN till - n1 - n2 END AS INT) AS down_off, CAST(CASE WHEN outcome IN ('SKIPPED', 'INCLUDED') THEN const END AS INT) AS const_off,
+   CAST(CASE WHEN outcome IN ('SKIPPED', 'INCLUDED') THEN len(middle) END AS INT) AS insert_size FROM oc)"""
+
+
+@query(_called_sql() + " SELECT * FROM called")
 def call_events(spark, d):
-    """Outcome of every read; the search has no SQL twin (tested on constructed reads)."""
+    """Outcome and offsets of every read (searches with edits are tested on constructed reads)."""
     return _called(spark, d)
 
 
-@query()
+@query(_called_sql() + """, e AS (SELECT *, outcome IN ('INCLUDED', 'SKIPPED', 'UNSPLICED') AS event, outcome IN ('INCLUDED', 'chimera') AS inc FROM called),
+ a AS (SELECT count(*) AS total_reads, count(*) FILTER (event OR outcome = 'chimera') AS total_aligned_reads,
+  (SELECT count(*) FROM (SELECT DISTINCT idx, outcome, up_off, down_off, const_off, insert_size, cb, umi FROM e WHERE event)) AS total_umi_count, count(*) FILTER (outcome = 'bc_not_found') AS bc_not_found,
+  count(*) FILTER (outcome = 'SKIPPED') AS skipped_reads, count(*) FILTER (outcome = 'chimera') AS chimera_reads, count(*) FILTER (outcome = 'UNSPLICED' AND up_off = 0) AS unspliced_counter,
+  count(*) FILTER (outcome = 'UNSPLICED' AND up_off <> 0) AS minor_splice_counter, count(*) FILTER (outcome = 'INCLUDED' AND up_off = 0 AND down_off = 0) AS perfect_middle_exon,
+  count(*) FILTER (outcome = 'INCLUDED') AS everything_passed_with_middle_exon, count(*) FILTER (inc) AS inc FROM e)
+ SELECT a.* EXCLUDE (inc), round(total_umi_count / total_aligned_reads::DOUBLE, 6) AS duplication_rate, round(bc_not_found / total_reads::DOUBLE, 6) AS perc_bc_not_found, round(chimera_reads / inc::DOUBLE, 6) AS perc_chimera_reads FROM a""")
 def run_stats(spark, d):
-    """Run statistics of the called reads."""
+    """The thirteen statistics of the called reads."""
     return rounded(R.run_stats(_called(spark, d)))
 
 
+_MOLECULES = pieces_cte(100) + """, m AS (SELECT lang AS idx, substr(seq, 1, 4) AS cb, substr(seq, 5, 2) AS umi, seq FROM pieces), g AS (SELECT *, instr(seq, 'CATG') AS b FROM m),
+ h AS (SELECT *, instr(substr(seq, b + 4), 'GTAC') - 1 AS length FROM g WHERE b > 0), c AS (SELECT idx, cb, umi, length, count(*) AS n FROM h WHERE length >= 0 GROUP BY ALL)"""
+
+
+@query(ctes("sequences") + _MOLECULES + " SELECT idx, cb, umi, CAST(arg_min(length, (-n, length)) AS INT) AS length, CAST(sum(n) AS BIGINT) AS reads FROM c GROUP BY ALL")
+def insertion_lengths(spark, d):
+    reads = pieces(spark, d, 100).select(F.col("lang").alias("idx"), F.substring("seq", 1, 4).alias("cb"), F.substring("seq", 5, 2).alias("umi"), "seq")
+    return R.insertion_lengths(reads, "CATG", "GTAC")
+
+
 @query(ctes("psi_counts") + ", p AS (SELECT condition, event, array_to_string(list(included ORDER BY sample), ',') AS i FROM psi_counts GROUP BY ALL) SELECT condition, event, CAST(list_sum(list_transform(string_split(i, ','), lambda x: TRY_CAST(x AS DOUBLE))) AS DOUBLE) AS total FROM p")
 def unpack_lists(spark, d):
     packed = K.pack_replicates(psi_table(spark, d), ("condition", "event"), min_length=0).select("condition", "event", F.array_join("included", ",").alias("i"))

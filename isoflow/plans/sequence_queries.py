@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from isoflow.functions import keys as N
@@ -9,7 +10,7 @@ from isoflow.functions import sequences as Q
 from isoflow.operators import sequences as S
 from isoflow.operators import stats as T
 from isoflow.plans import derive
-from isoflow.plans.base import MEANS_CTE, ctes, query, rounded
+from isoflow.plans.base import MEANS_CTE, ctes, pieces_cte, query, rounded
 from isoflow.plans.count_queries import counts, means
 
 
@@ -96,8 +97,9 @@ def motif_ttest(spark, d):
     return rounded(S.motif_ttest(seqs(spark, d).join(chars, "doc_id"), MOTIFS, "x"))
 
 
-_SUBS = """, par AS (SELECT lang AS parent, arg_min(seq, doc_id) AS pseq FROM sequences WHERE len(seq) = 200 GROUP BY lang),
- sub AS (SELECT doc_id, lang AS parent, i AS position, substr(pseq, i, 1) AS from_base, substr(seq, i, 1) AS to_base FROM sequences JOIN par ON lang = parent, range(1, 201) t(i) WHERE len(seq) = 200 AND substr(pseq, i, 1) <> substr(seq, i, 1))"""
+_SUBS = pieces_cte(200) + """, par AS (SELECT lang AS parent, arg_min(seq, (-len(seq), doc_id, piece)) AS pseq FROM pieces GROUP BY lang),
+ sub AS (SELECT doc_id, piece, lang AS parent, i AS position, substr(pseq, i, 1) AS from_base, substr(seq, i, 1) AS to_base
+ FROM pieces JOIN par ON lang = parent, range(1, 201) t(i) WHERE i <= len(seq) AND substr(pseq, i, 1) <> substr(seq, i, 1))"""
 
 
 def subs(spark, d):
@@ -109,12 +111,12 @@ def subs(spark, d):
     return S.substitutions(each, parents, "key").drop("key")
 
 
-@query(ctes("sequences") + _SUBS + " SELECT doc_id, parent, CAST(position AS INT) AS position, from_base, to_base FROM sub")
+@query(ctes("sequences") + _SUBS + ' SELECT doc_id, piece AS "window", parent, CAST(position AS INT) AS position, from_base, to_base FROM sub')
 def substitutions(spark, d):
     return subs(spark, d)
 
 
-@query(ctes("sequences") + _SUBS + " SELECT CAST(position AS INT) AS position, to_base, round(count(*) / 1000.0::DOUBLE, 6) AS share FROM sub GROUP BY ALL")
+@query(ctes("sequences") + _SUBS + " SELECT CAST(position AS INT) AS position, to_base, round(count(*) / (SELECT count(*) FROM pieces)::DOUBLE, 6) AS share FROM sub GROUP BY position, to_base")
 def substitution_profile(spark, d):
     return rounded(S.substitution_profile(subs(spark, d), pieces(spark, d, 200).count()))
 
@@ -137,19 +139,33 @@ def min_edit_distance(spark, d):
     return S.min_edit_distance(s, s.where("doc_id % 40 = 0"), 15).drop("seq").withColumn("distance", F.col("distance").cast("long"))
 
 
-@query(ctes("sequences") + " SELECT doc_id, CAST(len(seq) AS INT) AS n, [list_transform(string_split(substr(seq, 1, 5), ''), lambda b: CASE WHEN b = 'A' THEN 1 ELSE 0 END)][1] AS a FROM sequences WHERE len(seq) >= 5")
-def one_hot(spark, d):
-    """All four lanes of every base; no rows of the encoding for an empty text."""
-    s = seqs(spark, d)
-    lanes = F.when(F.length("seq") > 0, Q.one_hot(F.col("seq"))).when(F.length("seq") == 0, F.array().cast("array<array<int>>"))
-    return s.select("doc_id", F.length("seq").alias("n"), lanes.alias("encoding"))
+_LANES = ", ".join(f"translate(seq, 'ACGT', '{''.join('01'[b == c] for c in 'ACGT')}') AS {b.lower()}" for b in "ACGT")
 
 
-@query(ctes("sequences") + """, p AS (SELECT doc_id, seq, substr(seq, 31, 20) AS probe FROM sequences WHERE len(seq) >= 60) SELECT doc_id, 0 AS distance, CAST(instr(seq, probe) - 1 AS INT) AS start, CAST(instr(seq, probe) + 19 AS INT) AS stop FROM p""")
+@query(ctes("sequences") + f" SELECT doc_id, CAST(len(seq) AS INT) AS n, {_LANES} FROM sequences")
+def one_hot(spark, d):
+    """The lanes of all bases of every whole text, each as a string of 0 and 1."""
+    s = seqs(spark, d).withColumn("encoding", Q.one_hot(F.col("seq")))
+    lane = lambda k: F.when(F.length("seq") > 0, F.array_join(F.transform("encoding", lambda r: F.get(r, F.lit(k)).cast("string")), "")).otherwise(F.substring("seq", 1, 0))
+    return s.select("doc_id", F.length("seq").alias("n"), *[lane(k).alias(b) for k, b in enumerate("acgt")])
+
+
+@query(ctes("sequences") + pieces_cte(120) + """, p AS (SELECT doc_id, piece, lang, seq, concat(substr(seq, 31, 9), translate(substr(seq, 40, 1), 'ACGT', 'CGTA'), substr(seq, 41, 10)) AS own,
+  lag(substr(seq, 31, 20)) OVER (PARTITION BY doc_id ORDER BY piece) AS other FROM pieces WHERE len(seq) >= 60),
+ u AS (SELECT doc_id, piece, seq, 'own' AS kind, own AS probe FROM p UNION ALL SELECT doc_id, piece, seq, 'other', other FROM p WHERE other IS NOT NULL),
+ w AS (SELECT doc_id, piece, kind, levenshtein(substr(seq, i + 1, 20 + e), probe) AS distance, i AS start, i + 20 + e AS stop FROM u, range(0, 102) t(i), (SELECT unnest([-1, 0, 1]) AS e)
+  WHERE i + 20 + e <= len(seq) AND (contains(seq, substr(probe, 1, 10)) OR contains(seq, substr(probe, 11, 10)))),
+ b AS (SELECT doc_id, piece, kind, min({'distance': distance, 'start': start, 'stop': stop}) AS h FROM w WHERE distance <= 1 GROUP BY ALL)
+ SELECT u.doc_id, u.piece AS "window", u.kind, CAST(h.distance AS INT) AS distance, CAST(h.start AS INT) AS start, CAST(h.stop AS INT) AS stop FROM u LEFT JOIN b USING (doc_id, piece, kind)""")
 def find_approx(spark, d):
-    s = seqs(spark, d).where(F.length("seq") >= 60)
-    hit = Q.find_approx(F.col("seq"), F.substring("seq", 31, 20), 1)
-    return s.select("doc_id", hit.alias("h")).select("doc_id", "h.distance", "h.start", F.col("h.end").alias("stop"))
+    """Two probes for each window: a part of its own with one base changed, and the same part of the window before."""
+    s = pieces(spark, d, 120).where(F.length("seq") >= 60)
+    own = F.concat(F.substring("seq", 31, 9), F.translate(F.substring("seq", 40, 1), "ACGT", "CGTA"), F.substring("seq", 41, 10))
+    other = F.lag(F.substring("seq", 31, 20)).over(Window.partitionBy("doc_id").orderBy("window"))
+    probes = F.explode(F.array(F.struct(F.lit("own").alias("kind"), own.alias("probe")), F.struct(F.lit("other").alias("kind"), F.col("before").alias("probe"))))
+    s = s.withColumn("before", other).select("doc_id", "window", "seq", probes.alias("p")).select("doc_id", "window", "seq", "p.*").where("probe is not null")
+    hit = Q.find_approx(F.col("seq"), F.col("probe"), 1)
+    return s.select("doc_id", "window", "kind", hit.alias("h")).select("doc_id", "window", "kind", "h.distance", "h.start", F.col("h.end").alias("stop"))
 
 
 _DELTA = """, r AS (SELECT *, included / (included + skipped)::DOUBLE AS psi FROM satmut WHERE included + skipped >= 30),
@@ -255,7 +271,10 @@ def mode_counts(spark, d):
     return counts(spark, d).groupBy("condition", "idx").agg(part("INCLUDED"), part("SKIPPED"))
 
 
-@query(ctes("psi_counts") + MEANS_CTE + " SELECT event, round(max(psi) FILTER (condition = 0), 6) AS c0, round(max(psi) FILTER (condition = 1), 6) AS c1, round(max(psi) FILTER (condition = 2), 6) AS c2 FROM means GROUP BY event")
+_COLUMNS = ", ".join(f"round(max(psi) FILTER (condition = {c}), 6) AS c{c}" for c in range(25))  # one for each nation
+
+
+@query(ctes("psi_counts") + MEANS_CTE + f" SELECT event, {_COLUMNS} FROM means GROUP BY event")
 def to_matrix(spark, d):
     conditions = sorted(r.condition for r in derive.load(spark, d, derive.NATION).select("condition").distinct().collect())  # the nations
     wide = means(spark, d).groupBy("event").pivot("condition", conditions).agg(F.first("psi"))

@@ -108,30 +108,106 @@ def test_approximate_search(spark):
         assert (tuple(got) if got else None) == hit, probe
 
 
-def test_event_caller_gives_each_read_one_outcome(spark):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def best_infix(text, probe, k):
+    """First of the best windows with at most ``k`` edits, by trying all."""
+    tried = [(edits(text[i : i + n], probe), i, i + n) for i in range(len(text) + 1) for n in range(max(1, len(probe) - k), len(probe) + k + 1) if i + n <= len(text)]
+    best = min((t for t in tried if t[0] <= k), default=None)
+    return best
+
+
+def call_one(c, element, seq):
+    """The caller's rules, one read at a time: (outcome, up, down, const, size)."""
+    drop = lambda why: (why, None, None, None, None)
+    if element is None:
+        return drop("bc_not_found")
+    hit = best_infix(seq, c.upstream_anchor, 1)
+    if hit is None:
+        return drop("no_upstream")
+    rest = seq[hit[2] :]
+    at = c.intron.find(rest[:20]) if rest else -1
+    if at >= 0:
+        return ("UNSPLICED", at, None, None, None)
+    start, const = rest.find(c.downstream_exon[:20]), 0
+    if start < 0:
+        for i in range(len(c.const_intron) + len(c.downstream_exon)):
+            start = rest.find(c.const_intron + c.downstream_exon[i : i + 20])
+            if start >= 0:
+                const = i - len(c.const_intron)
+                break
+        else:
+            return drop("no_downstream")
+    if start <= 2:
+        return ("SKIPPED", None, None, const, start)
+    up, exon, down = element
+    hit = best_infix(up + exon + down + c.const_intron, rest[:start], 1 if start > 20 else 0)
+    return ("INCLUDED", hit[1] - len(up), hit[2] - len(up) - len(exon), const, start) if hit else drop("chimera")
+
+
+def test_event_caller_follows_its_rules(spark):
     rng = random.Random(3)
     dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
-    c = reads.Construct(dna(20), dna(60), dna(20), dna(40))
-    up, exon, down = dna(30), dna(45), dna(30)
-    library = spark.createDataFrame([("BC1", "e1", up, exon, down)], "cb string, idx string, up_intron string, exon string, down_intron string")
-    rows = [
-        ("included", "BC1", "AA" + c.upstream_anchor + exon + c.downstream_anchor),
-        ("shifted", "BC1", "AA" + c.upstream_anchor + exon[3:] + c.downstream_anchor),
-        ("skipped", "BC1", c.upstream_anchor + c.downstream_anchor),
-        ("unspliced", "BC1", c.upstream_anchor + c.intron[5:45]),
-        ("chimera", "BC1", c.upstream_anchor + dna(45) + c.downstream_anchor),
-        ("unknown", "BCX", c.upstream_anchor + exon + c.downstream_anchor),
-        ("lost", "BC1", dna(80)),
-        ("cut", "BC1", c.upstream_anchor + exon),
-    ]
-    df = spark.createDataFrame([(n, cb, "u", s) for n, cb, s in rows], "read_id string, cb string, umi string, seq string")
-    got = {r.read_id: (r.outcome, r.up_off, r.down_off) for r in reads.call_events(df, library, c).collect()}
-    assert got == {
-        "included": ("INCLUDED", 0, 0), "shifted": ("INCLUDED", 3, 0), "skipped": ("SKIPPED", 0, None), "unspliced": ("UNSPLICED", 5, None),
-        "chimera": ("chimera", None, None), "unknown": ("bc_not_found", None, None), "lost": ("no_upstream", None, None), "cut": ("no_downstream", None, None),
-    }
-    run = reads.run_stats(reads.call_events(df, library, c)).first()
-    assert (run.total_reads, run.aligned, run.bc_not_found, run.chimera_reads, run.umis) == (8, 4, 1, 1, 3)
+    c = reads.Construct(dna(20), dna(60), dna(45), dna(30))
+    elements = {f"BC{i}": (dna(30), dna(rng.choice([15, 40, 60])), dna(30)) for i in range(4)}
+    library = spark.createDataFrame([(k, f"e{k}", *v) for k, v in elements.items()], "cb string, idx string, up_intron string, exon string, down_intron string")
+
+    def changed(s):
+        i = rng.randrange(len(s))
+        return rng.choice([s[:i] + rng.choice("ACGT") + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + rng.choice("ACGT") + s[i:]])
+
+    rows = [("empty", "BC0", ""), ("only_anchor", "BC0", c.upstream_anchor), ("short_rest", "BC0", c.upstream_anchor + c.intron[7:16]), ("lost", "BC1", dna(80)), ("unknown", "BCX", c.upstream_anchor + dna(30))]
+    for n in range(120):
+        cb = f"BC{rng.randrange(4)}"
+        up, exon, down = elements[cb]
+        middle = rng.choice([exon, exon[3:], (up + exon + down)[22:70], "", dna(2), dna(3), dna(45), changed(exon), exon[:12]])
+        tail = rng.choice([c.downstream_exon, c.downstream_exon, changed(c.downstream_exon[:20]), c.const_intron + c.downstream_exon[6:], c.const_intron, c.intron[rng.randrange(9) :]])
+        anchor = rng.choice([c.upstream_anchor, c.upstream_anchor, changed(c.upstream_anchor)])
+        rows.append((f"r{n}", cb, dna(rng.randrange(6)) + anchor + middle + tail))
+    df = spark.createDataFrame([(n, cb, str(i % 7), s) for i, (n, cb, s) in enumerate(rows)], "read_id string, cb string, umi string, seq string")
+    called = reads.call_events(df, library, c).cache()
+    got = {r.read_id: (r.outcome, r.up_off, r.down_off, r.const_off, r.insert_size) for r in called.collect()}
+    want = {n: call_one(c, elements.get(cb), s) for n, cb, s in rows}
+    assert got == want
+    seen = {w[0] for w in want.values()}
+    assert seen == {"bc_not_found", "no_upstream", "no_downstream", "UNSPLICED", "SKIPPED", "INCLUDED", "chimera"} and {w[3] for w in want.values()} > {None, 0}
+
+    run, calls = reads.run_stats(called).first(), list(want.values())
+    n = lambda test: sum(map(test, calls))
+    umis = {(cb, i % 7, w) for i, ((_, cb, _), w) in enumerate(zip(rows, calls)) if w[0].isupper()}
+    aligned, chimeras, included = n(lambda w: w[0].isupper() or w[0] == "chimera"), n(lambda w: w[0] == "chimera"), n(lambda w: w[0] == "INCLUDED")
+    assert len(run) == 13 and (run.total_reads, run.total_aligned_reads, run.total_umi_count) == (len(rows), aligned, len(umis))
+    assert (run.bc_not_found, run.skipped_reads, run.chimera_reads) == (1, n(lambda w: w[0] == "SKIPPED"), chimeras)
+    assert (run.unspliced_counter, run.minor_splice_counter) == (n(lambda w: w[:2] == ("UNSPLICED", 0)), n(lambda w: w[0] == "UNSPLICED" and w[1] != 0))
+    assert (run.perfect_middle_exon, run.everything_passed_with_middle_exon) == (n(lambda w: w[:3] == ("INCLUDED", 0, 0)), included)
+    assert run.duplication_rate == pytest.approx(len(umis) / aligned) and run.perc_chimera_reads == pytest.approx(chimeras / (chimeras + included))
+
+
+def test_approximate_search_against_trying_all(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(150):
+        probe = "".join(rng.choice("ACGT") for _ in range(rng.choice([1, 2, 5, 9, 20])))
+        text = "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 4, 30])))
+        i = rng.randrange(len(probe))
+        text += rng.choice([probe, probe[:i] + probe[i + 1 :], probe[:i] + "G" + probe[i:], probe[:i] + "T" + probe[i + 1 :], ""]) + "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 6])))
+        rows.append((text, probe))
+    for k in (0, 1, 2):
+        got = spark.createDataFrame(rows, "s string, p string").select(sequences.find_approx(F.col("s"), F.col("p"), k).alias("h")).collect()
+        assert [tuple(r.h) if r.h else None for r in got] == [best_infix(s, p, k) for s, p in rows]
+
+
+def test_insertion_lengths(spark):
+    rows = [("e", "c", "u", "xxLEFTabcRIGHT"), ("e", "c", "u", "LEFTaRIGHT"), ("e", "c", "u", "LEFTbRIGHTRIGHT"), ("e", "c", "v", "LEFTRIGHT"), ("e", "c", "w", "RIGHTLEFT"), ("f", "c", "u", "none")]
+    got = {tuple(r) for r in reads.insertion_lengths(spark.createDataFrame(rows, "idx string, cb string, umi string, seq string"), "LEFT", "RIGHT").collect()}
+    assert got == {("e", "c", "u", 1, 3), ("e", "c", "v", 0, 1)}
 
 
 def test_umi_extraction_splits_the_reads(spark):
@@ -145,8 +221,12 @@ def test_umi_extraction_splits_the_reads(spark):
 
 
 def test_nearest_barcode(spark):
-    got = {r.cb: (r.nearest, r.distance) for r in reads.nearest_barcode(spark.createDataFrame([("AAAA",), ("AAAT",), ("GGGG",)], "cb string"), spark.createDataFrame([("AAAA",), ("AATT",)], "cb string")).collect()}
-    assert got == {"AAAA": ("AAAA", 0), "AAAT": ("AAAA", 1), "GGGG": (None, None)}
+    rng = random.Random(4)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    asked, listed = ["AAAA", "AAAT", "GGGG", "AAA", "AAAAT"] + [dna(5) for _ in range(80)], ["AAAA", "AATT"] + [dna(rng.choice([4, 5, 6])) for _ in range(30)]
+    got = {r.cb: (r.nearest, r.distance) for r in reads.nearest_barcode(spark.createDataFrame([(a,) for a in asked], "cb string"), spark.createDataFrame([(b,) for b in listed], "cb string")).collect()}
+    best = {a: min((edits(a, b), b) for b in listed) for a in asked}
+    assert got == {a: (b, d) if d <= 1 else (None, None) for a, (d, b) in best.items()}
 
 
 def test_library_deduplication(spark):
@@ -154,6 +234,9 @@ def test_library_deduplication(spark):
     lib = spark.createDataFrame([("a", base), ("b", base[3:25]), ("c", "TTTTTTTTTTTTTTTTTT"), ("d", base[4:20]), ("e", base)], "idx string, exon string")
     kept, alt = reads.dedupe_library(lib)
     assert {r.idx for r in kept.collect()} == {"a", "c"} and {r.alt: r.ref for r in alt.collect()} == {"b": "a", "d": "a", "e": "a"}
+    short = spark.createDataFrame([("a", base), ("f", base[5:9]), ("g", "TTTTTTT"), ("h", "CCCCC")], "idx string, exon string")
+    kept, alt = reads.dedupe_library(short)
+    assert {r.idx for r in kept.collect()} == {"a", "g", "h"} and {r.alt: r.ref for r in alt.collect()} == {"f": "a"}
 
 
 def test_keys(spark):

@@ -100,7 +100,8 @@ def test_substitution_shares_are_of_all_designs(spark, texts):
 
 
 def test_one_hot_holds_every_base_and_lane(spark, texts):
-    assert {r.doc_id: r.encoding for r in run(spark, texts, "one_hot")} == {i: [[int(b == c) for c in "ACGT"] for b in s] for i, (_, s) in texts[1].items()}
+    got = {r.doc_id: (r.a, r.c, r.g, r.t) for r in run(spark, texts, "one_hot")}
+    assert got == {i: tuple("".join("01"[b == c] for b in s) for c in "ACGT") for i, (_, s) in texts[1].items()}
 
 
 def test_matrix_has_every_condition(spark):
