@@ -294,3 +294,34 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
         ("a/b/z.py", "Apache-2.0", "Apache-2.0", None), ("d/e.py", None, None, None), ("f.py", None, None, None), (None, None, None, None),
     ], key=repr)
     assert license_scan.scan_licenses(files.where("false")).count() == 0
+
+
+def test_headers_and_licence_files_are_compared_as_a_whole(spark):
+    from isoflow.llm.license_texts import TEMPLATES
+
+    texts = dict(reversed([(name, text) for name, text in TEMPLATES if len(text) > 200]))
+    wrap = lambda text, mark, n=9: "\n".join(mark + " ".join(text.split()[k : k + n]) for k in range(0, len(text.split()), n))
+    rows = [
+        ("p/LICENSE", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrap(texts["MIT"], "")),
+        ("q/LICENSE.txt", "Copyright (c) 2019, The Authors\n" + wrap(texts["BSD-3-Clause"], "  ")),
+        ("q/deep/er/main.c", "int main() {}"),
+        ("r/a.py", "#!/usr/bin/env python\n" + wrap(texts["Apache-2.0"], "# ") + "\n\nimport os\n"),
+        ("r/b.c", "/*\n" + wrap(texts["GPL-3.0"], " * ", 7) + "\n */\nint x;"),
+        ("r/c.py", "x = 1\n\n# SPDX-License-Identifier: MIT\ny = 2"),
+        ("r/d.txt", "Some words first. Released under the MIT License. All rights reserved by someone else in this long sentence of words."),
+        ("r/e.txt", "prose\nLicensed under the\nApache License,\nVersion 2.0.\nprose"),
+        ("r/f.txt", "A licence is mentioned, and software, in a long sentence about the history of copyright and the public."),
+        ("s/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + "words of the long text " * 300),
+        ("s/x/y.c", None),
+    ]
+    got = {r.path: (r.own_license, r.license) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        "p/LICENSE": ("MIT", "MIT"), "q/LICENSE.txt": ("BSD-3-Clause", "BSD-3-Clause"), "q/deep/er/main.c": (None, "BSD-3-Clause"), "r/a.py": ("Apache-2.0", "Apache-2.0"), "r/b.c": ("GPL-3.0", "GPL-3.0"),
+        "r/c.py": ("MIT", "MIT"), "r/d.txt": ("MIT", "MIT"), "r/e.txt": ("Apache-2.0", "Apache-2.0"), "r/f.txt": (None, None), "s/COPYING": ("GPL-3.0", "GPL-3.0"), "s/x/y.c": (None, "GPL-3.0"),
+    }
+
+
+def test_licence_ties_go_to_the_template_listed_first(spark):
+    files = spark.createDataFrame([("a", "Use it under the same words.")], "path string, text string")
+    for names in (("A", "B"), ("B", "A")):
+        assert license_scan.scan_licenses(files, [(n, "under the same words") for n in names], 0.1).first().own_license == names[0]
