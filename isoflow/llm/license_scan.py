@@ -85,7 +85,12 @@ def passages_of(text, name):
     header = F.array_join(F.when(blank > 0, F.slice(lines, F.lit(1), F.greatest(blank.cast("int") - 1, F.lit(0)))).otherwise(lines), " ")
     sentences = F.split(F.regexp_replace(text, r"([.!?;])[ \t]+", "$1\n"), "\n")
     n = F.size(lines)
-    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(lines, i, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(2, WINDOW + 1)]
+
+    def run(k: int):
+        joined = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(lines, i, F.lit(k)), " "))
+        return F.when(n >= k, joined).otherwise(F.array().cast("array<string>"))
+
+    runs = [run(k) for k in range(2, WINDOW + 1)]
     whole = F.when(name.rlike(LICENCE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(F.array(header), whole, lines, sentences, *runs))
 

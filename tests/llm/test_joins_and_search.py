@@ -309,7 +309,7 @@ def test_headers_and_licence_files_are_compared_as_a_whole(spark):
         ("r/b.c", "/*\n" + wrap(texts["GPL-3.0"], " * ", 7) + "\n */\nint x;"),
         ("r/c.py", "x = 1\n\n# SPDX-License-Identifier: MIT\ny = 2"),
         ("r/d.txt", "Some words first. Released under the MIT License. All rights reserved by someone else in this long sentence of words."),
-        ("r/e.txt", "prose\nLicensed under the\nApache License,\nVersion 2.0.\nprose"),
+        ("r/e.txt", "prose " * 60 + "\nLicensed under the\nApache License,\nVersion 2.0.\n" + "prose " * 60),
         ("r/f.txt", "A licence is mentioned, and software, in a long sentence about the history of copyright and the public."),
         ("s/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + "words of the long text " * 300),
         ("s/x/y.c", None),
