@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,21 +19,57 @@ def wide_vectors(table: DataFrame, row: str, column: str, value: str, names: lis
     return VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features").transform(filled).select(row, "features")
 
 
-def psi_pca(means: DataFrame, events: list, k: int = 2):
-    """Components of conditions over standardised events: ``(condition, pc array, explained variances, loadings)``."""
-    vectors = wide_vectors(means, "condition", "event", "psi", events)
-    scaled = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled").fit(vectors).transform(vectors)
-    model = PCA(k=k, inputCol="scaled", outputCol="pc").fit(scaled)
-    from pyspark.ml.functions import vector_to_array
+def psi_pca(means: DataFrame, k: int = 2) -> tuple[DataFrame, list[float], DataFrame]:
+    """Components of conditions over standardised events: ``condition, pc``, explained shares, ``event, loading``.
 
-    scores = model.transform(scaled).select("condition", vector_to_array("pc").alias("pc"))
-    return scores, [float(v) for v in model.explainedVariance], model.pc.toArray()
-
-
-def top_loadings(loadings: np.ndarray, events: list, component: int = 0, n: int = 10) -> list[tuple]:
-    """The events that weigh most in a component."""
-    order = np.argsort(-np.abs(loadings[:, component]), kind="stable")[:n]
-    return [(events[i], float(loadings[i, component])) for i in order]
+    The conditions are few dozen and the events many: the products of conditions are summed over the
+    events in Spark, their eigenvectors are those of the small matrix, and loadings are found event by
+    event.  A condition that lacks an event counts with the condition's mean.
+    """
+    averages = means.groupBy("condition").agg(F.avg("psi").alias("psi")).orderBy("condition").collect()  # one row per condition
+    names, fill = [r.condition for r in averages], np.array([0.0 if r.psi is None else r.psi for r in averages])
+    place = {c: i for i, c in enumerate(names)}
+    rows = means.where("psi is not null").groupBy("event", "condition").agg(F.avg("psi").alias("psi")).groupBy("event").agg(F.collect_list(F.struct("condition", "psi")).alias("values"))
+
+    def standardised(batch: pd.DataFrame) -> np.ndarray:
+        z = np.tile(fill, (len(batch), 1))
+        for i, values in enumerate(batch["values"]):
+            for v in values:
+                z[i, place[v["condition"]]] = v["psi"]
+        z -= z.mean(axis=1, keepdims=True)
+        sd = z.std(axis=1, ddof=1, keepdims=True) if len(names) > 1 else np.zeros((len(z), 1))
+        return np.divide(z, sd, out=np.zeros_like(z), where=sd > 0)
+
+    def products(batches):
+        total = np.zeros((len(names), len(names)))
+        for batch in batches:
+            z = standardised(batch)
+            total += z.T @ z
+        a, b = np.indices(total.shape)
+        yield pd.DataFrame({"a": a.ravel(), "b": b.ravel(), "v": total.ravel()})
+
+    gram = np.zeros((len(names), len(names)))
+    for r in rows.mapInPandas(products, "a long, b long, v double").groupBy("a", "b").agg(F.sum("v").alias("v")).collect():
+        gram[r.a, r.b] = r.v
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(-values)[:k]
+    size = np.sqrt(np.maximum(values[order], 0.0))
+    directions = np.divide(vectors[:, order], size, out=np.zeros((len(names), len(order))), where=size > 1e-9)
+
+    def loadings(batches):
+        for batch in batches:
+            yield pd.DataFrame({"event": batch["event"], "loading": list(standardised(batch) @ directions)})
+
+    spark = means.sparkSession
+    scores = spark.createDataFrame([(c, [float(x) for x in vectors[i, order] * size]) for i, c in enumerate(names)], f"condition {means.schema['condition'].dataType.simpleString()}, pc array<double>")
+    total = values.sum()
+    return scores, [float(v / total) if total > 0 else 0.0 for v in values[order]], rows.mapInPandas(loadings, f"event {means.schema['event'].dataType.simpleString()}, loading array<double>")
+
+
+def top_loadings(loadings: DataFrame, component: int = 0, n: int = 10) -> DataFrame:
+    """The events that weigh most in a component: ``event, weight``."""
+    weight = F.get("loading", F.lit(component))
+    return loadings.select("event", weight.alias("weight")).orderBy(F.abs("weight").desc(), "event").limit(n)
 
 
 def expression_regression(expression: DataFrame, target: DataFrame, genes: list, penalty: float = 0.1, lasso: bool = False):

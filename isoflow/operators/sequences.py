@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,13 +23,44 @@ def kmer_enrichment(groups: DataFrame, k: int = 4, group: str = "grp", seq: str
 
 
 def _fisher(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided p-value: tables at most as likely as this one, margins fixed."""
+    """Two-sided p-value: tables at most as likely as this one, margins fixed.
+
+    Tables are as likely as this one or less from it outwards and from its counterpart on the other
+    side of the mode, which is found by halving; each side is summed until nothing is added any more.
+    """
     n1, n0, m = a + b, c + d, a + c
-    log = lambda x: math.lgamma(n1 + 1) - math.lgamma(x + 1) - math.lgamma(n1 - x + 1) + math.lgamma(n0 + 1) - math.lgamma(m - x + 1) - math.lgamma(n0 - m + x + 1)
-    values = [log(x) for x in range(max(0, m - n0), min(n1, m) + 1)]
-    top, own = max(values), log(a)
-    total = sum(math.exp(v - top) for v in values)
-    return min(1.0, sum(math.exp(v - top) for v in values if v <= own + 1e-7) / total)
+    low, high = max(0, m - n0), min(n1, m)
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    log = lambda x: choose(n1, x) + choose(n0, m - x) - choose(n1 + n0, m)
+    mode = min(high, max(low, (n1 + 1) * (m + 1) // (n1 + n0 + 2)))
+    limit = log(a) + 1e-7
+
+    def tail(x: int, step: int) -> float:
+        """Sum of the probabilities from ``x`` on, away from the mode."""
+        total, end = 0.0, high if step > 0 else low
+        while (end - x) * step >= 0:
+            at = x + step * np.arange(min(4096, (end - x) * step + 1), dtype=float)
+            ratio = (n1 - at) * (m - at) / ((at + 1) * (n0 - m + at + 1)) if step > 0 else at * (n0 - m + at) / ((n1 - at + 1) * (m - at + 1))
+            terms = np.exp(log(x)) * np.concatenate([[1.0], np.cumprod(ratio[:-1])])
+            total += terms.sum()
+            if terms[-1] <= 1e-18 * total:
+                break
+            x += step * len(at)
+        return total
+
+    def first(near: int, far: int) -> int | None:
+        """The table nearest to the mode on one side that is no more likely than this one."""
+        if log(far) > limit:
+            return None
+        while abs(far - near) > 1:
+            middle = (near + far) // 2
+            near, far = (near, middle) if log(middle) <= limit else (middle, far)
+        return far
+
+    if log(mode) <= limit:
+        return 1.0
+    sides = [(first(mode, high), 1), (first(mode, low), -1)]
+    return min(1.0, sum(tail(x, step) for x, step in sides if x is not None))
 
 
 def _fisher_series(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
@@ -58,10 +90,18 @@ def kmer_frequency(table: DataFrame, k: int = 3, by: str = "lang", seq: str = "s
     return sums.join(F.broadcast(sizes), by).select(by, "kmer", (F.col("s") / F.col("n")).alias("frequency"))
 
 
-def kmer_background(table: DataFrame, replicates: int, n: int, k: int = 3, seq: str = "seq", seed: int = 0) -> DataFrame:
-    """k-mer counts of ``replicates`` random draws of ``n`` sequences, all in one job."""
-    ids = table.select(F.monotonically_increasing_id().alias("id"), seq, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    w = Window.partitionBy("replicate").orderBy(F.xxhash64("id", "replicate", F.lit(seed)), "id")
+def kmer_background(table: DataFrame, replicates: int, n: int, k: int = 3, seq: str = "seq", key: str = "doc_id", seed: int = 0) -> DataFrame:
+    """k-mer counts of ``replicates`` random draws of ``n`` sequences, all in one job.
+
+    A draw has the sequences with the smallest hashes of key and replicate, so it hangs on the rows
+    alone.  A cut-off by the number of sequences leaves little more than ``n`` of each draw to order.
+    """
+    below = min(1.0, (n + 8 * n**0.5 + 50) / max(1, table.count()))
+    cut = F.lit(min(2**63 - 1, int(-(2**63) + below * (2**64 - 1))))
+    draw = lambda r: F.xxhash64(F.col(key), r, F.lit(seed))
+    near = F.filter(F.sequence(F.lit(1), F.lit(replicates)), lambda r: draw(r) <= cut)
+    ids = table.select(key, seq, F.explode(near).alias("replicate"))
+    w = Window.partitionBy("replicate").orderBy(draw(F.col("replicate")), key, seq)
     drawn = ids.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
     return drawn.select("replicate", F.explode(kmers(F.col(seq), k)).alias("kmer")).groupBy("replicate", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
@@ -124,14 +164,36 @@ def base_composition(table: DataFrame, seq: str = "seq", by: str = "lang", alpha
     return counts.select(by, F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("n")) for b in alphabet])).alias("x")).select(by, "x.*")
 
 
-def min_edit_distance(designs: DataFrame, library: DataFrame, most: int = 10) -> DataFrame:
-    """Smallest Levenshtein distance, at most ``most``, of each design to a library of checked, small size.
+def min_edit_distance(designs: DataFrame, library: DataFrame, most: int = 3) -> DataFrame:
+    """``designs`` with the smallest Levenshtein distance of ``seq`` to any of the library, null above ``most``.
 
-    The distinct library sequences are broadcast; designs are streamed past them.
+    A library sequence is cut into ``most + 1`` segments, of which one is free of edits; designs offer
+    their substrings of that length near its place, and only pairs that share one are compared.
+    Sequences of up to ``most`` bases have segments that may be empty: those pairs meet by length.
     """
-    refs = library.select(F.col("seq").alias("ref")).distinct().agg(F.collect_list("ref").alias("refs"))
-    near = F.filter(F.transform("refs", lambda r: F.levenshtein(F.col("seq"), r, most)), lambda x: x >= 0)
-    return designs.crossJoin(F.broadcast(refs)).withColumn("distance", F.array_min(near)).drop("refs")  # one row
+    segments = most + 1
+    at = lambda length, i: F.floor(length * i / segments).cast("int")
+    refs = library.select(F.col("seq").alias("ref")).where("ref is not null").distinct().withColumn("n", F.length("ref"))
+    cut = [F.struct(F.lit(i).alias("i"), F.substr("ref", at(F.col("n"), i) + 1, at(F.col("n"), i + 1) - at(F.col("n"), i)).alias("part")) for i in range(segments)]
+    refs = refs.select("ref", "n", F.explode(F.array(*cut)).alias("s")).select("ref", "n", "s.*")
+    asked = designs.select("seq").where("seq is not null").distinct()
+    asked = asked.withColumn("n", F.explode(F.sequence(F.greatest(F.length("seq") - most, F.lit(0)), F.length("seq") + most)))
+    offers = []
+
+    def part_at(i, size):
+        return lambda p: F.struct(F.lit(i).alias("i"), F.substr("seq", p + 1, size).alias("part"))
+
+    for i in range(segments):
+        start, size = at(F.col("n"), i), at(F.col("n"), i + 1) - at(F.col("n"), i)
+        shift = F.length("seq") - F.col("n")  # a segment moves by the edits before it, and so does what follows it from the end
+        begin = F.greatest(F.lit(0), start - i, start + shift - (most - i))
+        end = F.least(F.length("seq") - size, start + i, start + shift + (most - i))
+        places = F.when(begin <= end, F.sequence(begin, F.greatest(begin, end))).otherwise(F.array().cast("array<int>"))
+        offers.append(F.transform(places, part_at(i, size)))
+    asked = asked.select("seq", "n", F.explode(F.array_distinct(F.concat(*offers))).alias("o")).select("seq", "n", "o.*")
+    pairs = asked.join(refs, ["n", "i", "part"]).select("seq", "ref").distinct()
+    near = pairs.withColumn("d", F.levenshtein("seq", "ref", most)).where("d >= 0").groupBy(F.col("seq").alias("_seq")).agg(F.min("d").alias("distance"))
+    return designs.join(near, F.col("seq") == F.col("_seq"), "left").drop("_seq")
 
 
 def satmut_delta(satmut: DataFrame, min_total: int = 30) -> DataFrame:

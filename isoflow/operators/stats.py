@@ -7,35 +7,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKETS = 200
+"""Parts into which the distinct values of a table are cut at their quantiles to be ranked."""
+
+
+def ranked_values(table: DataFrame, value: str, by=()) -> DataFrame:
+    """``by..., _v, _n, _before, _total, _b``: every distinct value, its rows, the rows of its group below it and all of its group.
+
+    Equal values are counted first.  Distinct values are ordered within buckets between quantiles, and
+    the buckets' sums are added up, so that no window holds all rows of a table or of a large group.
+    Nulls are left out.
+    """
+    counts = table.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    bounds = sorted({q for q in counts.approxQuantile("_v", [i / BUCKETS for i in range(1, BUCKETS)], 1 / (4 * BUCKETS)) if math.isfinite(q)})
+    if bounds:
+        counts = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_v", outputCol="_b", handleInvalid="keep").transform(counts)
+    else:
+        counts = counts.withColumn("_b", F.lit(0.0))
+    key = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    groups = Window.partitionBy(*[f"_k{i}" for i in range(len(by))])
+    sums = counts.groupBy(*key, F.col("_b").alias("_kb")).agg(F.sum("_n").alias("_s"))
+    earlier = groups.orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"_lower": F.coalesce(F.sum("_s").over(earlier), F.lit(0)), "_total": F.sum("_s").over(groups)})  # one row per group and bucket
+    same = F.col("_b") == F.col("_kb")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    joined = counts.join(F.broadcast(sums) if not by else sums, same)
+    return joined.withColumn("_before", F.col("_lower") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).select(*by, "_v", "_n", "_before", "_total", "_b")
+
+
+def with_values(table: DataFrame, value: str, found: DataFrame, name: str, by=()) -> DataFrame:
+    """``table`` with column ``name`` of ``found (by..., _v, name)`` for its value; null for a null value."""
+    found = found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_v").alias("_kv"), F.col(name).alias("_found"))
+    same = F.col(value).cast("double") == F.col("_kv")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return table.join(found, same, "left").select(*table.columns, F.col("_found").alias(name))
+
+
 def bh_adjust(table: DataFrame, p: str = "p", by=(), name: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg: p n / rank, made monotone from the largest p down, 1 at most; nulls stay null.
 
     Tables with a ``by`` list are adjusted within each of its groups.
     """
-    own = F.col(p).isNotNull()
-    groups = Window.partitionBy(*by, own)
-    upward = groups.orderBy(F.col(p))
-    ranked = table.withColumn("_raw", F.col(p) * F.count(p).over(groups) / F.row_number().over(upward))
-    downward = groups.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(name, F.when(own, F.least(F.lit(1.0), F.min("_raw").over(downward)))).drop("_raw")
+    raw = ranked_values(table, p, by).withColumn("_raw", F.col("_v") * F.col("_total") / (F.col("_before") + F.col("_n")))
+    lows = raw.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb")).agg(F.min("_raw").alias("_low"))
+    later = Window.partitionBy(*[f"_k{i}" for i in range(len(by))]).orderBy(F.col("_kb").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    lows = lows.withColumn("_later", F.min("_low").over(later)).drop("_low")  # one row per group and bucket
+    same = F.col("_b") == F.col("_kb")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    upward = Window.partitionBy(*by, "_b").orderBy(F.col("_v").desc())
+    fdr = F.least(F.lit(1.0), F.min("_raw").over(upward), F.col("_later"))
+    return with_values(table, p, raw.join(lows, same).withColumn(name, fdr), name, by)
 
 
-def average_rank(column: str, by=()):
-    """Rank with ties sharing their average; nulls get null."""
-    whole = Window.partitionBy(*by)
-    order = whole.orderBy(F.col(column).asc_nulls_last())
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, column))
-    return F.when(F.col(column).isNotNull(), F.rank().over(order) + (ties - 1) / 2)
+def with_average_rank(table: DataFrame, column: str, name: str, by=()) -> DataFrame:
+    """``table`` with the rank of a column, ties sharing their average; nulls get null."""
+    return with_values(table, column, ranked_values(table, column, by).withColumn(name, F.col("_before") + (F.col("_n") + 1) / 2), name, by)
 
 
 def correlate(table: DataFrame, x: str, y: str, by=()) -> DataFrame:
     """Pearson and Spearman correlation of the complete pairs, and their number."""
     rows = table.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.withColumns({"_rx": average_rank(x, by), "_ry": average_rank(y, by)})
+    ranked = with_average_rank(with_average_rank(rows, x, "_rx", by), y, "_ry", by)
     return ranked.groupBy(*by).agg(F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
@@ -53,10 +94,55 @@ def replicate_r2(table: DataFrame, event: str = "event", condition: str = "condi
     return a.join(b, [event, condition]).where("a < b").groupBy(condition, "a", "b").agg(F.pow(F.corr("x", "y"), F.lit(2)).alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
-def gene_event_correlation(means: DataFrame, expression: DataFrame) -> DataFrame:
-    """Correlation of each event with each gene over their common conditions (``condition`` = ``cell_line``)."""
-    e = expression.select(F.col("cell_line").alias("condition"), "gene", F.col("value").alias("x"))
-    return means.where("psi is not null").join(e, "condition").groupBy("event", "gene").agg(F.corr("psi", "x").alias("r"), F.count(F.lit(1)).alias("n"))
+PAIR_BLOCK = 512
+"""Events, and genes, of one block of correlations."""
+
+
+def _correlations(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairwise-complete correlations of the rows of two tables with NaN gaps, and the numbers of pairs."""
+    has_x, has_y = ~np.isnan(x), ~np.isnan(y)
+    center = lambda v, has: np.where(has, v - np.nanmean(np.where(has, v, np.nan), axis=1, keepdims=True), 0.0)
+    x, y, has_x, has_y = center(x, has_x), center(y, has_y), has_x.astype(float), has_y.astype(float)
+    n, sx, sy = has_x @ has_y.T, x @ has_y.T, has_x @ y.T
+    with np.errstate(all="ignore"):
+        vx, vy = n * (x**2 @ has_y.T) - sx**2, n * (has_x @ (y**2).T) - sy**2
+        return np.where((n > 1) & (vx > 0) & (vy > 0), (n * (x @ y.T) - sx * sy) / np.sqrt(vx * vy), np.nan), n.astype(np.int64)
+
+
+def gene_event_correlation(means: DataFrame, expression: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """Correlation of each event with each gene over their common conditions (``condition`` = ``cell_line``).
+
+    An event or gene is one row with its values by condition (a few dozen).  Blocks of events meet
+    blocks of genes, and their correlations are matrix products inside a task; only results leave it.
+    """
+    pack = lambda df, c: df.groupBy(c).agg(F.collect_list(F.struct(F.col("condition").cast("string").alias("c"), F.col("v").cast("double").alias("v"))).alias("values"))
+    events = pack(means.where("psi is not null").select("event", "condition", F.col("psi").alias("v")), "event")
+    genes = pack(expression.where("value is not null").select("gene", F.col("cell_line").alias("condition"), F.col("value").alias("v")), "gene")
+    parts = lambda df: max(1, -(-df.count() // block))
+    n_events, n_genes = parts(events), parts(genes)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = events.select(F.pmod(F.xxhash64("event"), F.lit(n_events)).cast("int").alias("i"), every(n_genes).alias("j"), "event", "values")
+    right = genes.select(every(n_events).alias("i"), F.pmod(F.xxhash64("gene"), F.lit(n_genes)).cast("int").alias("j"), "gene", "values")
+
+    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"event": [], "gene": [], "r": [], "n": []})
+        names = {c: k for k, c in enumerate(sorted({e["c"] for rows in (one, two) for v in rows["values"] for e in v}))}
+
+        def table(rows):
+            out = np.full((len(rows), len(names)), np.nan)
+            for k, v in enumerate(rows["values"]):
+                for e in v:
+                    out[k, names[e["c"]]] = e["v"]
+            return out
+
+        r, n = _correlations(table(one), table(two))
+        a, b = np.nonzero(n > 0)
+        values = pd.Series(r[a, b]).astype(object)
+        return pd.DataFrame({"event": one["event"].to_numpy()[a], "gene": two["gene"].to_numpy()[b], "r": values.where(~np.isnan(r[a, b]), None), "n": n[a, b]})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compare, f"event {kind(events, 'event')}, gene {kind(genes, 'gene')}, r double, n long")
 
 
 def high_correlations(correlations: DataFrame, above: float = 0.5) -> DataFrame:
@@ -100,21 +186,36 @@ def t_tail(t, df):
     return F.pandas_udf(tail, "double")(t, df)
 
 
-def _by_value(function):
+def _erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function of numbers from 0 up: its series below 2, its continued fraction above."""
+    small = np.minimum(x, 2.0)
+    term, total = small.copy(), small.copy()
+    for k in range(1, 60):
+        term = term * -(small**2) / k
+        total = total + term / (2 * k + 1)
+    large = np.maximum(x, 2.0)
+    tail = np.zeros_like(large)
+    for k in range(120, 0, -1):
+        tail = (k / 2) / (large + tail)
+    return np.where(x < 2, 1 - 2 / math.sqrt(math.pi) * total, np.exp(-(large**2)) / math.sqrt(math.pi) / (large + tail))
+
+
+def _tail(argument):
     def tail(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None or v != v else function(v) for v in values], dtype=object)
+        v = values.to_numpy(float, na_value=np.nan)
+        return pd.Series(_erfc(argument(v))).astype(object).where(~np.isnan(v), None)
 
     return F.pandas_udf(tail, "double")
 
 
 def normal_tail(z):
     """Two-sided p-value of a standard normal."""
-    return _by_value(lambda v: math.erfc(abs(v) / math.sqrt(2)))(z)
+    return _tail(lambda v: np.abs(v) / math.sqrt(2))(z)
 
 
 def chi2_1_tail(x):
     """Upper tail of chi-square with one degree of freedom."""
-    return _by_value(lambda v: math.erfc(math.sqrt(max(v, 0.0) / 2)))(x)
+    return _tail(lambda v: np.sqrt(np.maximum(v, 0.0) / 2))(x)
 
 
 def correlation_p(r, n):

@@ -299,3 +299,12 @@ def min_max(spark, d):
  FROM p JOIN m a ON a.j = up // den LEFT JOIN m b ON b.j = up // den + 1""")
 def quantile_normalise(spark, d):
     return rounded(P.quantile_normalise(P.psi(psi_table(spark, d))).select("sample", "event", "psi", "normalised"), nudge=1e-10)
+
+
+@query(ctes("counts") + """, o AS (SELECT sample, idx, mode, cnt, CASE mode WHEN 'SKIPPED' THEN '0' ELSE concat(up_off, ':', down_off) END AS "offset" FROM counts WHERE mode <> 'UNSPLICED'),
+ i AS (SELECT idx, max("offset") AS initial FROM o GROUP BY idx) SELECT o.*, initial FROM o JOIN i USING (idx) WHERE initial = "offset" OR "offset" = '0'""")
+def own_event_only(spark, d):
+    c = counts(spark, d).where("mode <> 'UNSPLICED'")
+    o = c.select("sample", "idx", "mode", "cnt", F.when(F.col("mode") == "SKIPPED", "0").otherwise(F.concat("up_off", F.lit(":"), "down_off")).alias("offset"))
+    initial = o.groupBy("idx").agg(F.max("offset").alias("initial"))
+    return P.own_event_only(o.join(initial, "idx"), "initial").select("sample", "idx", "mode", "cnt", "offset", "initial")

@@ -242,10 +242,13 @@ def gmm_1d(spark, d):
 
 @query()
 def psi_pca(spark, d):
-    """First two principal components of the conditions (sign and scale are free)."""
-    m = means(spark, d)
-    events = [r.event for r in m.select("event").distinct().orderBy("event").collect()]  # one per event
-    if len(events) < 2:
-        return m.where("false").select("condition", F.array("psi").alias("pc"))
-    scores, _, _ = M.psi_pca(m, events)
-    return scores
+    """First two principal components of the conditions; signs are free, so sizes are returned (tested against numpy)."""
+    scores, _, _ = M.psi_pca(means(spark, d))
+    return rounded(scores.select("condition", F.abs(F.get("pc", F.lit(0))).alias("pc1"), F.abs(F.get("pc", F.lit(1))).alias("pc2")))
+
+
+@query()
+def top_loadings(spark, d):
+    """The events that weigh most in the first component (tested against numpy)."""
+    _, _, loadings = M.psi_pca(means(spark, d))
+    return rounded(M.top_loadings(loadings).select("event", F.abs("weight").alias("weight")))

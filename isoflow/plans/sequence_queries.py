@@ -132,11 +132,13 @@ def base_composition(spark, d):
     return S.base_composition(seqs(spark, d))
 
 
-@query(ctes("sequences") + """, l AS (SELECT DISTINCT substr(seq, 1, 30) AS r FROM sequences WHERE doc_id % 40 = 0), e AS (SELECT doc_id, min(levenshtein(substr(seq, 1, 30), r)) AS x FROM sequences, l GROUP BY doc_id)
- SELECT doc_id, CASE WHEN x <= 15 THEN x END AS distance FROM e""")
+@query()
 def min_edit_distance(spark, d):
-    s = seqs(spark, d).select("doc_id", F.substring("seq", 1, 30).alias("seq"))
-    return S.min_edit_distance(s, s.where("doc_id % 40 = 0"), 15).drop("seq").withColumn("distance", F.col("distance").cast("long"))
+    """Windows of 60 bases of the documents that have no label against those of the labelled ones; all pairs are too
+    many for SQL (tested against brute force on a small table)."""
+    labelled = derive.load(spark, d, "SELECT DISTINCT doc_id FROM {labels}")
+    s = pieces(spark, d, 60).select("doc_id", "window", "seq")
+    return S.min_edit_distance(s.join(labelled, "doc_id", "left_anti"), s.join(labelled, "doc_id", "left_semi"), 3).drop("seq")
 
 
 _LANES = ", ".join(f"translate(seq, 'ACGT', '{''.join('01'[b == c] for c in 'ACGT')}') AS {b.lower()}" for b in "ACGT")

@@ -310,3 +310,128 @@ def test_quantile_normalise_uses_every_rank(spark):
         want |= {(s, i): float(y) for i, y in enumerate(np.interp(place, at, mean))}
     assert got == pytest.approx(want, abs=1e-9)
     assert len({got[("a", i)] for i in range(2400)}) == 2400
+
+
+def test_ranks_and_false_discovery_over_buckets(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(g), None if rng.random() < 0.03 else float(round(v, 3))) for g, v in zip(rng.choice([0, 0, 0, 1, 2], 4000), rng.random(4000))] + [(None, 0.5), (None, 0.25), (3, None)]
+    df = spark.createDataFrame(rows, "g int, p double").withColumn("id", F.monotonically_increasing_id())
+    for by in ((), ("g",)):
+        got = stats.with_average_rank(stats.bh_adjust(df, by=by), "p", "rank", by).collect()
+        assert len(got) == len(rows)
+        groups = {}
+        for r in got:
+            groups.setdefault(r.g if by else 0, []).append(r)
+        for part in groups.values():
+            known = np.array([r.p for r in part if r.p is not None])
+            ordered = np.sort(known)
+            best, want = 1.0, {}
+            for k in range(len(ordered), 0, -1):
+                best = min(best, ordered[k - 1] * len(ordered) / k)
+                want.setdefault(ordered[k - 1], best)
+            for r in part:
+                if r.p is None:
+                    assert r.fdr is None and r.rank is None
+                else:
+                    assert r.fdr == pytest.approx(want[r.p], rel=1e-9)
+                    assert r.rank == pytest.approx(((ordered < r.p).sum() + 1 + (ordered <= r.p).sum()) / 2)
+
+
+def test_rank_correlation_against_numpy(spark):
+    rng = np.random.default_rng(12)
+    x, y = np.round(rng.normal(size=900), 1), np.round(rng.normal(size=900), 1)
+    rank = lambda v: np.array([((v < a).sum() + 1 + (v <= a).sum()) / 2 for a in v])
+    r = stats.correlate(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"), "x", "y").first()
+    assert r.pearson == pytest.approx(np.corrcoef(x, y)[0, 1]) and r.spearman == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1]) and r.n == 900
+
+
+def test_gene_event_correlations_in_blocks(spark):
+    rng = np.random.default_rng(13)
+    psi = {(e, c): float(rng.random()) for e in range(7) for c in range(6) if rng.random() < 0.7} | {(9, c): 0.5 for c in range(6)} | {(8, 0): 0.1}
+    gene = {(g, c): float(rng.normal()) for g in range(5) for c in range(1, 7)}
+    means = spark.createDataFrame([(e, c, v) for (e, c), v in psi.items()] + [(0, 99, None)], "event int, condition int, psi double")
+    expression = spark.createDataFrame([(g, c, v) for (g, c), v in gene.items()], "gene int, cell_line int, value double")
+    for block in (512, 2):
+        got = {(r.event, r.gene): (r.r, r.n) for r in stats.gene_event_correlation(means, expression, block).collect()}
+        want = {}
+        for e in {e for e, _ in psi}:
+            for g in range(5):
+                both = [c for c in range(7) if (e, c) in psi and (g, c) in gene]
+                if both:
+                    a, b = np.array([psi[e, c] for c in both]), np.array([gene[g, c] for c in both])
+                    want[e, g] = (None if len(both) < 2 or a.std() == 0 else float(np.corrcoef(a, b)[0, 1]), len(both))
+        assert got.keys() == want.keys()
+        for k, (r, n) in want.items():
+            assert got[k][1] == n and (got[k][0] is None if r is None else got[k][0] == pytest.approx(r, abs=1e-9))
+
+
+def test_fisher_of_large_tables():
+    def all_tables(a, b, c, d):
+        n1, n0, m = a + b, c + d, a + c
+        p = {x: math.comb(n1, x) * math.comb(n0, m - x) for x in range(max(0, m - n0), min(n1, m) + 1)}
+        return sum(v for v in p.values() if v <= p[a] * (1 + 1e-7)) / math.comb(n1 + n0, m)
+
+    rng = random.Random(5)
+    for _ in range(300):
+        t = [rng.randrange(rng.choice([2, 12, 80])) for _ in range(4)]
+        assert seq_ops._fisher(*t) == pytest.approx(all_tables(*t), rel=1e-6), t
+    assert 0 <= seq_ops._fisher(50_000_000, 50_000_000, 50_010_000, 49_990_000) < 0.2
+
+
+def test_error_function():
+    x = np.linspace(0, 12, 500)
+    assert np.allclose(stats._erfc(x), [math.erfc(v) for v in x], rtol=1e-9, atol=1e-300)
+
+
+def test_edit_distances_by_segments(spark):
+    rng = random.Random(6)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    library = [dna(rng.choice([0, 1, 2, 5, 12, 20])) for _ in range(40)]
+    designs = [dna(rng.choice([0, 1, 3, 12, 20])) for _ in range(40)]
+    for s in library * 2:
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(s) + 1)
+            s = rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice("ACGT") + s[i:], s[:i] + rng.choice("ACGT") + s[i + 1 :]])
+        designs.append(s)
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "seq string")
+    for most in (0, 1, 3):
+        got = {r.seq: r.distance for r in seq_ops.min_edit_distance(frame(designs), frame(library), most).collect()}
+        best = {s: min(edits(s, r) for r in library) for s in designs}
+        assert got == {s: v if v <= most else None for s, v in best.items()}
+
+
+def test_components_against_numpy(spark):
+    from isoflow.operators import models
+
+    rng = np.random.default_rng(14)
+    x = rng.random((6, 30)) + np.outer(np.arange(6), rng.random(30))
+    gaps = {(1, 3), (4, 7)}
+    rows = [(c, f"e{e}", float(x[c, e])) for c in range(6) for e in range(30) if (c, e) not in gaps]
+    z = x.copy()
+    for c, e in gaps:
+        z[c, e] = np.mean([x[c, k] for k in range(30) if (c, k) not in gaps])
+    z = (z - z.mean(axis=0)) / z.std(axis=0, ddof=1)
+    u, s, v = np.linalg.svd(z, full_matrices=False)
+    scores, shares, loadings = models.psi_pca(spark.createDataFrame(rows, "condition int, event string, psi double"), 2)
+    assert shares == pytest.approx((s[:2] ** 2 / (s**2).sum()).tolist())
+    got = np.array([r.pc for r in scores.orderBy("condition").collect()])
+    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-8)
+    weights = {r.event: r.loading for r in loadings.collect()}
+    assert np.allclose([np.abs(weights[f"e{e}"]) for e in range(30)], np.abs(v[:2].T), atol=1e-8)
+    top = [r.event for r in models.top_loadings(loadings, 0, 5).collect()]
+    assert top == [f"e{e}" for e in np.argsort(-np.abs(v[0]), kind="stable")[:5]]
+
+
+def test_random_draws_hang_on_the_rows_alone(spark):
+    rows = [(i, "ACGT" * (i % 5 + 1)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, seq string")
+    one = {(r.replicate, r.kmer): r.n for r in seq_ops.kmer_background(df, 3, 40).collect()}
+    assert one == {(r.replicate, r.kmer): r.n for r in seq_ops.kmer_background(df.repartition(7, "seq"), 3, 40).collect()}
+    draws = {r: sorted((h, i) for i, h in df.select("doc_id", F.xxhash64("doc_id", F.lit(r), F.lit(0)).alias("h")).collect())[:40] for r in (1, 2, 3)}
+    want = {}
+    for r, part in draws.items():
+        for _, i in part:
+            s = rows[i][1]
+            for k in range(len(s) - 2):
+                want[r, s[k : k + 3]] = want.get((r, s[k : k + 3]), 0) + 1
+    assert one == want
