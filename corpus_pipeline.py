@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from isoflow.llm import exact_dedup, jaccard_join, langid, mixing, packing
-from isoflow.llm.common import materialize, table
+from isoflow.llm.common import discard_between, made, materialize, table
 
 MIN_LANGUAGE_SHARE = 0.5
 """Documents whose best language holds less than this share of their words are rejected."""
@@ -74,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages after one another; what a stage leaves behind goes when its result is written."""
+    docs, kept = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard_between(spark, kept, made() - 1)
+        kept = made() - 1
     return docs
