@@ -2,8 +2,8 @@
 
 Intermediate results that cut lineage are Parquet tables under the folder the cluster names in
 ``spark.checkpoint.dir`` (shared by driver and executors), so a lost executor costs a re-run of
-its tasks and nothing else.  Only where that setting is missing, as in tests, a temporary folder
-is used.
+its tasks and nothing else.  Only where that setting is missing and Spark runs on one machine, as in
+tests, a temporary folder is used; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder of this application."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="isoflow-")
         _OWN_DIRS[app] = base
@@ -44,20 +47,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     prepare(spark)
     path = f"{shared_dir(spark)}/isoflow-{uuid.uuid4().hex}/{name}"
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a DataFrame made by :func:`materialize` once nothing reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/isoflow-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, parent)
+
+
+def made() -> int:
+    """How many tables :func:`materialize` has made so far in this process."""
+    return len(_MADE)
+
+
+def discard_between(spark: SparkSession, begin: int, end: int) -> None:
+    """Delete the tables that were made from the ``begin``-th to before the ``end``-th, as far as they are still there."""
+    for path in _MADE[begin:end]:
+        _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
