@@ -45,6 +45,7 @@ class Node:
     children: list["Node"]
     leaf: int
     radius: float = 0.0
+    number: int = 0
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +64,13 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def fit_tree(x: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF, seed: int = 5) -> tuple[Node, int]:
     """The root and the number of leaves."""
-    rng, count = np.random.default_rng(seed), 0
+    rng, count, number = np.random.default_rng(seed), 0, 0
 
     def grow(part: np.ndarray) -> Node:
-        nonlocal count
+        nonlocal count, number
         centre = part.mean(axis=0)
-        node = Node(centre, [], -1, float(np.sqrt(((part - centre) ** 2).sum(axis=1).max())))
+        node = Node(centre, [], -1, float(np.sqrt(((part - centre) ** 2).sum(axis=1).max())), number)
+        number += 1
         if len(part) > leaf:
             _, which = _kmeans(part, branches, rng)
             groups = [part[which == c] for c in range(branches) if (which == c).any()]
@@ -97,17 +99,27 @@ def route(root: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def visits(root: Node, q: np.ndarray) -> Iterator[int]:
-    """Leaves in best-bin-first order: by the largest inner product that a branch can hold."""
+def upper_bounds(root: Node, q: np.ndarray) -> np.ndarray:
+    """For each query and node, by its number, the largest inner product that the branch can hold."""
+    nodes = [root]
+    for node in nodes:
+        nodes += node.children
+    order = sorted(nodes, key=lambda node: node.number)
+    centres, radii = np.stack([node.centre for node in order]), np.array([node.radius for node in order])
+    with np.errstate(all="ignore"):
+        return q @ centres.T + np.sqrt((q * q).sum(axis=1))[:, None] * radii
+
+
+def visits(root: Node, bounds: np.ndarray) -> Iterator[int]:
+    """Leaves in best-bin-first order: by the upper bounds of one query."""
     queue: list[tuple[float, int, Node]] = [(0.0, 0, root)]
-    number, norm = 0, float(np.sqrt(q @ q))
+    bounds = (-bounds).tolist()
     while queue:
-        _, _, node = heapq.heappop(queue)
+        node = heapq.heappop(queue)[2]
         if not node.children:
             yield node.leaf
         for child in node.children:
-            number += 1
-            heapq.heappush(queue, (-float(q @ child.centre) - norm * child.radius, number, child))
+            heapq.heappush(queue, (bounds[child.number], child.number, child))
 
 
 def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -188,8 +200,8 @@ def calibrate(indexed: DataFrame, queries: DataFrame, tree: Node, n_leaves: int,
     for r in truth:
         wanted.setdefault(r.query, []).append(r.leaf)
     places = []
-    for row, v in zip(rows, q):
-        order_of = {leaf: n for n, leaf in enumerate(visits(tree, v))}
+    for row, bounds in zip(rows, upper_bounds(tree, q)):
+        order_of = {leaf: n for n, leaf in enumerate(visits(tree, bounds))}
         places += [order_of[leaf] for leaf in wanted.get(int(row), [])]
     ranks, width = np.array(places, dtype=np.int64), 1
     while width < n_leaves and (ranks < width).mean() < recall:
@@ -251,9 +263,10 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = RE
         first, parts, counts = dealt.value
         for batch in batches:
             at, blocks, wanted = [], [], []
-            for i, v in enumerate(batch["v"]):
+            bounds = upper_bounds(shared.value, matrix(batch["v"])) if len(batch) else []
+            for i in range(len(batch)):
                 seen, held, leaves = 0, 0, []
-                for leaf in visits(shared.value, np.asarray(v, dtype=float)):
+                for leaf in visits(shared.value, bounds[i]):
                     if leaf in counts:
                         leaves.append(leaf)
                     seen, held = seen + 1, held + counts.get(leaf, 0)
@@ -262,11 +275,11 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = RE
                 leaves = np.sort(np.array(leaves, dtype=np.int64))
                 of = np.repeat(first[leaves], parts[leaves])
                 of += np.arange(len(of)) - np.repeat(np.cumsum(parts[leaves]) - parts[leaves], parts[leaves])
-                each = np.repeat(leaves, parts[leaves])
-                for b in np.unique(of):
-                    at.append(i)
-                    blocks.append(b)
-                    wanted.append(each[of == b])
+                order = np.argsort(of, kind="stable")
+                numbers, begin = np.unique(of[order], return_index=True)
+                at += [i] * len(numbers)
+                blocks += numbers.tolist()
+                wanted += np.split(np.repeat(leaves, parts[leaves])[order], begin[1:])
             yield pd.DataFrame({"block": blocks, "row": batch["row"].to_numpy()[at], "query_id": batch["vec_id"].to_numpy()[at], "q": batch["v"].to_numpy()[at], "leaves": wanted})
 
     held = indexed.mapInPandas(place, "row long, vec_id long, v array<double>, leaf long, block long")
