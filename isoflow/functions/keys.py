@@ -107,3 +107,26 @@ def strand_coordinates(df: DataFrame) -> DataFrame:
     minus = F.col("strand") == "-"
     first, second = F.col("exonStart_0base") - F.col("upstreamEE"), F.col("downstreamES") - F.col("exonEnd")
     return df.withColumns({"exon_length": F.col("exonEnd") - F.col("exonStart_0base"), "up_intron": F.when(minus, second).otherwise(first), "down_intron": F.when(minus, first).otherwise(second)})
+
+
+def common_ids(tables: list[DataFrame], key: str) -> DataFrame:
+    """Distinct values of ``key`` that all tables have."""
+    out = tables[0].select(key).distinct()
+    for t in tables[1:]:
+        out = out.join(t.select(key), key, "left_semi")
+    return out
+
+
+def all_ids(tables: list[DataFrame], key: str) -> DataFrame:
+    """Distinct values of ``key`` of any table."""
+    out = tables[0].select(key)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(key))
+    return out.distinct()
+
+
+def table_differences(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``only_first, only_second``: rows, repeats counted, that the other variant lacks; both 0 for equal tables."""
+    gone, new = first.exceptAll(second), second.exceptAll(first)
+    both = gone.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(new.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return both.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("only_first"), F.coalesce(F.sum("b"), F.lit(0)).alias("only_second"))

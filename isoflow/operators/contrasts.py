@@ -59,13 +59,18 @@ def contrast_counts(table: DataFrame, contrasts: DataFrame, min_diff: float = 0.
 
 
 def pooled_g(table: DataFrame, contrasts: DataFrame) -> DataFrame:
-    """Likelihood-ratio statistic of equal inclusion on both sides, from pooled counts.
+    """Likelihood-ratio statistic of equal inclusion on both sides, from pooled counts, and how replicates scatter.
 
     G = 2 sum O ln(O / E) over the four cells, chi-square with one degree of freedom under equality.
+    ``dispersion`` is Pearson's chi-square of the replicates around their side's share over its degrees
+    of freedom ``df`` (replicates less sides), 1 at least; null without replicates.
     """
     rows = table.join(F.broadcast(contrasts), "condition")
     cell = lambda k, c: F.coalesce(F.sum(F.when(F.col("side") == k, F.col(c))), F.lit(0)).cast("double")
-    sums = rows.groupBy("contrast", "event").agg(cell(1, "included").alias("i1"), cell(1, "skipped").alias("s1"), cell(2, "included").alias("i2"), cell(2, "skipped").alias("s2"))
+    size = F.col("included") + F.col("skipped")
+    own = lambda k, x: F.when((F.col("side") == k) & (size > 0), x)
+    scatter = [f(own(k, x)).alias(f"{n}{k}") for k in (1, 2) for n, f, x in (("q", F.sum, F.col("included") * F.col("included") / size), ("r", F.count, size))]
+    sums = rows.groupBy("contrast", "event").agg(cell(1, "included").alias("i1"), cell(1, "skipped").alias("s1"), cell(2, "included").alias("i2"), cell(2, "skipped").alias("s2"), *scatter)
     total = sum((F.col(c) for c in ("s1", "i2", "s2")), F.col("i1"))
 
     def term(o, row, column):
@@ -74,14 +79,24 @@ def pooled_g(table: DataFrame, contrasts: DataFrame) -> DataFrame:
 
     i1, s1, i2, s2 = (F.col(c) for c in ("i1", "s1", "i2", "s2"))
     g = 2 * (term(i1, i1 + s1, i1 + i2) + term(s1, i1 + s1, s1 + s2) + term(i2, i2 + s2, i1 + i2) + term(s2, i2 + s2, s1 + s2))
-    return sums.select("contrast", "event", psi_of(i1, s1).alias("psi1"), psi_of(i2, s2).alias("psi2"), F.greatest(g, F.lit(0.0)).alias("g"))
+    around = lambda k, i, s: F.coalesce(F.try_divide(F.col(f"q{k}") - i * i / (i + s), i * s / ((i + s) * (i + s))), F.lit(0.0))
+    df = F.greatest(F.col("r1") - 1, F.lit(0)) + F.greatest(F.col("r2") - 1, F.lit(0))
+    pearson = F.when(i1 + s1 > 0, around(1, i1, s1)).otherwise(0.0) + F.when(i2 + s2 > 0, around(2, i2, s2)).otherwise(0.0)
+    dispersion = F.when(df > 0, F.greatest(F.lit(1.0), pearson / df))
+    return sums.select("contrast", "event", psi_of(i1, s1).alias("psi1"), psi_of(i2, s2).alias("psi2"), F.greatest(g, F.lit(0.0)).alias("g"), dispersion.alias("dispersion"), df.alias("df"))
 
 
 def differential_test(table: DataFrame, contrasts: DataFrame) -> DataFrame:
-    """:func:`pooled_g` with p-values and the false-discovery rate within each contrast."""
-    from isoflow.operators.stats import bh_adjust, chi2_1_tail
+    """:func:`pooled_g` with p-values and the false-discovery rate within each contrast.
 
-    return bh_adjust(pooled_g(table, contrasts).withColumn("p", chi2_1_tail(F.col("g"))), by=("contrast",))
+    Replicates count: G over their dispersion is held against F with one and ``df`` degrees of freedom
+    (quasi-likelihood), so a difference that replicates do not share is not significant.  Without
+    replicates G is held against chi-square.
+    """
+    from isoflow.operators.stats import bh_adjust, chi2_1_tail, t_tail
+
+    p = F.coalesce(t_tail(F.sqrt(F.col("g") / F.col("dispersion")), F.col("df").cast("double")), chi2_1_tail(F.col("g")))
+    return bh_adjust(pooled_g(table, contrasts).withColumn("p", p), by=("contrast",))
 
 
 def unpack_lists(table: DataFrame, columns) -> DataFrame:

@@ -167,3 +167,13 @@ def umi_dedup(molecules: DataFrame, event=("idx", "mode")) -> DataFrame:
 def molecule_counts(molecules: DataFrame, event=("idx", "mode")) -> DataFrame:
     """Reads of each molecule."""
     return molecules.groupBy(*event, "cb", "umi").agg(F.count(F.lit(1)).alias("reads"))
+
+
+def mode_counts(table: DataFrame, by, modes=(INCLUDED, SKIPPED)) -> DataFrame:
+    """Counts of each mode as columns, absent ones 0."""
+    return table.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col("mode") == m, F.col("cnt"))), F.lit(0)).alias(m) for m in modes])
+
+
+def lineage_counts(lines: DataFrame) -> DataFrame:
+    """Distinct cell lines of each lineage."""
+    return lines.groupBy("lineage").agg(F.countDistinct("name").alias("n_lines"))

@@ -181,3 +181,22 @@ def quantile_normalise(table: DataFrame, sample: str = "sample", value: str = "p
     low, high = means.select("_j", F.col("_mean").alias("_low")), means.select((F.col("_j") - 1).alias("_j"), F.col("_mean").alias("_high"))
     normalised = F.col("_low") + F.coalesce(F.col("_part") * (F.col("_high") - F.col("_low")), F.lit(0.0))
     return x.join(low, "_j").join(high, "_j", "left").select(*table.columns, normalised.alias("normalised"))
+
+
+def to_matrix(means: DataFrame, conditions: list, row: str = "event", column: str = "condition", value: str = "psi") -> DataFrame:
+    """One row per event and one column per listed condition."""
+    return means.groupBy(row).pivot(column, conditions).agg(F.first(value))
+
+
+def to_long(table: DataFrame, ids: list[str], columns: list[str], name: str = "kind", value: str = "n") -> DataFrame:
+    """Columns as rows of their name and value."""
+    return table.unpivot(ids, columns, name, value)
+
+
+def logit(p):
+    """Log odds; null at 0 and 1."""
+    return F.when((p > 0) & (p < 1), F.ln(p / (1 - p)))
+
+
+def inverse_logit(x):
+    return 1 / (1 + F.exp(-x))

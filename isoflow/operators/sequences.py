@@ -227,6 +227,30 @@ def effect_means(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("condition", "idx", "position").agg((-F.sum("delta") / 3).alias("effect"))
 
 
+def effect_matrix(deltas: DataFrame, lengths: DataFrame, alphabet: str = "ACGT") -> DataFrame:
+    """``condition, idx, position``, the effect of each base and ``effect``, minus a third of their sum, for all
+    positions from 1 to the element's ``length`` (``lengths (idx, length)``); 0 where nothing was measured."""
+    seen = deltas.select("condition", "idx").distinct().join(lengths, "idx")
+    grid = seen.select("condition", "idx", F.explode(F.expr("sequence(1, length)")).alias("position"))
+    bases = deltas.groupBy("condition", "idx", "position").agg(*[F.max(F.when(F.col("nucleotide") == b, F.col("delta"))).alias(b) for b in alphabet])
+    filled = grid.join(bases, ["condition", "idx", "position"], "left").na.fill(0.0, list(alphabet))
+    return filled.withColumn("effect", -sum((F.col(b) for b in alphabet[1:]), F.col(alphabet[0])) / 3)
+
+
+def effect_blocks(deltas: DataFrame, lengths: DataFrame, sigma: float = 1.1, z: float = 3.0, min_length: int = 3, min_mean: float = 0.25) -> DataFrame:
+    """``condition, idx, direction, start, stop, len, mean``: runs of positions whose smoothed effect stands out.
+
+    Effects are smoothed along the element; positions more than ``z`` robust deviations from its median
+    that follow each other make a block, if it is long and its own mean effect strong enough.
+    """
+    from isoflow.operators.stats import call_blocks, gaussian_smooth, robust_z
+
+    effects = effect_matrix(deltas, lengths).withColumn("series", F.struct("condition", "idx"))
+    scored = robust_z(gaussian_smooth(effects, "series", "position", "effect", sigma), "series", "smooth")
+    flagged = scored.withColumn("direction", F.when(F.col("z") > z, 1).when(F.col("z") < -z, -1).otherwise(0))
+    return call_blocks(flagged, "direction", "series", "position", "effect", min_length, min_mean).select("series.*", "direction", "start", "stop", "len", "mean")
+
+
 def global_position(table: DataFrame) -> DataFrame:
     """Dense rank of positions within each location, by element and condition."""
     return table.withColumn("place", F.dense_rank().over(Window.partitionBy("condition", "idx").orderBy("position")))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from isoflow.functions import keys as N
 from isoflow.functions import sequences as Q
+from isoflow.operators import counts as C
+from isoflow.operators import psi as P
 from isoflow.operators import sequences as S
 from isoflow.operators import stats as T
 from isoflow.plans import derive
@@ -197,6 +199,27 @@ def effect_means(spark, d):
     return rounded(S.effect_means(S.satmut_delta(satmut(spark, d)))).withColumn("effect", F.col("effect") + 0.0)
 
 
+_MATRIX = ", ".join(f"coalesce(max(delta) FILTER (nucleotide = '{b}'), 0) AS \"{b}\"" for b in "ACGT")
+
+
+def element_lengths(spark, d):
+    return satmut(spark, d).groupBy("idx").agg(F.max("position").alias("length"))
+
+
+@query(ctes("satmut") + _DELTA + f""", n AS (SELECT idx, max(position) AS length FROM satmut GROUP BY idx), g AS (SELECT condition, idx, unnest(range(1, length + 1)) AS position FROM (SELECT DISTINCT condition, idx FROM dl) JOIN n USING (idx)),
+ b AS (SELECT condition, idx, position, {_MATRIX} FROM g LEFT JOIN dl USING (condition, idx, position) GROUP BY ALL)
+ SELECT condition, idx, CAST(position AS INT) AS position, round("A", 6) + 0.0 AS "A", round("C", 6) + 0.0 AS "C", round("G", 6) + 0.0 AS "G", round("T", 6) + 0.0 AS "T", round(-("A" + "C" + "G" + "T") / 3, 6) + 0.0 AS effect FROM b""")
+def effect_matrix(spark, d):
+    out = rounded(S.effect_matrix(S.satmut_delta(satmut(spark, d)), element_lengths(spark, d)))
+    return out.select("condition", "idx", "position", *[(F.col(c) + 0.0).alias(c) for c in ("A", "C", "G", "T", "effect")])
+
+
+@query()
+def effect_blocks(spark, d):
+    """Blocks of mutations with an effect (tested against numpy)."""
+    return rounded(S.effect_blocks(S.satmut_delta(satmut(spark, d)), element_lengths(spark, d), z=1.0, min_mean=0.01))
+
+
 @query(ctes("satmut") + " SELECT condition, idx, position, sample, nucleotide, dense_rank() OVER (PARTITION BY condition, idx ORDER BY position) AS place FROM satmut")
 def global_position(spark, d):
     return S.global_position(satmut(spark, d)).select("condition", "idx", "position", "sample", "nucleotide", F.col("place").cast("long").alias("place"))
@@ -269,8 +292,7 @@ def except_rows(spark, d):
 
 @query(ctes("counts") + """ SELECT condition, idx, CAST(coalesce(sum(cnt) FILTER (mode = 'INCLUDED'), 0) AS BIGINT) AS "INCLUDED", CAST(coalesce(sum(cnt) FILTER (mode = 'SKIPPED'), 0) AS BIGINT) AS "SKIPPED" FROM counts GROUP BY ALL""")
 def mode_counts(spark, d):
-    part = lambda m: F.coalesce(F.sum(F.when(F.col("mode") == m, F.col("cnt"))), F.lit(0)).alias(m)
-    return counts(spark, d).groupBy("condition", "idx").agg(part("INCLUDED"), part("SKIPPED"))
+    return C.mode_counts(counts(spark, d), ("condition", "idx"))
 
 
 _COLUMNS = ", ".join(f"round(max(psi) FILTER (condition = {c}), 6) AS c{c}" for c in range(25))  # one for each nation
@@ -279,15 +301,34 @@ _COLUMNS = ", ".join(f"round(max(psi) FILTER (condition = {c}), 6) AS c{c}" for
 @query(ctes("psi_counts") + MEANS_CTE + f" SELECT event, {_COLUMNS} FROM means GROUP BY event")
 def to_matrix(spark, d):
     conditions = sorted(r.condition for r in derive.load(spark, d, derive.NATION).select("condition").distinct().collect())  # the nations
-    wide = means(spark, d).groupBy("event").pivot("condition", conditions).agg(F.first("psi"))
+    wide = P.to_matrix(means(spark, d), conditions)
     return rounded(wide.select("event", *[F.col(str(c)).alias(f"c{c}") for c in conditions]))
 
 
 @query(ctes("psi_counts") + " SELECT sample, event, 'included' AS kind, included AS n FROM psi_counts UNION ALL SELECT sample, event, 'skipped', skipped FROM psi_counts")
 def to_long(spark, d):
-    return derive.load(spark, d, derive.PSI_COUNTS).unpivot(["sample", "event"], ["included", "skipped"], "kind", "n")
+    return P.to_long(derive.load(spark, d, derive.PSI_COUNTS), ["sample", "event"], ["included", "skipped"])
 
 
 @query("SELECT n_regionkey AS lineage, count(DISTINCT n_name) AS n_lines FROM nation GROUP BY 1")
 def lineage_counts(spark, d):
-    return derive.load(spark, d, derive.NATION).groupBy("lineage").agg(F.countDistinct("name").alias("n_lines"))
+    return C.lineage_counts(derive.load(spark, d, derive.NATION))
+
+
+@query("SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N')")
+def common_ids(spark, d):
+    rows = derive.load(spark, d, "SELECT l_partkey AS k, l_returnflag AS flag FROM {lineitem}")
+    return N.common_ids([rows.where("flag = 'A'"), rows.where("flag = 'N'")], "k")
+
+
+@query("SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'A' UNION SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7")
+def all_ids(spark, d):
+    rows = derive.load(spark, d, "SELECT l_suppkey AS k, l_returnflag AS flag, l_linenumber AS line FROM {lineitem}")
+    return N.all_ids([rows.where("flag = 'A'"), rows.where("line = 7")], "k")
+
+
+@query("""WITH a AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber >= 3)
+ SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_first, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_second""")
+def table_differences(spark, d):
+    rows = derive.load(spark, d, "SELECT l_partkey, l_suppkey, l_linenumber AS line FROM {lineitem}")
+    return N.table_differences(rows.where("line <= 3").drop("line"), rows.where("line >= 3").drop("line"))

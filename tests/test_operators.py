@@ -435,3 +435,63 @@ def test_random_draws_hang_on_the_rows_alone(spark):
             for k in range(len(s) - 2):
                 want[r, s[k : k + 3]] = want.get((r, s[k : k + 3]), 0) + 1
     assert one == want
+
+
+def test_effect_blocks_against_numpy(spark):
+    rng = np.random.default_rng(15)
+    length, wide = 60, rng.normal(0, 0.05, (3, 60, 4))
+    wide[0, 20:26] -= 0.9
+    wide[1, 40:45] += 0.8
+    rows = [(1, f"e{e}", p + 1, b, float(wide[e, p, k])) for e in range(3) for p in range(length) for k, b in enumerate("ACGT") if rng.random() < 0.9]
+    deltas = spark.createDataFrame(rows, "condition int, idx string, position int, nucleotide string, delta double")
+    lengths = spark.createDataFrame([(f"e{e}", length) for e in range(3)], "idx string, length int")
+    matrix = np.zeros((3, length, 4))
+    for _, e, p, b, v in rows:
+        matrix[int(e[1]), p - 1, "ACGT".index(b)] = v
+    got = {(r.idx, r.position): (r.A, r.C, r.G, r["T"], r.effect) for r in seq_ops.effect_matrix(deltas, lengths).collect()}
+    for e in range(3):
+        for p in range(length):
+            assert got[f"e{e}", p + 1] == pytest.approx([*matrix[e, p], -matrix[e, p].sum() / 3])
+    kernel = np.exp(-0.5 * (np.arange(-4, 5) / 1.1) ** 2)
+    kernel /= kernel.sum()
+    want = set()
+    for e in range(3):
+        effect = -matrix[e].sum(axis=1) / 3
+        smooth = np.convolve(np.pad(effect, 4, mode="symmetric"), kernel, "valid")
+        spread = (np.percentile(smooth, 75) - np.percentile(smooth, 25)) / 1.349
+        z = (smooth - np.median(smooth)) / spread
+        for direction in (1, -1):
+            at = np.flatnonzero(z * direction > 3)
+            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                if len(run) >= 3 and effect[run].mean() * direction >= 0.25:
+                    want.add((f"e{e}", direction, int(run[0]) + 1, int(run[-1]) + 2))
+    assert {(r.idx, r.direction, r.start, r.stop) for r in seq_ops.effect_blocks(deltas, lengths).collect()} == want and len(want) >= 2
+
+
+def test_differential_test_counts_replicates(spark):
+    rows = [("a", "s1", 500, 500), ("a", "s2", 510, 490), ("b", "s3", 700, 300), ("b", "s4", 690, 310)]
+    noisy = [("a", "s1", 100, 900), ("a", "s2", 910, 90), ("b", "s3", 980, 20), ("b", "s4", 410, 590)]
+    table = spark.createDataFrame([(c, s, e, i, k) for e, part in (("even", rows), ("noisy", noisy)) for c, s, i, k in part], "condition string, sample string, event string, included long, skipped long")
+    sides = spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], "condition string, contrast string, side int")
+    got = {r.event: r for r in contrasts.differential_test(table, sides).collect()}
+    for event, part in (("even", rows), ("noisy", noisy)):
+        chi = sum((i - (i + k) * p) ** 2 / ((i + k) * p * (1 - p)) for c in "ab" for p in [sum(r[2] for r in part if r[0] == c) / 2000] for o, _, i, k in part if o == c)
+        assert got[event].df == 2 and got[event].dispersion == pytest.approx(max(1.0, chi / 2))
+    assert got["even"].p < 0.01 < 0.2 < got["noisy"].p
+    x = (got["even"].g / got["even"].dispersion) ** 0.5
+    assert got["even"].p == pytest.approx(1 - x / (2 + x * x) ** 0.5, rel=1e-6)  # Student's t with two degrees of freedom
+    single = contrasts.differential_test(table.where("sample in ('s1', 's3') and event = 'even'"), sides).first()
+    assert single.dispersion is None and single.p == pytest.approx(math.erfc((single.g / 2) ** 0.5), rel=1e-6)
+
+
+def test_log_odds(spark):
+    r = spark.createDataFrame([(0.2,)], "p double").select(psi.logit(F.col("p")).alias("x"), psi.inverse_logit(psi.logit(F.col("p"))).alias("p"), psi.logit(F.lit(1.0)).alias("n")).first()
+    assert r.x == pytest.approx(math.log(0.25)) and r.p == pytest.approx(0.2) and r.n is None
+
+
+def test_two_component_mixture_separates(spark):
+    from isoflow.operators import models
+
+    rows = [("g", f"c{i}", v) for i, v in enumerate([0.1, 0.2, 0.15, 0.12, 5.0, 5.1, 4.9, 5.2])]
+    got = {r.cell_line: r.cluster for r in models.gmm_1d(spark.createDataFrame(rows, "gene string, cell_line string, value double")).collect()}
+    assert got == {f"c{i}": 1 + (i >= 4) for i in range(8)}
