@@ -2,42 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def read_fastq(spark: SparkSession, paths) -> DataFrame:
-    """``read_id, seq, qual, file`` of FASTQ files, gzipped or not.
+    """``read_id, seq, qual, file`` of FASTQ files of any size, gzipped (a file is a task then) or not (split).
 
-    Gzip cannot be split: a file is a task.  The four lines of a record are put together in the
-    order of the file; repartition afterwards for more parallelism.
+    Lines are numbered within their split of a file, splits by their place in it, and the number of
+    lines before a split is a sum over splits; each four lines of a file are a record.
     """
     spark_paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.read.format("binaryFile").load(spark_paths).select("path", "content")
-
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-        import io
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                stream = io.BytesIO(content)
-                lines = gzip.open(stream, "rt") if content[:2] == b"\x1f\x8b" else io.TextIOWrapper(stream)
-                rows = []
-                while header := lines.readline():
-                    seq, _, qual = (lines.readline().rstrip("\n") for _ in range(3))
-                    rows.append((header.rstrip("\n")[1:], seq, qual, path))
-                    if len(rows) == 50_000:
-                        yield pd.DataFrame(rows, columns=["read_id", "seq", "qual", "file"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["read_id", "seq", "qual", "file"])
-
-    return files.mapInPandas(records, "read_id string, seq string, qual string, file string")
+    lines = spark.read.text(spark_paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))  # one row per split
+    numbered = lines.join(splits, ["file", "split"]).withColumn("line", F.col("id") + F.col("shift"))
+    part = lambda k, name: F.max(F.when(F.col("line") % 4 == k, F.rtrim(F.col("value"), F.lit("\r")))).alias(name)
+    records = numbered.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(part(0, "header"), part(1, "seq"), part(3, "qual"))
+    return records.where("header <> ''").select(F.substr("header", F.lit(2)).alias("read_id"), F.coalesce("seq", F.lit("")).alias("seq"), F.coalesce("qual", F.lit("")).alias("qual"), "file")
 
 
 def read_fasta(spark: SparkSession, paths) -> DataFrame:

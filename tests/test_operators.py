@@ -495,3 +495,20 @@ def test_two_component_mixture_separates(spark):
     rows = [("g", f"c{i}", v) for i, v in enumerate([0.1, 0.2, 0.15, 0.12, 5.0, 5.1, 4.9, 5.2])]
     got = {r.cell_line: r.cluster for r in models.gmm_1d(spark.createDataFrame(rows, "gene string, cell_line string, value double")).collect()}
     assert got == {f"c{i}": 1 + (i >= 4) for i in range(8)}
+
+
+def test_fastq_files_of_many_splits(spark, tmp_path):
+    rng = random.Random(9)
+    want = {}
+    for name, n in (("a.fastq", 700), ("b.fastq", 3), ("c.fastq", 250)):
+        rows = [(f"{name}{i}_BC_UMI", "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 90)))) for i in range(n)]
+        text = "".join(f"@{r}\n{s}\n+\n{'I' * len(s)}\n" for r, s in rows)
+        (tmp_path / name).write_text(text)
+        want |= {r: (s, "I" * len(s), name) for r, s in rows}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = {r.read_id: (r.seq, r.qual, r.file.rsplit("/", 1)[1]) for r in tables.read_fastq(spark, str(tmp_path / "*.fastq")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == want
