@@ -189,3 +189,35 @@ def test_one_row_of_each_group_of_copies_stays(spark):
         got = Counter((r.doc_id, (r.text or "").lower()) for r in exact_dedup.without_copies(docs, broadcast_rows=limit).collect())
         assert got == Counter([(9, "a"), (5, "b"), (3, "c"), (None, "d"), (7, ""), (1, "alone"), (2, "e")])
     assert exact_dedup.without_copies(docs).columns == docs.columns and exact_dedup.without_copies(docs.where("false")).count() == 0
+
+
+def test_evolution_reaches_bounds_that_its_founders_miss():
+    better = 0
+    for seed in (12, 23, 25, 32, 34, 42, 49, 58):
+        rng = np.random.default_rng(seed)
+        lengths = []
+        for _ in range(int(rng.integers(6, 20))):
+            lengths += np.diff(np.concatenate([[0], np.sort(rng.choice(np.arange(1, 100), 3, replace=False)), [100]])).tolist()
+        lengths, bound = np.array(lengths), sum(lengths) // 100
+        population = sorted(packing.founders(lengths, 100, 4, np.random.default_rng(1)), key=lambda c: packing.fitness(c, lengths, 100))
+        before = packing.fitness(population[0], lengths, 100)[0]
+        best = packing.evolve(population, lengths, 100, 40, np.random.default_rng(2))[0]
+        assert np.bincount(best, weights=lengths).max() <= 100
+        better += before > bound and packing.fitness(best, lengths, 100)[0] == bound
+    assert better >= 5
+
+
+def test_islands_pack_a_block_that_its_founders_do_not(spark):
+    """Through Spark: no island ends at once, elites migrate, and the packing found meets the bound."""
+    rng = np.random.default_rng(42)
+    lengths = []
+    for _ in range(int(rng.integers(6, 20))):
+        lengths += np.diff(np.concatenate([[0], np.sort(rng.choice(np.arange(1, 100), 3, replace=False)), [100]])).tolist()
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "uid long, length long")
+    rows = packing.pack(items, 100, epochs=4, generations=20).collect()
+    fills = defaultdict(int)
+    for r in rows:
+        fills[r.bin] += lengths[r.uid]
+    assert len(rows) == len(lengths) and max(fills.values()) <= 100
+    founders = [c for island in range(3) for c in packing.founders(np.array(lengths), 100, 4, np.random.default_rng([0, island]))]
+    assert len(fills) == sum(lengths) // 100 < min(packing.fitness(c, np.array(lengths), 100)[0] for c in founders)
