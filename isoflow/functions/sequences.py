@@ -7,7 +7,10 @@ import re
 from pyspark.sql import functions as F
 
 # The IUPAC nucleotide codes.
-IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "[AG]", "Y": "[CT]", "S": "[CG]", "W": "[AT]", "K": "[GT]", "M": "[AC]", "B": "[CGT]", "D": "[AGT]", "H": "[ACT]", "V": "[ACG]", "N": "[ACGT]"}
+IUPAC = {
+    "A": "A", "C": "C", "G": "G", "T": "T", "R": "[AG]", "Y": "[CT]", "S": "[CG]", "W": "[AT]", "K": "[GT]", "M": "[AC]", "B": "[CGT]",
+    "D": "[AGT]", "H": "[ACT]", "V": "[ACG]", "N": "[ACGT]",
+}
 
 
 def reverse_complement(seq):

@@ -17,7 +17,10 @@ def one_against_rest(conditions: DataFrame) -> DataFrame:
     a = conditions.select(F.col("condition").alias("one")).distinct()
     b = conditions.select("condition").distinct()
     pairs = a.join(F.broadcast(b), F.lit(True))
-    return pairs.select(F.concat(F.col("one").cast("string"), F.lit("_all")).alias("contrast"), F.when(F.col("one") == F.col("condition"), 1).otherwise(2).alias("side"), "condition")
+    return pairs.select(
+        F.concat(F.col("one").cast("string"), F.lit("_all")).alias("contrast"),
+        F.when(F.col("one") == F.col("condition"), 1).otherwise(2).alias("side"), "condition",
+    )
 
 
 def groups_against_rest(groups: DataFrame) -> DataFrame:
@@ -49,11 +52,14 @@ def pack_replicates(table: DataFrame, by, sample: str = "sample", values=("inclu
 
 def contrast_counts(table: DataFrame, contrasts: DataFrame, min_diff: float = 0.1, min_length: int = 2) -> DataFrame:
     """Replicate lists of both sides for the events whose mean PSI differs enough: ``contrast, event, i1, s1, i2, s2, diff``."""
-    rows = table.join(F.broadcast(contrasts), "condition").withColumn("psi", psi_of(F.col("included"), F.col("skipped")))
+    rows = table.join(contrasts, "condition").withColumn("psi", psi_of(F.col("included"), F.col("skipped")))
     side = lambda k, c: F.avg(F.when(F.col("side") == k, F.col(c)))
     means = rows.groupBy("contrast", "event").agg(side(1, "psi").alias("psi1"), side(2, "psi").alias("psi2"))
     wide = means.withColumn("diff", F.col("psi1") - F.col("psi2")).where(F.abs("diff") >= min_diff)
-    packed = pack_replicates(rows.join(wide.select("contrast", "event"), ["contrast", "event"], "left_semi"), ("contrast", "event", "side"), min_length=min_length)
+    packed = pack_replicates(
+        rows.join(wide.select("contrast", "event"), ["contrast", "event"], "left_semi"), ("contrast", "event", "side"),
+        min_length=min_length,
+    )
     one, two = (packed.where(F.col("side") == k).select("contrast", "event", F.col("included").alias(f"i{k}"), F.col("skipped").alias(f"s{k}")) for k in (1, 2))
     return one.join(two, ["contrast", "event"]).join(wide.select("contrast", "event", "diff"), ["contrast", "event"])
 
@@ -65,12 +71,15 @@ def pooled_g(table: DataFrame, contrasts: DataFrame) -> DataFrame:
     ``dispersion`` is Pearson's chi-square of the replicates around their side's share over its degrees
     of freedom ``df`` (replicates less sides), 1 at least; null without replicates.
     """
-    rows = table.join(F.broadcast(contrasts), "condition")
+    rows = table.join(contrasts, "condition")
     cell = lambda k, c: F.coalesce(F.sum(F.when(F.col("side") == k, F.col(c))), F.lit(0)).cast("double")
     size = F.col("included") + F.col("skipped")
     own = lambda k, x: F.when((F.col("side") == k) & (size > 0), x)
     scatter = [f(own(k, x)).alias(f"{n}{k}") for k in (1, 2) for n, f, x in (("q", F.sum, F.col("included") * F.col("included") / size), ("r", F.count, size))]
-    sums = rows.groupBy("contrast", "event").agg(cell(1, "included").alias("i1"), cell(1, "skipped").alias("s1"), cell(2, "included").alias("i2"), cell(2, "skipped").alias("s2"), *scatter)
+    sums = rows.groupBy("contrast", "event").agg(
+        cell(1, "included").alias("i1"), cell(1, "skipped").alias("s1"), cell(2, "included").alias("i2"), cell(2, "skipped").alias("s2"),
+        *scatter,
+    )
     total = sum((F.col(c) for c in ("s1", "i2", "s2")), F.col("i1"))
 
     def term(o, row, column):
@@ -83,7 +92,10 @@ def pooled_g(table: DataFrame, contrasts: DataFrame) -> DataFrame:
     df = F.greatest(F.col("r1") - 1, F.lit(0)) + F.greatest(F.col("r2") - 1, F.lit(0))
     pearson = F.when(i1 + s1 > 0, around(1, i1, s1)).otherwise(0.0) + F.when(i2 + s2 > 0, around(2, i2, s2)).otherwise(0.0)
     dispersion = F.when(df > 0, F.greatest(F.lit(1.0), pearson / df))
-    return sums.select("contrast", "event", psi_of(i1, s1).alias("psi1"), psi_of(i2, s2).alias("psi2"), F.greatest(g, F.lit(0.0)).alias("g"), dispersion.alias("dispersion"), df.alias("df"))
+    return sums.select(
+        "contrast", "event", psi_of(i1, s1).alias("psi1"), psi_of(i2, s2).alias("psi2"), F.greatest(g, F.lit(0.0)).alias("g"),
+        dispersion.alias("dispersion"), df.alias("df"),
+    )
 
 
 def differential_test(table: DataFrame, contrasts: DataFrame) -> DataFrame:
@@ -153,7 +165,7 @@ def exclude_control_hits(results: DataFrame, controls: list[str], between: str |
 
 def batch_blacklist(means: DataFrame, batches: DataFrame, min_diff: float = 0.35) -> DataFrame:
     """Events whose mean PSI differs between the old and the new batch of any condition; ``batches`` is ``sample, batch``."""
-    b = means.join(F.broadcast(batches), "sample").groupBy("event", "condition").agg(F.avg(F.when(F.col("batch") == "old", F.col("psi"))).alias("old"), F.avg(F.when(F.col("batch") == "new", F.col("psi"))).alias("new"))
+    b = means.join(batches, "sample").groupBy("event", "condition").agg(F.avg(F.when(F.col("batch") == "old", F.col("psi"))).alias("old"), F.avg(F.when(F.col("batch") == "new", F.col("psi"))).alias("new"))
     return b.where(F.abs(F.col("new") - F.col("old")) >= min_diff).select("event").distinct()
 
 
@@ -180,7 +192,7 @@ def altss_share(counts: DataFrame, pairs: DataFrame) -> DataFrame:
 def altss_contrast(shares: DataFrame, contrasts: DataFrame, min_diff: float = 0.1) -> DataFrame:
     """Event pairs whose mean share differs between the sides of a contrast."""
     pair = ["idx", "major_up", "major_down", "minor_up", "minor_down"]
-    rows = shares.join(F.broadcast(contrasts), "condition")
+    rows = shares.join(contrasts, "condition")
     side = lambda k: F.avg(F.when(F.col("side") == k, F.col("share")))
     out = rows.groupBy("contrast", *pair).agg(side(1).alias("share1"), side(2).alias("share2"))
     return out.where(F.abs(F.col("share1") - F.col("share2")) >= min_diff)

@@ -35,7 +35,7 @@ def chimera_correct_v3(counts: DataFrame, rates: DataFrame, group=("sample", "id
     w = Window.partitionBy(*group)
     is_in = F.col("mode") == INCLUDED
     inside, outside = F.sum(F.when(is_in, F.col("cnt"))).over(w), F.sum(F.when(~is_in, F.col("cnt"))).over(w)
-    joined = counts.join(F.broadcast(rates), "sample")  # one row per sample
+    joined = counts.join(rates, "sample")  # one row per sample
     joined = joined.withColumns({"_in": F.coalesce(inside, F.lit(0)), "_out": outside})
     scaled = (F.col("_out") - F.col("rate") * F.col("_in")) / (1 + F.col("rate")) * F.try_divide("cnt", "_out")
     fixed = F.when(is_in, F.col("cnt")).otherwise(F.greatest(F.lit(0), F.coalesce(scaled, F.lit(0)).cast("long")))
@@ -45,7 +45,7 @@ def chimera_correct_v3(counts: DataFrame, rates: DataFrame, group=("sample", "id
 def chimera_correct_v2(counts: DataFrame, rates: DataFrame) -> DataFrame:
     """Non-included counts become trunc(n (1 - c))."""
     fixed = F.when(F.col("mode") == INCLUDED, F.col("cnt")).otherwise((F.col("cnt") * (1 - F.col("rate"))).cast("long"))
-    return counts.join(F.broadcast(rates), "sample").withColumn("cnt_scaled", fixed).drop("rate")
+    return counts.join(rates, "sample").withColumn("cnt_scaled", fixed).drop("rate")
 
 
 def geometric_mean(value):
@@ -57,11 +57,14 @@ def anchor_correct(psi_counts: DataFrame, anchors: DataFrame) -> DataFrame:
     """Scale skipped counts by 1 - rate, the rate of a sample being 1 / geometric mean of its anchors' PSI - 1."""
     psi = F.try_divide("included", F.col("included") + F.col("skipped"))
     rates = psi_counts.join(anchors.select("event").distinct(), "event", "left_semi").groupBy("sample").agg((1 / geometric_mean(psi) - 1).alias("swap_rate"))
-    out = psi_counts.join(F.broadcast(rates), "sample")
+    out = psi_counts.join(rates, "sample")
     return out.withColumn("skipped_scaled", (F.col("skipped") * (1 - F.col("swap_rate"))).cast("long"))
 
 
-def select_anchors(psi_counts: DataFrame, n_conditions: int, min_psi: float = 0.95, min_total: int = 100_000, limit: int | None = 100, seed: int = 1) -> DataFrame:
+def select_anchors(
+    psi_counts: DataFrame, n_conditions: int, min_psi: float = 0.95, min_total: int = 100_000, limit: int | None = 100,
+    seed: int = 1,
+) -> DataFrame:
     """Events seen in all conditions, with a high mean PSI and total; ``limit`` of them drawn by hash."""
     total = F.col("included") + F.col("skipped")
     found = psi_counts.where(total > 0).groupBy("event").agg(F.countDistinct("condition").alias("n"), F.avg(F.try_divide("included", total)).alias("mean_psi"), F.sum(total).alias("total"))
@@ -84,14 +87,20 @@ def merge_near_offsets(counts: DataFrame, keys=("sample", "condition", "idx"), r
     def step(kept, x):
         one = F.struct(x["up_off"].alias("up_off"), x["down_off"].alias("down_off"), x["cnt"].alias("cnt"))
         first = F.array_position(F.transform(kept, lambda a: near(a, x)), True)
-        grown = F.transform(kept, lambda a, i: F.when(i + 1 == first, F.struct(a["up_off"].alias("up_off"), a["down_off"].alias("down_off"), (a["cnt"] + x["cnt"]).alias("cnt"))).otherwise(a))
+        grown = F.transform(
+            kept, lambda a,
+            i: F.when(i + 1 == first, F.struct(a["up_off"].alias("up_off"), a["down_off"].alias("down_off"), (a["cnt"] + x["cnt"]).alias("cnt"))).otherwise(a),
+        )
         return F.when(first > 0, grown).otherwise(F.concat(kept, F.array(one)))
 
     merged = counts.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step).alias("kept"))
     return merged.select(*keys, F.explode("kept").alias("k")).select(*keys, "k.*")
 
 
-def included_event_catalog(counts: DataFrame, elements: DataFrame, min_mode_total: int = 30, min_reads: int = 5, min_frac: float = 0.01, max_offset: int = 150) -> DataFrame:
+def included_event_catalog(
+    counts: DataFrame, elements: DataFrame, min_mode_total: int = 30, min_reads: int = 5, min_frac: float = 0.01,
+    max_offset: int = 150,
+) -> DataFrame:
     """The reference event (0, 0) of every element and the imperfect events with enough support."""
     perfect = elements.select("idx").distinct().select("idx", F.lit(0).alias("up_off"), F.lit(0).alias("down_off"))
     seen = count_fractions(counts).where((F.col("mode") == INCLUDED) & ((F.col("up_off") != 0) | (F.col("down_off") != 0)) & (F.col("mode_total") >= min_mode_total))
@@ -108,7 +117,7 @@ def unspliced_catalog(counts: DataFrame) -> DataFrame:
 
 def apply_alt_ref(counts: DataFrame, alt_ref: DataFrame, keys=EVENT) -> DataFrame:
     """Rename elements ``alt`` to ``ref`` and sum what then coincides."""
-    named = counts.join(F.broadcast(alt_ref), F.col("idx") == F.col("alt"), "left").withColumn("idx", F.coalesce("ref", "idx"))
+    named = counts.join(alt_ref, F.col("idx") == F.col("alt"), "left").withColumn("idx", F.coalesce("ref", "idx"))
     return merge_replicate_files(named, keys)
 
 
@@ -148,7 +157,10 @@ def library_coverage(dna: DataFrame, rna: DataFrame) -> DataFrame:
     """Per element, pooled DNA and RNA counts of all runs and barcodes seen in both."""
     pool = lambda df, name: df.groupBy("idx", "cb").agg(F.count(F.lit(1)).alias(name))
     both = pool(dna, "dna").join(pool(rna, "rna"), ["idx", "cb"], "full")
-    return both.groupBy("idx").agg(F.coalesce(F.sum("dna"), F.lit(0)).alias("dna"), F.coalesce(F.sum("rna"), F.lit(0)).alias("rna"), F.count(F.when(F.col("dna").isNotNull() & F.col("rna").isNotNull(), 1)).alias("barcodes_both"))
+    return both.groupBy("idx").agg(
+        F.coalesce(F.sum("dna"), F.lit(0)).alias("dna"), F.coalesce(F.sum("rna"), F.lit(0)).alias("rna"),
+        F.count(F.when(F.col("dna").isNotNull() & F.col("rna").isNotNull(), 1)).alias("barcodes_both"),
+    )
 
 
 def histogram(values: DataFrame, group: str, value: str, bins: int = 20) -> DataFrame:

@@ -51,7 +51,7 @@ def design_pass(designs: DataFrame, parents: DataFrame, rules: DataFrame) -> Dat
     ``designs`` is ``condition, parent, category, psi``; ``parents`` is ``condition, parent, psi``;
     ``rules`` (one row per category) is ``category, start_low, start_high, end_low, end_high``.
     """
-    joined = designs.join(parents.select("condition", "parent", F.col("psi").alias("parent_psi")), ["condition", "parent"], "left").join(F.broadcast(rules), "category")
+    joined = designs.join(parents.select("condition", "parent", F.col("psi").alias("parent_psi")), ["condition", "parent"], "left").join(rules, "category")
     started = F.col("parent_psi").between(F.col("start_low"), F.col("start_high"))
     ended = F.col("psi").between(F.col("end_low"), F.col("end_high"))
     return joined.withColumns({"start_ok": started, "end_ok": ended}).withColumn("correct", F.col("start_ok") & F.col("end_ok")).drop("start_low", "start_high", "end_low", "end_high")
@@ -68,7 +68,7 @@ def design_contrast(designs: DataFrame, pairs: DataFrame) -> DataFrame:
     sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("one").alias("condition")), F.struct(F.lit(2).alias("side"), F.col("two").alias("condition"))))
     table = pairs.select("name", sides.alias("s")).select("name", "s.*")
     side = lambda k: F.avg(F.when(F.col("side") == k, F.col("psi")))
-    out = designs.join(F.broadcast(table), "condition").groupBy("name", "design").agg(side(1).alias("psi1"), side(2).alias("psi2"))
+    out = designs.join(table, "condition").groupBy("name", "design").agg(side(1).alias("psi1"), side(2).alias("psi2"))
     return out.where("psi1 is not null and psi2 is not null").withColumns({"diff": F.col("psi1") - F.col("psi2"), "fold": F.try_divide("psi1", "psi2")})
 
 
@@ -103,7 +103,10 @@ def candidate_genes(expression: DataFrame, *lists: DataFrame) -> DataFrame:
     listed = lists[0].select("gene")
     for more in lists[1:]:
         listed = listed.union(more.select("gene"))
-    a = expression.join(listed.distinct(), "gene", "left_semi").groupBy("gene").agg(F.var_samp("value").alias("var"), (F.max("value") - F.min("value")).alias("range"), F.count("value").cast("double").alias("n"), F.sum("value").alias("s"), F.max("value").alias("hi"))
+    a = expression.join(listed.distinct(), "gene", "left_semi").groupBy("gene").agg(
+        F.var_samp("value").alias("var"), (F.max("value") - F.min("value")).alias("range"), F.count("value").cast("double").alias("n"),
+        F.sum("value").alias("s"), F.max("value").alias("hi"),
+    )
     return a.select("gene", "var", "range", tau_of(F.col("n"), F.col("s"), F.col("hi")).alias("tau"))
 
 

@@ -61,7 +61,10 @@ def psi_pca(means: DataFrame, k: int = 2) -> tuple[DataFrame, list[float], DataF
             yield pd.DataFrame({"event": batch["event"], "loading": list(standardised(batch) @ directions)})
 
     spark = means.sparkSession
-    scores = spark.createDataFrame([(c, [float(x) for x in vectors[i, order] * size]) for i, c in enumerate(names)], f"condition {means.schema['condition'].dataType.simpleString()}, pc array<double>")
+    scores = spark.createDataFrame(
+        [(c, [float(x) for x in vectors[i, order] * size]) for i, c in enumerate(names)],
+        f"condition {means.schema['condition'].dataType.simpleString()}, pc array<double>",
+    )
     total = values.sum()
     return scores, [float(v / total) if total > 0 else 0.0 for v in values[order]], rows.mapInPandas(loadings, f"event {means.schema['event'].dataType.simpleString()}, loading array<double>")
 

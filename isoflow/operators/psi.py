@@ -131,7 +131,7 @@ def batch_median_shift(table: DataFrame, batch: str, value: str = "psi", margin:
     medians = table.groupBy(batch).agg(F.median(value).alias("_batch"))
     overall = table.agg(F.median(value).alias("_all"))
     shifted = F.greatest(F.lit(margin), F.least(F.lit(1 - margin), F.col(value) - (F.col("_batch") - F.col("_all"))))
-    joined = table.join(F.broadcast(medians), batch).crossJoin(F.broadcast(overall))  # one row
+    joined = table.join(medians, batch).crossJoin(F.broadcast(overall))  # one row
     return joined.withColumn("shifted", F.when(F.col(value).isin(0.0, 1.0), F.col(value)).otherwise(shifted)).drop("_batch", "_all")
 
 

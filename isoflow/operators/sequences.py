@@ -237,7 +237,9 @@ def effect_matrix(deltas: DataFrame, lengths: DataFrame, alphabet: str = "ACGT")
     return filled.withColumn("effect", -sum((F.col(b) for b in alphabet[1:]), F.col(alphabet[0])) / 3)
 
 
-def effect_blocks(deltas: DataFrame, lengths: DataFrame, sigma: float = 1.1, z: float = 3.0, min_length: int = 3, min_mean: float = 0.25) -> DataFrame:
+def effect_blocks(
+    deltas: DataFrame, lengths: DataFrame, sigma: float = 1.1, z: float = 3.0, min_length: int = 3, min_mean: float = 0.25,
+) -> DataFrame:
     """``condition, idx, direction, start, stop, len, mean``: runs of positions whose smoothed effect stands out.
 
     Effects are smoothed along the element; positions more than ``z`` robust deviations from its median
@@ -266,7 +268,10 @@ def well_intensity(objects: DataFrame, background: dict[str, float], min_area: f
     """Area-weighted intensity of each well and channel, background taken off, 0 at least."""
     level = F.coalesce(*[F.when(F.col("channel") == c, F.lit(float(b))) for c, b in background.items()], F.lit(0.0))
     rows = objects.where(F.col("area") >= min_area).withColumn("clean", F.greatest(F.col("intensity") - level, F.lit(0.0)))
-    return rows.groupBy("well", "channel").agg(F.sum(F.col("clean") * F.col("area")).alias("total"), F.try_divide(F.sum(F.col("clean") * F.col("area")), F.sum("area")).alias("mean"), F.sum("area").alias("area"))
+    return rows.groupBy("well", "channel").agg(
+        F.sum(F.col("clean") * F.col("area")).alias("total"),
+        F.try_divide(F.sum(F.col("clean") * F.col("area")), F.sum("area")).alias("mean"), F.sum("area").alias("area"),
+    )
 
 
 def control_scale(table: DataFrame, low, high, by: str = "plate", value: str = "ratio", condition: str = "condition") -> DataFrame:
@@ -288,7 +293,10 @@ def two_means_1d(table: DataFrame, by: str = "gene", value: str = "value", item:
     whole = Window.partitionBy(by)
     rows = table.where(F.col(value).isNotNull())
     x = rows.withColumns({"k": F.row_number().over(order), "n": F.count(F.lit(1)).over(whole), "s": F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)), "t": F.sum(value).over(whole), "nxt": F.lead(value).over(order)})
-    between = F.when((F.col("k") < F.col("n")) & (F.col("nxt") > F.col(value)), F.col("s") * F.col("s") / F.col("k") + (F.col("t") - F.col("s")) * (F.col("t") - F.col("s")) / (F.col("n") - F.col("k")))
+    between = F.when(
+        (F.col("k") < F.col("n")) & (F.col("nxt") > F.col(value)),
+        F.col("s") * F.col("s") / F.col("k") + (F.col("t") - F.col("s")) * (F.col("t") - F.col("s")) / (F.col("n") - F.col("k")),
+    )
     x = x.withColumn("score", F.round(between, 9))
     best = F.max(F.struct("score", (-F.col("k")).alias("k"))).over(whole)
     return x.withColumn("cut", F.when(best["score"].isNotNull(), -best["k"])).select(by, item, value, F.when(F.col("k") <= F.coalesce("cut", F.col("n")), 1).otherwise(2).alias("cluster"))
@@ -320,4 +328,4 @@ def model_dataset(psi: DataFrame, sequences: DataFrame, expression: DataFrame) -
     """One row per event and cell line: sequence, expression vector (one per cell line) and PSI."""
     vectors = expression.groupBy("cell_line").agg(F.array_sort(F.collect_list(F.struct("gene", "value"))).alias("v"))
     vectors = vectors.select(F.col("cell_line").alias("condition"), F.transform("v", lambda x: x["value"]).alias("expression"))
-    return psi.where("psi is not null").join(sequences.select("event", "seq"), "event").join(F.broadcast(vectors), "condition")
+    return psi.where("psi is not null").join(sequences.select("event", "seq"), "event").join(vectors, "condition")

@@ -36,7 +36,9 @@ def specificity_scores(means: DataFrame, min_n: int = 20, value: str = "psi", by
     )
 
 
-def specificity_table(means: DataFrame, n_conditions: int, min_n: int = 20, max_missing: int = 10, high: float = 0.7, min_range: float = 0.3) -> DataFrame:
+def specificity_table(
+    means: DataFrame, n_conditions: int, min_n: int = 20, max_missing: int = 10, high: float = 0.7, min_range: float = 0.3,
+) -> DataFrame:
     """Scores and summary of each event, whether it is specific, and the condition it points to."""
     both = specificity_scores(means, min_n).join(event_summary(means, n_conditions), "event").where(F.col("n_missing") < max_missing)
     wide = F.col("row_max") - F.col("row_min") >= min_range
@@ -48,7 +50,7 @@ def specificity_table(means: DataFrame, n_conditions: int, min_n: int = 20, max_
 
 def specificity_by_group(means: DataFrame, groups: DataFrame, min_n: int = 5) -> DataFrame:
     """Scores of group means; ``groups`` is ``condition, grp``."""
-    grouped = means.join(F.broadcast(groups), "condition").groupBy("event", "grp").agg(F.avg("psi").alias("psi"))
+    grouped = means.join(groups, "condition").groupBy("event", "grp").agg(F.avg("psi").alias("psi"))
     return specificity_scores(grouped, min_n)
 
 

@@ -268,7 +268,10 @@ def gaussian_smooth(table: DataFrame, by: str, position: str, value: str, sigma:
         m = F.pmod(i, 2 * n)
         return F.when(m < n, m).otherwise(2 * n - 1 - m)
 
-    smooth = F.transform("s", lambda one, i: F.struct(one["p"].alias("p"), one["v"].alias("v"), F.aggregate(F.transform(weights, lambda w, k: w * F.get(F.col("s"), mirrored(i + k - radius).cast("int"))["v"]), F.lit(0.0), lambda a, x: a + x).alias("smooth")))
+    smooth = F.transform(
+        "s", lambda one,
+        i: F.struct(one["p"].alias("p"), one["v"].alias("v"), F.aggregate(F.transform(weights, lambda w, k: w * F.get(F.col("s"), mirrored(i + k - radius).cast("int"))["v"]), F.lit(0.0), lambda a, x: a + x).alias("smooth")),
+    )
     return series.select(by, F.explode(smooth).alias("o")).select(by, F.col("o.p").alias(position), F.col("o.v").alias(value), F.col("o.smooth").alias("smooth"))
 
 
@@ -291,7 +294,10 @@ def ecdf(table: DataFrame, value: str, grid: list[float]) -> DataFrame:
 def threshold_sweep(table: DataFrame, score: str, truth: str, cuts: list[float]) -> DataFrame:
     """Precision, recall and F1 of score >= cut against a boolean, for every cut, in one pass."""
     hit, real = (lambda c: F.col(score) >= c), F.col(truth)
-    counts = table.agg(F.count_if(real).alias("pos"), *[F.count_if(hit(c) & real).alias(f"tp{i}") for i, c in enumerate(cuts)], *[F.count_if(hit(c)).alias(f"pp{i}") for i, c in enumerate(cuts)])
+    counts = table.agg(
+        F.count_if(real).alias("pos"), *[F.count_if(hit(c) & real).alias(f"tp{i}") for i, c in enumerate(cuts)],
+        *[F.count_if(hit(c)).alias(f"pp{i}") for i, c in enumerate(cuts)],
+    )
     rows = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("cut"), F.col(f"tp{i}").alias("tp"), F.col(f"pp{i}").alias("pp")) for i, c in enumerate(cuts)]))
     out = counts.select("pos", rows.alias("r")).select("pos", "r.*")
     precision, recall = F.try_divide("tp", "pp"), F.try_divide("tp", "pos")
@@ -307,4 +313,7 @@ def group_split(table: DataFrame, key: str, test_share: float = 0.2, seed: int =
 def evaluate_predictions(table: DataFrame, seed: str, real: str, predicted: str) -> DataFrame:
     """Correlations per seed, then their mean and population standard deviation."""
     each = correlate(table, real, predicted, by=(seed,))
-    return each.agg(F.avg("pearson").alias("pearson_mean"), F.stddev_pop("pearson").alias("pearson_sd"), F.avg("spearman").alias("spearman_mean"), F.stddev_pop("spearman").alias("spearman_sd"), F.count(F.lit(1)).alias("n_seeds"))
+    return each.agg(
+        F.avg("pearson").alias("pearson_mean"), F.stddev_pop("pearson").alias("pearson_sd"), F.avg("spearman").alias("spearman_mean"),
+        F.stddev_pop("spearman").alias("spearman_sd"), F.count(F.lit(1)).alias("n_seeds"),
+    )

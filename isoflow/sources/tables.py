@@ -14,28 +14,40 @@ def read_fastq(spark: SparkSession, paths) -> DataFrame:
     lines before a split is a sum over splits; each four lines of a file are a record.
     """
     spark_paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(spark_paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(spark_paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"),
+    )
     splits = lines.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))  # one row per split
     numbered = lines.join(splits, ["file", "split"]).withColumn("line", F.col("id") + F.col("shift"))
     part = lambda k, name: F.max(F.when(F.col("line") % 4 == k, F.rtrim(F.col("value"), F.lit("\r")))).alias(name)
     records = numbered.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(part(0, "header"), part(1, "seq"), part(3, "qual"))
-    return records.where("header <> ''").select(F.substr("header", F.lit(2)).alias("read_id"), F.coalesce("seq", F.lit("")).alias("seq"), F.coalesce("qual", F.lit("")).alias("qual"), "file")
+    return records.where("header <> ''").select(
+        F.substr("header", F.lit(2)).alias("read_id"), F.coalesce("seq", F.lit("")).alias("seq"),
+        F.coalesce("qual", F.lit("")).alias("qual"), "file",
+    )
 
 
 def read_fasta(spark: SparkSession, paths) -> DataFrame:
     """``id, seq``: lines of a record are joined, the id is the header's first word."""
     rows = spark.read.option("lineSep", ">").text(paths).where(F.length(F.trim("value")) > 0)
     lines = F.split("value", "\n")
-    return rows.select(F.split(F.get(lines, F.lit(0)), r"\s").getItem(0).alias("id"), F.translate(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), ""), "\r", "").alias("seq"))
+    return rows.select(
+        F.split(F.get(lines, F.lit(0)), r"\s").getItem(0).alias("id"),
+        F.translate(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), ""), "\r", "").alias("seq"),
+    )
 
 
 def write_fasta(df: DataFrame, path: str, id_column: str = "id", seq_column: str = "seq") -> None:
     df.select(F.concat(F.lit(">"), id_column, F.lit("\n"), seq_column)).write.text(path)
 
 
-def library_regions(library: DataFrame, regions=("librarySequence", "upstreamIntronSeq", "skippedExonSeq", "downstreamIntronSeq"), id_column: str = "ID") -> dict[str, DataFrame]:
+def library_regions(
+    library: DataFrame, regions=("librarySequence", "upstreamIntronSeq", "skippedExonSeq", "downstreamIntronSeq"),
+    id_column: str = "ID",
+) -> dict[str, DataFrame]:
     """One ``id, seq`` table for each region of a library."""
     return {r: library.select(F.col(id_column).alias("id"), F.col(r).alias("seq")) for r in regions}
 
