@@ -127,7 +127,10 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x * q).sum(axis=1)
 
 
-def best_pairs(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, x_ids: np.ndarray, x_rows: np.ndarray, k: int, open_: np.ndarray | None = None, part: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_pairs(
+    q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, x_ids: np.ndarray, x_rows: np.ndarray, k: int,
+    open_: np.ndarray | None = None, part: int = 20_000,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query its ``k`` nearest among ``x`` without its own row: places in ``q`` and ``x``, and scores.
 
     ``open_`` says which pairs count.  A matrix product finds those that may be among them; these are
@@ -179,7 +182,9 @@ def build_index(rows: DataFrame, n_rows: int, sample: int = SAMPLE) -> tuple[Nod
     return pickle.loads(found.tree) if found else (Node(np.zeros(0), [], 0), 1)
 
 
-def calibrate(indexed: DataFrame, queries: DataFrame, tree: Node, n_leaves: int, k: int, recall: float, n_queries: int = CALIBRATION) -> tuple[int, float]:
+def calibrate(
+    indexed: DataFrame, queries: DataFrame, tree: Node, n_leaves: int, k: int, recall: float, n_queries: int = CALIBRATION,
+) -> tuple[int, float]:
     """Visits that reach the wanted share of the true neighbours of some queries, and that share."""
     picked = queries.orderBy(F.xxhash64("vec_id", F.lit(9)), "row").limit(n_queries).collect()
     if not picked:
@@ -224,7 +229,10 @@ def deal_blocks(counts: dict[int, int], n_leaves: int, block: int) -> tuple[np.n
     return first, parts
 
 
-def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = RECALL, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+def search(
+    vectors: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = RECALL, vec_id: str = "vec_id",
+    embedding: str = "embedding", block: int = BLOCK,
+) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found for every row where ``is_query`` holds.
 
     ``is_query`` is a column over ``vec_id``.  Nearness is the inner product, ties go to smaller

@@ -97,7 +97,10 @@ def _merge_segment(segment_bits: int):
 
     def merge(pieces: pd.DataFrame) -> pd.DataFrame:
         filters = [
-            (np.frombuffer(p.quotients, np.uint32), np.frombuffer(p.counts, np.uint32), np.frombuffer(p.remainders, np.uint64), np.frombuffer(p.counters, np.int64))
+            (
+                np.frombuffer(p.quotients, np.uint32), np.frombuffer(p.counts, np.uint32), np.frombuffer(p.remainders, np.uint64),
+                np.frombuffer(p.counters, np.int64),
+            )
             for p in pieces.itertuples()
         ]
         q, n, r, c = merge_filters(filters, low_bits)

@@ -325,7 +325,10 @@ def cross_pairs(members: DataFrame, hubs: DataFrame, placed: DataFrame, numerato
     return found.select("a", "b").distinct()
 
 
-def linked_rows(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def linked_rows(
+    docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, text: str = "text",
+    doc_id: str = "doc_id", block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """``doc_id, text_md5, n, component`` of every row; the component is a number, null without words."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     hint = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
@@ -338,7 +341,10 @@ def linked_rows(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERA
     n_shared = shared.count()
     members = materialize(offered.join(F.broadcast(shared) if n_shared <= min(BROADCAST_KEYS, broadcast_rows) else shared, "key"), "members")
     weights = members.groupBy("node").agg(F.sum("g").alias("weight"))
-    known = materialize(signed.join(hint(weights, weights.count()), signed["row"] == weights["node"]).select("node", "n", "weight", "sketch", "text_md5"), "known")
+    known = materialize(
+        signed.join(hint(weights, weights.count()), signed["row"] == weights["node"]).select("node", "n", "weight", "sketch", "text_md5"),
+        "known",
+    )
 
     ranked = members.join(known.select("node", "weight"), "node")
     hubs = materialize(ranked.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub")), "hubs")
@@ -375,7 +381,10 @@ def _sets(pairs: DataFrame, narrow: DataFrame, known: DataFrame, classes: DataFr
     return materialize(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, text: str = "text",
+    doc_id: str = "doc_id", block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every input row.
 
     Words are maximal runs of characters other than space and tab to carriage return, A-Z
@@ -387,7 +396,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, numerator: int =
     """
     rows = linked_rows(docs, shingle, numerator, denominator, text, doc_id, block, broadcast_rows)
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(least, "component", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
 
 
 def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
@@ -400,11 +412,17 @@ def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     rows = materialize(linked_rows(docs, text=text, doc_id=doc_id, **options).where("component is not null"), "linked")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_md5")
     best = rows.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    grouped = rows.join(best, "component").withColumn("stays", order == F.col("best"))
-    judged = materialize(grouped.groupBy("doc_id", "text_md5").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("copies")).where("not stays or copies > 1"), "judged")
+    grouped = rows.join(best, "component").withColumn("stays", order.eqNullSafe(F.col("best")))
+    judged = materialize(
+        grouped.groupBy("doc_id", "text_md5").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("copies")).where("not stays or copies > 1"),
+        "judged",
+    )
     marks = judged.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "stays")
     marks = F.broadcast(marks) if judged.count() <= broadcast_rows else marks
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[doc_id].alias("_own"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("_own_md5"))
+    own = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[doc_id].alias("_own"),
+        F.md5(F.coalesce(docs[text], F.lit(""))).alias("_own_md5"),
+    )
     joined = own.join(marks, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_md5") == F.col("_md5")), "left")
     single = joined.where("stays is null").select("_row.*")
     if judged.where("stays").isEmpty():

@@ -340,7 +340,10 @@ def judged_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     judged = rows.withColumn("_judged", F.pandas_udf(label, "lang string, score double")(F.col("_text")))
     known = F.coalesce(F.col("_text").rlike(r"\p{L}"), F.lit(False))
-    return judged.select("_row", F.when(known, F.col("_judged.lang")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), F.when(known, F.col("_judged.score")).otherwise(F.lit(0.0)).alias("lang_score"))
+    return judged.select(
+        "_row", F.when(known, F.col("_judged.lang")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(known, F.col("_judged.score")).otherwise(F.lit(0.0)).alias("lang_score"),
+    )
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -63,7 +63,10 @@ def heavy_words(vectors: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(heavy)
 
 
-def scored_passages(passages: DataFrame, templates: list[tuple[str, str]], idf: dict[str, float], unseen: float, vectors: list[dict[str, float]], threshold: float) -> DataFrame:
+def scored_passages(
+    passages: DataFrame, templates: list[tuple[str, str]], idf: dict[str, float], unseen: float, vectors: list[dict[str, float]],
+    threshold: float,
+) -> DataFrame:
     """``id, license, score, place`` of the passages ``(id, words)`` that reach the threshold; ties go to the template listed first."""
     spark = passages.sparkSession
     rows = [(w, k, x) for k, v in enumerate(vectors) for w, x in sorted(v.items())]
@@ -95,7 +98,10 @@ def passages_of(text, name):
     return F.array_distinct(F.concat(F.array(header), whole, lines, sentences, *runs))
 
 
-def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, path: str = "path", text: str = "text") -> DataFrame:
+def scan_licenses(
+    files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, path: str = "path",
+    text: str = "text",
+) -> DataFrame:
     """``path, own_license, own_score, license, licensed_by`` for every row of ``files``.
 
     ``own_license`` is the best template of any passage of the file (ties to the one listed first);
@@ -107,7 +113,10 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     """
     files = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
     vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, t in templates for w in re.findall(WORD, t.lower())})])
-    seen = materialize(files.select("path", F.coalesce(F.array_intersect(words_of(F.col("text")), vocabulary), F.array().cast("array<string>")).alias("words")), "seen")
+    seen = materialize(
+        files.select("path", F.coalesce(F.array_intersect(words_of(F.col("text")), vocabulary), F.array().cast("array<string>")).alias("words")),
+        "seen",
+    )
     counted = seen.select(F.explode("words").alias("word")).groupBy("word").count()
     df = {r["word"]: r["count"] for r in counted.collect()}  # words of the templates only
     idf, unseen, vectors = template_vectors(templates, df, seen.count())
@@ -132,11 +141,17 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     holders = holders.groupBy("holder").agg(F.max("s.own_score").alias("top"), F.min(F.struct((-F.col("s.own_score")).alias("a"), F.col("path").alias("b"), "own_license")).alias("m")).select("holder", F.col("m.own_license").alias("held"))
     parts = F.split("dir", "/")
     dirs = files.where("path is not null").select(directory.alias("dir")).distinct()
-    chain = dirs.select("dir", F.explode(F.array_union(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")), F.array(F.lit("")))).alias("holder"))
+    chain = dirs.select(
+        "dir",
+        F.explode(F.array_union(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")), F.array(F.lit("")))).alias("holder"),
+    )
     nearest = chain.join(holders, "holder").groupBy("dir").agg(F.max_by(F.struct("holder", "held"), F.length("holder")).alias("h")).select("dir", "h.*")
     out = files.select("path", directory.alias("dir")).join(own, "path", "left").join(nearest, "dir", "left")
     inherits = F.col("own_license").isNull()
-    return out.select("path", "own_license", "own_score", F.coalesce("own_license", "held").alias("license"), F.when(inherits, F.col("holder")).alias("licensed_by"))
+    return out.select(
+        "path", "own_license", "own_score", F.coalesce("own_license", "held").alias("license"),
+        F.when(inherits, F.col("holder")).alias("licensed_by"),
+    )
 
 
 def document_path(per_dir: int = 100):

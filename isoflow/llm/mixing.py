@@ -70,7 +70,10 @@ def _hint(sources: DataFrame) -> DataFrame:
     return F.broadcast(sources) if sources.limit(SMALL + 1).count() <= SMALL else sources
 
 
-def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text", source: str = "source") -> DataFrame:
+def mixing_plan(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text",
+    source: str = "source",
+) -> DataFrame:
     """``source, source_size, target, rate`` of every source."""
     sizes = docs.select(docs[source].alias("source"), word_count(docs[text]).alias("size"))
     targets = materialize(source_targets(sizes, weights, share, max_rate), "targets")
@@ -85,7 +88,10 @@ def with_copies(rows: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source
     return joined.withColumn("copies", (F.floor("rate") + extra).cast("int"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text",
+    doc_id: str = "doc_id", source: str = "source",
+) -> DataFrame:
     """``doc_id, source, size, source_size, target, rate, copies, taken`` for every input row.
 
     A null text has size 0; a document of size 0 is given rate and copies of its source but takes
@@ -98,7 +104,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return with_copies(narrow, plan).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
-def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def emit(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE, text: str = "text",
+    doc_id: str = "doc_id", source: str = "source",
+) -> DataFrame:
     """The documents of the mix themselves, each as often as it is taken, with their own columns.
 
     The cases of :func:`mix` hold: null texts, sources and ids, repeated rows and empty tables; columns

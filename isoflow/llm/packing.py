@@ -240,7 +240,10 @@ def evolve(population: list[np.ndarray], lengths: np.ndarray, capacity: int, gen
         if scored[0][0][0] <= bound:
             break
         a, b = scored[0][2], scored[1 + int(rng.integers(0, len(scored) - 1))][2] if len(scored) > 1 else scored[0][2]
-        children = [crossover(a, b, lengths, capacity, rng), mutate(crossover(b, a, lengths, capacity, rng), lengths, capacity, rng), mutate(a, lengths, capacity, rng)]
+        children = [
+            crossover(a, b, lengths, capacity, rng), mutate(crossover(b, a, lengths, capacity, rng), lengths, capacity, rng),
+            mutate(a, lengths, capacity, rng),
+        ]
         scored += [(fitness(c, lengths, capacity), size + 3 * g + k, c) for k, c in enumerate(children)]
         scored = sorted(scored, key=lambda x: x[:2])[:size]
     return [c for *_, c in scored[: len(population)]]
@@ -250,10 +253,16 @@ _STATE = "block long, island int, bins_used int, uids binary, lengths binary, po
 
 
 def _state_row(block: int, island: int, uids, lengths, population, capacity) -> dict:
-    return {"block": block, "island": island, "bins_used": fitness(population[0], lengths, capacity)[0], "uids": uids.tobytes(), "lengths": lengths.astype(np.int64).tobytes(), "population": [c.astype(np.int32).tobytes() for c in population]}
+    return {
+        "block": block, "island": island, "bins_used": fitness(population[0], lengths, capacity)[0], "uids": uids.tobytes(),
+        "lengths": lengths.astype(np.int64).tobytes(), "population": [c.astype(np.int32).tobytes() for c in population],
+    }
 
 
-def pack(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
+def pack(
+    items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS,
+    generations: int = GENERATIONS, population: int = POPULATION,
+) -> DataFrame:
     """``uid, block, bin, fill, offset`` for items ``uid long, length long`` (1 to ``capacity``)."""
     n_blocks = max(1, -(-items.count() // block_items))
 
@@ -303,7 +312,10 @@ def pack(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS, island
     return best.select("block", "b.*").mapInPandas(unfold, "uid long, block long, bin long, fill long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, text: str = "text",
+    doc_id: str = "doc_id",
+) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row per piece of every input row.
 
     A null text is an empty one: its only id is the closing 0.  Repeated rows are packed one by

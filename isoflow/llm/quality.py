@@ -69,7 +69,10 @@ def _bags(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, buckets.astype(np.int32), counts.astype(np.int32)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(
+    bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, epochs: int = EPOCHS, rate: float = RATE,
+    seed: int = 1,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, output weights and biases; ``prior`` is the share of label 1 among all training labels."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM))
@@ -97,7 +100,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
     return vectors, weights, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(
+    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id",
+    label: str = "quality",
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Learn from ``labels`` (0 or 1; several labels of an id count as their maximum, nulls not at all).
 
     Ids may be of any type that both tables share; null ids have no label.  Rows of ``docs`` repeated

@@ -25,4 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_url_filter": url_filter.OP5_SQL, "op7_mixing": mixing.OP7_SQL, "op9_license_scan": license_scan.OP9_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL}
+    return {
+        "op3_exact_dedup": exact_dedup.OP3_SQL, "op5_url_filter": url_filter.OP5_SQL, "op7_mixing": mixing.OP7_SQL,
+        "op9_license_scan": license_scan.OP9_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL,
+    }

@@ -210,7 +210,10 @@ class SuffixOrder:
         return np.unique(out, return_inverse=True)[1]
 
 
-def repeated_extents(groups: np.ndarray, lefts: np.ndarray, contexts: list[bytes], wanted: np.ndarray, starts: tuple[np.ndarray, np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def repeated_extents(
+    groups: np.ndarray, lefts: np.ndarray, contexts: list[bytes], wanted: np.ndarray, starts: tuple[np.ndarray, np.ndarray],
+    length: int = LENGTH,
+) -> tuple[np.ndarray, np.ndarray]:
     """For each wanted context, the smallest and largest number of bytes before its gram at which a
     string starts that another context of its group holds at the same place (-1 and -1 if none does).
     ``starts`` are the smallest and largest numbers to look at.
@@ -407,7 +410,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, spli
     return done
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", split: int = SPLIT_CONTEXTS) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id",
+    split: int = SPLIT_CONTEXTS,
+) -> DataFrame:
     """``doc_id, kept (binary), n_bytes, n_removed, n_spans, kept_sha256`` for every input row.
 
     A null text is empty.  Rows repeated with the same id repeat each other like any others.

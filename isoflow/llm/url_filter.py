@@ -77,7 +77,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     judged = rows.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (deepest or 1) + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(
+        F.sequence(F.greatest(F.lit(1), F.size(labels) - (deepest or 1) + 1), F.size(labels)),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    )
     under = judged.select("host", "path", F.explode(suffixes).alias("suffix")).join(hint(lengths), "suffix")
     offered = under.select("host", "path", "suffix", F.explode("p_lengths").alias("p")).where(F.length("path") >= F.col("p"))
     offered = offered.select("host", "path", F.concat("suffix", F.lit(" "), F.substring("path", F.lit(1), F.col("p"))).alias("offer")).withColumn("block", _block(F.col("offer"), n_blocks))
