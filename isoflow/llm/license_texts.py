@@ -59,7 +59,6 @@ TEMPLATES = [
     ("ISC", _ISC),
     ("MIT", "Released under the MIT License."),
     ("MIT", "MIT License"),
-    ("MIT", "The MIT License (MIT)"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", _MIT),
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0."),
