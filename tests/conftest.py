@@ -43,8 +43,10 @@ def duck():
 def rows_of(frame):
     """Sorted rows of a pandas frame, columns by name, doubles to six digits."""
 
+    import pandas as pd
+
     def plain(v):
-        if v is None or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, float):
             return f"{v:.6g}"
