@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoflow.llm import ann, exact_dedup, fill_middle, jaccard_join, langid, license_scan, mixing, packing, quality, suffix_dedup, url_filter
+from isoflow.llm import ann, exact_dedup, fill_middle, jaccard_join, langid, license_scan, mixing, packing, prefix_trie, quality, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -29,5 +30,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact_dedup.OP3_SQL, "op5_url_filter": url_filter.OP5_SQL, "op7_mixing": mixing.OP7_SQL,
         "op9_license_scan": license_scan.OP9_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL,
-        "op11_fill_in_middle": fill_middle.OP11_SQL,
+        "op11_fill_in_middle": fill_middle.OP11_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL,
     }
