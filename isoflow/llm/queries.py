@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoflow.llm import ann, exact_dedup, fill_middle, jaccard_join, langid, license_scan, mixing, packing, prefix_trie, quality, suffix_dedup, url_filter
+from isoflow.llm import ann, exact_dedup, fill_middle, jaccard_join, langid, license_scan, mixing, packing, prefix_trie, quality, secret_scan, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+        "op12_secret_scan": secret_scan.op12_secret_scan,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
