@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from isoflow.functions.edits import find_approx  # noqa: F401
+
 # The IUPAC nucleotide codes.
 IUPAC = {
     "A": "A", "C": "C", "G": "G", "T": "T", "R": "[AG]", "Y": "[CT]", "S": "[CG]", "W": "[AT]", "K": "[GT]", "M": "[AC]", "B": "[CGT]",
@@ -77,39 +79,3 @@ def mismatches(a, b):
     """Hamming distance of two strings of equal length, null otherwise."""
     pairs = F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
     return F.when(F.length(a) == F.length(b), F.size(F.filter(pairs, lambda p: p["x"] != p["y"])))
-
-
-def find_approx(seq, probe, k: int):
-    """Best infix match of ``probe`` with at most ``k`` edits: ``(distance, start, end)``, the first of the best ones.
-
-    Start and end count from 0, end exclusive.  Of the ``k + 1`` parts of the probe one is free of edits,
-    so only places around an exact part are looked at, by windows up to ``k`` bases shorter and longer
-    than the probe.
-    """
-    n, m = F.length(seq), F.length(probe)
-    place = F.call_function("locate", probe, seq)
-    whole = F.when(place > 0, F.struct(F.lit(0).alias("distance"), (place - 1).alias("start"), (place - 1 + m).alias("end")))
-    if k == 0:
-        return whole
-    size = F.greatest(F.floor(m / (k + 1)).cast("int"), F.lit(1))
-    parts = [(size * j, size if j < k else F.greatest(m - size * k, F.lit(1))) for j in range(k + 1)]
-    part = lambda at, length: F.substr(probe, at + 1, length)
-    gate = F.lit(False)
-    for at, length in parts:
-        gate = gate | F.contains(seq, part(at, length))
-
-    def near(i):
-        """Whether a part lies where a match from ``i`` on can have it."""
-        found = F.lit(False)
-        for at, length in parts:
-            begin = F.greatest(i + at - k, F.lit(0))
-            found = found | F.contains(F.substr(seq, begin + 1, length + i + at + k - begin), part(at, length))
-        return found
-
-    def tried(i):
-        sizes = F.filter(F.sequence(m - k, m + k), lambda w: (w > 0) & (i + w <= n))
-        return F.transform(sizes, lambda w: F.struct(F.levenshtein(F.substr(seq, i + 1, w), probe).alias("distance"), i.alias("start"), (i + w).alias("end")))
-
-    starts = F.sequence(F.lit(0), F.greatest(n - m + k, F.lit(0)))
-    best = F.array_min(F.filter(F.flatten(F.transform(F.filter(starts, near), tried)), lambda t: t["distance"] <= k))
-    return F.coalesce(whole, F.when((n >= m - k) & (gate | (m <= k)), best))

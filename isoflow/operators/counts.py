@@ -6,8 +6,14 @@ SKIPPED or UNSPLICED.  Counts are long integers.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from isoflow.sources.scratch import written
 
 EVENT = ("sample", "condition", "idx", "mode", "up_off", "down_off")
 INCLUDED, SKIPPED, UNSPLICED = "INCLUDED", "SKIPPED", "UNSPLICED"
@@ -72,12 +78,29 @@ def select_anchors(
     return found if limit is None else found.orderBy(F.xxhash64("event", F.lit(seed)), "event").limit(limit)
 
 
-def merge_near_offsets(counts: DataFrame, keys=("sample", "condition", "idx"), radius: int = 1) -> DataFrame:
+FOLDED = 256
+"""Offsets of a group up to which its rows are merged one after another in one list."""
+TILE = 256
+"""Side of a tile, in offsets, in which larger groups are merged."""
+
+
+def merge_near_offsets(counts: DataFrame, keys=("sample", "condition", "idx"), radius: int = 1, folded: int = FOLDED, tile: int = TILE) -> DataFrame:
     """Merge included events into more frequent ones at most ``radius`` away on both axes.
 
     Rows of a group are taken by count (largest first, then by offsets); a row joins the first
-    earlier kept row near it, else it is kept.  A group's rows are one element's offsets.
+    earlier kept row near it, else it is kept.  Groups of up to ``folded`` rows are short lists; the others
+    are peeled in tiles of the two axes, so no group has to fit into one task.
     """
+    rows = written(counts.select(*keys, "up_off", "down_off", "cnt"), "offsets")
+    large = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > folded).drop("_n"), "large")
+    if large.isEmpty():
+        return _merge_lists(rows, keys, radius)
+    named = large.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return _merge_lists(rows.join(named, same, "left_anti"), keys, radius).unionByName(_merge_tiles(rows.join(named, same, "left_semi"), keys, radius, tile))
+
+
+def _merge_lists(counts: DataFrame, keys, radius: int) -> DataFrame:
     row = F.struct((-F.col("cnt")).alias("neg"), "up_off", "down_off", "cnt")
     start = F.expr("cast(array() as array<struct<up_off:int,down_off:int,cnt:bigint>>)")
 
@@ -97,6 +120,64 @@ def merge_near_offsets(counts: DataFrame, keys=("sample", "condition", "idx"), r
     return merged.select(*keys, F.explode("kept").alias("k")).select(*keys, "k.*")
 
 
+_UNDECIDED, _KEPT, _ABSORBED = 0, 1, 2
+
+
+def _merge_tiles(counts: DataFrame, keys, radius: int, side: int) -> DataFrame:
+    """The same merge, peeled in rounds.
+
+    Rows of one cell stand or fall together with the most frequent of them.  A cell is kept when no
+    larger neighbour is kept or open, and absorbed as soon as one is kept; a tile settles in one
+    round all that does not wait for a cell of another tile, whose border cells it sees as of the
+    round before.  What is settled stays so; the largest open cell of a group is settled in every
+    round, so the rounds end.  At last each absorbed cell goes to the most frequent kept one near it.
+    """
+    cells = counts.groupBy(*keys, "up_off", "down_off").agg(F.max("cnt").alias("cnt"), F.sum("cnt").alias("total"))
+    cells = written(cells.withColumn("state", F.lit(_UNDECIDED)), "cells")
+    schema = cells.schema
+    around = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a or b]
+    kinds = {f.name: f.dataType for f in schema}
+    target = StructType([StructField(k, kinds[k]) for k in keys] + [StructField(n, IntegerType()) for n in ("up_off", "down_off")] + [StructField("cnt", LongType())])
+
+    def tiles(x: DataFrame) -> DataFrame:
+        """Each cell in its own tile and in those whose border it is near."""
+        at = lambda c, d: F.floor((F.col(c) + d) / side)
+        places = F.array_distinct(F.array(*[F.struct(at("up_off", a).alias("tx"), at("down_off", b).alias("ty")) for a in (-radius, 0, radius) for b in (-radius, 0, radius)]))
+        own = (F.col("t.tx") == at("up_off", 0)) & (F.col("t.ty") == at("down_off", 0))
+        return x.select("*", F.explode(places).alias("t")).select(*x.columns, "t.tx", "t.ty", own.alias("own")).groupBy(*keys, "tx", "ty")
+
+    def ordered(tile: pd.DataFrame) -> tuple[pd.DataFrame, list, dict]:
+        tile = tile.sort_values(["cnt", "up_off", "down_off"], ascending=[False, True, True], ignore_index=True)
+        places = list(zip(tile["up_off"].tolist(), tile["down_off"].tolist()))
+        return tile, places, {p: i for i, p in enumerate(places)}
+
+    def larger(i: int, places: list, index: dict) -> list[int]:
+        u, d = places[i]
+        near = (index.get((u + a, d + b)) for a, b in around)
+        return [j for j in near if j is not None and j < i]
+
+    def peel(tile: pd.DataFrame) -> pd.DataFrame:
+        tile, places, index = ordered(tile)
+        state, own = tile["state"].tolist(), tile["own"].tolist()
+        for i, now in enumerate(state):
+            if own[i] and now == _UNDECIDED:
+                near = {state[j] for j in larger(i, places, index)}
+                state[i] = _ABSORBED if _KEPT in near else _UNDECIDED if _UNDECIDED in near else _KEPT
+        tile["state"] = state
+        return tile.loc[tile["own"], schema.names]
+
+    def assign(tile: pd.DataFrame) -> pd.DataFrame:
+        tile, places, index = ordered(tile)
+        state = tile["state"].tolist()
+        to = [i if s == _KEPT else min((j for j in larger(i, places, index) if state[j] == _KEPT), default=i) for i, s in enumerate(state)]
+        tile["up_off"], tile["down_off"] = [places[j][0] for j in to], [places[j][1] for j in to]
+        return tile.loc[tile["own"], [*keys, "up_off", "down_off", "total"]].rename(columns={"total": "cnt"})
+
+    while not cells.where(F.col("state") == _UNDECIDED).isEmpty():
+        cells = written(tiles(cells).applyInPandas(peel, schema), "cells")
+    return tiles(cells).applyInPandas(assign, target).groupBy(*keys, "up_off", "down_off").agg(F.sum("cnt").alias("cnt"))
+
+
 def included_event_catalog(
     counts: DataFrame, elements: DataFrame, min_mode_total: int = 30, min_reads: int = 5, min_frac: float = 0.01,
     max_offset: int = 150,

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoflow.functions.edits import distances
 from isoflow.functions.sequences import BLOCK, blocks, kmers, motif_count, motif_regex
 from isoflow.operators.psi import psi_of
+from isoflow.sources.scratch import written
 
 
 def kmer_enrichment(groups: DataFrame, k: int = 4, group: str = "grp", seq: str = "seq") -> DataFrame:
@@ -165,7 +168,22 @@ def base_composition(table: DataFrame, seq: str = "seq", by: str = "lang", alpha
 
 
 def min_edit_distance(designs: DataFrame, library: DataFrame, most: int = 3) -> DataFrame:
-    """``designs`` with the smallest Levenshtein distance of ``seq`` to any of the library, null above ``most``.
+    """``designs`` with the smallest Levenshtein distance of ``seq`` to any of the library.
+
+    Near sequences come first: what lies within ``most`` edits is found by joins on shared segments.  Only
+    the sequences left over, which are farther than that, are compared with the library in blocks.  A
+    null sequence has no distance, nor has any if the library is empty; equal sequences are compared once.
+    """
+    asked = written(designs.select("seq").where("seq is not null").distinct(), "asked")
+    refs = written(library.select(F.col("seq").alias("ref")).where("ref is not null").distinct(), "library")
+    near = written(_within(asked, refs, most), "near")
+    far = _in_blocks(asked.join(near, "seq", "left_anti"), refs)
+    best = near.unionByName(far).withColumnRenamed("seq", "_seq")
+    return designs.join(best, F.col("seq") == F.col("_seq"), "left").drop("_seq")
+
+
+def _within(asked: DataFrame, refs: DataFrame, most: int) -> DataFrame:
+    """``seq, distance`` of the sequences that have one of ``refs`` within ``most`` edits.
 
     A library sequence is cut into ``most + 1`` segments, of which one is free of edits; designs offer
     their substrings of that length near its place, and only pairs that share one are compared.
@@ -173,10 +191,9 @@ def min_edit_distance(designs: DataFrame, library: DataFrame, most: int = 3) ->
     """
     segments = most + 1
     at = lambda length, i: F.floor(length * i / segments).cast("int")
-    refs = library.select(F.col("seq").alias("ref")).where("ref is not null").distinct().withColumn("n", F.length("ref"))
+    refs = refs.withColumn("n", F.length("ref"))
     cut = [F.struct(F.lit(i).alias("i"), F.substr("ref", at(F.col("n"), i) + 1, at(F.col("n"), i + 1) - at(F.col("n"), i)).alias("part")) for i in range(segments)]
     refs = refs.select("ref", "n", F.explode(F.array(*cut)).alias("s")).select("ref", "n", "s.*")
-    asked = designs.select("seq").where("seq is not null").distinct()
     asked = asked.withColumn("n", F.explode(F.sequence(F.greatest(F.length("seq") - most, F.lit(0)), F.length("seq") + most)))
     offers = []
 
@@ -192,8 +209,48 @@ def min_edit_distance(designs: DataFrame, library: DataFrame, most: int = 3) ->
         offers.append(F.transform(places, part_at(i, size)))
     asked = asked.select("seq", "n", F.explode(F.array_distinct(F.concat(*offers))).alias("o")).select("seq", "n", "o.*")
     pairs = asked.join(refs, ["n", "i", "part"]).select("seq", "ref").distinct()
-    near = pairs.withColumn("d", F.levenshtein("seq", "ref", most)).where("d >= 0").groupBy(F.col("seq").alias("_seq")).agg(F.min("d").alias("distance"))
-    return designs.join(near, F.col("seq") == F.col("_seq"), "left").drop("_seq")
+    return pairs.withColumn("d", F.levenshtein("seq", "ref", most)).where("d >= 0").groupBy("seq").agg(F.min("d").alias("distance"))
+
+
+BLOCK_SEQUENCES, BLOCK_LETTERS = 2048, 1 << 18
+"""A block of sequences has about so many, or fewer if they are long."""
+TILE = 32, 1024
+"""Designs and library sequences whose columns are stepped together: they stay in a core's cache."""
+MOST_TASKS = 20_000
+
+
+def _blocks(rows: DataFrame, column: str, block: str) -> tuple[DataFrame, int]:
+    """The distinct strings of ``column`` in arrays of bounded size, dealt by hash, and the number of those."""
+    n, letters = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(column)), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / BLOCK_SEQUENCES), math.ceil(letters / BLOCK_LETTERS))
+    dealt = rows.withColumn(block, F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int"))
+    return dealt.groupBy(block).agg(F.sort_array(F.collect_list(column)).alias(column)), blocks
+
+
+def _in_blocks(asked: DataFrame, refs: DataFrame) -> DataFrame:
+    """``seq, distance`` to the nearest of ``refs``, every block of sequences against every block of the library.
+
+    A pair of blocks is one row and gives one distance for each of its sequences; the smallest over
+    the library's blocks is the answer.  The work is the product of both sizes, some 64 letters of a
+    column in each word operation; memory is that of two blocks.
+    """
+    ours, n_ours = _blocks(asked, "seq", "own")
+    theirs, n_theirs = _blocks(refs, "ref", "block")
+    pairs = ours.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_theirs - 1)))).join(theirs, "block")
+    spread = pairs.repartition(min(MOST_TASKS, n_ours * n_theirs), "own", "block")
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for seqs, refs in zip(batch["seq"], batch["ref"]):
+                seqs, refs = sorted(seqs, key=len), sorted(refs, key=len)  # columns of a tile end together
+                best = np.full(len(seqs), np.iinfo(np.int32).max, dtype=np.int32)
+                for a in range(0, len(seqs), TILE[0]):
+                    for b in range(0, len(refs), TILE[1]):
+                        part = distances(seqs[a : a + TILE[0]], refs[b : b + TILE[1]]).min(axis=1)
+                        best[a : a + TILE[0]] = np.minimum(best[a : a + TILE[0]], part)
+                yield pd.DataFrame({"seq": seqs, "distance": best})
+
+    return spread.select("seq", "ref").mapInPandas(nearest, "seq string, distance int").groupBy("seq").agg(F.min("distance").alias("distance"))
 
 
 def satmut_delta(satmut: DataFrame, min_total: int = 30) -> DataFrame:

@@ -35,6 +35,45 @@ def test_greedy_merge_against_a_loop(spark):
     assert got == want
 
 
+def loop_merge(cells, radius=1):
+    """Kept offsets and their sums for rows ``(up, down, count)``, one row after another."""
+    top, total = {}, {}
+    for u, d, n in cells:
+        top[u, d] = max(n, top.get((u, d), n))
+        total[u, d] = total.get((u, d), 0) + n
+    steps = range(-radius, radius + 1)
+    kept, rank = {}, {}
+    for u, d in sorted(top, key=lambda p: (-top[p], p)):
+        near = [(u + a, d + b) for a in steps for b in steps if (u + a, d + b) in kept]
+        to = min(near, key=rank.get) if near else (u, d)
+        rank.setdefault(to, len(rank))
+        kept[to] = kept.get(to, 0) + total[u, d]
+    return kept
+
+
+@pytest.mark.parametrize("radius", [1, 2])
+def test_tiles_merge_as_the_loop_does(spark, radius):
+    rng = random.Random(radius)
+    groups = {
+        "random": [(rng.randint(-40, 40), rng.randint(-40, 40), rng.randint(1, 50)) for _ in range(2500)],
+        "falling": [(i, 0, 1000 - i) for i in range(300)],
+        "equal": [(u, d, 7) for u in range(30) for d in range(30)],
+        "small": [(0, 0, 5), (1, 1, 5), (3, 3, 9)],
+        None: [(rng.randint(0, 20), rng.randint(0, 20), rng.randint(1, 9)) for _ in range(200)],
+    }
+    df = spark.createDataFrame([("s", "c", e, *r) for e, rows in groups.items() for r in rows], "sample string, condition string, idx string, up_off int, down_off int, cnt long")
+    got = {(r.idx, r.up_off, r.down_off): r.cnt for r in counts.merge_near_offsets(df, radius=radius, folded=100, tile=16).collect()}
+    assert got == {(e, *p): n for e, rows in groups.items() for p, n in loop_merge(rows, radius).items()}
+
+
+def test_one_element_with_many_offsets(spark):
+    rng = np.random.default_rng(8)
+    rows = list(zip(rng.integers(0, 700, 100_000).tolist(), rng.integers(0, 700, 100_000).tolist(), rng.integers(1, 1000, 100_000).tolist()))
+    df = spark.createDataFrame([("s", "c", "e", *r) for r in rows], "sample string, condition string, idx string, up_off int, down_off int, cnt long")
+    got = {(r.up_off, r.down_off): r.cnt for r in counts.merge_near_offsets(df).collect()}
+    assert got == loop_merge(rows)
+
+
 def test_chimera_correction(spark):
     df = spark.createDataFrame([("s", "e", "INCLUDED", 70), ("s", "e", "SKIPPED", 20), ("s", "e", "UNSPLICED", 10), ("s", "f", "SKIPPED", 5), ("s", "g", "INCLUDED", 90), ("s", "g", "SKIPPED", 2)], "sample string, idx string, mode string, cnt long")
     rates = spark.createDataFrame([("s", 0.1)], "sample string, rate double")
@@ -394,10 +433,25 @@ def test_edit_distances_by_segments(spark):
             s = rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice("ACGT") + s[i:], s[:i] + rng.choice("ACGT") + s[i + 1 :]])
         designs.append(s)
     frame = lambda v: spark.createDataFrame([(x,) for x in v], "seq string")
+    designs += [dna(70), dna(140), "é" * 9, None]
+    best = {s: min(edits(s, r) for r in library) for s in designs if s is not None}
+    assert max(best.values()) > 50
     for most in (0, 1, 3):
-        got = {r.seq: r.distance for r in seq_ops.min_edit_distance(frame(designs), frame(library), most).collect()}
-        best = {s: min(edits(s, r) for r in library) for s in designs}
-        assert got == {s: v if v <= most else None for s, v in best.items()}
+        got = {r.seq: r.distance for r in seq_ops.min_edit_distance(frame(designs), frame(library + [None]), most).collect()}
+        assert got == best | {None: None}
+    assert {r.distance for r in seq_ops.min_edit_distance(frame(designs), frame(library).where("false")).collect()} == {None}
+    assert seq_ops.min_edit_distance(frame(designs).where("false"), frame(library)).count() == 0
+
+
+def test_edit_distances_over_many_blocks(spark, monkeypatch):
+    rng = random.Random(16)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    library, designs = [dna(rng.randint(30, 80)) for _ in range(60)], [dna(rng.randint(30, 80)) for _ in range(50)]
+    monkeypatch.setattr(seq_ops, "BLOCK_SEQUENCES", 16)
+    monkeypatch.setattr(seq_ops, "TILE", (3, 5))
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "seq string")
+    got = {r.seq: r.distance for r in seq_ops.min_edit_distance(frame(designs), frame(library)).collect()}
+    assert got == {s: min(edits(s, r) for r in library) for s in designs}
 
 
 def test_components_against_numpy(spark):
