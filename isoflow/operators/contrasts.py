@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoflow.operators.psi import psi_of
+from isoflow.sources.scratch import written
 
 
 def one_against_rest(conditions: DataFrame) -> DataFrame:
@@ -64,12 +65,45 @@ def contrast_counts(table: DataFrame, contrasts: DataFrame, min_diff: float = 0.
     return one.join(two, ["contrast", "event"]).join(wide.select("contrast", "event", "diff"), ["contrast", "event"])
 
 
-def pooled_g(table: DataFrame, contrasts: DataFrame) -> DataFrame:
-    """Likelihood-ratio statistic of equal inclusion on both sides, from pooled counts, and how replicates scatter.
+HALVINGS = 60
+"""Bisections of the range of a share: past a double's digits."""
 
-    G = 2 sum O ln(O / E) over the four cells, chi-square with one degree of freedom under equality.
-    ``dispersion`` is Pearson's chi-square of the replicates around their side's share over its degrees
-    of freedom ``df`` (replicates less sides), 1 at least; null without replicates.
+
+def _log_likelihood(counts, p1, p2):
+    """Binomial log-likelihood of ``(i1, s1, i2, s2)`` at two shares; cells without counts add nothing."""
+    i1, s1, i2, s2 = counts
+    term = lambda o, p: F.when(o > 0, o * F.ln(F.greatest(p, F.lit(1e-300)))).otherwise(0.0)
+    return term(i1, p1) + term(s1, 1 - p1) + term(i2, p2) + term(s2, 1 - p2)
+
+
+def border_share(counts, shift):
+    """The share of side 2 that is likeliest if side 1 lies ``shift`` above it.
+
+    The log-likelihood is concave in it, so its slope is halved down to the root; the slope ends at a bound where
+    there is none.
+    """
+    i1, s1, i2, s2 = counts
+    part = lambda o, p: F.when(o > 0, o / p).otherwise(0.0)
+    slope = lambda p: part(i1, p + shift) - part(s1, 1 - p - shift) + part(i2, p) - part(s2, 1 - p)
+    start = F.struct(F.greatest(F.lit(0.0), -shift).alias("low"), F.least(F.lit(1.0), 1 - shift).alias("high"))
+
+    def halve(x, _):
+        mid = (x["low"] + x["high"]) / 2
+        up = slope(mid) > 0
+        return F.struct(F.when(up, mid).otherwise(x["low"]).alias("low"), F.when(up, x["high"]).otherwise(mid).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve)
+    return (found["low"] + found["high"]) / 2
+
+
+def pooled_g(table: DataFrame, contrasts: DataFrame, cutoff: float = 0.0) -> DataFrame:
+    """Likelihood-ratio statistic of shares at most ``cutoff`` apart, from pooled counts, and how replicates scatter.
+
+    G is twice the log-likelihood of both sides' own shares less that of the likeliest shares within the
+    cut-off: 0 where they lie within it, else those at its border.  With a cut-off of 0 that is
+    2 sum O ln(O / E) over the four cells.  ``dispersion`` is Pearson's chi-square of the replicates around
+    their side's share over its degrees of freedom ``df`` (replicates less sides), 1 at least; null
+    without replicates.
     """
     rows = table.join(contrasts, "condition")
     cell = lambda k, c: F.coalesce(F.sum(F.when(F.col("side") == k, F.col(c))), F.lit(0)).cast("double")
@@ -80,14 +114,16 @@ def pooled_g(table: DataFrame, contrasts: DataFrame) -> DataFrame:
         cell(1, "included").alias("i1"), cell(1, "skipped").alias("s1"), cell(2, "included").alias("i2"), cell(2, "skipped").alias("s2"),
         *scatter,
     )
-    total = sum((F.col(c) for c in ("s1", "i2", "s2")), F.col("i1"))
-
-    def term(o, row, column):
-        expected = F.try_divide(row * column, total)
-        return F.when(o > 0, o * F.ln(o / expected)).otherwise(0.0)
-
-    i1, s1, i2, s2 = (F.col(c) for c in ("i1", "s1", "i2", "s2"))
-    g = 2 * (term(i1, i1 + s1, i1 + i2) + term(s1, i1 + s1, s1 + s2) + term(i2, i2 + s2, i1 + i2) + term(s2, i2 + s2, s1 + s2))
+    counts = i1, s1, i2, s2 = tuple(F.col(c) for c in ("i1", "s1", "i2", "s2"))
+    own1, own2 = F.coalesce(F.try_divide(i1, i1 + s1), F.lit(0.0)), F.coalesce(F.try_divide(i2, i2 + s2), F.lit(0.0))
+    if cutoff:
+        shift = F.when(own1 > own2, float(cutoff)).otherwise(-float(cutoff))
+        sums = sums.withColumn("_border", F.when(F.abs(own1 - own2) > cutoff, border_share(counts, shift)))
+        most = _log_likelihood(counts, F.col("_border") + shift, F.col("_border"))
+        g = F.when(F.col("_border").isNotNull() & (i1 + s1 > 0) & (i2 + s2 > 0), 2 * (_log_likelihood(counts, own1, own2) - most)).otherwise(0.0)
+    else:
+        pooled = F.coalesce(F.try_divide(i1 + i2, i1 + s1 + i2 + s2), F.lit(0.0))
+        g = 2 * (_log_likelihood(counts, own1, own2) - _log_likelihood(counts, pooled, pooled))
     around = lambda k, i, s: F.coalesce(F.try_divide(F.col(f"q{k}") - i * i / (i + s), i * s / ((i + s) * (i + s))), F.lit(0.0))
     df = F.greatest(F.col("r1") - 1, F.lit(0)) + F.greatest(F.col("r2") - 1, F.lit(0))
     pearson = F.when(i1 + s1 > 0, around(1, i1, s1)).otherwise(0.0) + F.when(i2 + s2 > 0, around(2, i2, s2)).otherwise(0.0)
@@ -98,17 +134,18 @@ def pooled_g(table: DataFrame, contrasts: DataFrame) -> DataFrame:
     )
 
 
-def differential_test(table: DataFrame, contrasts: DataFrame) -> DataFrame:
+def differential_test(table: DataFrame, contrasts: DataFrame, cutoff: float = 0.1) -> DataFrame:
     """:func:`pooled_g` with p-values and the false-discovery rate within each contrast.
 
-    Replicates count: G over their dispersion is held against F with one and ``df`` degrees of freedom
-    (quasi-likelihood), so a difference that replicates do not share is not significant.  Without
-    replicates G is held against chi-square.
+    The hypothesis is that inclusion differs by ``cutoff`` at most; events within it have p = 1.  Replicates count:
+    G over their dispersion is held against F with one and ``df`` degrees of freedom (quasi-likelihood), so a
+    difference that replicates do not share is not significant.  Without replicates G is held against chi-square.
     """
     from isoflow.operators.stats import bh_adjust, chi2_1_tail, t_tail
 
+    tested = written(pooled_g(table, contrasts, cutoff), "tested")
     p = F.coalesce(t_tail(F.sqrt(F.col("g") / F.col("dispersion")), F.col("df").cast("double")), chi2_1_tail(F.col("g")))
-    return bh_adjust(pooled_g(table, contrasts).withColumn("p", p), by=("contrast",))
+    return bh_adjust(tested.withColumn("p", p), by=("contrast",))
 
 
 def unpack_lists(table: DataFrame, columns) -> DataFrame:

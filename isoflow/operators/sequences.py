@@ -126,6 +126,47 @@ def motif_profile(table: DataFrame, motif: str, width: int, by: str = "lang", se
     return hits.join(F.broadcast(sizes), by).select(by, "position", (F.col("n") / F.col("total")).alias("share"))
 
 
+def motif_counts_smoothed(table: DataFrame, motif: str, width: int, by: str = "lang", seq: str = "seq", share: float = 0.1) -> DataFrame:
+    """``by, position, n, smooth`` for all positions up to the longest sequence: how many sequences of a group have
+    the motif there, and the weighted mean over a triangular window of ``share`` of that length (3 at
+    least); null where the window is cut off.
+
+    Weights rise and fall by one a place, so the sum over a window comes from running sums of the counts
+    and of position times count, whatever its width.
+    """
+    longest = table.agg(F.max(F.length(seq))).first()[0] or 0
+    size = max(3, math.ceil(round(longest * share, 9)))
+    middle, after = math.ceil(size / 2), size // 2
+    total = sum(range(1, middle + 1)) + sum(range(1, size - middle + 1))
+    sums = table.groupBy(by).agg(F.count(F.lit(1)).alias("_total"))
+    grid = sums.select(by, F.explode(F.sequence(F.lit(1), F.lit(max(1, longest)))).alias("position")).where(F.lit(longest > 0))
+    found = motif_profile(table, motif, width, by, seq).join(sums, by).select(F.col(by).alias("_by"), F.col("position").alias("_at"), F.round(F.col("share") * F.col("_total")).cast("long").alias("n"))
+    dense = grid.join(found, F.col(by).eqNullSafe(F.col("_by")) & (F.col("position") == F.col("_at")), "left").select(by, "position", F.coalesce("n", F.lit(0)).alias("n"))
+    series = Window.partitionBy(by).orderBy("position")
+    upto = series.rowsBetween(Window.unboundedPreceding, 0)
+    dense = dense.withColumns({"_x": F.sum("n").over(upto), "_y": F.sum(F.col("n") * F.col("position")).over(upto)})
+    first, last = F.col("position") + after - size + 1, F.col("position") + after
+
+    def between(c, a, b):
+        """Sum from ``a`` to ``b`` places on, both included."""
+        at = lambda k: F.col(c) if k == 0 else F.lead(c, k).over(series) if k > 0 else F.coalesce(F.lag(c, -k).over(series), F.lit(0))
+        return at(b) - at(a - 1)
+
+    start, top = after - size + 1, after - size + middle
+    rising = between("_y", start, top) - (first - 1) * between("_x", start, top)
+    falling = (last + 1) * between("_x", top + 1, after) - between("_y", top + 1, after)
+    return dense.withColumn("smooth", F.when((first >= 1) & (last <= longest), (rising + falling) / total)).drop("_x", "_y")
+
+
+def motif_test(table: DataFrame, motifs, value: str, seq: str = "seq") -> DataFrame:
+    """:func:`motif_ttest` with the one-sided p-value of a larger mean where the motif is, and the FDR over the motifs."""
+    from isoflow.operators.stats import bh_adjust, t_tail
+
+    two = t_tail(F.col("t"), F.col("df"))
+    tested = motif_ttest(table, motifs, value, seq).withColumn("_two", two)
+    return bh_adjust(tested.withColumn("p", F.when(F.col("t") > 0, F.col("_two") / 2).otherwise(1 - F.col("_two") / 2)).drop("_two"))
+
+
 def motif_ttest(table: DataFrame, motifs, value: str, seq: str = "seq") -> DataFrame:
     """Welch's t of a value between sequences with and without each motif."""
     rows = motif_hits(table.select(seq, value), motifs, seq)

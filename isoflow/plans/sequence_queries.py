@@ -91,6 +91,24 @@ def motif_profile(spark, d):
     return rounded(S.motif_profile(seqs(spark, d), "YCAY", 4), nudge=1e-10)
 
 
+@query(ctes("sequences") + """, m AS (SELECT max(len(seq)) AS l, greatest(3, CAST(ceil(round(max(len(seq)) * 0.1, 9)) AS BIGINT)) AS w FROM sequences),
+ p AS (SELECT lang, seq, unnest(range(1, len(seq) - 2)) AS i FROM sequences WHERE len(seq) >= 4), c AS (SELECT lang, i, count(*) AS n FROM p WHERE regexp_full_match(substr(seq, i, 4), '[CT]CA[CT]') GROUP BY ALL),
+ g AS (SELECT lang, i, l, w, CAST(ceil(w / 2.0) AS BIGINT) AS mid, CAST(floor(w / 2.0) AS BIGINT) AS aft FROM (SELECT DISTINCT lang FROM sequences), m, unnest(range(1, l + 1)) t(i)),
+ d AS (SELECT g.*, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (lang, i)),
+ s AS (SELECT *, sum(n * i) OVER u - (i + aft - w) * sum(n) OVER u AS rise, coalesce((i + aft + 1) * sum(n) OVER f - sum(n * i) OVER f, 0) AS fall FROM d
+  WINDOW u AS (PARTITION BY lang ORDER BY i ROWS BETWEEN (w - 1 - aft) PRECEDING AND (w - aft - mid) PRECEDING), f AS (PARTITION BY lang ORDER BY i ROWS BETWEEN (aft - w + mid + 1) FOLLOWING AND aft FOLLOWING))
+ SELECT lang, CAST(i AS INT) AS position, n, CASE WHEN i + aft - w >= 0 AND i + aft <= l THEN round((rise + fall) / (mid * (mid + 1) / 2 + (w - mid) * (w - mid + 1) / 2)::DOUBLE + 1e-10, 6) END AS smooth FROM s""")
+def motif_counts_smoothed(spark, d):
+    return rounded(S.motif_counts_smoothed(seqs(spark, d), "YCAY", 4), nudge=1e-10)
+
+
+@query()
+def motif_test(spark, d):
+    """motif_ttest with one-sided p-values and FDR; the tail has no SQL twin."""
+    chars = derive.load(spark, d, "SELECT doc_id, CAST(n_chars AS DOUBLE) AS x FROM {documents}")
+    return rounded(S.motif_test(seqs(spark, d).join(chars, "doc_id"), MOTIFS, "x"))
+
+
 @query(ctes("sequences") + _HITS + """, v AS (SELECT h.motif AS motif, h.n > 0 AS p, n_chars::DOUBLE AS x FROM hits JOIN documents USING (doc_id)),
  a AS (SELECT motif, avg(x) FILTER (p) AS m1, avg(x) FILTER (NOT p) AS m0, var_samp(x) FILTER (p) AS v1, var_samp(x) FILTER (NOT p) AS v0, count(x) FILTER (p) AS n1, count(x) FILTER (NOT p) AS n0 FROM v GROUP BY motif)
  SELECT motif, round(m1, 6) AS mean1, round(m0, 6) AS mean0, n1, n0, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t, round(pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)), 6) AS df FROM a""")

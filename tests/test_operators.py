@@ -527,17 +527,84 @@ def test_differential_test_counts_replicates(spark):
     noisy = [("a", "s1", 100, 900), ("a", "s2", 910, 90), ("b", "s3", 980, 20), ("b", "s4", 410, 590)]
     table = spark.createDataFrame([(c, s, e, i, k) for e, part in (("even", rows), ("noisy", noisy)) for c, s, i, k in part], "condition string, sample string, event string, included long, skipped long")
     sides = spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], "condition string, contrast string, side int")
-    got = {r.event: r for r in contrasts.differential_test(table, sides).collect()}
+    got = {r.event: r for r in contrasts.differential_test(table, sides, 0.0).collect()}
     for event, part in (("even", rows), ("noisy", noisy)):
         chi = sum((i - (i + k) * p) ** 2 / ((i + k) * p * (1 - p)) for c in "ab" for p in [sum(r[2] for r in part if r[0] == c) / 2000] for o, _, i, k in part if o == c)
         assert got[event].df == 2 and got[event].dispersion == pytest.approx(max(1.0, chi / 2))
     assert got["even"].p < 0.01 < 0.2 < got["noisy"].p
     x = (got["even"].g / got["even"].dispersion) ** 0.5
     assert got["even"].p == pytest.approx(1 - x / (2 + x * x) ** 0.5, rel=1e-6)  # Student's t with two degrees of freedom
-    single = contrasts.differential_test(table.where("sample in ('s1', 's3') and event = 'even'"), sides).first()
+    single = contrasts.differential_test(table.where("sample in ('s1', 's3') and event = 'even'"), sides, 0.0).first()
     assert single.dispersion is None and single.p == pytest.approx(math.erfc((single.g / 2) ** 0.5), rel=1e-6)
 
 
+def test_interval_test_against_a_grid(spark):
+    rng = np.random.default_rng(21)
+    cells = rng.integers(0, 60, (60, 4))
+    cells[:4] = [[0, 30, 25, 0], [40, 0, 0, 40], [0, 0, 5, 5], [50, 0, 20, 1]]
+    rows = [(c, f"{c}", f"e{e}", int(cells[e][2 * k]), int(cells[e][2 * k + 1])) for e in range(60) for k, c in enumerate("ab")]
+    table = spark.createDataFrame(rows, "condition string, sample string, event string, included long, skipped long")
+    sides = spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], "condition string, contrast string, side int")
+    grid = np.linspace(0, 1, 20_001)
+
+    def level(i, s, p):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(i > 0, i * np.log(p), 0.0) + np.where(s > 0, s * np.log(1 - p), 0.0)
+
+    got = {r.event: r.g for r in contrasts.pooled_g(table, sides, 0.1).collect()}
+    for e, (i1, s1, i2, s2) in enumerate(cells.tolist()):
+        if i1 + s1 == 0 or i2 + s2 == 0 or abs(i1 / (i1 + s1) - i2 / (i2 + s2)) <= 0.1:
+            assert got[f"e{e}"] == 0
+            continue
+        best = level(i1, s1, i1 / (i1 + s1)) + level(i2, s2, i2 / (i2 + s2))
+        borders = [level(i1, s1, grid[2000:]) + level(i2, s2, grid[:-2000]), level(i1, s1, grid[:-2000]) + level(i2, s2, grid[2000:])]
+        assert got[f"e{e}"] == pytest.approx(2 * (best - max(b.max() for b in borders)), rel=1e-3, abs=1e-3)
+
+
+def test_interval_test_keeps_its_level(spark):
+    """Shares 0.1 apart at most, replicates that scatter more than counting would: no more than 5 in 100 below 0.05."""
+    rng = np.random.default_rng(22)
+    rows = []
+    for e in range(1500):
+        base = rng.uniform(0.15, 0.75)
+        for k, c in enumerate("ab"):
+            for r in range(3):
+                p = rng.beta(80 * (base + 0.1 * k), 80 * (1 - base - 0.1 * k))
+                i = int(rng.binomial(200, p))
+                rows.append((c, f"{c}{r}", f"e{e}", i, 200 - i))
+    table = spark.createDataFrame(rows, "condition string, sample string, event string, included long, skipped long")
+    sides = spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], "condition string, contrast string, side int")
+    found = contrasts.differential_test(table, sides).collect()
+    assert len(found) == 1500 and np.mean([r.p < 0.05 for r in found]) < 0.06
+    apart = table.withColumn("included", F.when(F.col("condition") == "b", F.least(F.col("included") + 60, F.lit(200))).otherwise(F.col("included"))).withColumn("skipped", 200 - F.col("included"))
+    assert np.mean([r.fdr < 0.05 for r in contrasts.differential_test(apart, sides).collect()]) > 0.5
+
+
+def test_motif_test_tail_and_smoothing(spark):
+    rng = np.random.default_rng(23)
+    seqs_ = ["".join(rng.choice(list("ACGT"), rng.integers(5, 40))) for _ in range(200)]
+    rows = [(i, "en" if i % 3 else "de", s, float(rng.normal() + 0.4 * ("ACG" in s))) for i, s in enumerate(seqs_)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, seq string, x double")
+    for r in seq_ops.motif_test(df, ["ACG", "TT"], "x").collect():
+        grid = np.linspace(r.t, r.t + 400, 2_000_001)
+        density = math.exp(math.lgamma((r.df + 1) / 2) - math.lgamma(r.df / 2)) / math.sqrt(r.df * math.pi) * (1 + grid**2 / r.df) ** (-(r.df + 1) / 2)
+        assert r.p == pytest.approx(np.trapezoid(density, grid), abs=1e-6) and r.fdr >= r.p
+    longest = max(map(len, seqs_))
+    for share in (0.1, 0.3):
+        size = max(3, math.ceil(longest * share))
+        mid = math.ceil(size / 2)
+        weights = np.array([*range(1, mid + 1), *range(size - mid, 0, -1)], float)
+        weights /= weights.sum()
+        got = {(r.lang, r.position): (r.n, r.smooth) for r in seq_ops.motif_counts_smoothed(df, "AC", 2, share=share).collect()}
+        assert len(got) == 2 * longest
+        for lang in ("en", "de"):
+            counts_ = np.array([sum(s[p : p + 2] == "AC" for _, g, s, _ in rows if g == lang) for p in range(longest)])
+            for p in range(longest):
+                a, c = p + size // 2 - size + 1, p + size // 2
+                smooth = float(counts_[a : c + 1] @ weights) if a >= 0 and c < longest else None
+                assert got[lang, p + 1][0] == counts_[p] and got[lang, p + 1][1] == (None if smooth is None else pytest.approx(smooth))
+
+
 def test_log_odds(spark):
     r = spark.createDataFrame([(0.2,)], "p double").select(psi.logit(F.col("p")).alias("x"), psi.inverse_logit(psi.logit(F.col("p"))).alias("p"), psi.logit(F.lit(1.0)).alias("n")).first()
     assert r.x == pytest.approx(math.log(0.25)) and r.p == pytest.approx(0.2) and r.n is None
