@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from isoflow.functions import keys as N
@@ -218,6 +219,50 @@ def run_stats(spark, d):
     return rounded(R.run_stats(_called(spark, d)))
 
 
+@query()
+def chimera_pairs(spark, d):
+    """Windows of 120 bases as elements; each read is a part of its own window or, in every third, of the next one of its
+    document (minimisers have no SQL twin; tested in plain Python)."""
+    s = pieces(spark, d, 120).where("length(seq) = 120").withColumn("idx", F.concat_ws("_", "doc_id", "window"))
+    later = F.lead("seq").over(Window.partitionBy("doc_id").orderBy("window"))
+    source = F.when((F.col("doc_id") + F.col("window")) % 3 == 0, F.coalesce(later, "seq")).otherwise(F.col("seq"))
+    return R.chimera_pairs(s.select(F.col("idx").alias("read_id"), "idx", F.substring(source, 21, 80).alias("seq")), s.select("idx", F.col("seq").alias("exon")))
+
+
+@query(ctes("sequences") + pieces_cte(400) + """, e AS (SELECT concat_ws('_', doc_id, piece) AS idx, seq FROM pieces WHERE len(seq) >= 9)
+ SELECT a.idx AS alt, b.idx AS ref FROM e a JOIN e b ON a.idx <> b.idx AND contains(b.seq, a.seq) AND (len(b.seq) > len(a.seq) OR b.idx < a.idx)""")
+def contained_exons(spark, d):
+    s = pieces(spark, d, 400).where("length(seq) >= 9").select(F.concat_ws("_", "doc_id", "window").alias("idx"), F.col("seq").alias("exon"))
+    return R.contained_exons(s)
+
+
+# The anchors on both sides of a micro-exon, and the first with one base changed and one left out.
+LEFT, RIGHT = "GATTCAGCATCG", "CCTAGGATCTTA"
+LEFTS = (LEFT, "GATTCTGCATCG", "GATTCAGCTCG")
+
+
+@query(ctes("sequences") + pieces_cte(60) + f""", r AS (SELECT concat_ws('_', doc_id, piece) AS id, lang AS idx, concat(substr(seq, 10, 5), ['{LEFTS[0]}', '{LEFTS[1]}', '{LEFTS[2]}'][CAST((doc_id + piece) % 3 + 1 AS INT)],
+  substr(seq, 20, CAST(1 + piece % 3 AS INT)), '{RIGHT}', substr(seq, 40, 6)) AS seq FROM pieces WHERE len(seq) = 60),
+ l AS (SELECT id, min({{'d': levenshtein(substr(seq, i + 1, 12 + e), '{LEFT}'), 's': i, 't': i + 12 + e}}) AS h FROM r, range(0, 40) t(i), (SELECT unnest([-1, 0, 1]) AS e) WHERE i + 12 + e <= len(seq) AND levenshtein(substr(seq, i + 1, 12 + e), '{LEFT}') <= 1 GROUP BY id),
+ m AS (SELECT id, idx, substr(seq, CAST(h.t + 1 AS INT)) AS rest FROM r JOIN l USING (id)),
+ k AS (SELECT id, min({{'d': levenshtein(substr(rest, i + 1, 12 + e), '{RIGHT}'), 's': i, 't': i + 12 + e}}) AS h FROM m, range(0, 40) t(i), (SELECT unnest([-1, 0, 1]) AS e) WHERE i + 12 + e <= len(rest) AND levenshtein(substr(rest, i + 1, 12 + e), '{RIGHT}') <= 1 GROUP BY id)
+ SELECT idx, substr(rest, 1, CAST(h.s AS INT)) AS middle, count(*) AS n FROM m JOIN k USING (id) GROUP BY ALL HAVING count(*) >= 6""")
+def micro_exon_counts(spark, d):
+    """Reads of one to three bases between two anchors, of which the first may have an edit."""
+    s = pieces(spark, d, 60).where("length(seq) = 60")
+    first = F.element_at(F.array(*[F.lit(a) for a in LEFTS]), ((F.col("doc_id") + F.col("window")) % 3 + 1).cast("int"))
+    read = F.concat(F.substring("seq", 10, 5), first, F.substr("seq", F.lit(20), (1 + F.col("window") % 3).cast("int")), F.lit(RIGHT), F.substring("seq", 40, 6))
+    return R.micro_exon_counts(s.select(F.col("lang").alias("idx"), read.alias("seq")), LEFT, RIGHT)
+
+
+@query(ctes("sequences") + pieces_cte(174) + f""", e AS (SELECT concat_ws('_', doc_id, piece) AS idx, substr(seq, 20, 30) AS u, substr(seq, 50, 45) AS x, substr(seq, 95, 30) AS w FROM pieces)
+ SELECT idx, 'SKIPPED' AS mode, substr(concat('{LEFT}', '{RIGHT}'), 1, 100) AS seq FROM e UNION ALL SELECT idx, 'UNSPLICED', substr(concat('{LEFT}', u, x, w, '{RIGHT}'), 1, 100) FROM e UNION ALL SELECT idx, 'INCLUDED', substr(concat('{LEFT}', x, '{RIGHT}'), 1, 100) FROM e""")
+def spliced_reference(spark, d):
+    part = lambda at, n: F.substring("seq", at, n)
+    library = pieces(spark, d, 174).select(F.concat_ws("_", "doc_id", "window").alias("idx"), part(20, 30).alias("up_intron"), part(50, 45).alias("exon"), part(95, 30).alias("down_intron"))
+    return R.spliced_reference(library, LEFT, RIGHT, 100)
+
+
 _MOLECULES = pieces_cte(100) + """, m AS (SELECT lang AS idx, substr(seq, 1, 4) AS cb, substr(seq, 5, 2) AS umi, seq FROM pieces), g AS (SELECT *, instr(seq, 'CATG') AS b FROM m),
  h AS (SELECT *, instr(substr(seq, b + 4), 'GTAC') - 1 AS length FROM g WHERE b > 0), c AS (SELECT idx, cb, umi, length, count(*) AS n FROM h WHERE length >= 0 GROUP BY ALL)"""
 
