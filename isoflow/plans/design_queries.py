@@ -285,6 +285,22 @@ def gmm_1d(spark, d):
     return M.gmm_1d(derive.load(spark, d, derive.EXPRESSION_SPARK))
 
 
+@query()
+def expression_regression(spark, d):
+    """Ridge of the first two components of PSI on the genes; penalties by cross-validation (tested against plain fits)."""
+    scores, _, _ = M.psi_pca(means(spark, d))
+    targets = scores.select(F.col("condition").alias("cell_line"), F.abs(F.get("pc", F.lit(0))).alias("one"), F.abs(F.get("pc", F.lit(1))).alias("two"))
+    return rounded(M.expression_regression(derive.load(spark, d, derive.EXPRESSION_SPARK), targets.select("cell_line", F.array("one", "two").alias("y"))))
+
+
+@query()
+def class_border(spark, d):
+    """Which line items were returned, by the size and the price of the order (tested against numpy)."""
+    items = derive.load(spark, d, "SELECT CAST(l_returnflag = 'R' AS INT) AS label, CAST(l_quantity AS DOUBLE) / 50 AS quantity, CAST(l_discount AS DOUBLE) * 10 AS discount FROM {lineitem}")
+    found = M.class_border(items, ["quantity", "discount"])
+    return rounded(found.select("intercept", F.get("weights", F.lit(0)).alias("first"), F.get("weights", F.lit(1)).alias("second"), "slope", "border", "log_likelihood"), 4)
+
+
 @query()
 def psi_pca(spark, d):
     """First two principal components of the conditions; signs are free, so sizes are returned (tested against numpy)."""
