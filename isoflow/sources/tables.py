@@ -2,32 +2,23 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from isoflow.sources.fastq import SPLIT_BYTES, FastqSource
+
 
-def read_fastq(spark: SparkSession, paths) -> DataFrame:
-    """``read_id, seq, qual, file`` of FASTQ files of any size, gzipped (a file is a task then) or not (split).
+def read_fastq(spark: SparkSession, paths, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``read_id, seq, qual, file`` of FASTQ files: files, folders or patterns, plain, block-gzipped or gzipped.
 
-    Lines are numbered within their split of a file, splits by their place in it, and the number of
-    lines before a split is a sum over splits; each four lines of a file are a record.
+    Plain and block-gzipped files are read in splits of ``split_bytes``; a file of ordinary gzip is one task.
     """
-    spark_paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(spark_paths).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("id"),
-    )
-    splits = lines.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))  # one row per split
-    numbered = lines.join(splits, ["file", "split"]).withColumn("line", F.col("id") + F.col("shift"))
-    part = lambda k, name: F.max(F.when(F.col("line") % 4 == k, F.rtrim(F.col("value"), F.lit("\r")))).alias(name)
-    records = numbered.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(part(0, "header"), part(1, "seq"), part(3, "qual"))
-    return records.where("header <> ''").select(
-        F.substr("header", F.lit(2)).alias("read_id"), F.coalesce("seq", F.lit("")).alias("seq"),
-        F.coalesce("qual", F.lit("")).alias("qual"), "file",
-    )
+    spark.dataSource.register(FastqSource)
+    named = [paths] if isinstance(paths, str) else list(paths)
+    return spark.read.format("fastq").option("paths", json.dumps(named)).option("splitBytes", split_bytes).load()
 
 
 def read_fasta(spark: SparkSession, paths) -> DataFrame:
@@ -82,8 +73,6 @@ def write_table(df: DataFrame, path: str, partition_by=(), format: str = "parque
 
 def reads_for_barcodes(reads: DataFrame, barcodes: DataFrame, n: int = 200) -> DataFrame:
     """The first ``n`` reads with different UMIs of each listed barcode, by read id."""
-    from pyspark.sql import Window
-
-    kept = reads.join(F.broadcast(barcodes.select("cb").distinct()), "cb", "left_semi")
+    kept = reads.join(barcodes.select("cb").distinct(), "cb", "left_semi")  # the list can be as long as the reads
     one = kept.withColumn("r", F.row_number().over(Window.partitionBy("cb", "umi").orderBy("read_id"))).where("r = 1")
     return one.withColumn("r", F.row_number().over(Window.partitionBy("cb").orderBy("read_id"))).where(F.col("r") <= n).drop("r")

@@ -626,10 +626,7 @@ def test_fastq_files_of_many_splits(spark, tmp_path):
         text = "".join(f"@{r}\n{s}\n+\n{'I' * len(s)}\n" for r, s in rows)
         (tmp_path / name).write_text(text)
         want |= {r: (s, "I" * len(s), name) for r, s in rows}
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
-    try:
-        got = {r.read_id: (r.seq, r.qual, r.file.rsplit("/", 1)[1]) for r in tables.read_fastq(spark, str(tmp_path / "*.fastq")).collect()}
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    found = tables.read_fastq(spark, str(tmp_path / "*.fastq"), split_bytes=5000)
+    assert found.rdd.getNumPartitions() > 20
+    got = {r.read_id: (r.seq, r.qual, r.file.rsplit("/", 1)[1]) for r in found.collect()}
     assert got == want
