@@ -31,6 +31,22 @@ def groups_against_rest(groups: DataFrame) -> DataFrame:
     return pairs.select(F.col("one").cast("string").alias("contrast"), F.when(F.col("one") == F.col("grp"), 1).otherwise(2).alias("side"), "condition")
 
 
+def pattern_contrasts(conditions: DataFrame, specs: list[tuple[str, str, str | None]], condition: str = "condition") -> DataFrame:
+    """A contrast for each ``(name, pattern, other)``: conditions that match the first pattern against those that match the other,
+    or against all that do not match the first where ``other`` is null.
+
+    Patterns are found anywhere in a condition's name, as with grep; a condition that matches both is on both sides.
+    """
+    named = conditions.select(F.col(condition).alias("condition")).where("condition is not null").distinct()
+    rows = []
+    for name, pattern, other in specs:
+        first = F.col("condition").cast("string").rlike(pattern)
+        second = ~first if other is None else F.col("condition").cast("string").rlike(other)
+        rows += [F.struct(F.lit(name).alias("contrast"), F.lit(k).alias("side"), test.alias("_in")) for k, test in ((1, first), (2, second))]
+    sides = named.select("condition", F.explode(F.array(*rows)).alias("s"))
+    return sides.where("s._in").select("s.contrast", "s.side", "condition")
+
+
 def condition_pairs(conditions: DataFrame) -> DataFrame:
     """All unordered pairs of conditions, the smaller first."""
     a, b = (conditions.select(F.col("condition").alias(c)).distinct() for c in "ab")
@@ -53,7 +69,7 @@ def pack_replicates(table: DataFrame, by, sample: str = "sample", values=("inclu
 
 def contrast_counts(table: DataFrame, contrasts: DataFrame, min_diff: float = 0.1, min_length: int = 2) -> DataFrame:
     """Replicate lists of both sides for the events whose mean PSI differs enough: ``contrast, event, i1, s1, i2, s2, diff``."""
-    rows = table.join(contrasts, "condition").withColumn("psi", psi_of(F.col("included"), F.col("skipped")))
+    rows = written(table.join(contrasts, "condition").withColumn("psi", psi_of(F.col("included"), F.col("skipped"))), "rows")
     side = lambda k, c: F.avg(F.when(F.col("side") == k, F.col(c)))
     means = rows.groupBy("contrast", "event").agg(side(1, "psi").alias("psi1"), side(2, "psi").alias("psi2"))
     wide = means.withColumn("diff", F.col("psi1") - F.col("psi2")).where(F.abs("diff") >= min_diff)
@@ -143,7 +159,7 @@ def differential_test(table: DataFrame, contrasts: DataFrame, cutoff: float = 0.
     """
     from isoflow.operators.stats import bh_adjust, chi2_1_tail, t_tail
 
-    tested = written(pooled_g(table, contrasts, cutoff), "tested")
+    tested = pooled_g(table, contrasts, cutoff)
     p = F.coalesce(t_tail(F.sqrt(F.col("g") / F.col("dispersion")), F.col("df").cast("double")), chi2_1_tail(F.col("g")))
     return bh_adjust(tested.withColumn("p", p), by=("contrast",))
 

@@ -88,6 +88,39 @@ def transcriptome_compare(assay: DataFrame, transcriptome: DataFrame, high: floa
     return both.withColumn("quadrant", F.when(a & t, "both_high").when(a, "assay_high").when(t, "transcriptome_high").otherwise("both_low"))
 
 
+def transcriptome_correlation(both: DataFrame) -> DataFrame:
+    """Correlation of assay and transcriptome (:func:`transcriptome_compare`) in each condition, and the events it rests on."""
+    return both.groupBy("condition").agg(F.corr("assay", "transcriptome").alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+# The coordinate columns of a skipped-exon event, in the order of its id.
+COORDINATES = ("exonStart_0base", "exonEnd", "upstreamES", "upstreamEE", "downstreamES", "downstreamEE")
+
+
+def junction_events(events: DataFrame, min_count: float = 30) -> DataFrame:
+    """Skipped-exon events of a transcriptome with id, names, PSI of the replicates and strand-aware lengths.
+
+    ``id`` joins chromosome and coordinates, ``name`` gene and id.  ``psi_list`` has the PSI of each replicate and ``psi`` their
+    mean, both to three digits; replicates without reads count as missing.  Events whose mean count
+    (``mean_count``) is below ``min_count`` are left out.
+    """
+    numbers = [F.transform(F.split(c, ","), lambda x: x.try_cast("double")) for c in ("IJC_SAMPLE_1", "SJC_SAMPLE_1")]
+    mean = lambda values: F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+    there = lambda values: F.filter(values, lambda x: x.isNotNull())
+    out = events.withColumns({"_i": numbers[0], "_s": numbers[1], "id": F.concat_ws("-", "chr", *COORDINATES)})
+    out = out.withColumns({
+        "name": F.concat_ws(";", "GeneID", "geneSymbol", "id"), "psi_list": F.zip_with("_i", "_s", lambda i, s: F.round(F.try_divide(i, i + s), 3)),
+        "mean_count": F.round(mean(there(F.zip_with("_i", "_s", lambda i, s: i + s))), 0),
+    })
+    minus = F.col("strand") == "-"
+    before, after = F.col("exonStart_0base") - F.col("upstreamEE"), F.col("downstreamES") - F.col("exonEnd")
+    out = out.withColumns({
+        "psi": F.round(mean(there(F.col("psi_list"))), 3), "exon_length": F.col("exonEnd") - F.col("exonStart_0base"),
+        "up_intron_length": F.when(minus, after).otherwise(before), "down_intron_length": F.when(minus, before).otherwise(after),
+    })
+    return out.where(F.col("mean_count") >= min_count).drop("_i", "_s")
+
+
 def junction_psi(events: DataFrame) -> DataFrame:
     """PSI of comma lists of inclusion and skipping junction counts, averaged over replicates."""
     lists = [F.transform(F.split(c, ","), lambda x: x.try_cast("double")) for c in ("IJC_SAMPLE_1", "SJC_SAMPLE_1")]

@@ -11,19 +11,28 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoflow.sources.scratch import written
+
 
 BUCKETS = 200
 """Parts into which the distinct values of a table are cut at their quantiles to be ranked."""
+FEW = 100_000
+"""Rows of a group, or distinct values of a table, up to which they are ranked in one window."""
 
 
 def ranked_values(table: DataFrame, value: str, by=()) -> DataFrame:
     """``by..., _v, _n, _before, _total, _b``: every distinct value, its rows, the rows of its group below it and all of its group.
 
-    Equal values are counted first.  Distinct values are ordered within buckets between quantiles, and
-    the buckets' sums are added up, so that no window holds all rows of a table or of a large group.
-    Nulls are left out.
+    Equal values are counted first, and the counts are written: ``table`` is evaluated once.  Where there are more
+    than ``FEW``, distinct values are ordered within buckets between quantiles, and the buckets' sums are
+    added up, so that no window holds all rows of a table or of a large group.  Nulls are left out.
     """
     counts = table.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(counts, "counts")
+    if counts.count() <= FEW:
+        group = Window.partitionBy(*by)
+        before = F.coalesce(F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return counts.select(*by, "_v", "_n", before.alias("_before"), F.sum("_n").over(group).alias("_total"), F.lit(0.0).alias("_b"))
     bounds = sorted({q for q in counts.approxQuantile("_v", [i / BUCKETS for i in range(1, BUCKETS)], 1 / (4 * BUCKETS)) if math.isfinite(q)})
     if bounds:
         counts = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_v", outputCol="_b", handleInvalid="keep").transform(counts)
@@ -34,38 +43,48 @@ def ranked_values(table: DataFrame, value: str, by=()) -> DataFrame:
     sums = counts.groupBy(*key, F.col("_b").alias("_kb")).agg(F.sum("_n").alias("_s"))
     earlier = groups.orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumns({"_lower": F.coalesce(F.sum("_s").over(earlier), F.lit(0)), "_total": F.sum("_s").over(groups)})  # one row per group and bucket
-    same = F.col("_b") == F.col("_kb")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    joined = counts.join(F.broadcast(sums) if not by else sums, same)
+    joined = counts.join(F.broadcast(sums) if not by else sums, _same(by))
     return joined.withColumn("_before", F.col("_lower") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).select(*by, "_v", "_n", "_before", "_total", "_b")
 
 
+def _same(by, bucket: bool = True):
+    """Rows of one group, and of one bucket, on both sides of a join."""
+    same = F.col("_b") == F.col("_kb") if bucket else F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return same
+
+
 def with_values(table: DataFrame, value: str, found: DataFrame, name: str, by=()) -> DataFrame:
     """``table`` with column ``name`` of ``found (by..., _v, name)`` for its value; null for a null value."""
     found = found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_v").alias("_kv"), F.col(name).alias("_found"))
-    same = F.col(value).cast("double") == F.col("_kv")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    same = (F.col(value).cast("double") == F.col("_kv")) & _same(by, False)
     return table.join(found, same, "left").select(*table.columns, F.col("_found").alias(name))
 
 
 def bh_adjust(table: DataFrame, p: str = "p", by=(), name: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg: p n / rank, made monotone from the largest p down, 1 at most; nulls stay null.
 
-    Tables with a ``by`` list are adjusted within each of its groups.
+    Tables with a ``by`` list are adjusted within each of its groups.  The table is evaluated once.  Groups of up
+    to ``FEW`` rows are adjusted by windows over their rows, larger ones over buckets of their values.
     """
-    raw = ranked_values(table, p, by).withColumn("_raw", F.col("_v") * F.col("_total") / (F.col("_before") + F.col("_n")))
+    table = written(table, "tested")
+    largest = table.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= FEW:
+        group = Window.partitionBy(*by)
+        below = F.count(p).over(group.orderBy(F.col(p).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        raw = table.withColumn("_raw", F.col(p) * F.count(p).over(group) / below)
+        fdr = F.least(F.lit(1.0), F.min("_raw").over(group.orderBy(F.col(p).desc_nulls_last())))
+        return raw.withColumn(name, F.when(F.col(p).isNotNull(), fdr)).drop("_raw")
+    ranked = ranked_values(table, p, by)
+    raw = written(ranked.withColumn("_raw", F.col("_v") * F.col("_total") / (F.col("_before") + F.col("_n"))), "ranked")
     lows = raw.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb")).agg(F.min("_raw").alias("_low"))
     later = Window.partitionBy(*[f"_k{i}" for i in range(len(by))]).orderBy(F.col("_kb").desc()).rowsBetween(Window.unboundedPreceding, -1)
     lows = lows.withColumn("_later", F.min("_low").over(later)).drop("_low")  # one row per group and bucket
-    same = F.col("_b") == F.col("_kb")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     upward = Window.partitionBy(*by, "_b").orderBy(F.col("_v").desc())
     fdr = F.least(F.lit(1.0), F.min("_raw").over(upward), F.col("_later"))
-    return with_values(table, p, raw.join(lows, same).withColumn(name, fdr), name, by)
+    return with_values(table, p, raw.join(lows, _same(by)).withColumn(name, fdr), name, by)
 
 
 def with_average_rank(table: DataFrame, column: str, name: str, by=()) -> DataFrame:
@@ -75,7 +94,7 @@ def with_average_rank(table: DataFrame, column: str, name: str, by=()) -> DataFr
 
 def correlate(table: DataFrame, x: str, y: str, by=()) -> DataFrame:
     """Pearson and Spearman correlation of the complete pairs, and their number."""
-    rows = table.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = written(table.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), "pairs")
     ranked = with_average_rank(with_average_rank(rows, x, "_rx", by), y, "_ry", by)
     return ranked.groupBy(*by).agg(F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
@@ -115,28 +134,31 @@ def gene_event_correlation(means: DataFrame, expression: DataFrame, block: int =
     An event or gene is one row with its values by condition (a few dozen).  Blocks of events meet
     blocks of genes, and their correlations are matrix products inside a task; only results leave it.
     """
-    pack = lambda df, c: df.groupBy(c).agg(F.collect_list(F.struct(F.col("condition").cast("string").alias("c"), F.col("v").cast("double").alias("v"))).alias("values"))
+
+    def pack(df, c):
+        rows = df.groupBy(c).agg(F.collect_list(F.struct(F.col("condition").cast("string").alias("c"), F.col("v").cast("double").alias("v"))).alias("values"))
+        return written(rows.select(c, F.transform("values", lambda e: e["c"]).alias("at"), F.transform("values", lambda e: e["v"]).alias("values")), c)
+
     events = pack(means.where("psi is not null").select("event", "condition", F.col("psi").alias("v")), "event")
     genes = pack(expression.where("value is not null").select("gene", F.col("cell_line").alias("condition"), F.col("value").alias("v")), "gene")
     parts = lambda df: max(1, -(-df.count() // block))
     n_events, n_genes = parts(events), parts(genes)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = events.select(F.pmod(F.xxhash64("event"), F.lit(n_events)).cast("int").alias("i"), every(n_genes).alias("j"), "event", "values")
-    right = genes.select(every(n_events).alias("i"), F.pmod(F.xxhash64("gene"), F.lit(n_genes)).cast("int").alias("j"), "gene", "values")
+    left = events.select(F.pmod(F.xxhash64("event"), F.lit(n_events)).cast("int").alias("i"), every(n_genes).alias("j"), "event", "at", "values")
+    right = genes.select(every(n_events).alias("i"), F.pmod(F.xxhash64("gene"), F.lit(n_genes)).cast("int").alias("j"), "gene", "at", "values")
 
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(two):
             return pd.DataFrame({"event": [], "gene": [], "r": [], "n": []})
-        names = {c: k for k, c in enumerate(sorted({e["c"] for rows in (one, two) for v in rows["values"] for e in v}))}
+        names, places = np.unique(np.concatenate([*one["at"], *two["at"]]).astype(str), return_inverse=True)
+        borders = sum(map(len, one["at"]))
 
-        def table(rows):
+        def table(rows, at):
             out = np.full((len(rows), len(names)), np.nan)
-            for k, v in enumerate(rows["values"]):
-                for e in v:
-                    out[k, names[e["c"]]] = e["v"]
+            out[np.repeat(np.arange(len(rows)), [len(v) for v in rows["values"]]), at] = np.concatenate(list(rows["values"]))
             return out
 
-        r, n = _correlations(table(one), table(two))
+        r, n = _correlations(table(one, places[:borders]), table(two, places[borders:]))
         a, b = np.nonzero(n > 0)
         values = pd.Series(r[a, b]).astype(object)
         return pd.DataFrame({"event": one["event"].to_numpy()[a], "gene": two["gene"].to_numpy()[b], "r": values.where(~np.isnan(r[a, b]), None), "n": n[a, b]})

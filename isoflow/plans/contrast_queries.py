@@ -172,3 +172,10 @@ def validation_shortlist(spark, d):
 @query(ctes("psi_counts") + MEANS_CTE + " SELECT event, round(avg(psi) FILTER (condition = 3), 6) AS target_mean, round(avg(psi) FILTER (condition <> 3), 6) AS rest_mean, round(avg(psi) FILTER (condition = 3) - avg(psi) FILTER (condition <> 3), 6) AS diff FROM means GROUP BY event")
 def target_specific(spark, d):
     return rounded(K.target_specific(means(spark, d), 3))
+
+
+@query("""WITH c AS (SELECT n_name AS condition FROM nation), x AS (SELECT 'america' AS contrast, 'UNITED|CANADA|BRAZIL|PERU' AS a, NULL AS b UNION ALL SELECT 'i_u', '^I', '^U' UNION ALL SELECT 'both', 'AN', 'IRAN|IRAQ')
+ SELECT contrast, 1 AS side, condition FROM c, x WHERE regexp_matches(condition, a) UNION ALL SELECT contrast, 2, condition FROM c, x WHERE CASE WHEN b IS NULL THEN NOT regexp_matches(condition, a) ELSE regexp_matches(condition, b) END""")
+def pattern_contrasts(spark, d):
+    names = derive.load(spark, d, "SELECT n_name AS condition FROM {nation}")
+    return K.pattern_contrasts(names, [("america", "UNITED|CANADA|BRAZIL|PERU", None), ("i_u", "^I", "^U"), ("both", "AN", "IRAN|IRAQ")])

@@ -104,6 +104,31 @@ def transcriptome_compare(spark, d):
     return rounded(D.transcriptome_compare(means(spark, d), other))
 
 
+@query(ctes("psi_counts") + MEANS_CTE + """, tr AS (SELECT event, condition, avg(included / (included + skipped)::DOUBLE) AS psi FROM psi_counts WHERE sample % 2 = 0 AND included + skipped > 0 GROUP BY ALL)
+ SELECT condition, round(corr(m.psi, tr.psi), 6) AS r, count(*) AS n FROM means m JOIN tr USING (event, condition) GROUP BY condition""")
+def transcriptome_correlation(spark, d):
+    t = psi_table(spark, d).where("sample % 2 = 0").withColumn("psi", P.psi_of(F.col("included"), F.col("skipped")))
+    other = t.groupBy("event", "condition").agg(F.avg("psi").alias("psi")).where("psi is not null")
+    return rounded(D.transcriptome_correlation(D.transcriptome_compare(means(spark, d), other)))
+
+
+JUNCTIONS = """SELECT l_orderkey AS k, CONCAT('chr', CAST(l_suppkey % 22 + 1 AS STRING)) AS chr, CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END AS strand,
+ CONCAT('g', CAST(l_suppkey AS STRING)) AS GeneID, CONCAT('s', CAST(l_suppkey % 50 AS STRING)) AS geneSymbol, l_orderkey * 10 + 100 AS exonStart_0base, l_orderkey * 10 + 100 + l_partkey % 90 AS exonEnd,
+ l_orderkey * 10 AS upstreamES, l_orderkey * 10 + 50 AS upstreamEE, l_orderkey * 10 + 300 AS downstreamES, l_orderkey * 10 + 400 AS downstreamEE,
+ CONCAT(CAST(CAST(l_quantity AS BIGINT) AS STRING), ',', CAST(l_partkey % 40 AS STRING)) AS IJC_SAMPLE_1, CONCAT(CAST(l_linenumber AS STRING), ',', CAST(l_suppkey % 40 AS STRING)) AS SJC_SAMPLE_1 FROM {lineitem}"""
+
+
+@query(f"WITH j AS ({derive.sql(JUNCTIONS)})" + """, e AS (SELECT *, concat_ws('-', chr, exonStart_0base, exonEnd, upstreamES, upstreamEE, downstreamES, downstreamEE) AS id,
+  list_transform(string_split(IJC_SAMPLE_1, ','), lambda x: CAST(x AS DOUBLE)) AS i, list_transform(string_split(SJC_SAMPLE_1, ','), lambda x: CAST(x AS DOUBLE)) AS s FROM j),
+ p AS (SELECT *, list_transform(list_zip(i, s), lambda x: CASE WHEN x[1] + x[2] > 0 THEN round(x[1] / (x[1] + x[2]) + 1e-12, 3) END) AS ps, round((i[1] + s[1] + i[2] + s[2]) / 2 + 1e-12, 0) AS mean_count FROM e)
+ SELECT concat_ws(';', GeneID, geneSymbol, id) AS name, strand, ps[1] AS psi1, ps[2] AS psi2, mean_count, exonEnd - exonStart_0base AS exon_length,
+  CASE strand WHEN '-' THEN downstreamES - exonEnd ELSE exonStart_0base - upstreamEE END AS up_intron_length, CASE strand WHEN '-' THEN exonStart_0base - upstreamEE ELSE downstreamES - exonEnd END AS down_intron_length
+ FROM p WHERE mean_count >= 30""")
+def junction_events(spark, d):
+    out, of = D.junction_events(derive.load(spark, d, JUNCTIONS)), lambda k: F.get("psi_list", F.lit(k)).alias(f"psi{k + 1}")
+    return out.select("name", "strand", of(0), of(1), "mean_count", "exon_length", "up_intron_length", "down_intron_length")
+
+
 @query(ctes("expression") + " SELECT gene, round(var_samp(value), 9) AS var, round(max(value) - min(value), 6) AS range, round((count(value) - sum(value) / max(value)) / (count(value) - 1), 4) AS tau FROM expression WHERE gene % 3 = 0 OR gene % 5 = 0 GROUP BY gene")
 def candidate_genes(spark, d):
     e = derive.load(spark, d, derive.EXPRESSION_SPARK)

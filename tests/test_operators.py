@@ -278,6 +278,24 @@ def test_library_deduplication(spark):
     assert {r.idx for r in kept.collect()} == {"a", "g", "h"} and {r.alt: r.ref for r in alt.collect()} == {"f": "a"}
 
 
+def test_junction_lists_and_library_regions(spark, tmp_path):
+    from isoflow.operators import designs
+
+    rows = [("chr1", "-", "g", "s", 10, 30, 0, 5, 50, 60, "30,0,x", "10,0,7"), ("chr1", "+", "g", "s", 10, 30, 0, 5, 50, 60, "3", "1"), ("chr2", "+", "g", "s", 10, 30, 0, 5, 50, 60, "100,50", "0,50")]
+    df = spark.createDataFrame(rows, "chr string, strand string, GeneID string, geneSymbol string, exonStart_0base long, exonEnd long, upstreamES long, upstreamEE long, downstreamES long, downstreamEE long, IJC_SAMPLE_1 string, SJC_SAMPLE_1 string")
+    got = {r.chr: r for r in designs.junction_events(df, 20).collect()}
+    assert set(got) == {"chr1", "chr2"} and got["chr1"].id == "chr1-10-30-0-5-50-60" and got["chr1"].name == "g;s;chr1-10-30-0-5-50-60"
+    assert got["chr1"].psi_list == [0.75, None, None] and got["chr1"].psi == 0.75 and got["chr1"].mean_count == 20
+    assert (got["chr1"].up_intron_length, got["chr1"].down_intron_length, got["chr1"].exon_length) == (20, 5, 20)
+    assert (got["chr2"].up_intron_length, got["chr2"].down_intron_length, got["chr2"].psi) == (5, 20, 0.75)
+    assert [r.psi for r in designs.junction_psi(df).collect()] == [0.75, 0.75, 0.75]
+    library = spark.createDataFrame([("e1", "ACGT", "GG"), ("e2", "TT", None)], "ID string, librarySequence string, skippedExonSeq string")
+    parts = tables.library_regions(library, ("librarySequence", "skippedExonSeq"))
+    assert {k: [tuple(r) for r in v.orderBy("id").collect()] for k, v in parts.items()} == {"librarySequence": [("e1", "ACGT"), ("e2", "TT")], "skippedExonSeq": [("e1", "GG"), ("e2", None)]}
+    tables.write_fasta(parts["librarySequence"], str(tmp_path / "library"))
+    assert {tuple(r) for r in tables.read_fasta(spark, str(tmp_path / "library")).collect()} == {("e1", "ACGT"), ("e2", "TT")}
+
+
 def test_keys(spark):
     row = spark.createDataFrame([("e1__INCLUDED__0:-3:x__113", "gene_a_INCLUDED_5", "A549-rep4")], "index string, name string, sample string")
     r = keys.parse_sample_name(keys.unpack_name(keys.split_offset(keys.split_event_key(row, ["idx", "mode", "offset", "insert"])))).first()
