@@ -6,7 +6,8 @@ line, each sentence of a line and each run of up to four lines.  Inverse documen
 from all files; words outside the templates count as rarest.  A passage that reaches the threshold
 shares at least one of a template's heavy words (the light ones together weigh less than the
 threshold), so files and passages without any are skipped without loss.  Each distinct passage is
-scored once.  Files without a licence of their own inherit that of the licence file in their nearest
+scored once.  Versions and relatives of a licence share most words; a passage must also have the few that tell
+them apart (``license_texts.GUARDS``), and a short one that denies is none.  Files without a licence of their own inherit that of the licence file in their nearest
 ancestor directory; ancestors are joined once for each distinct directory.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoflow.llm.common import discard, materialize, table
-from isoflow.llm.license_texts import TEMPLATES
+from isoflow.llm.license_texts import GUARDS, SPDX, TEMPLATES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[a-z0-9]+"
@@ -51,6 +52,25 @@ def template_vectors(templates: list[tuple[str, str]], df: dict[str, int], n_fil
     return idf, math.log(1 + n_files) + 1, vectors
 
 
+SHORT = 20
+"""Words of a template that names a licence instead of quoting it; a passage that denies is not one."""
+NEGATIONS = ("isn", "never", "not")
+
+
+def guard(name: str, text: str) -> tuple[list[str], list[str], list[str]]:
+    """Words of which a passage must hold all, one (if there are any) and none to have the licence of a template.
+
+    The cosine alone cannot tell versions and relatives of a licence apart, since they share all other words.
+    """
+    words = re.findall(WORD, text.lower())
+    every, some, none = (set(x) for x in GUARDS.get(name, ((), (), ())))
+    if text.startswith(SPDX):
+        every, some = set(re.findall(WORD, name.lower())), set()
+    if len(words) <= SHORT:
+        none |= set(NEGATIONS) - set(words)
+    return sorted(every), sorted(some), sorted(none)
+
+
 def heavy_words(vectors: list[dict[str, float]], threshold: float) -> list[str]:
     """Words of which a line must hold one to reach the threshold with any template."""
     heavy: set[str] = set()
@@ -67,17 +87,22 @@ def scored_passages(
     passages: DataFrame, templates: list[tuple[str, str]], idf: dict[str, float], unseen: float, vectors: list[dict[str, float]],
     threshold: float,
 ) -> DataFrame:
-    """``id, license, score, place`` of the passages ``(id, words)`` that reach the threshold; ties go to the template listed first."""
+    """``id, license, score, place`` of the passages ``(id, words)`` that reach the threshold and have the words that tell
+    the licence from its relatives; ties go to the template listed first."""
     spark = passages.sparkSession
     rows = [(w, k, x) for k, v in enumerate(vectors) for w, x in sorted(v.items())]
     weights = F.broadcast(spark.createDataFrame(rows, "word string, template int, weight double"))  # the templates' words
     frequencies = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
-    names = F.broadcast(spark.createDataFrame([(k, name) for k, (name, _) in enumerate(templates)], "template int, license string"))
+    guards = [(k, name, *guard(name, text)) for k, (name, text) in enumerate(templates)]
+    names = F.broadcast(spark.createDataFrame(guards, "template int, license string, every array<string>, some array<string>, none array<string>"))
     words = passages.select("id", F.explode("words").alias("word")).where("word <> ''")
     values = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n")).join(frequencies, "word", "left").select("id", "word", (F.col("n") * F.coalesce("idf", F.lit(unseen))).alias("x"))
     norms = values.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = values.join(weights, "word").groupBy("id", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scores = dots.join(norms, "id").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold).join(names, "template")
+    held = scores.join(passages, "id")
+    fits = (F.size(F.array_except("every", "words")) == 0) & ((F.size("some") == 0) | F.arrays_overlap("some", "words")) & ~F.arrays_overlap("none", "words")
+    scores = held.where(fits).select("id", "template", "license", "score")
     return scores.groupBy("id").agg(F.max_by(F.struct("license", "score", F.col("template").alias("place")), F.struct("score", (-F.col("template")).alias("t"))).alias("best")).select("id", "best.*")
 
 
@@ -171,11 +196,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The same without skipping anything: every passage of every file is scored."""
-    values = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
+    listed = lambda words: "CAST([" + ", ".join(f"'{w}'" for w in words) + "] AS VARCHAR[])"
+    values = ", ".join("({}, '{}', '{}', {}, {}, {})".format(k, name, text.replace("'", "''"), *map(listed, guard(name, text))) for k, (name, text) in enumerate(TEMPLATES))
     runs = ", ".join(f"list_transform(range(1, greatest(len(lines) - {k} + 2, 1)), lambda i: array_to_string(lines[i:i+{k - 1}], ' '))" for k in range(2, WINDOW + 1))
     lower = f"translate({{}}, '{UPPER}', '{LOWER}')"
     return f"""
-WITH tpl(template, license, body) AS (VALUES {values}
+WITH tpl(template, license, body, has_all, has_one, has_none) AS (VALUES {values}
 ), tw AS (SELECT template, unnest(regexp_extract_all({lower.format('body')}, '{WORD}')) AS word FROM tpl
 ), tc AS (SELECT template, word, count(*) AS n FROM tw GROUP BY ALL
 ), files AS (
@@ -192,10 +218,11 @@ WITH tpl(template, license, body) AS (VALUES {values}
   SELECT path, unnest(list_distinct(flatten([[array_to_string(CASE WHEN blank > 0 THEN lines[1:blank-1] ELSE lines END, ' ')], CASE WHEN starts_with(f, 'LICENSE') THEN [text] ELSE [] END, lines,
     string_split(regexp_replace(text, '([.!?;])[ \t]+', '\1' || chr(10), 'g'), chr(10)), {runs}]))) AS passage FROM hd
 ), pw AS (SELECT passage, unnest(regexp_extract_all({lower.format('passage')}, '{WORD}')) AS word FROM (SELECT DISTINCT passage FROM ps)
+), pl AS (SELECT passage, list(word) AS words FROM pw GROUP BY passage
 ), px AS (SELECT passage, word, n * coalesce(idf, ln(1.0::DOUBLE + (SELECT count(*) FROM files)) + 1) AS x FROM (SELECT passage, word, count(*) AS n FROM pw GROUP BY ALL) LEFT JOIN idf USING (word)
 ), nm AS (SELECT passage, sqrt(sum(x * x)) AS norm FROM px GROUP BY passage
 ), sc AS (SELECT passage, template, round(sum(x * weight) / any_value(norm), 6) AS score FROM px JOIN tv USING (word) JOIN nm USING (passage) GROUP BY passage, template
-), fl AS (SELECT path, template, license, score FROM ps JOIN sc USING (passage) JOIN tpl USING (template) WHERE score >= {THRESHOLD}
+), fl AS (SELECT path, template, license, score FROM ps JOIN sc USING (passage) JOIN tpl USING (template) JOIN pl USING (passage) WHERE score >= {THRESHOLD} AND list_has_all(words, has_all) AND (len(has_one) = 0 OR list_has_any(words, has_one)) AND NOT list_has_any(words, has_none)
 ), own AS (SELECT path, arg_max(license, (score, -template)) AS own_license, max(score) AS own_score FROM fl GROUP BY path
 ), holders AS (
   SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS holder, arg_min(own_license, (-own_score, path)) AS held FROM own

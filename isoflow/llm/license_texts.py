@@ -35,10 +35,39 @@ http://mozilla.org/MPL/2.0/."""
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either
 in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 
-TEMPLATES = [
+_LGPL = _GPL.replace("GNU General Public License", "GNU Lesser General Public License")
+_AGPL = _GPL.replace("GNU General Public License", "GNU Affero General Public License")
+_GPL_2 = _GPL.replace("version 3", "version 2")
+
+# Words that tell licences of one family apart: all of the first, one of the second, none of the third must stand in
+# a passage that names the licence.
+_OTHER_GNU, _OTHER_CC = ("affero", "lesser", "library"), ("nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike")
+GUARDS = {
+    "AGPL-3.0": (("affero",), (), ()),
+    "Apache-1.1": (("1", "apache"), (), ("0",)),
+    "Apache-2.0": (("apache",), ("2",), ()),
+    "CC-BY-4.0": (("4",), (), _OTHER_CC),
+    "CC-BY-NC-4.0": (("4",), ("nc", "noncommercial"), ("nd", "noderivatives", "noderivs", "sa", "sharealike")),
+    "CC-BY-ND-4.0": (("4",), ("nd", "noderivatives", "noderivs"), ("nc", "noncommercial", "sa", "sharealike")),
+    "CC-BY-SA-4.0": (("4",), ("sa", "sharealike"), ("nc", "nd", "noderivatives", "noderivs", "noncommercial")),
+    "GPL": ((), (), _OTHER_GNU),
+    "GPL-2.0": ((), ("2", "v2"), _OTHER_GNU),
+    "GPL-3.0": ((), ("3", "v3"), _OTHER_GNU),
+    "LGPL": (("lesser",), (), ("affero",)),
+    "LGPL-2.1": (("lesser",), ("2", "v2"), ("affero",)),
+    "LGPL-3.0": (("lesser",), ("3", "v3"), ("affero",)),
+    "MPL-1.1": (("1", "mozilla"), (), ("0",)),
+    "MPL-2.0": (("mozilla",), ("2",), ()),
+}
+
+_NAMED = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", _AGPL),
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("Apache-2.0", _APACHE),
     ("BSD-2-Clause", "BSD 2-Clause License"),
     ("BSD-2-Clause", f"{_BSD_2} {_BSD_END}"),
@@ -48,21 +77,45 @@ TEMPLATES = [
     ("BSD-3-Clause", f"{_BSD_2} {_BSD_NAME} {_BSD_END}"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "Attribution-NoDerivatives 4.0 International"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 International"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2"),
+    ("GPL-2.0", "GNU General Public License v2.0"),
+    ("GPL-2.0", _GPL_2),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE"),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("GPL-3.0", "it under the terms of the GNU General Public License as published by"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3"),
+    ("GPL-3.0", "GNU General Public License v3.0"),
     ("GPL-3.0", _GPL),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3"),
+    ("LGPL-3.0", _LGPL),
+    ("GPL", "GNU GENERAL PUBLIC LICENSE"),
+    ("GPL", "it under the terms of the GNU General Public License as published by"),
+    ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE"),
     ("ISC", "ISC License"),
     ("ISC", _ISC),
     ("MIT", "Released under the MIT License."),
     ("MIT", "MIT License"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", _MIT),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", _MPL),
     ("Unlicense", _UNLICENSE),
 ]
+
+SPDX = "SPDX-License-Identifier:"
+TEMPLATES = _NAMED + [(name, f"{SPDX} {name}") for name in sorted({name for name, _ in _NAMED})]

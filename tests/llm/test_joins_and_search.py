@@ -325,3 +325,20 @@ def test_licence_ties_go_to_the_template_listed_first(spark):
     files = spark.createDataFrame([("a", "Use it under the same words.")], "path string, text string")
     for names in (("A", "B"), ("B", "A")):
         assert license_scan.scan_licenses(files, [(n, "under the same words") for n in names], 0.1).first().own_license == names[0]
+
+
+def test_relatives_and_versions_of_a_licence_are_told_apart(spark):
+    named = {
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": "LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE": "LGPL",
+        "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": "AGPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2": "GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": "GPL-2.0",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0", "GNU General Public License v3.0": "GPL-3.0", "GNU GENERAL PUBLIC LICENSE": "GPL", "Attribution-ShareAlike 4.0": "CC-BY-SA-4.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International": "CC-BY-SA-4.0", "Attribution-NoDerivatives 4.0 International": "CC-BY-ND-4.0", "Creative Commons Attribution 4.0 International": "CC-BY-4.0",
+        "Creative Commons Attribution-NonCommercial 4.0 International": "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International": None, "Licensed under CC BY-NC-ND 4.0.": None,
+        "The Apache Software License, Version 1.1": "Apache-1.1", "Apache License\nVersion 2.0, January 2004": "Apache-2.0", "Licensed under the Apache License, Version 1.0.": None,
+        "Mozilla Public License Version 1.1": "MPL-1.1", "Mozilla Public License Version 2.0": "MPL-2.0", "This is not released under the MIT License.": None, "It isn't released under the MIT License": None,
+        "Released under the MIT License.": "MIT", "SPDX-License-Identifier: ISC": "ISC", "SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1", "SPDX-License-Identifier: Zlib": None, "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+    }
+    rows = [(f"d{i}/LICENSE", text) for i, text in enumerate(named)] + [(f"x/{i}.txt", f"some other words {i} of a file in the tree\nand a line") for i in range(200)]
+    got = {r.path: r.own_license for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {text: got[f"d{i}/LICENSE"] for i, text in enumerate(named)} == named
+    assert not any(got[f"x/{i}.txt"] for i in range(200))
