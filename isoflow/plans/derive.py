@@ -60,6 +60,9 @@ SELECT doc_id, lang, source, translate(upper(<letters>),'ABCDEFGHIJKLMNOPQRSTUVW
 FROM {documents}"""  # whole texts
 SEQUENCES_SPARK = _SEQUENCES.replace("<letters>", _LETTERS_SPARK)
 SEQUENCES_DUCKDB = _SEQUENCES.replace("<letters>", _LETTERS_DUCKDB)
+_LIBRARY = """
+SELECT item_id, translate(upper(<letters>),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','ACGTACGTACGTACGTACGTACGTAC') AS seq FROM {benchmark}"""
+LIBRARY_SPARK, LIBRARY_DUCKDB = _LIBRARY.replace("<letters>", _LETTERS_SPARK), _LIBRARY.replace("<letters>", _LETTERS_DUCKDB)
 PIECES_DUCKDB = """
 SELECT doc_id, lang, CAST(w AS INT) AS piece, substr(seq, w * {size} + 1, {size}) AS seq
 FROM (SELECT doc_id, lang, seq, unnest(range(0, CAST(ceil(len(seq) / {size}.0) AS BIGINT))) AS w FROM sequences)"""  # consecutive windows of every sequence

@@ -152,13 +152,13 @@ def base_composition(spark, d):
     return S.base_composition(seqs(spark, d))
 
 
-@query()
+@query(ctes("sequences") + pieces_cte(60) + f""", lib AS ({derive.sql(derive.LIBRARY_DUCKDB)}), r AS (SELECT DISTINCT substr(seq, w * 60 + 1, 60) AS ref FROM (SELECT seq, unnest(range(0, CAST(ceil(len(seq) / 60.0) AS BIGINT))) AS w FROM lib)),
+ d AS (SELECT seq, CAST(min(levenshtein(seq, ref)) AS INT) AS distance FROM (SELECT DISTINCT seq FROM pieces), r GROUP BY seq)
+ SELECT doc_id, piece AS "window", distance FROM pieces JOIN d USING (seq)""")
 def min_edit_distance(spark, d):
-    """Windows of 60 bases of the documents that have no label against those of the labelled ones; all pairs are too
-    many for SQL (tested against brute force on a small table)."""
-    labelled = derive.load(spark, d, "SELECT DISTINCT doc_id FROM {labels}")
-    s = pieces(spark, d, 60).select("doc_id", "window", "seq")
-    return S.min_edit_distance(s.join(labelled, "doc_id", "left_anti"), s.join(labelled, "doc_id", "left_semi"), 3).drop("seq")
+    """Windows of 60 bases of all documents against those of the library, the benchmark passages."""
+    library = derive.load(spark, d, derive.LIBRARY_SPARK).select(F.explode(Q.windows(F.col("seq"), 60)).alias("w")).select("w.seq")
+    return S.min_edit_distance(pieces(spark, d, 60).select("doc_id", "window", "seq"), library, 3).drop("seq")
 
 
 _LANES = ", ".join(f"translate(seq, 'ACGT', '{''.join('01'[b == c] for c in 'ACGT')}') AS {b.lower()}" for b in "ACGT")
