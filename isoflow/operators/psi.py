@@ -9,22 +9,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoflow.operators.counts import INCLUDED, SKIPPED, UNSPLICED
+from isoflow.sources.scratch import written
 
 
 def psi_of(included, skipped):
     return F.try_divide(included, included + skipped)
 
 
+FEW_SAMPLES = 100_000
+"""Samples up to which their list is broadcast."""
+
+
 def psi_counts(counts: DataFrame, catalog: DataFrame, min_total: int | None = None) -> DataFrame:
     """Every catalogued event in every sample: its own included count and the element's skipped count.
 
-    The grid joins the catalogue with the samples (one row each, broadcast).  With ``min_total``
+    The grid joins the catalogue with the samples, which are broadcast up to ``FEW_SAMPLES``.  With ``min_total``
     rows below that coverage are left out.
     """
-    samples = counts.select("sample", "condition").distinct()
+    counts = written(counts.select("sample", "condition", "idx", "mode", "up_off", "down_off", "cnt"), "counts")
+    samples = written(counts.select("sample", "condition").distinct(), "samples")
     skipped = counts.where(F.col("mode") == SKIPPED).groupBy("sample", "idx").agg(F.sum("cnt").alias("skipped"))
     included = counts.where(F.col("mode") == INCLUDED).groupBy("sample", "idx", "up_off", "down_off").agg(F.sum("cnt").alias("included"))
-    grid = catalog.crossJoin(F.broadcast(samples))
+    grid = catalog.crossJoin(F.broadcast(samples) if samples.count() <= FEW_SAMPLES else samples)
     out = grid.join(included, ["sample", "idx", "up_off", "down_off"], "left").join(skipped, ["sample", "idx"], "left")
     out = out.fillna(0, ["included", "skipped"]).select("sample", "condition", "idx", "up_off", "down_off", "included", "skipped")
     return out if min_total is None else out.where(F.col("included") + F.col("skipped") >= min_total)
@@ -128,8 +134,10 @@ def completeness(table: DataFrame, thresholds=(0.5, 0.8, 0.9), n_samples: int |
 
 def batch_median_shift(table: DataFrame, batch: str, value: str = "psi", margin: float = 1e-3) -> DataFrame:
     """Shift values between 0 and 1 by the difference of their batch's median from the median of all; 0 and 1 stay."""
-    medians = table.groupBy(batch).agg(F.median(value).alias("_batch"))
-    overall = table.agg(F.median(value).alias("_all"))
+    from isoflow.operators.stats import exact_median
+
+    table = written(table, "values")
+    medians, overall = exact_median(table, value, (batch,), "_batch"), exact_median(table, value, (), "_all")
     shifted = F.greatest(F.lit(margin), F.least(F.lit(1 - margin), F.col(value) - (F.col("_batch") - F.col("_all"))))
     joined = table.join(medians, batch).crossJoin(F.broadcast(overall))  # one row
     return joined.withColumn("shifted", F.when(F.col(value).isin(0.0, 1.0), F.col(value)).otherwise(shifted)).drop("_batch", "_all")
@@ -156,7 +164,7 @@ def quantile_normalise(table: DataFrame, sample: str = "sample", value: str = "p
     Nulls are ignored and equal values get their average rank.  Samples of another size are
     interpolated linearly between neighbouring ranks, both for the means and for their values.
     """
-    rows = table.where(F.col(value).isNotNull())
+    rows = written(table.where(F.col(value).isNotNull()), "values")
     sizes = rows.groupBy(sample).agg(F.count(F.lit(1)).alias("_n"))
     rows = rows.crossJoin(F.broadcast(sizes.agg(F.max("_n").alias("_top"))))  # one row
     by_value = Window.partitionBy(sample).orderBy(value)
@@ -165,6 +173,7 @@ def quantile_normalise(table: DataFrame, sample: str = "sample", value: str = "p
         "_k": F.row_number().over(by_value).cast("long") - 1, "_next": F.lead(value).over(by_value), "_n": F.count(F.lit(1)).over(whole),
         "_r2": 2 * (F.rank().over(by_value).cast("long") - 1) + F.count(F.lit(1)).over(same) - 1,
     })
+    x = written(x, "ranked")
     # Ranks from 0.  Target j of the largest sample lies at j * gaps / wide of a sample with n = gaps + 1 values.
     first = F.expr("CASE WHEN _n = 1 THEN 0L ELSE (_k * (_top - 1) + _n - 2) div (_n - 1) END")
     last = F.expr("CASE WHEN _k = _n - 1 THEN _top - 1 ELSE ((_k + 1) * (_top - 1) + _n - 2) div (_n - 1) - 1 END")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoflow.functions import kmer_counts
 from isoflow.functions.edits import distances
 from isoflow.functions.sequences import BLOCK, blocks, kmers, motif_count, motif_regex
 from isoflow.operators.psi import psi_of
@@ -18,9 +19,18 @@ from isoflow.sources.scratch import written
 
 def kmer_enrichment(groups: DataFrame, k: int = 4, group: str = "grp", seq: str = "seq") -> DataFrame:
     """Sequences with and without each k-mer in the group (``grp`` true) and outside: ``kmer, a, b, c, d``."""
-    rows = groups.select(F.col(group).cast("boolean").alias("g"), F.array_distinct(kmers(F.col(seq), k)).alias("ks"))
+    rows = groups.select(F.col(group).cast("boolean").alias("g"), F.col(seq).alias("seq"))
     totals = rows.agg(F.count_if("g").alias("n1"), F.count_if(~F.col("g")).alias("n0"))
-    seen = rows.select("g", F.explode("ks").alias("kmer")).groupBy("kmer").agg(F.count_if("g").alias("a"), F.count_if(~F.col("g")).alias("c"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seqs, g = batch["seq"].tolist(), batch["g"].map({True: 1, False: 0}).fillna(-1).to_numpy(int)
+            for first, last in kmer_counts.groups(seqs):
+                owner, kmer, _, names = kmer_counts.distinct(seqs[first:last], k)
+                side = g[first:last][owner]
+                yield pd.DataFrame({"kmer": names, **{c: np.bincount(kmer[side == v], minlength=len(names)) for c, v in (("a", 1), ("c", 0))}})
+
+    seen = rows.where("seq is not null").mapInPandas(count, "kmer string, a long, c long").groupBy("kmer").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
     out = seen.crossJoin(F.broadcast(totals))  # one row
     return out.select("kmer", "a", (F.col("n1") - F.col("a")).alias("b"), "c", (F.col("n0") - F.col("c")).alias("d"))
 
@@ -86,11 +96,21 @@ def kmer_test(groups: DataFrame, k: int = 4) -> DataFrame:
 
 def kmer_frequency(table: DataFrame, k: int = 3, by: str = "lang", seq: str = "seq") -> DataFrame:
     """Mean share of each k-mer among a sequence's k-mers, absent k-mers counting as 0."""
-    rows = table.select(by, F.monotonically_increasing_id().alias("id"), kmers(F.col(seq), k).alias("ks")).where(F.size("ks") > 0)
     sizes = table.where(F.length(seq) >= k).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    shares = rows.select(by, "id", F.size("ks").alias("m"), F.explode("ks").alias("kmer")).groupBy(by, "id", "m", "kmer").agg(F.count(F.lit(1)).alias("c"))
-    sums = shares.groupBy(by, "kmer").agg(F.sum(F.col("c") / F.col("m")).alias("s"))
-    return sums.join(F.broadcast(sizes), by).select(by, "kmer", (F.col("s") / F.col("n")).alias("frequency"))
+    kind = table.schema[by].dataType.simpleString()
+
+    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for group, own in batch.groupby(by, dropna=False, sort=False):
+                seqs = own[seq].tolist()
+                for first, last in kmer_counts.groups(seqs):
+                    owner, kmer, n, names = kmer_counts.distinct(seqs[first:last], k)
+                    places = np.array([max(1, len(s) - k + 1) for s in seqs[first:last]])
+                    yield pd.DataFrame({by: [group] * len(names), "kmer": names, "s": np.bincount(kmer, n / places[owner], minlength=len(names))})
+
+    shares = table.where(F.length(seq) >= k).select(by, seq).mapInPandas(share, f"{by} {kind}, kmer string, s double")
+    sums = shares.groupBy(by, "kmer").agg(F.sum("s").alias("s"))
+    return sums.join(sizes, by).select(by, "kmer", (F.col("s") / F.col("n")).alias("frequency"))
 
 
 def kmer_background(table: DataFrame, replicates: int, n: int, k: int = 3, seq: str = "seq", key: str = "doc_id", seed: int = 0) -> DataFrame:

@@ -92,6 +92,15 @@ def with_average_rank(table: DataFrame, column: str, name: str, by=()) -> DataFr
     return with_values(table, column, ranked_values(table, column, by).withColumn(name, F.col("_before") + (F.col("_n") + 1) / 2), name, by)
 
 
+def exact_median(table: DataFrame, value: str, by=(), name: str = "median") -> DataFrame:
+    """``by..., name``: the median of each group's values that are not null, from ranks of distinct values instead of a buffer
+    that holds them all."""
+    ranked = ranked_values(table, value, by)
+    at = lambda place: F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), F.col("_v")))
+    lower, upper = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    return ranked.groupBy(*by).agg(((at(lower) + at(upper)) / 2).alias(name))
+
+
 def correlate(table: DataFrame, x: str, y: str, by=()) -> DataFrame:
     """Pearson and Spearman correlation of the complete pairs, and their number."""
     rows = written(table.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), "pairs")

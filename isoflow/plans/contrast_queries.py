@@ -9,6 +9,7 @@ from isoflow.operators import psi as P
 from isoflow.plans import derive
 from isoflow.plans.base import MEANS_CTE, PSI_CTE, ctes, query, rounded
 from isoflow.plans.count_queries import _MAJOR, counts, means, psi_table
+from isoflow.sources.scratch import written
 
 LINEAGES = "SELECT n_nationkey AS condition, n_regionkey AS grp FROM {nation}"
 _LINEAGE = ", g AS (SELECT n_nationkey AS condition, n_regionkey AS grp FROM nation), k AS (SELECT CAST(o.grp AS STRING) AS contrast, CASE WHEN o.grp = g.grp THEN 1 ELSE 2 END AS side, condition FROM g, (SELECT DISTINCT grp FROM g) o)"
@@ -138,7 +139,7 @@ _PAIRS = _MAJOR + """, pairs AS (SELECT m.idx, m.up_off AS mu, m.down_off AS md,
 @query(ctes("counts") + _PAIRS + _LINEAGE.replace(", k AS", ", k AS") + """ SELECT contrast, idx, mu AS major_up, md AS major_down, nu AS minor_up, nd AS minor_down, round(avg(share) FILTER (side = 1), 6) AS share1, round(avg(share) FILTER (side = 2), 6) AS share2
  FROM sh2 JOIN k USING (condition) GROUP BY ALL HAVING abs(avg(share) FILTER (side = 1) - avg(share) FILTER (side = 2)) >= 0.2""")
 def altss_contrast(spark, d):
-    c = counts(spark, d)
+    c = written(counts(spark, d), "counts")
     included = c.where("mode = 'INCLUDED'")
     shares = K.altss_share(included, P.event_pairs(P.major_event_by_share(c), included))
     return rounded(K.altss_contrast(shares, lineage_contrasts(spark, d), 0.2))
