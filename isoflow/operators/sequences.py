@@ -320,6 +320,7 @@ def satmut_delta(satmut: DataFrame, min_total: int = 30) -> DataFrame:
     Replicates are averaged; parents are aggregated first, so that none multiplies rows.
     """
     rows = satmut.where(F.col("included") + F.col("skipped") >= min_total).withColumn("psi", psi_of(F.col("included"), F.col("skipped")))
+    rows = written(rows.select("condition", "idx", "position", "nucleotide", "psi"), "rows")
     parents = rows.where("position = 0").groupBy("condition", "idx").agg(F.avg("psi").alias("parent_psi"))
     means = rows.where("position > 0").groupBy("condition", "idx", "position", "nucleotide").agg(F.avg("psi").alias("psi"))
     return means.join(parents, ["condition", "idx"], "left").withColumn("delta", F.col("psi") - F.col("parent_psi"))
@@ -348,6 +349,7 @@ def effect_means(deltas: DataFrame) -> DataFrame:
 def effect_matrix(deltas: DataFrame, lengths: DataFrame, alphabet: str = "ACGT") -> DataFrame:
     """``condition, idx, position``, the effect of each base and ``effect``, minus a third of their sum, for all
     positions from 1 to the element's ``length`` (``lengths (idx, length)``); 0 where nothing was measured."""
+    deltas = written(deltas.select("condition", "idx", "position", "nucleotide", "delta"), "deltas")
     seen = deltas.select("condition", "idx").distinct().join(lengths, "idx")
     grid = seen.select("condition", "idx", F.explode(F.expr("sequence(1, length)")).alias("position"))
     bases = deltas.groupBy("condition", "idx", "position").agg(*[F.max(F.when(F.col("nucleotide") == b, F.col("delta"))).alias(b) for b in alphabet])

@@ -623,6 +623,19 @@ def test_motif_test_tail_and_smoothing(spark):
                 assert got[lang, p + 1][0] == counts_[p] and got[lang, p + 1][1] == (None if smooth is None else pytest.approx(smooth))
 
 
+def test_tables_go_when_their_block_ends(spark):
+    from isoflow.sources.scratch import temporary, written
+
+    stays = written(spark.range(3).toDF("x"), "stays")
+    with temporary(spark):
+        goes = written(stays.withColumn("y", F.col("x") + 1), "goes")
+        assert goes.count() == 3
+        files = goes.inputFiles()
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files) and stays.count() == 3
+
+
 def test_log_odds(spark):
     r = spark.createDataFrame([(0.2,)], "p double").select(psi.logit(F.col("p")).alias("x"), psi.inverse_logit(psi.logit(F.col("p"))).alias("p"), psi.logit(F.lit(1.0)).alias("n")).first()
     assert r.x == pytest.approx(math.log(0.25)) and r.p == pytest.approx(0.2) and r.n is None
