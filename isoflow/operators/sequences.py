@@ -143,7 +143,7 @@ def motif_profile(table: DataFrame, motif: str, width: int, by: str = "lang", se
     starts = F.flatten(F.transform(cut, found))
     sizes = table.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
     hits = table.select(by, F.explode(starts).alias("position")).groupBy(by, "position").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(F.broadcast(sizes), by).select(by, "position", (F.col("n") / F.col("total")).alias("share"))
+    return hits.join(sizes, by).select(by, "position", (F.col("n") / F.col("total")).alias("share"))
 
 
 def motif_counts_smoothed(table: DataFrame, motif: str, width: int, by: str = "lang", seq: str = "seq", share: float = 0.1) -> DataFrame:
