@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 _ONE, _TOP = np.uint64(1), np.uint64(63)
-CELLS = 1 << 22
-"""Letters of texts that are looked at together."""
+CELLS, ROWS = 1 << 22, 1 << 13
+"""Letters of texts, and texts, that are looked at together."""
 
 
 class Letters:
@@ -122,7 +122,7 @@ def _searcher(k: int):
         at = 0
         while at < len(asked):  # texts of similar length together, as far as they fit
             n = int(np.searchsorted(np.maximum(sizes[at:], 1) * np.arange(1, len(asked) - at + 1), CELLS, side="right"))
-            group = asked[at : at + max(1, n)]
+            group = asked[at : at + min(max(1, n), ROWS)]
             best, start, end = _search(seq.iloc[group].tolist(), probe.iloc[group].tolist(), k)
             for i, *match in zip(group.tolist(), best.tolist(), start.tolist(), end.tolist()):
                 if match[0] <= k:
