@@ -26,7 +26,6 @@ def psi_counts(counts: DataFrame, catalog: DataFrame, min_total: int | None = No
     The grid joins the catalogue with the samples, which are broadcast up to ``FEW_SAMPLES``.  With ``min_total``
     rows below that coverage are left out.
     """
-    counts = written(counts.select("sample", "condition", "idx", "mode", "up_off", "down_off", "cnt"), "counts")
     samples = written(counts.select("sample", "condition").distinct(), "samples")
     skipped = counts.where(F.col("mode") == SKIPPED).groupBy("sample", "idx").agg(F.sum("cnt").alias("skipped"))
     included = counts.where(F.col("mode") == INCLUDED).groupBy("sample", "idx", "up_off", "down_off").agg(F.sum("cnt").alias("included"))

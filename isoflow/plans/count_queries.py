@@ -8,6 +8,7 @@ from isoflow.operators import counts as C
 from isoflow.operators import psi as P
 from isoflow.plans import derive
 from isoflow.plans.base import MEANS_CTE, PSI_CTE, ctes, query, rounded
+from isoflow.sources.scratch import written
 
 RATES = "SELECT s_suppkey AS sample, CAST(s_suppkey % 20 AS DOUBLE) / 100 AS rate FROM {supplier}"
 
@@ -87,9 +88,9 @@ _CATALOG = """, f AS (SELECT *, sum(cnt) OVER (PARTITION BY sample, idx, mode) A
  SELECT idx, up_off, down_off FROM f WHERE mode = 'INCLUDED' AND (up_off <> 0 OR down_off <> 0) AND mt >= 100 GROUP BY ALL HAVING max(cnt) >= 5 AND max(cnt / mt) > 0.05)"""
 
 
-def catalog(spark, d):
+def catalog(spark, d, of=None):
     elements = derive.load(spark, d, "SELECT p_brand AS idx FROM {part}")
-    return C.included_event_catalog(counts(spark, d), elements, min_mode_total=100, min_frac=0.05)
+    return C.included_event_catalog(counts(spark, d) if of is None else of, elements, min_mode_total=100, min_frac=0.05)
 
 
 @query(ctes("counts") + _CATALOG + " SELECT * FROM catalog")
@@ -110,7 +111,8 @@ _GRID = """, grid AS (SELECT sample, condition, c.* FROM catalog c, (SELECT DIST
 
 
 def grid_counts(spark, d):
-    return P.psi_counts(counts(spark, d), catalog(spark, d))
+    c = written(counts(spark, d), "counts")
+    return P.psi_counts(c, catalog(spark, d, c))
 
 
 @query(ctes("counts") + _CATALOG + _GRID + " SELECT * FROM pc")
