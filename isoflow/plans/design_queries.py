@@ -320,7 +320,7 @@ def expression_regression(spark, d):
 
 @query()
 def class_border(spark, d):
-    """Which line items were returned, by the size and the price of the order (tested against numpy)."""
+    """Which line items were returned, by quantity and discount (tested against numpy)."""
     items = derive.load(spark, d, "SELECT CAST(l_returnflag = 'R' AS INT) AS label, CAST(l_quantity AS DOUBLE) / 50 AS quantity, CAST(l_discount AS DOUBLE) * 10 AS discount FROM {lineitem}")
     found = M.class_border(items, ["quantity", "discount"])
     return rounded(found.select("intercept", F.get("weights", F.lit(0)).alias("first"), F.get("weights", F.lit(1)).alias("second"), "slope", "border", "log_likelihood"), 4)
