@@ -115,26 +115,70 @@ def correlation_matrix(means: DataFrame, row: str = "event", column: str = "cond
     return a.join(b, row).where("a <= b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-def replicate_r2(table: DataFrame, event: str = "event", condition: str = "condition", sample: str = "sample", value: str = "psi") -> DataFrame:
-    """Squared correlation of each pair of samples of one condition."""
-    a = table.where(F.col(value).isNotNull()).select(event, condition, F.col(sample).alias("a"), F.col(value).alias("x"))
-    b = a.select(event, condition, F.col("a").alias("b"), F.col("x").alias("y"))
-    return a.join(b, [event, condition]).where("a < b").groupBy(condition, "a", "b").agg(F.pow(F.corr("x", "y"), F.lit(2)).alias("r2"), F.count(F.lit(1)).alias("n"))
-
-
 PAIR_BLOCK = 512
 """Events, and genes, of one block of correlations."""
+PAIR_CELLS = 1 << 22
+"""Values of one block, absent ones included."""
 
 
 def _correlations(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairwise-complete correlations of the rows of two tables with NaN gaps, and the numbers of pairs."""
     has_x, has_y = ~np.isnan(x), ~np.isnan(y)
     center = lambda v, has: np.where(has, v - np.nanmean(np.where(has, v, np.nan), axis=1, keepdims=True), 0.0)
-    x, y, has_x, has_y = center(x, has_x), center(y, has_y), has_x.astype(float), has_y.astype(float)
-    n, sx, sy = has_x @ has_y.T, x @ has_y.T, has_x @ y.T
+    cx, cy, has_x, has_y = center(x, has_x), center(y, has_y), has_x.astype(float), has_y.astype(float)
+    n, sx, sy = has_x @ has_y.T, cx @ has_y.T, has_x @ cy.T
     with np.errstate(all="ignore"):
-        vx, vy = n * (x**2 @ has_y.T) - sx**2, n * (has_x @ (y**2).T) - sy**2
-        return np.where((n > 1) & (vx > 0) & (vy > 0), (n * (x @ y.T) - sx * sy) / np.sqrt(vx * vy), np.nan), n.astype(np.int64)
+        qx, qy = n * (cx**2 @ has_y.T), n * (has_x @ (cy**2).T)
+        vx, vy = qx - sx**2, qy - sy**2
+        r = np.where((n > 1) & (vx > 0) & (vy > 0), (n * (cx @ cy.T) - sx * sy) / np.sqrt(vx * vy), np.nan)
+    for i, j in np.argwhere((n > 1) & ((vx <= 1e-9 * qx) | (vy <= 1e-9 * qy))).tolist():  # next to no variance: not from differences of sums
+        both = ~np.isnan(x[i]) & ~np.isnan(y[j])
+        u, v = x[i, both], y[j, both]
+        r[i, j] = np.nan if np.ptp(u) == 0 or np.ptp(v) == 0 else np.corrcoef(u, v)[0, 1]
+    return r, n.astype(np.int64)
+
+
+def replicate_r2(table: DataFrame, event: str = "event", condition: str = "condition", sample: str = "sample", value: str = "psi", block: int = PAIR_BLOCK) -> DataFrame:
+    """Squared correlation of each pair of samples of one condition, over the events that both have (one row each).
+
+    A sample is one row with its values by event.  Blocks of samples of a condition meet each other once, as matrix
+    products inside a task; only the pairs leave it, so nothing is shuffled for each pair and event.
+    """
+    rows = table.dropna(subset=[event, condition, sample, value]).groupBy(F.col(condition).alias("c"), F.col(sample).alias("s"))
+    rows = rows.agg(F.collect_list(F.struct(F.col(event).cast("string").alias("e"), F.col(value).cast("double").alias("v"))).alias("values"))
+    rows = written(rows.select("c", "s", F.transform("values", lambda e: e["e"]).alias("at"), F.transform("values", lambda e: e["v"]).alias("values")), "samples")
+    events = rows.select(F.explode("at")).distinct().count()
+    block = max(1, min(block, PAIR_CELLS // max(1, events)))
+    sizes = written(rows.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks")
+    tasks = min(20_000, sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1)
+    dealt = rows.join(sizes, "c").withColumn("own", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
+    left = dealt.select("c", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "s", "at", "values")
+    right = dealt.select("c", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), "s", "at", "values")
+    right = right.toDF(*[f"{c}_" for c in right.columns])
+    kinds = dict(rows.dtypes)
+
+    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        two.columns = one.columns
+        if not len(one) or not len(two):
+            return pd.DataFrame({k: [] for k in ("c", "a", "b", "r2", "n")})
+        names = pd.Index(np.concatenate([*one["at"], *two["at"]])).unique()
+
+        def values(rows):
+            out = np.full((len(rows), len(names)), np.nan)
+            out[np.repeat(np.arange(len(rows)), [len(v) for v in rows["values"]]), names.get_indexer(np.concatenate(list(rows["at"])))] = np.concatenate(list(rows["values"]))
+            return out
+
+        r, n = _correlations(values(one), values(two))
+        a, b = one["s"].to_numpy(), two["s"].to_numpy()
+        same = one["i"].iloc[0] == one["j"].iloc[0]  # a block and itself: each pair once
+        at, to = np.nonzero((n > 0) & (a[:, None] < b[None, :]) if same else n > 0)
+        low = a[at] < b[to]
+        return pd.DataFrame({"c": one["c"].iloc[0], "a": np.where(low, a[at], b[to]), "b": np.where(low, b[to], a[at]), "r2": r[at, to] ** 2, "n": n[at, to]})
+
+    keys = ["c", "i", "j"]
+    found = left.repartition(int(tasks), *keys).groupBy(*keys).cogroup(right.repartition(int(tasks), *[f"{k}_" for k in keys]).groupBy(*[f"{k}_" for k in keys]))
+    out = found.applyInPandas(compare, f"c {kinds['c']}, a {kinds['s']}, b {kinds['s']}, r2 double, n long")
+    return out.select(F.col("c").alias(condition), "a", "b", F.nanvl("r2", F.lit(None)).alias("r2"), "n")
 
 
 def gene_event_correlation(means: DataFrame, expression: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
