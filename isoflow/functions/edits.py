@@ -154,57 +154,84 @@ def find_approx(seq, probe, k: int):
     return F.coalesce(whole, F.get(near, F.lit(0)))
 
 
-def distances(patterns: list[str], texts: list[str]) -> np.ndarray:
-    """Levenshtein distance of every pattern to every text, as patterns x texts.
+TILE = 1024, 16
+"""Patterns and texts whose columns are stepped together: they stay in a core's cache."""
+
+
+def _tile(bits: np.ndarray, below: np.ndarray, length: np.ndarray, code: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Distances of some texts (``code``: letters by place, ``ends``: their lengths) to some patterns, as texts x patterns.
 
-    The last entry of a column is the letters of the text so far plus the differences of the column, so
-    nothing is kept up while stepping; all work is done in place.
+    ``bits`` is words x letters x patterns: a step copies rows of it.  The last entry of a column is the letters of
+    the text so far plus the differences of the column, so nothing is kept up while stepping; all work is done in place.
     """
-    alphabet = alphabet_of(patterns)
-    pattern, text = Letters(patterns, alphabet), Letters(texts, alphabet)
-    bits = masks(pattern, len(alphabet))
-    words, shape = bits.shape[2], (len(patterns), len(texts))
-    below = np.zeros((len(patterns), words), dtype=np.uint64)  # the places that the pattern has
-    for w in range(words):
-        held = np.clip(pattern.length - 64 * w, 0, 64)
-        below[:, w] = np.where(held == 64, ~np.uint64(0), (_ONE << np.minimum(held, 63).astype(np.uint64)) - _ONE)
+    words, shape = len(bits), (len(ends), len(length))
     plus, minus = [np.full(shape, ~np.uint64(0)) for _ in range(words)], [np.zeros(shape, dtype=np.uint64) for _ in range(words)]
-    eq, xv, xh, ph = (np.empty(shape, dtype=np.uint64) for _ in range(4))
-    out = np.broadcast_to(pattern.length[:, None], shape).astype(np.int32)  # to empty texts
-    for j in range(text.code.shape[1]):
+    eq, zero, ph = (np.empty(shape, dtype=np.uint64) for _ in range(3))
+    out = np.broadcast_to(length, shape).astype(np.int32)  # to empty texts
+    for j in range(int(ends.max(initial=0))):
         up, down = _ONE, np.uint64(0)
         for w in range(words):
             pv, mv, last = plus[w], minus[w], w + 1 == words
-            np.take(bits[:, :, w], text.code[:, j], axis=1, out=eq)
-            np.bitwise_or(eq, mv, out=xv)
+            np.take(bits[w], code[j], axis=0, out=eq, mode="clip")
             if w:
                 eq |= down
-            np.bitwise_and(eq, pv, out=xh)
-            xh += pv
-            xh ^= pv
-            xh |= eq
-            np.bitwise_or(xh, pv, out=ph)
+            np.bitwise_and(eq, pv, out=zero)
+            zero += pv
+            zero ^= pv
+            zero |= eq
+            zero |= mv  # no difference on the diagonal
+            np.bitwise_or(zero, pv, out=ph)
             np.invert(ph, out=ph)
             ph |= mv
-            pv &= xh  # the falls
+            pv &= zero  # the falls
             after = None if last else (ph >> _TOP, pv >> _TOP)
-            ph <<= _ONE
+            ph += ph
             ph |= up
-            pv <<= _ONE
+            pv += pv
             if w:
                 pv |= down
-            np.bitwise_and(ph, xv, out=mv)
-            xv |= ph
-            np.invert(xv, out=xv)
-            pv |= xv
+            np.bitwise_and(ph, zero, out=mv)
+            ph |= zero
+            np.invert(ph, out=ph)
+            pv |= ph
             if after:
                 up, down = after
-        ends = np.flatnonzero(text.length == j + 1)
-        if len(ends):
-            total = np.full((len(patterns), len(ends)), j + 1, dtype=np.int32)
+        done = np.flatnonzero(ends == j + 1)
+        if len(done):
+            total = np.full((len(done), shape[1]), j + 1, dtype=np.int32)
             for w in range(words):
-                own = below[:, w : w + 1]
-                total += np.bitwise_count(plus[w][:, ends] & own)
-                total -= np.bitwise_count(minus[w][:, ends] & own)
-            out[:, ends] = total
+                total += np.bitwise_count(plus[w][done] & below[w])
+                total -= np.bitwise_count(minus[w][done] & below[w])
+            out[done] = total
+    return out
+
+
+def _tiles(patterns: list[str], texts: list[str]) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Tiles of patterns and texts with their distances, as texts x patterns."""
+    alphabet = alphabet_of(patterns)
+    pattern, text = Letters(patterns, alphabet), Letters(texts, alphabet)
+    bits = masks(pattern, len(alphabet)).transpose(2, 1, 0)
+    held = np.clip(pattern.length - 64 * np.arange(len(bits))[:, None], 0, 64)  # the places that the pattern has
+    below = np.where(held == 64, ~np.uint64(0), (_ONE << np.minimum(held, 63).astype(np.uint64)) - _ONE)
+    for a in range(0, len(patterns), TILE[0]):
+        ours = slice(a, a + TILE[0])
+        own, low = np.ascontiguousarray(bits[:, :, ours]), np.ascontiguousarray(below[:, ours])
+        for b in range(0, len(texts), TILE[1]):
+            theirs = slice(b, b + TILE[1])
+            yield ours, theirs, _tile(own, low, pattern.length[ours], np.ascontiguousarray(text.code[theirs].T), text.length[theirs])
+
+
+def distances(patterns: list[str], texts: list[str]) -> np.ndarray:
+    """Levenshtein distance of every pattern to every text, as patterns x texts."""
+    out = np.zeros((len(patterns), len(texts)), dtype=np.int32)
+    for ours, theirs, part in _tiles(patterns, texts):
+        out[ours, theirs] = part.T
+    return out
+
+
+def nearest(patterns: list[str], texts: list[str]) -> np.ndarray:
+    """Levenshtein distance of every pattern to the nearest of the texts; both should be sorted by length."""
+    out = np.full(len(patterns), np.iinfo(np.int32).max, dtype=np.int32)
+    for ours, _, part in _tiles(patterns, texts):
+        out[ours] = np.minimum(out[ours], part.min(axis=0))
     return out

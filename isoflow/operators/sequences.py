@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoflow.functions import kmer_counts
-from isoflow.functions.edits import distances
+from isoflow.functions.edits import nearest as nearest_of
 from isoflow.functions.sequences import BLOCK, blocks, kmers, motif_count, motif_regex
 from isoflow.operators.psi import psi_of
 from isoflow.sources.scratch import written
@@ -231,13 +231,14 @@ def base_composition(table: DataFrame, seq: str = "seq", by: str = "lang", alpha
 def min_edit_distance(designs: DataFrame, library: DataFrame, most: int = 3) -> DataFrame:
     """``designs`` with the smallest Levenshtein distance of ``seq`` to any of the library.
 
-    Near sequences come first: what lies within ``most`` edits is found by joins on shared segments.  Only
-    the sequences left over, which are farther than that, are compared with the library in blocks.  A
-    null sequence has no distance, nor has any if the library is empty; equal sequences are compared once.
+    Near sequences come first: what lies within ``most`` edits is found by joins on shared segments, or of a library
+    of up to ``FEW_REFS`` only what equals a sequence of it.  The sequences left over are compared with the library
+    in blocks.  A null sequence has no distance, nor has any if the library is empty; equal sequences are compared once.
     """
     asked = written(designs.select("seq").where("seq is not null").distinct(), "asked")
     refs = written(library.select(F.col("seq").alias("ref")).where("ref is not null").distinct(), "library")
-    near = written(_within(asked, refs, most), "near")
+    same = asked.join(refs, asked["seq"] == refs["ref"], "left_semi").withColumn("distance", F.lit(0))
+    near = same if refs.count() <= FEW_REFS else written(_within(asked, refs, most), "near")
     far = _in_blocks(asked.join(near, "seq", "left_anti"), refs)
     best = near.unionByName(far).withColumnRenamed("seq", "_seq")
     return designs.join(best, F.col("seq") == F.col("_seq"), "left").drop("_seq")
@@ -275,8 +276,8 @@ def _within(asked: DataFrame, refs: DataFrame, most: int) -> DataFrame:
 
 BLOCK_SEQUENCES, BLOCK_LETTERS = 2048, 1 << 18
 """A block of sequences has about so many, or fewer if they are long."""
-TILE = 32, 1024
-"""Designs and library sequences whose columns are stepped together: they stay in a core's cache."""
+FEW_REFS = 4096
+"""Library sequences up to which comparing all costs less than looking for the near ones by segments first."""
 MOST_TASKS = 20_000
 
 
@@ -303,13 +304,8 @@ def _in_blocks(asked: DataFrame, refs: DataFrame) -> DataFrame:
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for seqs, refs in zip(batch["seq"], batch["ref"]):
-                seqs, refs = sorted(seqs, key=len), sorted(refs, key=len)  # columns of a tile end together
-                best = np.full(len(seqs), np.iinfo(np.int32).max, dtype=np.int32)
-                for a in range(0, len(seqs), TILE[0]):
-                    for b in range(0, len(refs), TILE[1]):
-                        part = distances(seqs[a : a + TILE[0]], refs[b : b + TILE[1]]).min(axis=1)
-                        best[a : a + TILE[0]] = np.minimum(best[a : a + TILE[0]], part)
-                yield pd.DataFrame({"seq": seqs, "distance": best})
+                seqs, refs = sorted(seqs, key=len), sorted(refs, key=len)  # those of a tile end together
+                yield pd.DataFrame({"seq": seqs, "distance": nearest_of(seqs, refs)})
 
     return spread.select("seq", "ref").mapInPandas(nearest, "seq string, distance int").groupBy("seq").agg(F.min("distance").alias("distance"))
 

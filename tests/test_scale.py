@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from isoflow.operators import stats
+from isoflow.functions import edits
+from isoflow.operators import sequences, stats
 
 
 def test_replicate_r2_in_blocks_equals_numpy(spark):
@@ -27,3 +28,19 @@ def test_replicate_r2_in_blocks_equals_numpy(spark):
         assert "FlatMapCoGroups" in out._jdf.queryExecution().optimizedPlan().toString()  # no row for each pair and event
         got = {(r.condition, r.a, r.b): (r.r2, r.n) for r in out.collect()}
         assert got == want and any(r is None for r, _ in want.values())
+
+
+@pytest.mark.parametrize("few", [0, 4096])
+def test_nearest_distances_with_and_without_segments(spark, monkeypatch, few):
+    monkeypatch.setattr(sequences, "FEW_REFS", few)
+    rng = random.Random(5)
+    word = lambda low, high: "".join(rng.choices("ACGT", k=rng.randint(low, high)))
+    refs, asked = [word(0, 140) for _ in range(40)], [word(0, 140) for _ in range(60)]
+    asked += refs[:5] + [r[1:] for r in refs[5:9]]
+    want = edits.distances(asked, refs).min(axis=1).tolist()
+    assert edits.nearest(sorted(asked, key=len), sorted(refs, key=len)).tolist() == [dict(zip(asked, want))[s] for s in sorted(asked, key=len)]
+    calls = []
+    monkeypatch.setattr(sequences, "_within", lambda *a, _f=sequences._within: calls.append(1) or _f(*a))
+    frame = lambda x: spark.createDataFrame([(s,) for s in x], "seq string")
+    got = {r.seq: r.distance for r in sequences.min_edit_distance(frame(asked), frame(refs)).collect()}
+    assert got == dict(zip(asked, want)) and bool(calls) == (few == 0)  # no offers of segments for a small library
