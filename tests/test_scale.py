@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from isoflow.functions import edits
-from isoflow.operators import sequences, stats
+from isoflow.operators import reads, sequences, stats
 
 
 def test_replicate_r2_in_blocks_equals_numpy(spark):
@@ -44,3 +44,19 @@ def test_nearest_distances_with_and_without_segments(spark, monkeypatch, few):
     frame = lambda x: spark.createDataFrame([(s,) for s in x], "seq string")
     got = {r.seq: r.distance for r in sequences.min_edit_distance(frame(asked), frame(refs)).collect()}
     assert got == dict(zip(asked, want)) and bool(calls) == (few == 0)  # no offers of segments for a small library
+
+
+def test_exons_offer_only_what_is_sought(spark):
+    rng = random.Random(6)
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    long = [dna(rng.randint(300, 600)) for _ in range(60)]
+    inner = [e[a : a + n] for n in (9, 20, 31, 32, 33, 63, 64, 100, 255, 256, 299) for e, a in [(rng.choice(long), rng.randint(0, 1))]]
+    exons = dict(enumerate(long + inner + [dna(40), long[3], long[3]]))
+    library = spark.createDataFrame(list(exons.items()), "idx long, exon string")
+    want = {(a, b) for a, x in exons.items() for b, y in exons.items() if a != b and x in y and (len(y) > len(x) or b < a)}
+    rows = [tuple(r) for r in reads.contained_exons(library).collect()]
+    assert set(rows) == want and len(rows) == len(want) > len(inner)
+    sought = reads._sought(spark.createDataFrame(list(enumerate(inner)), "alt long, a string"))
+    levels = sorted({reads._level(len(e))[0] for e in inner})
+    offered = reads._offered(spark.createDataFrame(list(enumerate(long)), "ref long, b string"), levels, reads._table(sought))
+    assert offered.count() < 40  # all substrings of 1, 2, 4, ... letters before: over 100,000
