@@ -60,3 +60,17 @@ def test_exons_offer_only_what_is_sought(spark):
     levels = sorted({reads._level(len(e))[0] for e in inner})
     offered = reads._offered(spark.createDataFrame(list(enumerate(long)), "ref long, b string"), levels, reads._table(sought))
     assert offered.count() < 40  # all substrings of 1, 2, 4, ... letters before: over 100,000
+
+
+def test_reads_meet_few_elements_however_frequent_their_seeds(spark, monkeypatch):
+    rng = random.Random(8)
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    common = dna(50)
+    library = {f"e{i:03d}": dna(20) + common + dna(50) for i in range(200)}
+    queries = [(f"r{i:03d}", e, x[10:100]) for i, (e, x) in enumerate(library.items())] + [("only", "e000", common), ("again", "e001", common)]
+    met = []
+    monkeypatch.setattr(reads, "_meeting", lambda *a, _f=reads._meeting: met.append(_f(*a)) or met[-1])
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    got = {r.read_id: r.mapped for r in reads.best_hits(frame(queries, ("read_id", "idx", "seq")), frame(list(library.items()), ("idx", "exon"))).collect()}
+    assert got == {r: e for r, e, _ in queries[:-2]} | {"only": "e000", "again": "e000"}
+    assert sum(m.count() for m in met) < 3 * len(library)  # about 200 x 200 before
