@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-LETTERS = 1 << 22
+LETTERS = 1 << 18
 """Letters that are looked at together; a longer sequence is a group of its own."""
 
 
@@ -39,7 +39,13 @@ def distinct(sequences: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.n
         code = code * base + letters[j : j + room]
     owner = np.repeat(np.arange(len(sizes)), sizes)[:room]
     inside = np.arange(room) + k <= np.cumsum(sizes)[owner] if room else np.empty(0, bool)
-    key, n = np.unique(owner[inside] * base**k + code[inside], return_counts=True)
+    key = owner[inside] * base**k + code[inside]
+    if base**k * len(sequences) <= 4 * room + (1 << 16):  # few enough to count in place
+        n = np.bincount(key, minlength=1)
+        key = np.flatnonzero(n)
+        n = n[key]
+    else:
+        key, n = np.unique(key, return_counts=True)
     owner, code = key // base**k, key % base**k
     codes, kmer = np.unique(code, return_inverse=True)
     digits = [alphabet[np.minimum(codes // base ** (k - 1 - j) % base, len(alphabet) - 1)] for j in range(k)] if len(codes) else []

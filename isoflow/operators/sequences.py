@@ -17,6 +17,28 @@ from isoflow.operators.psi import psi_of
 from isoflow.sources.scratch import written
 
 
+def kmer_totals(table: DataFrame, k: int = 4, key: str = "doc_id", seq: str = "seq") -> DataFrame:
+    """``kmer, n, n_docs``: how often each k-mer occurs, and in how many keys.
+
+    Sequences of a key that occurs once are counted within tasks, and only sums leave them; a key of several rows
+    is brought together first.  A null key is none.
+    """
+    rows = table.where(F.length(seq) >= k).select(F.col(key).alias("key"), F.col(seq).alias("seq"))
+    several = written(table.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("rows")).where("key is not null and rows > 1").select("key"), "several")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seqs, own = batch["seq"].tolist(), batch["key"].notna().to_numpy()
+            for first, last in kmer_counts.groups(seqs):
+                owner, kmer, n, names = kmer_counts.distinct(seqs[first:last], k)
+                if names:
+                    yield pd.DataFrame({"kmer": names, "n": np.bincount(kmer, n, minlength=len(names)).astype(np.int64), "n_docs": np.bincount(kmer, own[first:last][owner], minlength=len(names)).astype(np.int64)})
+
+    once = rows.join(several, "key", "left_anti").select("key", "seq").mapInPandas(count, "kmer string, n long, n_docs long")
+    more = rows.join(several, "key", "left_semi").select("key", F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_docs"))
+    return once.unionByName(more).groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+
+
 def kmer_enrichment(groups: DataFrame, k: int = 4, group: str = "grp", seq: str = "seq") -> DataFrame:
     """Sequences with and without each k-mer in the group (``grp`` true) and outside: ``kmer, a, b, c, d``."""
     rows = groups.select(F.col(group).cast("boolean").alias("g"), F.col(seq).alias("seq"))

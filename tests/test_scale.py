@@ -74,3 +74,16 @@ def test_reads_meet_few_elements_however_frequent_their_seeds(spark, monkeypatch
     got = {r.read_id: r.mapped for r in reads.best_hits(frame(queries, ("read_id", "idx", "seq")), frame(list(library.items()), ("idx", "exon"))).collect()}
     assert got == {r: e for r, e, _ in queries[:-2]} | {"only": "e000", "again": "e000"}
     assert sum(m.count() for m in met) < 3 * len(library)  # about 200 x 200 before
+
+
+def test_kmer_totals_count_keys_once_and_in_tasks(spark):
+    rows = [(1, "ACGTACGT"), (2, "ACGTT"), (2, "ACGTA"), (None, "ACGTA"), (3, ""), (4, None), (5, "ACG")]
+    out = sequences.kmer_totals(spark.createDataFrame(rows, "doc_id long, seq string"), 4)
+    want = {}
+    for key, s in rows:
+        for i in range(len(s or "") - 3):
+            n, docs = want.setdefault(s[i : i + 4], [0, set()])
+            want[s[i : i + 4]][0] += 1
+            docs |= {key} - {None}
+    assert {r.kmer: (r.n, r.n_docs) for r in out.collect()} == {x: (n, len(docs)) for x, (n, docs) in want.items()}
+    assert "MapInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
