@@ -87,3 +87,17 @@ def test_kmer_totals_count_keys_once_and_in_tasks(spark):
             docs |= {key} - {None}
     assert {r.kmer: (r.n, r.n_docs) for r in out.collect()} == {x: (n, len(docs)) for x, (n, docs) in want.items()}
     assert "MapInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kmer_counting_holds_little_at_once():
+    import tracemalloc
+
+    from isoflow.functions import kmer_counts
+
+    seqs = ["ACGTTGCA" * 250] * 2000  # 4 million letters, of a batch of texts
+    tracemalloc.start()
+    for first, last in kmer_counts.groups(seqs):
+        kmer_counts.distinct(seqs[first:last], 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
