@@ -36,14 +36,12 @@ def blocks(seq, width: int):
 
 
 def windows(seq, size: int):
-    """Consecutive pieces ``(window, seq)`` of ``size`` bases that cover the sequence, numbered from 0; the last may be shorter."""
+    """Consecutive pieces ``(window, seq)`` of ``size`` bases that cover the sequence, numbered from 0; the last may be shorter.
 
-    def parts(s):
-        n = F.ceil(F.length(s) / size).cast("int")
-        piece = lambda i: F.struct(i.alias("window"), F.substr(s, i * size + 1, F.lit(size)).alias("seq"))
-        return F.when(n >= 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), piece))
-
-    return F.element_at(F.transform(F.array(seq), parts), 1)
+    One pass of a pattern cuts them; substr would count from the start of the sequence for each.
+    """
+    parts = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.transform(parts, lambda s, i: F.struct(i.alias("window"), s.alias("seq")))
 
 
 def kmers(seq, k: int):

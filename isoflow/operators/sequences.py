@@ -220,9 +220,18 @@ def motif_ttest(table: DataFrame, motifs, value: str, seq: str = "seq") -> DataF
     return a.select("motif", "mean1", "mean0", "n1", "n0", t.alias("t"), df.alias("df"))
 
 
+FEW_PARENTS = 100_000
+"""Parents up to which they are broadcast to their designs."""
+
+
 def substitutions(designs: DataFrame, parents: DataFrame, key: str = "parent") -> DataFrame:
-    """Positions (from 1) at which a design differs from its parent of the same length."""
-    both = designs.join(parents.select(key, F.col("seq").alias("parent_seq")), key).where(F.length("seq") == F.length("parent_seq"))
+    """Positions (from 1) at which a design differs from its parent of the same length.
+
+    Few parents go to their designs, which stay where they are: a parent may have any share of them.
+    """
+    parents = written(parents.select(key, F.col("seq").alias("parent_seq")), "parents")
+    parents = F.broadcast(parents) if parents.count() <= FEW_PARENTS else parents
+    both = designs.join(parents, key).where(F.length("seq") == F.length("parent_seq"))
     bases = F.arrays_zip(F.split("parent_seq", "").alias("from_base"), F.split("seq", "").alias("to_base"))
     kept = [c for c in designs.columns if c != "seq"]
     rows = both.select(*kept, F.posexplode(bases).alias("place", "b")).where("b.from_base <> b.to_base")

@@ -14,6 +14,7 @@ from isoflow.operators import stats as T
 from isoflow.plans import derive
 from isoflow.plans.base import MEANS_CTE, ctes, pieces_cte, query, rounded
 from isoflow.plans.count_queries import counts, means
+from isoflow.sources.scratch import written
 
 
 def seqs(spark, d):
@@ -122,10 +123,11 @@ _SUBS = pieces_cte(200) + """, par AS (SELECT lang AS parent, arg_min(seq, (-len
  FROM pieces JOIN par ON lang = parent, range(1, 201) t(i) WHERE i <= len(seq) AND substr(pseq, i, 1) <> substr(seq, i, 1))"""
 
 
-def subs(spark, d):
+def subs(spark, d, each=None):
     """Every window against the first of its language's longest windows, as far as the window goes."""
-    each = pieces(spark, d, 200).select("doc_id", "window", F.col("lang").alias("parent"), "seq", F.struct("lang", F.length("seq").alias("n")).alias("key"))
-    first = each.groupBy("key.lang").agg(F.min_by("seq", F.struct(-F.length("seq"), "doc_id", "window")).alias("seq"))
+    each = written(pieces(spark, d, 200), "windows") if each is None else each
+    each = each.select("doc_id", "window", F.col("lang").alias("parent"), "seq", F.struct("lang", F.length("seq").alias("n")).alias("key"))
+    first = each.where("window = 0 and parent is not null").groupBy("key.lang").agg(F.min_by("seq", F.struct(-F.length("seq"), "doc_id")).alias("seq"))  # no window of a text is longer than its first
     cut = first.select("lang", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("n"), "seq")
     parents = cut.select(F.struct("lang", "n").alias("key"), F.substr("seq", F.lit(1), F.col("n")).alias("seq"))
     return S.substitutions(each, parents, "key").drop("key")
@@ -138,7 +140,8 @@ def substitutions(spark, d):
 
 @query(ctes("sequences") + _SUBS + " SELECT CAST(position AS INT) AS position, to_base, round(count(*) / (SELECT count(*) FROM pieces)::DOUBLE, 6) AS share FROM sub GROUP BY position, to_base")
 def substitution_profile(spark, d):
-    return rounded(S.substitution_profile(subs(spark, d), pieces(spark, d, 200).count()))
+    each = written(pieces(spark, d, 200), "windows")
+    return rounded(S.substitution_profile(subs(spark, d, each), each.count()))
 
 
 @query(ctes("sequences") + """, b AS (SELECT i AS position, substr(seq, i, 1) AS base, count(*) AS n FROM sequences, range(1, 24) t(i) WHERE len(seq) >= 23 GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY position) AS share FROM b)

@@ -101,3 +101,27 @@ def test_kmer_counting_holds_little_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40_000_000
+
+
+def test_windows_are_written_once_and_stay_where_they_are(spark, tmp_path):
+    from isoflow.functions.sequences import windows
+    from isoflow.plans import registry
+
+    docs = [(1, "abcd" * 120, "en"), (2, "abcc" * 60, "en"), (3, "bbbb", "en"), (4, "dcba" * 55, None), (5, None, "en"), (6, "", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").selectExpr("*", "'web' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = registry.queries()["substitutions"](spark, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = [tuple(r) for r in out.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # half of all windows met one parent in one task
+    assert not any("documents.parquet" in f for f in out.inputFiles())  # texts were cleaned and cut twice
+    first = "ACGT" * 50
+    texts = {i: s.upper().translate(str.maketrans("ABCD", "ACGT")) for i, s, g in docs if s and g}
+    want = [(i, w, "en", k + 1, first[k], b) for i, s in texts.items() for w in range(-(-len(s) // 200)) for k, b in enumerate(s[200 * w : 200 * w + 200]) if b != first[k]]
+    assert sorted(rows) == sorted(want)
+    odd = spark.createDataFrame([("a\n\U0001f600bc\r",), ("",), (None,)], "s string")
+    assert [r.w for r in odd.select(windows(odd.s, 2).alias("w")).collect()] == [[(0, "a\n"), (1, "\U0001f600b"), (2, "c\r")], [], None]
