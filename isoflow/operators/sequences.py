@@ -17,12 +17,22 @@ from isoflow.operators.psi import psi_of
 from isoflow.sources.scratch import written
 
 
+BATCH_BYTES = 4 << 20
+"""Bytes of a batch of whole texts that a Python worker holds; a longer text is a batch of its own."""
+
+
+def _small_batches(table: DataFrame) -> None:
+    """Session setting: texts go to Python in batches of bounded bytes, since 10,000 rows may be any size and a worker holds them several times over."""
+    table.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def kmer_totals(table: DataFrame, k: int = 4, key: str = "doc_id", seq: str = "seq") -> DataFrame:
     """``kmer, n, n_docs``: how often each k-mer occurs, and in how many keys.
 
     Sequences of a key that occurs once are counted within tasks, and only sums leave them; a key of several rows
     is brought together first.  A null key is none.
     """
+    _small_batches(table)
     rows = table.where(F.length(seq) >= k).select(F.col(key).alias("key"), F.col(seq).alias("seq"))
     several = written(table.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("rows")).where("key is not null and rows > 1").select("key"), "several")
 
@@ -41,6 +51,7 @@ def kmer_totals(table: DataFrame, k: int = 4, key: str = "doc_id", seq: str = "s
 
 def kmer_enrichment(groups: DataFrame, k: int = 4, group: str = "grp", seq: str = "seq") -> DataFrame:
     """Sequences with and without each k-mer in the group (``grp`` true) and outside: ``kmer, a, b, c, d``."""
+    _small_batches(groups)
     rows = groups.select(F.col(group).cast("boolean").alias("g"), F.col(seq).alias("seq"))
     totals = rows.agg(F.count_if("g").alias("n1"), F.count_if(~F.col("g")).alias("n0"))
 
@@ -118,6 +129,7 @@ def kmer_test(groups: DataFrame, k: int = 4) -> DataFrame:
 
 def kmer_frequency(table: DataFrame, k: int = 3, by: str = "lang", seq: str = "seq") -> DataFrame:
     """Mean share of each k-mer among a sequence's k-mers, absent k-mers counting as 0."""
+    _small_batches(table)
     sizes = table.where(F.length(seq) >= k).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
     kind = table.schema[by].dataType.simpleString()
 

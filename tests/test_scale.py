@@ -125,3 +125,13 @@ def test_windows_are_written_once_and_stay_where_they_are(spark, tmp_path):
     assert sorted(rows) == sorted(want)
     odd = spark.createDataFrame([("a\n\U0001f600bc\r",), ("",), (None,)], "s string")
     assert [r.w for r in odd.select(windows(odd.s, 2).alias("w")).collect()] == [[(0, "a\n"), (1, "\U0001f600b"), (2, "c\r")], [], None]
+
+
+def test_kmer_queries_hand_python_few_bytes_at_once(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "BATCH_BYTES", 1 << 16)
+    rows = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "id % 2 = 0 AS grp", "'en' AS lang", "repeat('ACGTTGCA', 250) AS seq")
+    got = sequences.kmer_enrichment(rows, 4).collect()
+    assert len(got) == 8 and all((r.a, r.b, r.c, r.d) == (1500, 0, 1500, 0) for r in got)
+    sizes = rows.select("seq").mapInPandas(lambda batches: (b.agg(lambda s: s.str.len().sum()).to_frame("n") for b in batches), "n long")
+    n = [r.n for r in sizes.collect()]
+    assert sum(n) == 6_000_000 and max(n) < 100_000  # one batch of 6 million letters before
