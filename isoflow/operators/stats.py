@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,26 @@ FEW = 100_000
 """Rows of a group, or distinct values of a table, up to which they are ranked in one window."""
 
 
+TASK_ROWS = 500_000
+"""Rows that one task should have to sort; larger tables are dealt over more tasks than the session asks for."""
+
+
+def _tasks(table: DataFrame, rows: int) -> int:
+    """Partitions for a shuffle of so many rows: what the session asks for, more for a large table."""
+    return max(math.ceil(rows / TASK_ROWS), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+@contextmanager
+def _shuffled_over(spark, tasks: int) -> Iterator[None]:
+    """Tables written inside the block are shuffled over so many partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def ranked_values(table: DataFrame, value: str, by=()) -> DataFrame:
     """``by..., _v, _n, _before, _total, _b``: every distinct value, its rows, the rows of its group below it and all of its group.
 
@@ -67,24 +88,30 @@ def bh_adjust(table: DataFrame, p: str = "p", by=(), name: str = "fdr") -> DataF
     """Benjamini-Hochberg: p n / rank, made monotone from the largest p down, 1 at most; nulls stay null.
 
     Tables with a ``by`` list are adjusted within each of its groups.  The table is evaluated once.  Groups of up
-    to ``FEW`` rows are adjusted by windows over their rows, larger ones over buckets of their values.
+    to ``FEW`` rows are adjusted by windows over their rows, larger ones over buckets of their values; either way a
+    task sorts about ``TASK_ROWS`` rows.
     """
     table = written(table, "tested")
-    largest = table.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= FEW:
+    size = table.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
+    rows = size["rows"] or 0
+    tasks = _tasks(table, rows)
+    if (size["largest"] or 0) <= FEW:
+        spread = table.repartition(tasks, *by) if by and rows > TASK_ROWS else table
         group = Window.partitionBy(*by)
         below = F.count(p).over(group.orderBy(F.col(p).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        raw = table.withColumn("_raw", F.col(p) * F.count(p).over(group) / below)
+        raw = spread.withColumn("_raw", F.col(p) * F.count(p).over(group) / below)
         fdr = F.least(F.lit(1.0), F.min("_raw").over(group.orderBy(F.col(p).desc_nulls_last())))
         return raw.withColumn(name, F.when(F.col(p).isNotNull(), fdr)).drop("_raw")
-    ranked = ranked_values(table, p, by)
-    raw = written(ranked.withColumn("_raw", F.col("_v") * F.col("_total") / (F.col("_before") + F.col("_n"))), "ranked")
-    lows = raw.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb")).agg(F.min("_raw").alias("_low"))
-    later = Window.partitionBy(*[f"_k{i}" for i in range(len(by))]).orderBy(F.col("_kb").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    lows = lows.withColumn("_later", F.min("_low").over(later)).drop("_low")  # one row per group and bucket
-    upward = Window.partitionBy(*by, "_b").orderBy(F.col("_v").desc())
-    fdr = F.least(F.lit(1.0), F.min("_raw").over(upward), F.col("_later"))
-    return with_values(table, p, raw.join(lows, _same(by)).withColumn(name, fdr), name, by)
+    with _shuffled_over(table.sparkSession, tasks):
+        ranked = ranked_values(table, p, by)
+        raw = written(ranked.withColumn("_raw", F.col("_v") * F.col("_total") / (F.col("_before") + F.col("_n"))), "ranked")
+        lows = raw.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb")).agg(F.min("_raw").alias("_low"))
+        later = Window.partitionBy(*[f"_k{i}" for i in range(len(by))]).orderBy(F.col("_kb").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        lows = lows.withColumn("_later", F.min("_low").over(later)).drop("_low")  # one row per group and bucket
+        upward = Window.partitionBy(*by, "_b").orderBy(F.col("_v").desc())
+        fdr = F.least(F.lit(1.0), F.min("_raw").over(upward), F.col("_later"))
+        adjusted = with_values(table, p, raw.join(lows, _same(by)).withColumn(name, fdr), name, by)
+        return written(adjusted, "adjusted") if rows > TASK_ROWS else adjusted
 
 
 def with_average_rank(table: DataFrame, column: str, name: str, by=()) -> DataFrame:

@@ -135,3 +135,18 @@ def test_kmer_queries_hand_python_few_bytes_at_once(spark, monkeypatch):
     sizes = rows.select("seq").mapInPandas(lambda batches: (b.agg(lambda s: s.str.len().sum()).to_frame("n") for b in batches), "n long")
     n = [r.n for r in sizes.collect()]
     assert sum(n) == 6_000_000 and max(n) < 100_000  # one batch of 6 million letters before
+
+
+def test_tasks_of_false_discovery_do_not_grow(spark, monkeypatch):
+    table = spark.range(4000).selectExpr("id", "id % 50 AS g", "(id * 37 % 101) / 101D AS p")
+    ordered = lambda df: {r.id: r.fdr for r in df.collect()}
+    want = ordered(stats.bh_adjust(table, by=("g",)))
+    monkeypatch.setattr(stats, "TASK_ROWS", 200)
+    got = stats.bh_adjust(table, by=("g",))
+    assert ordered(got) == want and got.rdd.getNumPartitions() == 20  # as many as the session's shuffles before, whatever the size
+    monkeypatch.setattr(stats, "FEW", 10)
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    monkeypatch.setattr(stats, "written", lambda df, name, _w=stats.written: seen.append((name, spark.conf.get("spark.sql.shuffle.partitions"))) or _w(df, name))
+    assert ordered(stats.bh_adjust(table, by=("g",))) == pytest.approx(want)
+    assert {n for name, n in seen if name != "tested"} == {"20"} and seen[-1][0] == "adjusted" and spark.conf.get("spark.sql.shuffle.partitions") == asked
