@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from isoflow.functions import kmer_counts
 from isoflow.functions.edits import nearest as nearest_of
-from isoflow.functions.sequences import BLOCK, blocks, kmers, motif_count, motif_regex
+from isoflow.functions.sequences import IUPAC, kmers, motif_count
 from isoflow.operators.psi import psi_of
 from isoflow.sources.scratch import written
 
@@ -169,15 +170,57 @@ def motif_hits(table: DataFrame, motifs, seq: str = "seq") -> DataFrame:
     return table.withColumn("_hit", hits).select(*table.columns, "_hit.motif", "_hit.n", (F.col("_hit.n") > 0).alias("present"))
 
 
+def _motif_starts(table: DataFrame, motif: str, by: str, seq: str) -> DataFrame:
+    """``by, position, n``: how often the motif starts at each position (from 1) of the sequences of a group.
+
+    Besides, one row at position 0 with their number and one at -1 with the longest length, if any is known.  Sums over
+    a task leave it, not the places of each sequence; the rows are written, so that sequences are evaluated once.
+    """
+    _small_batches(table)
+    letters = [[ord(c) for c in IUPAC[m].strip("[]")] for m in re.sub("U", "T", motif.upper())]
+    width = len(letters)
+    kind = table.schema[by].dataType.simpleString()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, totals, longest = {}, {}, {}
+        for batch in batches:
+            for group, own in batch.groupby("_by", dropna=False, sort=False):
+                group = None if pd.isna(group) else group
+                seqs = own["seq"].dropna().tolist()
+                totals[group] = totals.get(group, 0) + len(own)
+                for first, last in kmer_counts.groups(seqs):
+                    flat = np.frombuffer("".join(seqs[first:last]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+                    sizes = np.array([len(s) for s in seqs[first:last]], dtype=np.int64)
+                    longest[group] = max(longest.get(group, 0), int(sizes.max()))
+                    room = max(0, len(flat) - width + 1)
+                    found = np.ones(room, dtype=bool)
+                    for j, allowed in enumerate(letters):
+                        found &= np.isin(flat[j : j + room], allowed)
+                    at = np.flatnonzero(found)
+                    ends = np.cumsum(sizes)
+                    owner = np.searchsorted(ends, at, side="right")
+                    at, owner = at[at + width <= ends[owner]], owner[at + width <= ends[owner]]
+                    n = np.bincount(at - ends[owner] + sizes[owner])
+                    before = sums.get(group, np.zeros(0, dtype=np.int64))
+                    more, less = (n, before) if len(n) > len(before) else (before, n)
+                    sums[group] = more.astype(np.int64)
+                    sums[group][: len(less)] += less
+        for group, n in totals.items():
+            starts = sums.get(group, np.zeros(0, dtype=np.int64))
+            at = np.flatnonzero(starts)
+            known = [longest[group]] if group in longest else []
+            yield pd.DataFrame({"_by": pd.Series([group] * (len(at) + 1 + len(known)), dtype=object), "position": np.concatenate([at + 1, [0], [-1] * len(known)]).astype(np.int32), "n": np.concatenate([starts[at], [n], known]).astype(np.int64)})
+
+    parts = table.select(F.col(by).alias("_by"), F.col(seq).alias("seq")).mapInPandas(count, f"_by {kind}, position int, n long")
+    total = F.when(F.col("position") < 0, F.max("n")).otherwise(F.sum("n"))
+    return written(parts.groupBy("_by", "position").agg(total.alias("n")).withColumnRenamed("_by", by), "starts")
+
+
 def motif_profile(table: DataFrame, motif: str, width: int, by: str = "lang", seq: str = "seq") -> DataFrame:
-    """Share of a group's sequences in which the motif starts at each position."""
-    places = lambda s: F.sequence(F.lit(1), F.greatest(F.length(s) - width + 1, F.lit(1)))
-    found = lambda s, b: F.transform(F.filter(places(s), lambda i: F.substr(s, i, F.lit(width)).rlike(f"^{motif_regex(motif)}$")), lambda i: i + b * BLOCK)
-    cut = F.flatten(F.transform(F.array(F.col(seq)), lambda s: blocks(s, width)))  # the sequence is bound once, as in kmers
-    starts = F.flatten(F.transform(cut, found))
-    sizes = table.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
-    hits = table.select(by, F.explode(starts).alias("position")).groupBy(by, "position").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(sizes, by).select(by, "position", (F.col("n") / F.col("total")).alias("share"))
+    """Share of a group's sequences in which the motif, of ``width`` letters, starts at each position."""
+    starts = _motif_starts(table, motif, by, seq)
+    sizes = starts.where("position = 0").select(by, F.col("n").alias("total"))
+    return starts.where("position > 0").join(sizes, by).select(by, "position", (F.col("n") / F.col("total")).alias("share"))
 
 
 def motif_counts_smoothed(table: DataFrame, motif: str, width: int, by: str = "lang", seq: str = "seq", share: float = 0.1) -> DataFrame:
@@ -188,14 +231,14 @@ def motif_counts_smoothed(table: DataFrame, motif: str, width: int, by: str = "l
     Weights rise and fall by one a place, so the sum over a window comes from running sums of the counts
     and of position times count, whatever its width.
     """
-    longest = table.agg(F.max(F.length(seq))).first()[0] or 0
+    starts = _motif_starts(table, motif, by, seq)
+    longest = starts.where("position = -1").agg(F.max("n")).first()[0] or 0
     size = max(3, math.ceil(round(longest * share, 9)))
     middle, after = math.ceil(size / 2), size // 2
     total = sum(range(1, middle + 1)) + sum(range(1, size - middle + 1))
-    sums = table.groupBy(by).agg(F.count(F.lit(1)).alias("_total"))
-    grid = sums.select(by, F.explode(F.sequence(F.lit(1), F.lit(max(1, longest)))).alias("position")).where(F.lit(longest > 0))
-    found = motif_profile(table, motif, width, by, seq).join(sums, by).select(F.col(by).alias("_by"), F.col("position").alias("_at"), F.round(F.col("share") * F.col("_total")).cast("long").alias("n"))
-    dense = grid.join(found, F.col(by).eqNullSafe(F.col("_by")) & (F.col("position") == F.col("_at")), "left").select(by, "position", F.coalesce("n", F.lit(0)).alias("n"))
+    grid = starts.where("position = 0").select(by, F.explode(F.sequence(F.lit(1), F.lit(max(1, longest)))).alias("position")).where(F.lit(longest > 0))
+    found = starts.where("position > 0").select(F.col(by).alias("_by"), F.col("position").alias("_at"), "n")
+    dense = grid.join(found, (F.col(by) == F.col("_by")) & (F.col("position") == F.col("_at")), "left").select(by, "position", F.coalesce("n", F.lit(0)).alias("n"))
     series = Window.partitionBy(by).orderBy("position")
     upto = series.rowsBetween(Window.unboundedPreceding, 0)
     dense = dense.withColumns({"_x": F.sum("n").over(upto), "_y": F.sum(F.col("n") * F.col("position")).over(upto)})

@@ -150,3 +150,25 @@ def test_tasks_of_false_discovery_do_not_grow(spark, monkeypatch):
     monkeypatch.setattr(stats, "written", lambda df, name, _w=stats.written: seen.append((name, spark.conf.get("spark.sql.shuffle.partitions"))) or _w(df, name))
     assert ordered(stats.bh_adjust(table, by=("g",))) == pytest.approx(want)
     assert {n for name, n in seen if name != "tested"} == {"20"} and seen[-1][0] == "adjusted" and spark.conf.get("spark.sql.shuffle.partitions") == asked
+
+
+def test_motif_starts_are_summed_in_tasks(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["en", "de", None]), rng.choice([None, "", "TCAT" * rng.randint(1, 9), "".join(rng.choices("ACGTé", k=rng.randint(0, 700)))])) for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, lang string, seq string").repartition(3).write.parquet(f"{tmp_path}/s")
+    table = spark.read.parquet(f"{tmp_path}/s")
+    hit = lambda s, p: s[p] in "CT" and s[p + 1 : p + 3] == "CA" and s[p + 3] in "CT"
+    want = {}
+    for _, g, s in rows:
+        for p in range(len(s or "") - 3):
+            if g and hit(s, p):
+                want[g, p + 1] = want.get((g, p + 1), 0) + 1
+    total = {g: sum(x == g for _, x, _ in rows) for g in ("en", "de")}
+    profile = sequences.motif_profile(table, "YCAY", 4)
+    assert {(r.lang, r.position): r.share for r in profile.collect()} == pytest.approx({k: n / total[k[0]] for k, n in want.items()})
+    smooth = sequences.motif_counts_smoothed(table, "YCAY", 4)
+    longest = max(len(s or "") for _, _, s in rows)
+    got = {(r.lang, r.position): r.n for r in smooth.collect()}
+    assert len(got) == 3 * longest and {k: n for k, n in got.items() if n} == want
+    assert not any(str(tmp_path) in f for f in profile.inputFiles() + smooth.inputFiles())  # sequences are read once, each place was looked up
+    assert sequences.motif_counts_smoothed(table.where("false"), "YCAY", 4).count() == 0
