@@ -141,8 +141,8 @@ _PAIRS = _MAJOR + """, pairs AS (SELECT m.idx, m.up_off AS mu, m.down_off AS md,
 def altss_contrast(spark, d):
     c = written(counts(spark, d), "counts")
     included = c.where("mode = 'INCLUDED'")
-    shares = K.altss_share(included, P.event_pairs(P.major_event_by_share(c), included))
-    return rounded(K.altss_contrast(shares, lineage_contrasts(spark, d), 0.2))
+    pairs = written(P.event_pairs(P.major_event_by_share(c), included), "pairs")
+    return rounded(K.altss_contrast_of_sums(K.altss_sums(included, pairs), lineage_contrasts(spark, d), 0.2))
 
 
 @query(ctes("counts") + " SELECT sample, idx, up_off, down_off, CAST(sum(cnt) OVER w - cnt AS BIGINT) AS others, round(cnt / sum(cnt) OVER w + 1e-10, 6) AS share FROM counts WHERE mode = 'INCLUDED' WINDOW w AS (PARTITION BY sample, idx)")

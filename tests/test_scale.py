@@ -172,3 +172,25 @@ def test_motif_starts_are_summed_in_tasks(spark, tmp_path):
     assert len(got) == 3 * longest and {k: n for k, n in got.items() if n} == want
     assert not any(str(tmp_path) in f for f in profile.inputFiles() + smooth.inputFiles())  # sequences are read once, each place was looked up
     assert sequences.motif_counts_smoothed(table.where("false"), "YCAY", 4).count() == 0
+
+
+def test_alternative_sites_need_no_grid_of_samples(spark):
+    from isoflow.operators import contrasts as K
+
+    rng = random.Random(10)
+    rows = [(s, s % 3, i, u, d, rng.choice([0, 1, 5, 30])) for s in range(40) for i in "xy" for u in range(3) for d in range(2) if rng.random() < 0.4]
+    counts = spark.createDataFrame(rows, "sample long, condition int, idx string, up_off int, down_off int, cnt long")
+    pairs = spark.createDataFrame([(i, 0, 0, u, d) for i in "xyz" for u in range(3) for d in range(2) if u or d], "idx string, major_up int, major_down int, minor_up int, minor_down int")
+    sides = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("a", 2, 2), ("b", 1, 1), ("b", 2, 1)], "contrast string, side int, condition int")
+    key = lambda r: (r.contrast, r.idx, r.minor_up, r.minor_down)
+    want = {key(r): (r.share1, r.share2) for r in K.altss_contrast(K.altss_share(counts, pairs), sides, 0.0).collect()}
+    sums = K.altss_sums(counts, pairs)
+    got = {key(r): (r.share1, r.share2) for r in K.altss_contrast_of_sums(sums, sides, 0.0).collect()}
+    cnt = {(s, i, u, d): n for s, _, i, u, d, n in rows}
+    brute = {}
+    for i, u, d in {(i, u, d) for _, _, i, u, d, _ in rows if u or d}:
+        of = [[a / (a + b) for s in range(40) if s % 3 in c for a, b in [(cnt.get((s, i, 0, 0), 0), cnt.get((s, i, u, d), 0))] if a + b] for c in ((0,), (1, 2))]
+        brute["a", i, u, d] = tuple(sum(x) / len(x) for x in of)
+    assert set(got) == set(want) and {k: v for k, v in got.items() if k[0] == "a"} == {k: pytest.approx(v) for k, v in brute.items()}
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert "NestedLoop" not in sums._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in sums._jdf.queryExecution().executedPlan().toString()
