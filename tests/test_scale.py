@@ -1,11 +1,13 @@
 """Operators whose work must not grow faster than their results."""
 
 import random
+from itertools import accumulate
 
 import numpy as np
 import pytest
 
 from isoflow.functions import edits
+from isoflow.functions.fingerprints import Rolling
 from isoflow.operators import reads, sequences, stats
 
 
@@ -76,6 +78,37 @@ def test_reads_meet_few_elements_however_frequent_their_seeds(spark, monkeypatch
     assert sum(m.count() for m in met) < 3 * len(library)  # about 200 x 200 before
 
 
+def test_reads_meet_only_what_may_hold_all_their_seeds(spark, monkeypatch):
+    rng = random.Random(18)
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    blocks = [dna(30) for _ in range(6)]
+    exons = sorted({"".join(rng.choices(blocks, k=4)) for _ in range(150)})  # no seed of theirs is rare
+    library = {f"e{i:03d}": x for i, x in enumerate(exons)}
+    queries = [(f"r{e}", e, x) for e, x in library.items()] + [("odd", "e000", exons[0][:60] + dna(40) + exons[0][60:]), ("bits", "e001", exons[1][3:50] + "A"), ("few", "e002", "ACG")]
+    met = []
+    monkeypatch.setattr(reads, "_meeting", lambda *a, _f=reads._meeting: met.append(_f(*a).cache()) or met[-1])
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    got = {r.read_id: (r.mapped, r.chain) for r in reads.best_hits(frame(queries, ("read_id", "idx", "seq")), frame(list(library.items()), ("idx", "exon"))).collect()}
+
+    def seeds(x):
+        prints = Rolling(x).all(15).tolist()
+        return [prints[at] for at in sorted({min((h, i) for i, h in enumerate(prints[a : a + 5], a))[1] for a in range(max(0, len(prints) - 4))})]
+
+    def longest(a, b):
+        best = [0] * (len(b) + 1)
+        for p in a:
+            best = list(accumulate([0] + [max(best[j + 1], (best[j] + 1) * (p == q)) for j, q in enumerate(b)], max))
+        return best[-1]
+
+    there = {e: seeds(x) for e, x in library.items()}
+    want = {}
+    for r, _, x in queries:
+        n, e = min((-longest(seeds(x), s), e) for e, s in there.items())
+        want |= {r: (e, -n)} if n <= -2 else {}
+    assert got == want and len(want) == len(queries) - 1
+    assert met[0].count() < 2 * len(library)  # about 12 with the rarest seed of each before
+
+
 def test_kmer_totals_count_keys_once_and_in_tasks(spark):
     rows = [(1, "ACGTACGT"), (2, "ACGTT"), (2, "ACGTA"), (None, "ACGTA"), (3, ""), (4, None), (5, "ACG")]
     out = sequences.kmer_totals(spark.createDataFrame(rows, "doc_id long, seq string"), 4)
