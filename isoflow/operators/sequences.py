@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoflow.functions import kmer_counts
+from isoflow.functions.edits import BLOCK_TEXTS, CELLS, TILE, nearest_in_bulk
 from isoflow.functions.edits import nearest as nearest_of
 from isoflow.functions.sequences import IUPAC, kmers, motif_count
 from isoflow.operators.psi import psi_of
@@ -317,19 +318,55 @@ def base_composition(table: DataFrame, seq: str = "seq", by: str = "lang", alpha
 def min_edit_distance(designs: DataFrame, library: DataFrame, most: int = 3) -> DataFrame:
     """``designs`` with the smallest Levenshtein distance of ``seq`` to any of the library.
 
-    Near sequences come first: what lies within ``most`` edits is found by joins on shared segments, or of a library
-    of up to ``FEW_REFS`` only what equals a sequence of it.  The sequences left over are compared with the library
-    in blocks.  A null sequence has no distance, nor has any if the library is empty; equal sequences are compared once.
+    A library of up to ``FEW_REFS`` sequences goes to the designs, which are spread and compared with all of it where they
+    are.  For a larger one near sequences come first: what lies within ``most`` edits is found by joins on shared segments,
+    and the sequences left over are compared with the library in blocks.  A null sequence has no distance, nor has any if
+    the library is empty; equal sequences of a task are compared once.
     """
-    asked = written(designs.select("seq").where("seq is not null").distinct(), "asked")
     refs = written(library.select(F.col("seq").alias("ref")).where("ref is not null").distinct(), "library")
-    same = asked.join(refs, asked["seq"] == refs["ref"], "left_semi").withColumn("distance", F.lit(0))
-    near = same if refs.count() <= FEW_REFS else written(_within(asked, refs, most), "near")
+    number, letters = refs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("ref")), F.lit(0))).first()
+    if number <= FEW_REFS and letters <= FEW_LETTERS:
+        return _to_few(designs, sorted((r["ref"] for r in refs.collect()), key=len))
+    asked = written(designs.select("seq").where("seq is not null").distinct(), "asked")
+    near = written(_within(asked, refs, most), "near")
     far = _in_blocks(asked.join(near, "seq", "left_anti"), refs)
     best = near.unionByName(far).withColumnRenamed("seq", "_seq")
     return designs.join(best, F.col("seq") == F.col("_seq"), "left").drop("_seq")
 
 
+def _to_few(designs: DataFrame, refs: list[str]) -> DataFrame:
+    """``designs`` with the distance to the nearest of a small library, sorted by length, without joins."""
+    if not refs:
+        return designs.withColumn("distance", F.lit(None).cast("int"))
+    spark, tile = designs.sparkSession, TILE
+    _small_batches(designs)
+    shared = spark.sparkContext.broadcast(refs)
+
+    @F.pandas_udf("int")
+    def distance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def together(held: list[pd.Series]) -> Iterator[pd.Series]:
+            rows = pd.concat(held, ignore_index=True)
+            asked = np.flatnonzero(rows.notna().to_numpy())
+            out = pd.Series(pd.NA, index=rows.index, dtype="Int32")
+            if len(asked):
+                out.iloc[asked] = nearest_in_bulk(rows.iloc[asked].tolist(), shared.value, tile)
+            at = np.cumsum([0, *map(len, held)])
+            yield from (out.iloc[a:b] for a, b in zip(at, at[1:]))
+
+        held, rows, letters = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            rows, letters = rows + len(batch), letters + int(batch.str.len().sum())
+            if rows >= BLOCK_TEXTS or letters >= CELLS:
+                yield from together(held)
+                held, rows, letters = [], 0, 0
+        if held:
+            yield from together(held)
+
+    spread = designs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq")  # a file may be one task
+    return spread.sortWithinPartitions("seq").withColumn("distance", distance("seq"))
+
+
 def _within(asked: DataFrame, refs: DataFrame, most: int) -> DataFrame:
     """``seq, distance`` of the sequences that have one of ``refs`` within ``most`` edits.
 
@@ -362,8 +399,8 @@ def _within(asked: DataFrame, refs: DataFrame, most: int) -> DataFrame:
 
 BLOCK_SEQUENCES, BLOCK_LETTERS = 2048, 1 << 18
 """A block of sequences has about so many, or fewer if they are long."""
-FEW_REFS = 4096
-"""Library sequences up to which comparing all costs less than looking for the near ones by segments first."""
+FEW_REFS, FEW_LETTERS = 4096, 1 << 20
+"""Library sequences, and letters of them, up to which comparing all costs less than looking for the near ones by segments first."""
 MOST_TASKS = 20_000
 
 
@@ -391,7 +428,7 @@ def _in_blocks(asked: DataFrame, refs: DataFrame) -> DataFrame:
         for batch in batches:
             for seqs, refs in zip(batch["seq"], batch["ref"]):
                 seqs, refs = sorted(seqs, key=len), sorted(refs, key=len)  # those of a tile end together
-                yield pd.DataFrame({"seq": seqs, "distance": nearest_of(seqs, refs)})
+                yield pd.DataFrame({"seq": seqs, "distance": nearest_of(seqs, refs, TILE)})
 
     return spread.select("seq", "ref").mapInPandas(nearest, "seq string, distance int").groupBy("seq").agg(F.min("distance").alias("distance"))
 

@@ -48,6 +48,40 @@ def test_nearest_distances_with_and_without_segments(spark, monkeypatch, few):
     assert got == dict(zip(asked, want)) and bool(calls) == (few == 0)  # no offers of segments for a small library
 
 
+def test_nearest_distances_in_bulk(monkeypatch):
+    for name, n in (("BULK", 40), ("BLOCK_TEXTS", 100), ("PILOT", 8)):
+        monkeypatch.setattr(edits, name, n)
+    stepped = []
+    monkeypatch.setattr(edits.Band, "distances", lambda band, *a, _f=edits.Band.distances: stepped.append(band.n) or _f(band, *a))
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choices("ACGT", k=n))
+    for n in (1, 6, 30, 64, 90, 300):
+        refs = sorted([word(rng.randint(0, 2 * n)) for _ in range(25)] + [word(n) for _ in range(5)], key=len)
+        texts = [word(n) for _ in range(130)] + [word(rng.randint(0, n)) for _ in range(30)] + ["é" * n, refs[0], refs[-1], *refs[:3]]
+        texts += [s[:i] + "A" + s[i + 2 :] + "C" for s in refs if len(s) == n for i in range(0, n, 7)]  # some are near
+        assert edits.nearest_in_bulk(texts, refs).tolist() == edits.distances(texts, refs).min(axis=1).tolist()
+        assert edits.nearest_in_bulk([], refs).tolist() == []
+    assert {6, 30, 64, 90, 300} <= set(stepped)
+    assert edits.nearest_in_bulk([word(4) for _ in range(60)], [""]).tolist() == [4] * 60
+
+
+def test_small_libraries_go_to_the_designs(spark, monkeypatch):
+    rng = random.Random(22)
+    word = lambda n: "".join(rng.choices("ACGT", k=n))
+    refs, asked = [word(rng.randint(20, 60)) for _ in range(30)], [word(60) for _ in range(300)] + [word(rng.randint(0, 60)) for _ in range(40)]
+    rows = [(i % 7, s) for i, s in enumerate(asked * 2)] + [(0, None), (1, None), (1, refs[0])]
+    designs, library = spark.createDataFrame(rows, "doc_id long, seq string"), spark.createDataFrame([(r,) for r in refs], "seq string")
+    out = sequences.min_edit_distance(designs, library)
+    want = dict(zip(asked, edits.distances(asked, refs).min(axis=1).tolist())) | {None: None, refs[0]: 0}
+    plain = lambda df: sorted((r.doc_id, r.seq or "", -1 if r.distance is None else r.distance) for r in df.collect())
+    assert plain(out) == sorted((i, s or "", -1 if want[s] is None else want[s]) for i, s in rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Join" not in plan and "Aggregate" not in plan  # every sequence was shuffled five times
+    for name, n in (("FEW_REFS", 0), ("BLOCK_SEQUENCES", 16), ("TILE", (3, 5))):
+        monkeypatch.setattr(sequences, name, n)
+    assert plain(sequences.min_edit_distance(designs, library)) == plain(out)
+
+
 def test_exons_offer_only_what_is_sought(spark):
     rng = random.Random(6)
     dna = lambda n: "".join(rng.choices("ACGT", k=n))
