@@ -98,6 +98,24 @@ def test_exons_offer_only_what_is_sought(spark):
     assert offered.count() < 40  # all substrings of 1, 2, 4, ... letters before: over 100,000
 
 
+@pytest.mark.parametrize("often, few, share", [(64, 500_000, 2000), (2, 500_000, 3), (2, 5, 3), (0, 500_000, 1)])
+def test_contained_exons_shuffle_no_pairs(spark, monkeypatch, often, few, share):
+    monkeypatch.setattr(reads, "OFTEN", often)
+    monkeypatch.setattr(reads, "FEW_SHORT", few)
+    rng = random.Random(19)
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    line = dna(120)
+    exons = [dna(rng.randint(0, 90)) + line + dna(rng.randint(0, 90)) for _ in range(30)] + [line[a : a + n] for n in (1, 9, 11, 12, 14, 15, 16, 24, 31, 32, 40, 64, 100) for a in (0, 3, 20)]
+    exons += [line[:40]] * 5 + [line[5:18]] * 4 + ["", None, "ACGTACGTACGT" * 3, "ACGTACGTACGTACG", "ACGTACGTACGTA\0ACG", "TACGTACGTACGTA", "ACGTACGTACGT\0ACGTACGTACGTA\0ACGT", "é漢" * 20, "漢é漢é漢é漢é漢é漢é漢"]
+    named = {f"e{i:03d}": e for i, e in enumerate(exons)}
+    library = spark.createDataFrame(list(named.items()), "idx string, exon string").repartition(5)
+    want = sorted((a, b) for a, x in named.items() for b, y in named.items() if a != b and x and y and x in y and (len(y) > len(x) or b < a))
+    out = reads.contained_exons(library, share)
+    assert sorted(map(tuple, out.collect())) == want and len(want) > 1500
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == (3 if often else 2) and "Aggregate" not in plan  # pairs were joined with the members of both sides
+
+
 def test_reads_meet_few_elements_however_frequent_their_seeds(spark, monkeypatch):
     rng = random.Random(8)
     dna = lambda n: "".join(rng.choices("ACGT", k=n))
